@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brightloom.llm import decontam, mixing, pii, quality
+from brightloom.llm import decontam, langid, mixing, pii, quality
 from brightloom.session import table
 
 
@@ -13,6 +13,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document."""
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -28,6 +33,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op7_decontamination": op7_decontamination, "op8_quality": op8_quality, "op10_pii": op10_pii}
+QUERIES = {"op1_mixing": op1_mixing, "op4_language": op4_language, "op7_decontamination": op7_decontamination, "op8_quality": op8_quality, "op10_pii": op10_pii}
 
 ORACLES: dict[str, str] = {}
