@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brightloom.llm import decontam, langid, mixing, pii, quality
+from brightloom.llm import decontam, langid, mixing, pii, quality, toxicity
 from brightloom.session import table
 
 
@@ -28,11 +28,16 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     return pii.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op4_language": op4_language, "op7_decontamination": op7_decontamination, "op8_quality": op8_quality, "op10_pii": op10_pii}
+QUERIES = {"op1_mixing": op1_mixing, "op4_language": op4_language, "op7_decontamination": op7_decontamination, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity, "op10_pii": op10_pii}
 
 ORACLES: dict[str, str] = {}

@@ -69,10 +69,12 @@ class Words:
     end: np.ndarray
     hash: np.ndarray
     rows: np.ndarray
+    prefix: np.ndarray | None = None
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """Words of the rows that ``offsets`` delimits, with 64-bit hashes of their lower-cased bytes."""
+def words(data: np.ndarray, offsets: np.ndarray, prefix: int = 0) -> Words:
+    """Words of the rows that ``offsets`` delimits, with 64-bit hashes of their lower-cased bytes,
+    and on demand of the first ``prefix`` of those."""
     base = int(offsets[0])
     low = _LOWER[data[base : int(offsets[-1])]]
     at = offsets - base
@@ -97,4 +99,5 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Words:
     total[0] = 0
     np.cumsum(_BYTE[low] * power[:n], out=total[1:])
     hashed = mixed((total[end] - total[start]) * inverse[start])
-    return Words(start, end, hashed, np.searchsorted(start, at))
+    head = mixed((total[np.minimum(end, start + prefix)] - total[start]) * inverse[start] + np.uint64(1)) if prefix else None
+    return Words(start, end, hashed, np.searchsorted(start, at), head)
