@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brightloom.llm import decontam, langid, mixing, pii, quality, toxicity
+from brightloom.llm import decontam, langid, mixing, neardup, pii, quality, toxicity
 from brightloom.session import table
 
 
@@ -18,6 +18,11 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document."""
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -38,6 +43,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op4_language": op4_language, "op7_decontamination": op7_decontamination, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity, "op10_pii": op10_pii}
+QUERIES = {"op1_mixing": op1_mixing, "op4_language": op4_language, "op5_neardup": op5_neardup, "op7_decontamination": op7_decontamination, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity, "op10_pii": op10_pii}
 
 ORACLES: dict[str, str] = {}
