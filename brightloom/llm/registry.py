@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brightloom.llm import decontam, langid, mixing, neardup, pii, quality, toxicity
+from brightloom.llm import decontam, fingerprint, langid, mixing, neardup, pii, quality, toxicity
 from brightloom.session import table
 
 
@@ -13,6 +13,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text."""
+    return fingerprint.compare(table(spark, sf_dir, "documents"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
     return langid.identify(table(spark, sf_dir, "documents"))
@@ -43,6 +48,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op4_language": op4_language, "op5_neardup": op5_neardup, "op7_decontamination": op7_decontamination, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity, "op10_pii": op10_pii}
+QUERIES = {"op1_mixing": op1_mixing, "op3_fingerprint": op3_fingerprint, "op4_language": op4_language, "op5_neardup": op5_neardup, "op7_decontamination": op7_decontamination, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity, "op10_pii": op10_pii}
 
 ORACLES: dict[str, str] = {}
