@@ -10,6 +10,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from brightloom.functions.draws import hash_index
@@ -44,7 +45,7 @@ def interaction_estimate(observations: DataFrame, animal: str, mobile_object: st
     )
 
 
-def interaction_bootstrap(observations: DataFrame, animal: str, mobile_object: str, relation: str, samples: int = 1000, seed: int = 0, cell: tuple[str, ...] = ("animal", "mobile_object", "relation"), order: tuple[str, ...] = ("observation_id",)) -> DataFrame:
+def interaction_bootstrap(observations: DataFrame, animal: str, mobile_object: str, relation: str, samples: int = 1000, seed: int = 0, cell: tuple[str, ...] = ("animal", "mobile_object", "relation"), order: tuple[str, ...] = ("observation_id", "score")) -> DataFrame:
     """Standard error and percentile interval of each model's interaction when every cell's rows are
     drawn anew with replacement. Cells are first summed by distinct score, so a resample moves
     multiplicities of cell members and never copies rows across the cluster: each draw is a hash of
@@ -78,7 +79,7 @@ def shrink_interactions(estimates: DataFrame) -> DataFrame:
     return random.select("model_id", "interaction", "pooled", "tau2", weight.alias("weight"), (weight * F.col("interaction") + (1 - weight) * F.col("pooled")).alias("shrunk"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_cdf(x: pd.Series) -> pd.Series:
     """The standard normal distribution function (Spark has no error function)."""
     return x.map(lambda v: 0.5 * (1 + math.erf(v / math.sqrt(2))))

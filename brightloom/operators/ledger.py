@@ -35,14 +35,20 @@ def _legal(previous: Column, new: Column, table: dict[str, tuple[str, ...]]) ->
 
 
 def replay(events: DataFrame, transitions: dict[str, tuple[str, ...]] = TRANSITIONS) -> DataFrame:
-    """``events`` with what is wrong with each: sequence gap, broken link, illegal transition."""
-    chain, cell = Window.orderBy("sequence"), Window.partitionBy("cell_id").orderBy("sequence")
-    before = F.coalesce(F.lag("event_hash").over(chain), F.lit(GENESIS))
+    """``events`` with what is wrong with each: a gap before it, a broken link to its predecessor, an
+    illegal transition. Predecessors are found by joining sequence numbers, so that the one chain of
+    all events is checked in parallel; only a cell's own events are put in order."""
+    first = events.agg(F.min("sequence").alias("s")).first()["s"]
+    before = events.select((F.col("sequence") + 1).alias("sequence"), F.col("event_hash").alias("_before"))
+    cell = Window.partitionBy("cell_id").orderBy("sequence")
+    starts = F.col("sequence") == F.lit(first)
     return (
-        events.withColumn("gap", F.col("sequence") != F.coalesce(F.lag("sequence").over(chain) + 1, F.lit(1)))
-        .withColumn("broken_link", F.col("previous_event_hash") != before)
+        events.join(before, "sequence", "left")
+        .withColumn("gap", F.col("_before").isNull() & ~starts)
+        .withColumn("broken_link", F.col("previous_event_hash") != F.when(starts, F.lit(GENESIS)).otherwise(F.coalesce("_before", F.lit(""))))
         .withColumn("previous_state", F.coalesce(F.lag("new_state").over(cell), F.lit("ready")))
         .withColumn("illegal", ~_legal(F.col("previous_state"), F.col("new_state"), transitions))
+        .drop("_before")
     )
 
 
@@ -98,7 +104,7 @@ def lease(cells: DataFrame, limit: int, per_model: int, budget: float) -> DataFr
             taken.append((cell, model, cost, spent))
         return pd.DataFrame(taken, columns=["cell_id", "model_id", "estimated_cost", "reserved_cost"])
 
-    return near.groupBy(F.lit(0)).applyInPandas(fold, "cell_id string, model_id string, estimated_cost double, reserved_cost double")
+    return near.groupBy(F.lit("all")).applyInPandas(fold, "cell_id string, model_id string, estimated_cost double, reserved_cost double")
 
 
 def terminal_outcome(safe: Column, nonblank: Column, eligible: Column, error: Column) -> Column:

@@ -73,4 +73,4 @@ def randomisation_test(rows: DataFrame, exact_limit: int = 100_000, samples: int
             hits += abs(_rho(x, y)) >= abs(rho) - 1e-12
         return pd.DataFrame([[n, rho, (hits + 1) / (samples + 1), "drawn"]], columns=["clusters", "rho", "p_value", "method"])
 
-    return means.groupBy(F.lit(0)).applyInPandas(permute, "clusters bigint, rho double, p_value double, method string")
+    return means.groupBy(F.lit("all")).applyInPandas(permute, "clusters bigint, rho double, p_value double, method string")

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from brightloom.plans import records, statistics, text
+
+QUERIES = {**statistics.QUERIES, **text.QUERIES, **records.QUERIES}
+ORACLES = {**statistics.ORACLES, **text.ORACLES, **records.ORACLES}
