@@ -1,8 +1,8 @@
 r"""Document fingerprints by consistent weighted sampling, in Spark SQL expressions only.
 
 The terms of a text are its lower-case words, weighted by their counts. For each sample k and term,
-r and c are gamma(2, 1) variates and b a uniform one, all from one hash of (term, k) (r by a table of
-its quantiles, c as minus the logarithm of a product of two uniforms); t = floor(ln(w) / r + b), and the term of the least
+r and c are gamma(2, 1) variates and b a uniform one, all from one hash of (term, k), through tables
+of their quantiles (c between neighbouring ones); t = floor(ln(w) / r + b), and the term of the least
 ln(c) - r * (t - b + 1), together with its t, is the sample. Two texts agree in a sample with the
 probability of their generalised Jaccard similarity, sum of least over sum of greatest weights.
 
@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 SAMPLES = 64
+LANES = 1  # samples computed in one unrolled row; more made methods too large to compile well
 ROWS = 512  # of a range
-_R_BITS, _B_BITS, _C_BITS, _CODE_BITS = 9, 15, 20, 30  # two uniforms of _C_BITS; the last bits also serve the code
+_R_BITS, _B_BITS, _C_BITS, _F_BITS, _CODE_BITS = 9, 20, 12, 20, 30
 _SCALE = float(1 << 26)
 _WORD_GAP = r"[^\p{L}\p{N}]+"
 
@@ -82,27 +83,47 @@ def _ranged(docs: DataFrame) -> DataFrame:
     return out.withColumn("p", F.explode(F.filter(places, lambda p: p.isNotNull()))).select("p.range", "p.wraps", "p.guest", "doc_id", "text")
 
 
-def _packed(k: int, log_weight: Column, r_table: Column) -> Column:
-    """The order of sample k's value for a term, then 30 bits that name the term and its t."""
-    h = F.col(f"h{k}")
-    r = F.get(r_table, h.bitwiseAND(F.lit((1 << _R_BITS) - 1)).cast("int"))
-    b = F.shiftright(h, _R_BITS).bitwiseAND(F.lit((1 << _B_BITS) - 1)).cast("double") / F.lit(float(1 << _B_BITS))
-    u = [(F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << _C_BITS) - 1)).cast("double") + 0.5) for at in (_R_BITS + _B_BITS, _R_BITS + _B_BITS + _C_BITS)]
-    c = F.log(F.lit(2 * _C_BITS * math.log(2)) - F.log(u[0] * u[1]))
-    t = F.floor(log_weight / r + b)
-    value = c - r * (t - b + 1)
-    code = (F.shiftrightunsigned(F.xxhash64(h), 64 - _CODE_BITS) + t * F.lit(0x1F123BB5)).bitwiseAND(F.lit((1 << _CODE_BITS) - 1))
-    return F.shiftleft(((value + 64) * _SCALE).cast("long"), _CODE_BITS).bitwiseOR(code)
-
-
 def signatures(terms: DataFrame, keys: list[str], weights: dict[str, str], samples: int = SAMPLES) -> DataFrame:
     """For each group of ``keys`` and each (name, weight column) of ``weights`` an array ``name`` of
-    the samples' codes; -1 where no term has that weight. ``terms``: keys, term (long), weights."""
-    r_table = _table(_R_BITS, lambda x: x)
-    logs = terms.select(*keys, *[F.log(F.when(F.col(w) > 0, F.col(w).cast("double"))).alias(f"log_{name}") for name, w in weights.items()], *[F.xxhash64("term", F.lit(k)).alias(f"h{k}") for k in range(samples)])
-    least = logs.groupBy(*keys).agg(*[F.min(_packed(k, F.col(f"log_{name}"), r_table)).alias(f"{name}{k}") for name in weights for k in range(samples)])
-    code = lambda c: F.coalesce(F.col(c).bitwiseAND(F.lit(0xFFFF)), F.lit(-1)).cast("int")
-    return least.select(*keys, *[F.array(*[code(f"{name}{k}") for k in range(samples)]).alias(name) for name in weights])
+    the samples' codes; -1 where no term has that weight. ``terms``: keys, term (long), weights.
+
+    Terms are unrolled over the samples inside one generated loop and reduced at once: the least
+    value of a sample and the code of its term and t travel in one long, so the aggregate keeps two
+    numbers for each group and sample, and nothing is sorted or shuffled."""
+    r_table, c_table = _table(_R_BITS, lambda x: x), _table(_C_BITS, math.log)
+    lanes = [lane for lane in range(LANES) if samples % LANES == 0] or [0]
+    mask = lambda bits: F.lit((1 << bits) - 1)
+
+    def bits(lane: int, at: int, size: int) -> Column:
+        return F.shiftrightunsigned(f"h{lane}", at).bitwiseAND(mask(size))
+
+    logs = [F.log(F.when(F.col(w) > 0, F.col(w).cast("double"))).alias(f"log_{name}") for name, w in weights.items()]
+    unrolled = terms.select(*keys, "term", *logs, F.explode(F.sequence(F.lit(0), F.lit(samples // len(lanes) - 1))).alias("k"))
+    kept = [*keys, "k", *[f"log_{name}" for name in weights]]
+    drawn = unrolled.select(*kept, F.col("term").bitwiseAND(mask(_CODE_BITS)).alias("term"), *[F.xxhash64("term", F.col("k") * len(lanes) + lane).alias(f"h{lane}") for lane in lanes])
+    variates = []
+    for lane in lanes:
+        cell, part = bits(lane, _R_BITS + _B_BITS, _C_BITS).cast("int"), bits(lane, _R_BITS + _B_BITS + _C_BITS, _F_BITS).cast("double") / float(1 << _F_BITS)
+        low = F.get(c_table, cell)
+        variates += [
+            F.get(r_table, bits(lane, 0, _R_BITS).cast("int")).alias(f"r{lane}"),
+            (bits(lane, _R_BITS, _B_BITS).cast("double") / float(1 << _B_BITS)).alias(f"b{lane}"),
+            # between the middles of the quantile cells; the last cell is flat
+            (low + part * (F.coalesce(F.get(c_table, cell + 1), low) - low)).alias(f"c{lane}"),
+        ]
+    drawn = drawn.select(*kept, "term", *variates)
+    drawn = drawn.select(*keys, "k", "term", *[f"{v}{lane}" for v in "rbc" for lane in lanes], *[F.floor(F.col(f"log_{name}") / F.col(f"r{lane}") + F.col(f"b{lane}")).alias(f"t_{name}{lane}") for name in weights for lane in lanes])
+
+    def packed(name: str, lane: int) -> Column:
+        t = F.col(f"t_{name}{lane}")
+        value = F.col(f"c{lane}") - F.col(f"r{lane}") * (t - F.col(f"b{lane}") + 1)
+        return F.shiftleft(((value + 64) * _SCALE).cast("long"), _CODE_BITS).bitwiseOR((F.col("term") + t * F.lit(0x1F123BB5)).bitwiseAND(mask(_CODE_BITS)))
+
+    least = drawn.groupBy(*keys, "k").agg(*[F.min(packed(name, lane)).alias(f"{name}{lane}") for name in weights for lane in lanes])
+    code = lambda c: F.coalesce(F.col(c).bitwiseAND(mask(16)), F.lit(-1)).cast("int")
+    blocks = F.struct("k", *[F.array(*[code(f"{name}{lane}") for lane in lanes]).alias(name) for name in weights])
+    gathered = least.groupBy(*keys).agg(F.array_sort(F.collect_list(blocks)).alias("_all"))
+    return gathered.select(*keys, *[F.flatten(F.col("_all").getField(name)).alias(name) for name in weights])
 
 
 def as_text(signature: Column) -> Column:
