@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from brightloom.functions.draws import hash_number
+
+from brightloom.functions import vector_source
 from brightloom.operators import annotate, concepts, integrity, ledger, planning, qualification, scorecard
 from brightloom.plans.base import registry, rounded
 from brightloom.session import table
@@ -424,3 +424,15 @@ def repair_scores(spark, sf_dir):
     r = scorecard.repair_score(F.col("before"), F.col("after"), F.slice("before", 1, 1), F.array_distinct("before"))
     scored = roles.select("p_partkey", r.alias("r"))
     return rounded(scored.select("p_partkey", "r.target_score", "r.preserve_score", "r.score", F.size("r.new_defects").alias("n_new_defects")))
+
+
+@query()
+def source_inspections(spark, sf_dir):
+    """Inspection of small drawings made from parts."""
+    size = F.col("p_size").cast("string")
+    drawing = F.concat(
+        F.lit('<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 60 60"><g id="'), F.lower(F.regexp_replace("p_type", "[^A-Za-z ]", "")), F.lit('"><rect width="'), size, F.lit('" height="9"/><circle r="'), size,
+        F.lit('" opacity="'), F.when(F.col("p_size") % 3 == 0, "0").otherwise("1"), F.lit('"/></g>'), F.when(F.col("p_size") % 7 == 0, "<script/>").otherwise("<text>a</text>"), F.lit("</svg>"),
+    )
+    found = table(spark, sf_dir, "part").select("p_partkey", vector_source.inspected(drawing).alias("i"))
+    return found.select("p_partkey", "i.valid", F.array_join("i.errors", ",").alias("errors"), "i.visible_shapes", "i.hidden_shapes", "i.group_count", "i.text_character_count", "i.canonical_hash")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brightloom.functions import closed_forms
 from brightloom.operators import interaction, ratings, resampling, scores, series
 from brightloom.plans.base import registry, rounded
 from brightloom.session import table
@@ -289,3 +290,36 @@ def sequence_scores(spark, sf_dir):
     """Frame scores of sequences."""
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("sequence"), F.col("l_linenumber").alias("frame"), (F.col("l_discount") * 10).alias("a"), (F.col("l_tax") * 10).alias("b"), (F.col("l_quantity") / 50).alias("c"))
     return rounded(series.sequence_scores(rows))
+
+
+@query("""WITH s AS (SELECT o_orderpriority AS grp, count(*) FILTER (o_orderstatus = 'F')::DOUBLE AS k, count(*)::DOUBLE AS n FROM orders GROUP BY 1), c AS (SELECT 1.959963984540054::DOUBLE AS z)
+SELECT grp, round(greatest(0, (k / n + z * z / (2 * n)) / (1 + z * z / n) - z * sqrt(k / n * (1 - k / n) / n + z * z / (4 * n * n)) / (1 + z * z / n)), 8) AS low,
+round(least(1, (k / n + z * z / (2 * n)) / (1 + z * z / n) + z * sqrt(k / n * (1 - k / n) / n + z * z / (4 * n * n)) / (1 + z * z / n)), 8) AS high FROM s, c""")
+def wilson_intervals(spark, sf_dir):
+    """Intervals of finished shares by priority."""
+    counts = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("grp")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("k"), F.count("*").alias("n"))
+    low, high = closed_forms.wilson_interval(F.col("k"), F.col("n"))
+    return rounded(counts.select("grp", low.alias("low"), high.alias("high")), 8)
+
+
+@query("""SELECT p_size AS k, round(1 + (p_size - 1) * 0.05, 8) AS deff, round(1000 / (1 + (p_size - 1) * 0.05), 8) AS n_eff, round(least(1, 2.8015852181095886 * sqrt(0.5) / sqrt(p_size)), 8) AS mde,
+greatest(1, ceil(0.8 * (1 - p_size / 60) / (p_size / 60 * (1 - 0.8)) - 1e-12))::BIGINT AS raters, round(least(0.99, 0.55 + 0.07 * p_size), 8) AS power,
+round((p_size / 60) ** 3 + 3 * (p_size / 60) ** 2 * (1 - p_size / 60), 8) AS majority FROM (SELECT DISTINCT p_size FROM part)""")
+def design_table(spark, sf_dir):
+    """Design figures by part size."""
+    k = F.col("k")
+    out = table(spark, sf_dir, "part").select(F.col("p_size").alias("k")).distinct().select(
+        "k", closed_forms.design_effect(k, F.lit(0.05).cast("double")).alias("deff"), closed_forms.effective_sample_size(F.lit(1000), k, F.lit(0.05).cast("double")).alias("n_eff"), closed_forms.detectable_difference(k).alias("mde"),
+        closed_forms.required_raters(k / 60).alias("raters"), closed_forms.assumed_power(k).alias("power"), closed_forms.majority_probability(3, k / 60).alias("majority"),
+    )
+    return rounded(out, 8)
+
+
+@query("""WITH t AS (SELECT p_partkey, string_split(lower(p_type), ' ') AS a, string_split(lower(p_name), ' ') AS v FROM part)
+SELECT p_partkey, q.id AS question_id, q.critical AS critical FROM (SELECT p_partkey, unnest(list_concat([{'id': 'animal-present', 'critical': true}, {'id': 'object-present', 'critical': true}], list_transform(a, lambda f: {'id': 'animal-feature:' || f, 'critical': false}),
+list_transform(v, lambda f: {'id': 'object-feature:' || f, 'critical': false}), [{'id': 'relation:rides_on', 'critical': true}], [{'id': 'scene-coherent', 'critical': false}])) AS q FROM t)""")
+def task_questions(spark, sf_dir):
+    """Questions of parts as tasks."""
+    relations = F.array(F.struct(F.lit("rides_on").alias("predicate"), F.lit(True).alias("required")))
+    rows = closed_forms.question_rows(F.split(F.lower("p_type"), " "), F.split(F.lower("p_name"), " "), relations)
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(rows).alias("q")).select("p_partkey", "q.question_id", "q.critical")

@@ -121,3 +121,13 @@ def test_calibration_sample_takes_turns(spark):
     df = spark.createDataFrame(data, "artifact_id string, stratum string, model_id string, score double, disagreement double, valid boolean")
     got = rows(planning.calibration_sample(df, 10, 1))
     assert sum("m2" in r["sampling_cell"] for r in got) == 5 and len(got) == 10
+
+
+def test_source_inspection():
+    from brightloom.functions.vector_source import inspect
+
+    ns = 'xmlns="http://www.w3.org/2000/svg"'
+    good = inspect(f'<svg {ns}><g id="left-wheel"><rect width="2"/><circle r="1" opacity="0"/><line/></g><defs><rect/></defs><text>hi</text></svg>')
+    assert good["valid"] and (good["visible_shapes"], good["hidden_shapes"], good["group_count"], good["text_character_count"]) == (2, 3, 1, 2) and good["roles"] == ["left", "wheel"]
+    for bad in ("<!DOCTYPE svg><svg/>", "<svg", f"<svg {ns}><script/></svg>", f'<svg {ns} onload="x"/>', f'<svg {ns}><g href="https://x"/></svg>', f'<svg {ns} style="fill:url (#a)"/>', "<p/>", None):
+        assert not inspect(bad)["valid"] and inspect(bad)["canonical_hash"] is None
