@@ -8,10 +8,15 @@ documents agree in a register with the probability of their probability Jaccard
 Texts with equal words are one node from the start, so that groups of copies cost one row. Nodes
 that share a band are candidates; a candidate pair is a link where its exact probability Jaccard,
 or its plain Jaccard over distinct shingles, is 0.8 or more. Of a bucket, at first only the pairs
-with its least node are verified, then, in two more rounds and only in buckets whose nodes are still
-in several classes, the pairs with another node. What is then left in several classes is settled
-pair by pair between classes (never within one), so that no link between candidates that would join
-two classes is lost, however large a bucket is.
+with its least node are verified, then, in more rounds and only in buckets whose nodes are still in several
+classes, the pairs with another node. Nodes whose shingles are too often theirs alone for any link
+are set aside, by an exact bound. What is then left in several classes is settled by an exact
+similarity join between classes (never within one): linked nodes must share one of their rarest
+shingles. So no link between candidates that would join two classes is lost, however large a bucket
+is.
+
+Shingles are 44-bit hashes, of which the exact check sees the upper 31; chance equalities move a
+similarity by less than a thousandth.
 
 Defined results: null is an empty text; texts without a word are copies of equal texts only;
 repeated rows are copies; a class is named by its least id (null if none has an id); further columns
@@ -27,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from brightloom.llm import tokens
 from brightloom.llm.common import materialise
@@ -36,7 +42,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 ROUNDS = 3
 _GRAM_BITS = 44
 _MIX = tokens.mixed(np.arange(1, 64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -138,6 +144,7 @@ def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) ->
     return max(plain, float((of_a / (sum_a[k] + d * sum_b[k])).sum()))
 
 
+@tokens.lean
 def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = tokens.text_buffers(batch.column("text"))
@@ -151,6 +158,7 @@ def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(lo, hi - lo), "ta": ta, "tb": tb, "bands": bands})
 
 
+@tokens.lean
 def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = tokens.text_buffers(batch.column("text"))
@@ -161,6 +169,7 @@ def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({name: batch.column(name) for name in batch.schema.names} | {"__ta": ta, "__tb": tb})
 
 
+@tokens.lean
 def _gram_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = tokens.text_buffers(batch.column("text"))
@@ -168,26 +177,34 @@ def _gram_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for lo, hi in tokens.row_chunks(offsets, CHUNK):
             row, gram, count, found = shingles(data, offsets[lo : hi + 1])
             ta, tb = text_keys(data, offsets[lo : hi + 1], found)
+            short = (gram >> np.uint64(_GRAM_BITS - 31)).astype(np.int32)
+            new = np.append(True, (row[1:] != row[:-1]) | (short[1:] != short[:-1]))[: len(row)]
+            row, short, count = row[new], short[new], count[new]
             at = np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32)
+            many = np.maximum.reduceat(np.append(count, 1), np.minimum(at[:-1], len(count))) > 1  # texts with a repeated shingle
+            many &= np.diff(at) > 0
+            weighted = many[row]
+            w_at = np.concatenate(([0], np.cumsum(np.where(many, np.diff(at), 0)))).astype(np.int32)
             mine = pa.array((ta == wanted[0][lo:hi]) & (tb == wanted[1][lo:hi]))
             out = pa.RecordBatch.from_pydict(
                 {
                     "node": node.slice(lo, hi - lo),
-                    "grams": pa.ListArray.from_arrays(pa.array(at), pa.array(gram.astype(np.int64))),
-                    "w": pa.ListArray.from_arrays(pa.array(at), pa.array(weights(count).astype(np.float32))),
+                    "grams": pa.ListArray.from_arrays(pa.array(at), pa.array(short)),
+                    "w": pa.ListArray.from_arrays(pa.array(w_at), pa.array(weights(count[weighted]).astype(np.float32))),
                 }
             )
             yield out.filter(mine)
 
 
+@tokens.lean
 def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = [(batch.column(c).offsets.to_numpy(), batch.column(c).values.to_numpy()) for c in ("ga", "wa", "gb", "wb")]
         good = np.zeros(batch.num_rows, bool)
         for k in range(batch.num_rows):
             a, wa, b, wb = (values[at[k] : at[k + 1]] for at, values in lists)
-            small, large = sorted((len(a), len(b)))
-            good[k] = similarity(a, wa.astype(np.float64), b, wb.astype(np.float64)) >= SIMILARITY if small else False
+            wa, wb = (w.astype(np.float64) if len(w) else np.ones(len(g)) for g, w in ((a, wa), (b, wb)))
+            good[k] = similarity(a, wa, b, wb) >= SIMILARITY
         yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "linked": good})
 
 
@@ -206,6 +223,34 @@ def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
     return materialise(now.join(mixed, "bucket"))
 
 
+def _linkable(members: DataFrame, grams: DataFrame) -> DataFrame:
+    """Those of the nodes that can have a link to another of them at all. Shingles that no other node
+    has bound both similarities from above by the rest's share of the node's own shingles (or of their
+    weights), so a node with too many of them has no link, whatever shares its buckets."""
+    mine = grams.join(members.select("node").distinct(), "node", "left_semi")
+    weight = F.when(F.size("w") > 0, F.col("w")).otherwise(F.array_repeat(F.lit(1.0).cast("float"), F.size("grams")))
+    sized = mine.select("node", F.size("grams").alias("n"), F.aggregate(weight, F.lit(0.0), lambda a, x: a + x).alias("total"))
+    single = mine.select("node", F.explode(F.arrays_zip(F.col("grams").alias("g"), weight.alias("x"))).alias("e")).groupBy("e.g").agg(F.count("*").alias("c"), F.min("node").alias("node"), F.min("e.x").alias("x"))
+    own = single.where("c = 1").groupBy("node").agg(F.count("*").alias("alone"), F.sum("x").alias("weight"))
+    rest = sized.join(own, "node", "left").fillna(0, ["alone", "weight"])
+    least = SIMILARITY - 1e-6  # float weights
+    return rest.where(((F.col("n") - F.col("alone")) >= least * F.col("n")) | ((F.col("total") - F.col("weight")) >= least * F.col("total"))).select("node")
+
+
+def _prefixes(nodes: DataFrame, grams: DataFrame) -> DataFrame:
+    """(node, g): each node's rarest shingles among these nodes, up to a fifth of its shingles and of
+    their weight, and one more. Linked nodes share more than four fifths of both in either, so the
+    rarest shingle that they share is in both their prefixes."""
+    mine = grams.join(nodes.select("node").distinct(), "node", "left_semi")
+    weight = F.when(F.size("w") > 0, F.col("w")).otherwise(F.array_repeat(F.lit(1.0).cast("float"), F.size("grams")))
+    each = mine.select("node", F.size("grams").alias("n"), F.aggregate(weight, F.lit(0.0), lambda a, x: a + x).alias("total"), F.explode(F.arrays_zip(F.col("grams").alias("g"), weight.alias("x"))).alias("e")).select("node", "n", "total", "e.g", "e.x")
+    common = each.groupBy("g").agg(F.count("*").alias("c")).where("c > 1")  # a shingle of one node joins nothing
+    order = Window.partitionBy("node").orderBy("c", "g").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = each.join(common, "g", "left").withColumn("c", F.coalesce("c", F.lit(1))).withColumn("before", F.count("*").over(order)).withColumn("weight", F.coalesce(F.sum("x").over(order), F.lit(0.0)))
+    rest = 1 - SIMILARITY + 1e-6  # float weights
+    return ranked.where(((F.col("before") <= rest * F.col("n")) | (F.col("weight") <= rest * F.col("total"))) & (F.col("c") > 1)).select("node", "g")
+
+
 def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, nodes): rows is (doc_id, ta, tb) of every row of ``docs``; nodes is (ta, tb, node,
     first_id, label), one for each distinct text, where equal labels are one class."""
@@ -224,22 +269,25 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     if not orphans.isEmpty():  # texts that only rows without an id have
         keyed = plain.where("doc_id is null").mapInArrow(_key_batches, "doc_id bigint, text string, __ta bigint, __tb bigint")
         texts = texts.unionByName(keyed.join(orphans, (F.col("__ta") == F.col("ta")) & (F.col("__tb") == F.col("tb"))).select("doc_id", "text", "node", "ta", "tb"))
-    grams = materialise(texts.select("node", "ta", "tb", "text").mapInArrow(_gram_batches, "node bigint, grams array<bigint>, w array<float>").dropDuplicates(["node"]))
+    grams = materialise(texts.select("node", "ta", "tb", "text").mapInArrow(_gram_batches, "node bigint, grams array<int>, w array<float>").dropDuplicates(["node"]))
 
     tested = _verified(members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), grams)
     labels = components(tested.where("linked"))
     for step in range(1, ROUNDS + 1):
         left = _open_members(members.select("bucket", "node"), labels)
+        if step == 1:
+            members = materialise(left.select("bucket", "node").join(_linkable(left, grams), "node", "left_semi"))
+            left = _open_members(members, labels)
         if left.isEmpty():
             break
         if step < ROUNDS:
             pivot = left.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("h"), "node", "label")).alias("p"))
             pairs = left.join(pivot, "bucket").where("label <> p.label").select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
         else:
-            counts = left.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-            main = counts.groupBy("bucket").agg(F.max(F.struct("n", "label"))["label"].alias("main"))
-            minor = left.join(main, "bucket").where("label <> main").select("bucket", F.col("node").alias("x"), F.col("label").alias("lx"))
-            pairs = minor.join(left, (minor["bucket"] == left["bucket"]) & (minor["lx"] != left["label"])).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
+            main = left.select("node", "label").distinct().groupBy("label").agg(F.count("*").alias("n")).agg(F.max(F.struct("n", "label"))["label"].alias("main"))
+            prefixes = materialise(_prefixes(left, grams).join(left.select("node", "label").distinct(), "node"))
+            minor = prefixes.join(F.broadcast(main), F.col("label") != F.col("main")).select("g", F.col("node").alias("x"), F.col("label").alias("lx"))
+            pairs = minor.join(prefixes, "g").where("lx <> label").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
         fresh = pairs.distinct().join(tested, ["a", "b"], "left_anti")
         done = _verified(fresh, grams)
         links = done.where("linked").select("a", "b").union(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a <> b"))
