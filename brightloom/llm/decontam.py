@@ -132,6 +132,7 @@ def _char_spans(data: np.ndarray, found: tokens.Words, base: int, byte_from: int
 def _pass(windows, last: bool, keep_text: bool):
     """A function over Arrow batches that adds what one block of windows finds."""
 
+    @tokens.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = windows.value
         for batch in batches:

@@ -163,6 +163,7 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Profiles:
     rate = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["n"])))])
     drawn = usable.where(unit_hash(F.col("doc_id"), F.lit("lang")) < F.element_at(rate, F.col("lang"))).select("lang", "text")
 
+    @tokens.lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tokens.text_buffers(batch.column("text"))
@@ -188,6 +189,7 @@ def identify(docs: DataFrame, profiles: Profiles | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document."""
     model = profiles or learn(docs)
 
+    @tokens.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tokens.text_buffers(batch.column("text"))

@@ -245,6 +245,7 @@ def sample_labels(labels: DataFrame, column: str, folds: int, held_out: int, bou
     return drawn.groupBy("doc_id").agg(F.max("y").alias("y"))
 
 
+@tokens.lean
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = tokens.text_buffers(batch.column("text"))
@@ -272,6 +273,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN) -> Model:
 def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The ``keep`` columns of ``docs`` with __score, the probability of label 1."""
 
+    @tokens.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tokens.text_buffers(batch.column("text"))
