@@ -14,7 +14,7 @@ def ancestors(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     path longer than ``max_depth`` raises an error: the edges have a cycle."""
     names = edges.select(F.col("child").alias("concept")).union(edges.select("parent")).where("concept is not null").distinct()
     paths = names.select("concept", F.col("concept").alias("ancestor"), F.lit(0).alias("depth")).union(edges.where("parent is not null").select(F.col("child").alias("concept"), F.col("parent").alias("ancestor"), F.lit(1)))
-    reach = 1
+    paths, reach = paths.distinct().persist(), 1
     while True:
         ahead = paths.where(F.col("depth") == reach).select(F.col("concept"), F.col("ancestor").alias("_mid"))
         further = paths.where("depth > 0").select(F.col("concept").alias("_mid"), "ancestor", F.col("depth").alias("_d"))
@@ -23,7 +23,7 @@ def ancestors(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
             return paths
         if reach * 2 > max_depth:
             raise ValueError("concepts form a cycle")
-        paths, reach = paths.union(longer).distinct(), reach * 2
+        paths, reach = paths.union(longer).distinct().persist(), reach * 2
 
 
 def feature_profile(paths: DataFrame, features: DataFrame) -> DataFrame:
