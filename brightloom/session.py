@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 
 def build_session(app: str = "brightloom", master: str = "local[*]", **conf: str) -> SparkSession:
     """A session with UTC timestamps, ANSI arithmetic and adaptive execution."""
@@ -20,6 +24,15 @@ def build_session(app: str = "brightloom", master: str = "local[*]", **conf: str
     return builder.getOrCreate()
 
 
+def share_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver did, wherever that was started. On
+    a cluster without that folder, ship the package with ``--py-files``."""
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if ROOT not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (known, ROOT)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables under ``sf_dir`` (any file system Spark can read)."""
+    share_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
