@@ -3,7 +3,10 @@
 A document is its shingles of five words (fewer words: one shingle of all), weighted by
 1 + ln(count). ProbMinHash gives each register the shingle whose Poisson process, at the rate of
 its weight, first reaches it; a shingle stops arriving once it is later than all registers. Two
-documents agree in a register with the probability of their probability Jaccard similarity.
+documents agree in a register with the probability of their probability Jaccard similarity. A text
+that repeats a shingle also has the registers of equal weights (those that it would have without
+repeats), which agree with the probability of plain Jaccard, so that copies that differ in how often
+a line repeats still meet.
 
 Texts with equal words are one node from the start, so that groups of copies cost one row. Nodes
 that share a band are candidates; a candidate pair is a link where its exact probability Jaccard,
@@ -121,6 +124,20 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return total.view(np.int64)
 
 
+def row_bands(row: np.ndarray, gram: np.ndarray, count: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, band key) of the rows with shingles, by row: the bands of the weighted shingles and, where
+    a shingle is repeated, also those of the shingles with equal weights, as far as they differ."""
+    keys = band_keys(signatures(row, gram, weights(count), n_rows))
+    some = np.flatnonzero(np.bincount(row, minlength=n_rows))
+    many = np.bincount(row[count > 1], minlength=n_rows) > 0
+    of, again = many[row], np.flatnonzero(many)
+    equal = band_keys(signatures((np.cumsum(many) - 1)[row[of]], gram[of], np.ones(of.sum()), len(again)))
+    fresh = equal != keys[again]
+    owner = np.concatenate((np.repeat(some, BANDS), np.repeat(again, fresh.sum(axis=1))))
+    order = np.argsort(owner, kind="stable")
+    return owner[order], np.concatenate((keys[some].ravel(), equal[fresh]))[order]
+
+
 def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
     """The greater of the plain and the probability Jaccard of two sorted gram lists with weights."""
     if not len(a) or not len(b):
@@ -151,10 +168,9 @@ def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for lo, hi in tokens.row_chunks(offsets, CHUNK):
             row, gram, count, found = shingles(data, offsets[lo : hi + 1])
             ta, tb = text_keys(data, offsets[lo : hi + 1], found)
-            keys = band_keys(signatures(row, gram, weights(count), hi - lo))
-            some = np.bincount(row, minlength=hi - lo) > 0
-            at = np.concatenate(([0], np.cumsum(np.where(some, BANDS, 0)))).astype(np.int32)
-            bands = pa.ListArray.from_arrays(pa.array(at), pa.array(keys[some].ravel()))
+            owner, keys = row_bands(row, gram, count, hi - lo)
+            at = np.searchsorted(owner, np.arange(hi - lo + 1)).astype(np.int32)
+            bands = pa.ListArray.from_arrays(pa.array(at), pa.array(keys))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(lo, hi - lo), "ta": ta, "tb": tb, "bands": bands})
 
 

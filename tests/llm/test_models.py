@@ -134,6 +134,17 @@ def test_classes_equal_brute_force(spark, make_docs):
     assert sorted(r["doc_id"] for r in kept) == sorted({find(i) for i in range(len(texts))}) and {r["extra"] for r in kept} == {"x"}
 
 
+def test_copies_that_differ_in_repeats_are_found(spark, make_docs):
+    data = []
+    for k in range(24):
+        base = " ".join(f"p{k}w{i}" for i in range(120))
+        passage = " ".join(f"p{k}r{i}" for i in range(18))
+        data += [(2 * k, base, "s"), (2 * k + 1, f"{base} " + " ".join([passage] * (50 if k % 2 else 400)), "s")]
+        assert len(shingle_set(data[-1][1]) & shingle_set(base)) / len(shingle_set(data[-1][1]) | shingle_set(base)) >= 0.8
+    got = {r["doc_id"]: r["class_id"] for r in rows(neardup.classes(make_docs(data)))}
+    assert got == {i: i - i % 2 for i in range(48)}
+
+
 def test_neardup_odd_and_empty(spark, odd_docs):
     got = rows(neardup.classes(odd_docs))
     assert len(got) == 10 and rows(neardup.classes(odd_docs.limit(0))) == []
