@@ -1,8 +1,8 @@
 r"""Document fingerprints by consistent weighted sampling, in Spark SQL expressions only.
 
 The terms of a text are its lower-case words, weighted by their counts. For each sample k and term,
-r and c are gamma(2, 1) variates and b a uniform one, all from one hash of (term, k), through tables
-of their quantiles (c between neighbouring ones); t = floor(ln(w) / r + b), and the term of the least
+r and c are gamma(2, 1) variates (minus the log of a product of two uniforms of 26 bits) and b a uniform
+one, all from two hashes of (term, k); t = floor(ln(w) / r + b), and the term of the least
 ln(c) - r * (t - b + 1), together with its t, is the sample. Two texts agree in a sample with the
 probability of their generalised Jaccard similarity, sum of least over sum of greatest weights.
 
@@ -19,7 +19,6 @@ texts; the last row's successor is the first, also of a single row; further colu
 from __future__ import annotations
 
 import json
-import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,28 +27,11 @@ from pyspark.sql.window import Window
 SAMPLES = 64
 LANES = 1  # samples computed in one unrolled row; more made methods too large to compile well
 ROWS = 512  # of a range
-_R_BITS, _B_BITS, _C_BITS, _F_BITS, _CODE_BITS = 9, 20, 12, 20, 30
+_U_BITS, _B_BITS, _CODE_BITS = 26, 12, 30  # b takes its bits of both hashes
 _SCALE = float(1 << 26)
 _WORD_GAP = r"[^\p{L}\p{N}]+"
 
 
-def gamma2_quantile(p: float) -> float:
-    """The quantile of a gamma(2, 1) variate: 1 - (1 + x) e^-x = p."""
-    x = math.sqrt(2 * p) if p < 0.3 else -math.log1p(-p) + 1
-    for _ in range(60):
-        step = (1 - (1 + x) * math.exp(-x) - p) / (x * math.exp(-x))
-        x = max(x - step, x / 4)
-        if abs(step) < 1e-14 * x:
-            break
-    return x
-
-
-def _table(bits: int, f) -> Column:
-    """A constant array of f(quantile) at the middles of 2**bits equal shares."""
-    n = 1 << bits
-    return F.from_json(F.lit(json.dumps([round(f(gamma2_quantile((i + 0.5) / n)), 12) for i in range(n)])), "array<double>")
-
-
 def _bounds(docs: DataFrame) -> tuple[list[int], int | None]:
     """Ids that end the ranges, ascending, and the greatest id."""
     n = docs.count()
@@ -90,27 +72,25 @@ def signatures(terms: DataFrame, keys: list[str], weights: dict[str, str], sampl
     Terms are unrolled over the samples inside one generated loop and reduced at once: the least
     value of a sample and the code of its term and t travel in one long, so the aggregate keeps two
     numbers for each group and sample, and nothing is sorted or shuffled."""
-    r_table, c_table = _table(_R_BITS, lambda x: x), _table(_C_BITS, math.log)
     lanes = [lane for lane in range(LANES) if samples % LANES == 0] or [0]
     mask = lambda bits: F.lit((1 << bits) - 1)
 
-    def bits(lane: int, at: int, size: int) -> Column:
-        return F.shiftrightunsigned(f"h{lane}", at).bitwiseAND(mask(size))
+    def bits(h: str, at: int, size: int) -> Column:
+        return F.shiftrightunsigned(h, at).bitwiseAND(mask(size)).cast("double")
+
+    def gamma2(lane: int, at: int) -> Column:
+        u, v = (bits(f"{h}{lane}", at, _U_BITS) + 0.5 for h in "hg")
+        return -F.log(u * v / float(1 << 2 * _U_BITS))
 
     logs = [F.log(F.when(F.col(w) > 0, F.col(w).cast("double"))).alias(f"log_{name}") for name, w in weights.items()]
     unrolled = terms.select(*keys, "term", *logs, F.explode(F.sequence(F.lit(0), F.lit(samples // len(lanes) - 1))).alias("k"))
     kept = [*keys, "k", *[f"log_{name}" for name in weights]]
     drawn = unrolled.select(*kept, F.col("term").bitwiseAND(mask(_CODE_BITS)).alias("term"), *[F.xxhash64("term", F.col("k") * len(lanes) + lane).alias(f"h{lane}") for lane in lanes])
+    drawn = drawn.select("*", *[F.xxhash64(f"h{lane}").alias(f"g{lane}") for lane in lanes])
     variates = []
     for lane in lanes:
-        cell, part = bits(lane, _R_BITS + _B_BITS, _C_BITS).cast("int"), bits(lane, _R_BITS + _B_BITS + _C_BITS, _F_BITS).cast("double") / float(1 << _F_BITS)
-        low = F.get(c_table, cell)
-        variates += [
-            F.get(r_table, bits(lane, 0, _R_BITS).cast("int")).alias(f"r{lane}"),
-            (bits(lane, _R_BITS, _B_BITS).cast("double") / float(1 << _B_BITS)).alias(f"b{lane}"),
-            # between the middles of the quantile cells; the last cell is flat
-            (low + part * (F.coalesce(F.get(c_table, cell + 1), low) - low)).alias(f"c{lane}"),
-        ]
+        b = bits(f"h{lane}", 2 * _U_BITS, _B_BITS) * float(1 << _B_BITS) + bits(f"g{lane}", 2 * _U_BITS, _B_BITS)
+        variates += [gamma2(lane, 0).alias(f"r{lane}"), (b / float(1 << 2 * _B_BITS)).alias(f"b{lane}"), F.log(gamma2(lane, _U_BITS)).alias(f"c{lane}")]
     drawn = drawn.select(*kept, "term", *variates)
     drawn = drawn.select(*keys, "k", "term", *[f"{v}{lane}" for v in "rbc" for lane in lanes], *[F.floor(F.col(f"log_{name}") / F.col(f"r{lane}") + F.col(f"b{lane}")).alias(f"t_{name}{lane}") for name in weights for lane in lanes])
 

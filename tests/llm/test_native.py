@@ -98,6 +98,14 @@ def test_fingerprint_estimates_generalised_jaccard(spark, make_docs):
     assert got[101]["fingerprint"] == got[100]["fingerprint"] and got[101]["near_next"] == 1 and got[103]["fingerprint"] == "" and got[103]["near_next"] == 1
 
 
+def test_fingerprint_of_long_texts_with_many_words(spark):
+    """Two texts of 20,000 words: 100 shared words 100 times each, and 10,000 words of their own."""
+    shared = spark.range(2 * 100).select((F.col("id") % 2).alias("doc"), F.xxhash64(F.floor(F.col("id") / 2)).alias("term"), F.lit(100).alias("n"))
+    own = spark.range(2 * 10000).select((F.col("id") % 2).alias("doc"), F.xxhash64(F.col("id") + 1000).alias("term"), F.lit(1).alias("n"))
+    a, b = (r["s"] for r in rows(fingerprint.signatures(shared.union(own), ["doc"], {"s": "n"}, 1024)))
+    assert sum(x == y for x, y in zip(a, b)) / 1024 == pytest.approx(1 / 3, abs=0.06)
+
+
 def test_fingerprint_odd_and_empty(spark, odd_docs):
     got = rows(fingerprint.compare(odd_docs))
     assert len(got) == 10 and all(0 <= r["near_edited"] <= 1 for r in got)
