@@ -143,7 +143,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     )
     placed = (
         grouped.join(ahead, ["sidx", "group"])
-        .withColumn("start", F.col("ahead") + F.sum("size").over(order) - F.col("size"))
+        .withColumn("start", F.col("ahead") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
         .withColumn("nth", F.row_number().over(order))
         .withColumn("piece", F.explode_outer(pieces))
         .withColumn("block", F.explode_outer(F.when(F.col("piece").isNotNull(), F.sequence(F.floor(F.col("piece.low") / block_words), F.floor((F.col("piece.high") - 1) / block_words)))))

@@ -47,6 +47,16 @@ def test_mix_targets_and_words(spark, make_docs):
     assert got and sorted(map(str, got)) == sorted(map(str, rows(mixing.mix(make_docs(data[::-1]), block_words=64))))
 
 
+def test_mix_places_repeated_rows_one_after_another(spark, make_docs):
+    data = [(7, "w " * 10, "a")] * 40 + [(None, "w " * 10, "b")] * 40
+    taken = Counter()
+    got = rows(mixing.mix(make_docs(data), share=0.5, block_words=8))
+    for r in got:
+        taken[r["source"]] += r["taken"]
+    want = water_fill({"a": 400, "b": 400}, {"a": 3, "b": 1}, 0.5)
+    assert len(got) == 80 and all(abs(taken[s] - want[s]) <= 1 for s in want)
+
+
 def test_mix_odd_and_empty(spark, odd_docs):
     got = rows(mixing.mix(odd_docs))
     assert len(got) == 10 and sum(r["size"] == 0 for r in got) == 3
