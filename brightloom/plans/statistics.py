@@ -56,6 +56,12 @@ def interaction_bootstrap(spark, sf_dir):
     return rounded(interaction.interaction_bootstrap(observations(spark, sf_dir), *TARGET, samples=20, seed=5))
 
 
+@query()
+def interaction_bootstrap_1000(spark, sf_dir):
+    """The same with the operator's 1,000 resamples, too many for the SQL on whole tables."""
+    return rounded(interaction.interaction_bootstrap(observations(spark, sf_dir), *TARGET, seed=5))
+
+
 def _estimates(spark, sf_dir):
     """Interaction and a plain standard error by model."""
     obs = observations(spark, sf_dir)
@@ -228,6 +234,12 @@ def cluster_bootstrap(spark, sf_dir):
     return rounded(resampling.cluster_bootstrap_mean(_clusters(spark, sf_dir), samples=200, seed=3), 4)
 
 
+@query()
+def cluster_bootstrap_10000(spark, sf_dir):
+    """The same with 10,000 resamples."""
+    return rounded(resampling.cluster_bootstrap_mean(_clusters(spark, sf_dir), samples=10_000, seed=3), 4)
+
+
 @query("WITH c AS (SELECT c_nationkey::VARCHAR AS cluster, sum(c_acctbal) AS s, count(*) AS n FROM customer GROUP BY 1) SELECT cluster, round((sum(s) OVER () - s) / (sum(n) OVER () - n), 4) AS mean_without, (sum(n) OVER () - n)::BIGINT AS rows_left FROM c")
 def leave_one_cluster_out(spark, sf_dir):
     """The mean balance without each nation."""

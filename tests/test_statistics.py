@@ -1,11 +1,14 @@
+import hashlib
 import math
 import random
 from collections import Counter
-from itertools import combinations
+from itertools import combinations, product
+from statistics import pstdev
 
 import pytest
 
 from brightloom.operators import interaction, ratings, resampling, scores, series
+from brightloom.plans import statistics
 
 
 def rows(df):
@@ -102,3 +105,32 @@ def test_resampling_is_reproducible_and_leaves_one_out(spark):
     exact = spark.createDataFrame([(c, s, s) for c, s in zip("abcd", (1.0, 2.0, 3.0, 4.0))], "cluster string, score double, outcome double")
     (r,) = rows(resampling.randomisation_test(exact))
     assert r["method"] == "exact" and r["rho"] == pytest.approx(1) and r["p_value"] == pytest.approx(2 / 24)
+
+
+def _draw(n, *parts):
+    return int(hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()[:12], 16) % n
+
+
+def test_whole_bootstraps_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(8)
+    data = [("m", a, o, r, rng.randrange(11) / 10, f"{k:03}") for k, (a, o, r) in enumerate(list(product(("1-URGENT", "B"), ("O", "P"), ("O", "F"))) * 3)]
+    df = spark.createDataFrame(data, "model_id string, animal string, mobile_object string, relation string, score double, observation_id string")
+    clusters = {str(c): [rng.random() for _ in range(3)] for c in range(5)}
+    monkeypatch.setattr(statistics, "observations", lambda *_: df)
+    monkeypatch.setattr(statistics, "_clusters", lambda *_: spark.createDataFrame([(c, v) for c, vs in clusters.items() for v in vs], "cluster string, value double"))
+    mean = lambda xs: sum(xs) / len(xs)
+    cells, effects = {}, []
+    for m, a, o, r, score, _ in data:
+        cells.setdefault((m, a, o, r), []).append(score)
+    for sample in range(1000):
+        drawn = [(k, v[_draw(len(v), 5, sample, *k, i)]) for k, v in cells.items() for i in range(len(v))]
+        margin = [mean([x for k, x in drawn if k[at] == name]) for at, name in ((1, "1-URGENT"), (2, "O"), (3, "O"))]
+        effects.append(mean([x for k, x in drawn if k[1:] == ("1-URGENT", "O", "O")]) - min(1, max(0, sum(margin) - 2 * mean([x for _, x in drawn]))))
+    (r,) = rows(statistics.QUERIES["interaction_bootstrap_1000"](spark, ""))
+    effects.sort()
+    assert r["samples"] == 1000 and r["standard_error"] == pytest.approx(pstdev(effects), abs=2e-6)
+    assert (r["ci_low"], r["ci_high"]) == (pytest.approx(effects[24], abs=2e-6), pytest.approx(effects[974], abs=2e-6))
+    names = sorted(clusters)
+    means = sorted(mean([v for i in range(5) for v in clusters[names[_draw(5, 3, sample, i)]]]) for sample in range(10_000))
+    (r,) = rows(statistics.QUERIES["cluster_bootstrap_10000"](spark, ""))
+    assert (r["ci_low"], r["ci_high"]) == (pytest.approx(means[249], abs=1e-4), pytest.approx(means[9749], abs=1e-4))
