@@ -179,6 +179,16 @@ def test_classifiers_on_held_out_documents(spark, make_docs, odd_docs, kind, ope
     assert len(rows(operator.score(odd_docs, labels.limit(0)))) == 10 and rows(operator.score(docs.limit(0), labels)) == []
 
 
+def test_toxicity_languages_beyond_the_most_frequent_share_a_column():
+    n = toxicity.MAX_LANGUAGES + 8
+    langs = [f"l{k:02}" for k in range(n) for _ in range(3 if k < toxicity.MAX_LANGUAGES else 2)]
+    words = np.array([[100 * int(x[1:]) + j] * 2 for x in langs for j in range(20)], np.int32)
+    rows_ = np.arange(len(langs) + 1) * 20
+    guess = toxicity._guess_table(words, rows_, langs)
+    model = toxicity.Model(np.zeros((toxicity.BUCKETS + 1, 1)), [], np.zeros(0), np.zeros(0), 0.0, guess, np.zeros(guess.shape[1]))
+    assert model.languages(words, rows_).tolist() == [min(int(x[1:]), toxicity.MAX_LANGUAGES) for x in langs]
+
+
 def test_line_features_and_forward_backward():
     texts = ["a\n\nb", "", "\n", "x" * 10]
     found = quality.lines(*tokens.text_buffers(pa.array(texts)))
