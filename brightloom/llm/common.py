@@ -30,6 +30,22 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame, *without: str) -> Column:
+    """The columns of ``df`` but those named, as one struct: out of the way of any helper column,
+    whatever they are called."""
+    return F.struct(*(F.col(quoted(c)).alias(c) for c in df.columns if c not in without))
+
+
+def unpacked(df: DataFrame, row: str, **instead: Column) -> list[Column]:
+    """The columns of ``df`` in order, from the struct ``row`` or from ``instead``."""
+    return [(instead[c] if c in instead else F.col(row).getField(c)).alias(c) for c in df.columns]
+
+
+def quoted(name: str) -> str:
+    """A column name as a reference, with dots and backticks taken literally."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def doc_bucket(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, mod ``modulus``: the fold rule of the labelled operators."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus)

@@ -11,12 +11,13 @@ a line repeats still meet.
 Texts with equal words are one node from the start, so that groups of copies cost one row. Nodes
 that share a band are candidates; a candidate pair is a link where its exact probability Jaccard,
 or its plain Jaccard over distinct shingles, is 0.8 or more. Of a bucket, at first only the pairs
-with its least node are verified, then, in more rounds and only in buckets whose nodes are still in several
-classes, the pairs with another node. Nodes whose shingles are too often theirs alone for any link
-are set aside, by an exact bound. What is then left in several classes is settled by an exact
-similarity join between classes (never within one): linked nodes must share one of their rarest
-shingles. So no link between candidates that would join two classes is lost, however large a bucket
-is.
+with its least node are verified. In buckets whose nodes are still in several classes, exact bounds
+then set aside nodes whose shingles are too often theirs alone for any link, and the others are
+compared with the node that has least of its own (in a group of edited copies, the one nearest to the
+original) and, once more, with one that a hash draws. What is then left in several classes is settled
+by an exact similarity join between classes (never within one): linked nodes must share one of their
+rarest shingles, and from there on have enough left that they can share. So no link between
+candidates that would join two classes is lost, however large a bucket is.
 
 Shingles are 44-bit hashes, of which the exact check sees the upper 31; chance equalities move a
 similarity by less than a thousandth.
@@ -33,12 +34,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from brightloom.llm import tokens
-from brightloom.llm.common import materialise
+from brightloom.llm.common import materialise, packed, unpacked
 from brightloom.llm.graphs import components
 
 SHINGLE = 5
@@ -48,6 +50,7 @@ REGISTERS = BANDS * ROWS
 CHUNK = 1 << 20
 ROUNDS = 3
 _GRAM_BITS = 44
+_KEYS = [T.StructField("ta", T.LongType()), T.StructField("tb", T.LongType())]
 _MIX = tokens.mixed(np.arange(1, 64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -182,7 +185,7 @@ def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in tokens.row_chunks(offsets, CHUNK):
             keys.append(text_keys(data, offsets[lo : hi + 1], tokens.words(data, offsets[lo : hi + 1])))
         ta, tb = (np.concatenate([k[i] for k in keys]) for i in (0, 1))
-        yield pa.RecordBatch.from_pydict({name: batch.column(name) for name in batch.schema.names} | {"__ta": ta, "__tb": tb})
+        yield pa.RecordBatch.from_pydict({name: batch.column(name) for name in batch.schema.names} | {"ta": ta, "tb": tb})
 
 
 @tokens.lean
@@ -195,7 +198,8 @@ def _gram_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             ta, tb = text_keys(data, offsets[lo : hi + 1], found)
             short = (gram >> np.uint64(_GRAM_BITS - 31)).astype(np.int32)
             new = np.append(True, (row[1:] != row[:-1]) | (short[1:] != short[:-1]))[: len(row)]
-            row, short, count = row[new], short[new], count[new]
+            count = np.add.reduceat(count, np.flatnonzero(new)) if len(count) else count  # of shingles with equal upper bits together
+            row, short = row[new], short[new]
             at = np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32)
             many = np.maximum.reduceat(np.append(count, 1), np.minimum(at[:-1], len(count))) > 1  # texts with a repeated shingle
             many &= np.diff(at) > 0
@@ -239,32 +243,49 @@ def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
     return materialise(now.join(mixed, "bucket"))
 
 
-def _linkable(members: DataFrame, grams: DataFrame) -> DataFrame:
-    """Those of the nodes that can have a link to another of them at all. Shingles that no other node
-    has bound both similarities from above by the rest's share of the node's own shingles (or of their
-    weights), so a node with too many of them has no link, whatever shares its buckets."""
-    mine = grams.join(members.select("node").distinct(), "node", "left_semi")
-    weight = F.when(F.size("w") > 0, F.col("w")).otherwise(F.array_repeat(F.lit(1.0).cast("float"), F.size("grams")))
-    sized = mine.select("node", F.size("grams").alias("n"), F.aggregate(weight, F.lit(0.0), lambda a, x: a + x).alias("total"))
-    single = mine.select("node", F.explode(F.arrays_zip(F.col("grams").alias("g"), weight.alias("x"))).alias("e")).groupBy("e.g").agg(F.count("*").alias("c"), F.min("node").alias("node"), F.min("e.x").alias("x"))
-    own = single.where("c = 1").groupBy("node").agg(F.count("*").alias("alone"), F.sum("x").alias("weight"))
-    rest = sized.join(own, "node", "left").fillna(0, ["alone", "weight"])
-    least = SIMILARITY - 1e-6  # float weights
-    return rest.where(((F.col("n") - F.col("alone")) >= least * F.col("n")) | ((F.col("total") - F.col("weight")) >= least * F.col("total"))).select("node")
-
-
-def _prefixes(nodes: DataFrame, grams: DataFrame) -> DataFrame:
-    """(node, g): each node's rarest shingles among these nodes, up to a fifth of its shingles and of
-    their weight, and one more. Linked nodes share more than four fifths of both in either, so the
-    rarest shingle that they share is in both their prefixes."""
+def _weight() -> Column:
+    """The weights of a node's shingles; all 1 where none is repeated."""
+    return F.when(F.size("w") > 0, F.col("w")).otherwise(F.array_repeat(F.lit(1.0).cast("float"), F.size("grams")))
+
+
+_ROOM = 1e-6  # float weights
+
+
+def _possible(x: str, y: str) -> Column:
+    """Whether what two nodes have left can make a link: of n shingles (weight ``total``) of either,
+    at most ``rest`` (``heavy``) can be shared. Plain Jaccard is at most the least ``rest`` over the
+    distinct shingles of both; probability Jaccard, which only differs from it where a node repeats a
+    shingle, is at most the least share of ``heavy``."""
+    at = lambda side, name: F.col(f"{side}.{name}")
+    shared = F.least(at(x, "rest"), at(y, "rest"))
+    plain = shared * (1 + SIMILARITY) >= (SIMILARITY - _ROOM) * (at(x, "n") + at(y, "n"))
+    share = lambda side: at(side, "heavy") >= (SIMILARITY - _ROOM) * at(side, "total")
+    return plain | ((at(x, "repeats") | at(y, "repeats")) & share(x) & share(y))
+
+
+def _profiles(nodes: DataFrame, grams: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, p) and (node, g, x, c): each node's figures for ``_possible``, where shingles that no
+    other of ``nodes`` has are not shared; and its other shingles, with weight and number of nodes.
+    Nodes that have too few of those for any link are left out of both."""
     mine = grams.join(nodes.select("node").distinct(), "node", "left_semi")
-    weight = F.when(F.size("w") > 0, F.col("w")).otherwise(F.array_repeat(F.lit(1.0).cast("float"), F.size("grams")))
-    each = mine.select("node", F.size("grams").alias("n"), F.aggregate(weight, F.lit(0.0), lambda a, x: a + x).alias("total"), F.explode(F.arrays_zip(F.col("grams").alias("g"), weight.alias("x"))).alias("e")).select("node", "n", "total", "e.g", "e.x")
-    common = each.groupBy("g").agg(F.count("*").alias("c")).where("c > 1")  # a shingle of one node joins nothing
-    order = Window.partitionBy("node").orderBy("c", "g").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = each.join(common, "g", "left").withColumn("c", F.coalesce("c", F.lit(1))).withColumn("before", F.count("*").over(order)).withColumn("weight", F.coalesce(F.sum("x").over(order), F.lit(0.0)))
-    rest = 1 - SIMILARITY + 1e-6  # float weights
-    return ranked.where(((F.col("before") <= rest * F.col("n")) | (F.col("weight") <= rest * F.col("total"))) & (F.col("c") > 1)).select("node", "g")
+    sized = mine.select("node", F.size("grams").alias("n"), (F.size("w") > 0).alias("repeats"), F.aggregate(_weight(), F.lit(0.0), lambda a, x: a + x).alias("total"))
+    each = mine.select("node", F.explode(F.arrays_zip(F.col("grams").alias("g"), _weight().alias("x"))).alias("e")).select("node", "e.g", "e.x")
+    common = each.groupBy("g").agg(F.count("*").alias("c")).where("c > 1")
+    met = materialise(each.join(common, "g"))
+    left = met.groupBy("node").agg(F.count("*").alias("rest"), F.sum("x").alias("heavy"))
+    able = sized.join(left, "node").where(f"rest >= {SIMILARITY - _ROOM} * n or heavy >= {SIMILARITY - _ROOM} * total")
+    profiles = materialise(able.select("node", F.struct("n", "repeats", "total", "rest", "heavy").alias("p")))
+    return profiles, met.join(profiles.select("node"), "node", "left_semi")
+
+
+def _prefixes(nodes: DataFrame, profiles: DataFrame, met: DataFrame) -> DataFrame:
+    """(node, label, g, p): each node's rarest shingles among ``nodes``, up to a fifth of its shingles
+    or of their weight, and one more. Linked nodes share at least four fifths of either, so the rarest
+    shingle that they share is in both their prefixes. ``p`` has what can be shared from there on."""
+    order = Window.partitionBy("node").orderBy("c", "g").rowsBetween(0, Window.unboundedFollowing)
+    each = met.withColumn("rest", F.count("*").over(order)).withColumn("heavy", F.sum("x").over(order)).join(profiles, "node")
+    near = each.where(f"rest >= {SIMILARITY - _ROOM} * p.n or heavy >= {SIMILARITY - _ROOM} * p.total")
+    return near.select("node", "g", F.struct("p.n", "p.repeats", "p.total", "rest", "heavy").alias("p")).join(nodes.select("node", "label").distinct(), "node")
 
 
 def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -283,27 +304,33 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = plain.join(wanted.withColumnRenamed("first_id", "doc_id").where("doc_id is not null"), "doc_id")
     orphans = wanted.where("first_id is null")
     if not orphans.isEmpty():  # texts that only rows without an id have
-        keyed = plain.where("doc_id is null").mapInArrow(_key_batches, "doc_id bigint, text string, __ta bigint, __tb bigint")
-        texts = texts.unionByName(keyed.join(orphans, (F.col("__ta") == F.col("ta")) & (F.col("__tb") == F.col("tb"))).select("doc_id", "text", "node", "ta", "tb"))
+        keyed = plain.where("doc_id is null").mapInArrow(_key_batches, T.StructType(plain.schema.fields + _KEYS))
+        texts = texts.unionByName(keyed.select("doc_id", "text", F.col("ta").alias("a"), F.col("tb").alias("b")).join(orphans, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb"))).select("doc_id", "text", "node", "ta", "tb"))
     grams = materialise(texts.select("node", "ta", "tb", "text").mapInArrow(_gram_batches, "node bigint, grams array<int>, w array<float>").dropDuplicates(["node"]))
 
     tested = _verified(members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), grams)
     labels = components(tested.where("linked"))
-    for step in range(1, ROUNDS + 1):
+    profiles = met = None
+    for step in range(ROUNDS):
         left = _open_members(members.select("bucket", "node"), labels)
-        if step == 1:
-            members = materialise(left.select("bucket", "node").join(_linkable(left, grams), "node", "left_semi"))
-            left = _open_members(members, labels)
         if left.isEmpty():
             break
-        if step < ROUNDS:
-            pivot = left.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("h"), "node", "label")).alias("p"))
-            pairs = left.join(pivot, "bucket").where("label <> p.label").select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
+        if profiles is None:
+            profiles, met = _profiles(left, grams)
+            members = materialise(left.select("bucket", "node").join(profiles, "node"))
+            left = _open_members(members, labels)
+        if step < ROUNDS - 1:
+            known = left.join(profiles, "node")
+            clean = F.col("p.rest") / F.col("p.n") if step == 0 else F.lit(0.0)  # first with the node that has least of its own
+            pivot = known.groupBy("bucket").agg(F.min(F.struct((-clean).alias("own"), F.xxhash64("node", F.lit(step)).alias("h"), "node", "label", "p")).alias("y"))
+            pairs = known.alias("x").join(pivot, "bucket").where("x.label <> y.label").where(_possible("x.p", "y.p")).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
         else:
-            main = left.select("node", "label").distinct().groupBy("label").agg(F.count("*").alias("n")).agg(F.max(F.struct("n", "label"))["label"].alias("main"))
-            prefixes = materialise(_prefixes(left, grams).join(left.select("node", "label").distinct(), "node"))
-            minor = prefixes.join(F.broadcast(main), F.col("label") != F.col("main")).select("g", F.col("node").alias("x"), F.col("label").alias("lx"))
-            pairs = minor.join(prefixes, "g").where("lx <> label").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
+            named_left = left.select("node", "label").distinct()
+            main = named_left.groupBy("label").agg(F.count("*").alias("n")).agg(F.max(F.struct("n", "label"))["label"].alias("main"))
+            prefixes = materialise(_prefixes(named_left, profiles, met))
+            minor = prefixes.join(F.broadcast(main), F.col("label") != F.col("main"))
+            on = (F.col("x.g") == F.col("y.g")) & (F.col("x.label") != F.col("y.label")) & _possible("x.p", "y.p")
+            pairs = minor.alias("x").join(prefixes.alias("y"), on).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
         fresh = pairs.distinct().join(tested, ["a", "b"], "left_anti")
         done = _verified(fresh, grams)
         links = done.where("linked").select("a", "b").union(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a <> b"))
@@ -325,8 +352,9 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class of near-duplicates: that of the least id."""
     rows, nodes = link_classes(docs)
     order = F.struct(F.col("first_id").isNull(), F.col("first_id"), F.col("ta"), F.col("tb"))
-    kept = nodes.groupBy("label").agg(F.min(order).alias("k")).select(F.col("k.first_id").alias("__id"), F.col("k.ta").alias("__ta"), F.col("k.tb").alias("__tb"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    keyed = docs.mapInArrow(_key_batches, f"{fields}, __ta bigint, __tb bigint").withColumn("__id", F.col("doc_id").cast("long"))
-    on = keyed["__id"].eqNullSafe(kept["__id"]) & (keyed["__ta"] == kept["__ta"]) & (keyed["__tb"] == kept["__tb"])
-    return keyed.join(kept, on, "left_semi").dropDuplicates(["__id", "__ta", "__tb"]).select(*docs.columns)
+    kept = nodes.groupBy("label").agg(F.min(order).alias("k")).select("k.first_id", "k.ta", "k.tb")
+    apart = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), packed(docs, "text").alias("row"))
+    keyed = apart.mapInArrow(_key_batches, T.StructType(apart.schema.fields + _KEYS))
+    same = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("x.ta") == F.col("y.ta")) & (F.col("x.tb") == F.col("y.tb"))
+    found = keyed.alias("x").join(kept.alias("y"), same, "left_semi").dropDuplicates(["id", "ta", "tb"])
+    return found.select(*unpacked(docs, "row", text=F.col("text").cast(docs.schema["text"].dataType)))
