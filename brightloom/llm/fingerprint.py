@@ -7,13 +7,16 @@ ln(c) - r * (t - b + 1), together with its t, is the sample. Two texts agree in
 probability of their generalised Jaccard similarity, sum of least over sum of greatest weights.
 
 ``compare`` also needs each document's successor in descending order of ids. Ids are cut into ranges
-by approximate percentiles; each range's rows, and the one row that follows them, meet in a window,
-so the texts are shuffled once and no range holds more than its share. Terms are counted before
-they are sampled, within the same partitioning.
+by approximate percentiles, at most ``RANGES`` of them; each range's rows, and the one row that
+follows them, meet in a window, so the texts are shuffled once and no range holds much more than its
+share. Rows without an id are dealt to ranges by a hash of their text. Terms are counted before they
+are sampled, within the same partitioning. A word is a run of letters or digits; in scripts written
+without blanks (Han, kana, Thai, Lao, Khmer, Burmese) each letter is one.
 
 Defined results: null is an empty text; texts without a word have the empty fingerprint, which is
-like itself and nothing else; null ids come last and, like repeated ids, in the order of their
-texts; the last row's successor is the first, also of a single row; further columns are ignored.
+like itself and nothing else; null ids come last and, like repeated ids, in the order of a hash of
+their texts; rows of one id are in one range; the last row's successor is the first, also of a single
+row; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,43 +29,49 @@ from pyspark.sql.window import Window
 
 SAMPLES = 64
 LANES = 1  # samples computed in one unrolled row; more made methods too large to compile well
-ROWS = 512  # of a range
+ROWS, RANGES, SAMPLE = 512, 20000, 400000  # rows of a range, or more so that there are not more ranges; ids that the cuts are taken from
 _U_BITS, _B_BITS, _CODE_BITS = 26, 12, 30  # b takes its bits of both hashes
 _SCALE = float(1 << 26)
 _WORD_GAP = r"[^\p{L}\p{N}]+"
+_NO_BLANKS = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
 
 
-def _bounds(docs: DataFrame) -> tuple[list[int], int | None]:
-    """Ids that end the ranges, ascending, and the greatest id."""
-    n = docs.count()
-    parts = max(1, -(-n // ROWS))
-    cuts = [k / parts for k in range(1, parts)] or [1.0]
-    row = docs.agg(F.percentile_approx("doc_id", cuts, max(10000, 20 * parts)).alias("cuts"), F.max("doc_id").alias("top")).first()
-    return sorted(set(row["cuts"] or [])) if parts > 1 else [], row["top"]
+def _cuts(docs: DataFrame, rows: int, ranges: int) -> tuple[list[float], int]:
+    """Cuts between ranges of about ``rows`` documents with an id, and the number of ranges for those
+    without; at most about ``ranges`` of each, and the cuts from at most about ``SAMPLE`` ids. A cut only
+    has to be about right, so it may be a rounded id."""
+    known, null = docs.agg(F.count("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+    parts = max(1, min(ranges, -(-known // rows)))
+    cuts: list[float] = []
+    if parts > 1:
+        drawn = docs.select(F.col("doc_id").cast("double").alias("x")).where(F.xxhash64("doc_id") % F.lit(max(1, known // SAMPLE)) == 0)
+        found = drawn.agg(F.percentile_approx("x", [k / parts for k in range(1, parts)], 20 * parts)).first()[0]
+        cuts = sorted(set(found or []))
+    return cuts, max(1, min(ranges, -(-null // rows)))
 
 
 def _ranged(docs: DataFrame) -> DataFrame:
-    """Rows with their range, each range with the rows after its last: (range, wraps, guest, doc_id, text)."""
-    bounds, top = _bounds(docs)
-    at = F.lit(0)
-    out = docs
-    if bounds:
-        ids = F.from_json(F.lit(json.dumps(bounds)), "array<bigint>")
-        out = out.withColumn("range", at)
-        for step in reversed(range(len(bounds).bit_length())):  # binary search: bounds below the id
+    """Rows with their range, each range with the row after its last: (range, wraps, guest, doc_id, h,
+    text). Greater ids are in higher ranges, rows without an id in the lowest, dealt by the hash of the
+    text, h."""
+    cuts, null_ranges = _cuts(docs, ROWS, RANGES)
+    dealt = F.floor((F.col("h") / float(1 << 63) + 1) / 2 * null_ranges).cast("int")
+    out = docs.withColumn("h", F.xxhash64("text")).withColumn("range", F.lit(0))
+    if cuts:
+        at = F.from_json(F.lit(json.dumps(cuts)), "array<double>")
+        for step in reversed(range(len(cuts).bit_length())):  # binary search: cuts below the id
             more = F.col("range") + (1 << step)
-            out = out.withColumn("range", F.when((more <= len(bounds)) & (F.get(ids, more - 1) < F.col("doc_id")), more).otherwise(F.col("range")))
-        ends = F.get(ids, F.col("range")) == F.col("doc_id")
-    else:
-        out = out.withColumn("range", at)
-        ends = F.lit(False)
-    place = lambda r, wraps, guest: F.struct(r.alias("range"), F.lit(wraps).alias("wraps"), F.lit(guest).alias("guest"))
-    places = F.array(
-        place(F.col("range"), False, False),
-        F.when(ends, place(F.col("range") + 1, False, True)),
-        F.when(F.col("doc_id").eqNullSafe(F.lit(top).cast("long")), place(F.lit(0), True, True)),
-    )
-    return out.withColumn("p", F.explode(F.filter(places, lambda p: p.isNotNull()))).select("p.range", "p.wraps", "p.guest", "doc_id", "text")
+            out = out.withColumn("range", F.when((more <= len(cuts)) & (F.get(at, more - 1) < F.col("doc_id").cast("double")), more).otherwise(F.col("range")))
+    out = out.withColumn("range", F.when(F.col("doc_id").isNull(), F.least(dealt, F.lit(null_ranges - 1))).otherwise(F.col("range") + null_ranges))
+    # one row a range: the first in descending order, which follows the last of the next range that has rows
+    heads = out.groupBy("range").agg(F.max(F.struct("doc_id", "h")).alias("head"))
+    order = Window.orderBy("range")
+    above = F.coalesce(F.lead("range").over(order), F.first("range").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    heads = heads.select(F.col("range").alias("of"), "head", above.alias("above"), F.lead("range").over(order).isNull().alias("wraps"))
+    met = out.join(F.broadcast(heads), (F.col("range") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("h") == F.col("head.h")), "left")
+    place = lambda r, wraps, guest: F.struct(r.alias("range"), wraps.alias("wraps"), F.lit(guest).alias("guest"))
+    places = F.array(place(F.col("range"), F.lit(False), False), F.when(F.col("of").isNotNull(), place(F.col("above"), F.col("wraps"), True)))
+    return met.withColumn("p", F.explode(F.filter(places, lambda p: p.isNotNull()))).select("p.range", "p.wraps", "p.guest", "doc_id", "h", "text")
 
 
 def signatures(terms: DataFrame, keys: list[str], weights: dict[str, str], samples: int = SAMPLES) -> DataFrame:
@@ -117,15 +126,16 @@ def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Lower-case words; some may be empty."""
-    return F.split(F.lower(text), _WORD_GAP, -1)
+    """Lower-case words; some may be empty. A letter of a script without blanks is one."""
+    apart = F.when(text.rlike(_NO_BLANKS), F.regexp_replace(text, _NO_BLANKS, " $1 ")).otherwise(text)
+    return F.split(F.lower(apart), _WORD_GAP, -1)
 
 
 def compare(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of
     every document and its edited text: the last half replaced by as much of the next document."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    order = Window.partitionBy("range").orderBy("wraps", F.col("doc_id").desc_nulls_last(), "text")
+    order = Window.partitionBy("range").orderBy("wraps", F.col("doc_id").desc_nulls_last(), F.desc("h"), "text", "guest")
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = (
         _ranged(plain)
