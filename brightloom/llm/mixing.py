@@ -13,7 +13,8 @@ source, and is the only one that a single task orders.
 
 Defined results: a null text has no words; a null source is a source of its own, last; documents
 without words are returned with 0 taken; repeated rows count each; of equal ids the shorter text
-comes first; further columns are ignored; an empty table gives an empty mix.
+comes first; rows without an id are placed by a hash of their text; further columns are ignored
+(``mix``) or kept, whatever their names (``mixed_documents``); an empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -24,13 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from brightloom.llm.common import materialise, md5_number
+from brightloom.llm.common import materialise, md5_number, packed, unpacked
 
 # A word, the default weights by source order, the share of all words, the epochs.
 WORD = r"[^\x20\x09-\x0D]++"
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 EPOCHS = 2
+BLOCK_WORDS = 4096
 _SLOTS = 4096  # slots ranked in one group
 _ROWS = 2000  # documents ordered in one group
 
@@ -112,30 +114,47 @@ def schedule(sources: DataFrame, block_words: int, blocks: int, n_sources: int)
     )
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, block_words: int = 4096, seed: str = "") -> DataFrame:
+def block_size(words: int, sources: int) -> int:
+    """Words of a block: ``BLOCK_WORDS``, doubled until the schedule has at most 2**30 blocks, so that a
+    mix of any size has a schedule (at 4096 words a block, from about 4e12 words on)."""
+    size = BLOCK_WORDS
+    while words // size + sources > 1 << 30:
+        size *= 2
+    return size
+
+
+def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, block_words: int | None = None, seed: str = "") -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text, source): doc_id, size, source, source_size,
     target (its source's), taken (its words in the mix, repeats counted) and first_slot (where the
-    schedule first plays a block with its words; null if never)."""
+    schedule first plays a block with its words; null if never). ``block_words`` is by default chosen
+    by ``block_size``."""
+    return _mixed(docs, weights, share, block_words, seed).drop("text_hash")
+
+
+def _mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, block_words: int | None = None, seed: str = "") -> DataFrame:
+    """``mix`` with text_hash."""
     sized = materialise(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
             F.col("source").cast("string").alias("source"),
             word_count(F.col("text")).alias("size"),
-            md5_number(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("h"),
+            F.xxhash64(F.col("text").cast("string")).alias("text_hash"),
+            md5_number(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text"), F.xxhash64(F.col("text").cast("string")).cast("string"))))).alias("h"),
         )
     )
     sources = materialise(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share))
-    need = F.floor((F.col("words") + (block_words - 1)) / block_words)
-    totals = sources.agg(F.sum(need).alias("blocks"), F.count("*").alias("sources")).first()
+    totals = sources.agg(F.sum("words").alias("words"), F.count("*").alias("sources")).first()
+    block_words = block_words or block_size(int(totals["words"] or 0), totals["sources"])
+    blocks = sources.agg(F.sum(F.floor((F.col("words") + (block_words - 1)) / block_words))).first()[0]
     groups = max(0, min(16, (sized.count() // _ROWS).bit_length()))
-    slots = schedule(sources, block_words, int(totals["blocks"] or 0), totals["sources"])
+    slots = schedule(sources, block_words, int(blocks or 0), totals["sources"])
 
     grouped = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).select(
-        sized["doc_id"], sized["source"], "size", "h", "sidx", "source_size", "target", "words", F.shiftrightunsigned("h", 60 - groups).alias("group") if groups else F.lit(0).cast("long").alias("group")
+        sized["doc_id"], sized["source"], "size", "text_hash", "h", "sidx", "source_size", "target", "words", F.shiftrightunsigned("h", 60 - groups).alias("group") if groups else F.lit(0).cast("long").alias("group")
     )
     ahead = grouped.groupBy("sidx", "group").agg(F.sum("size").alias("n"))
     ahead = ahead.select("sidx", "group", (F.sum("n").over(Window.partitionBy("sidx").orderBy("group")) - F.col("n")).alias("ahead"))
-    order = Window.partitionBy("sidx", "group").orderBy("h", "doc_id", "size")
+    order = Window.partitionBy("sidx", "group").orderBy("h", "doc_id", "size", "text_hash")
     epoch = lambda e, f: f(F.col("source_size") * e + F.col("start"))
     pieces = F.filter(
         F.array(*[epoch(e, lambda a: F.struct(a.alias("low"), F.least(a + F.col("size"), F.col("words")).alias("high"))) for e in range(EPOCHS)]),
@@ -153,19 +172,27 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     )
     played = placed.join(slots, ["sidx", "block"], "left")
     return (
-        played.groupBy("sidx", "group", "nth", "doc_id", "source", "size", "source_size", "target")
+        played.groupBy("sidx", "group", "nth", "doc_id", "source", "size", "text_hash", "source_size", "target")
         .agg(F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("n"))), F.lit(0)).alias("taken"), F.min("slot").alias("first_slot"))
-        .select("doc_id", "size", "source", "source_size", "target", "taken", "first_slot")
+        .select("doc_id", "size", "source", "source_size", "target", "taken", "first_slot", "text_hash")
     )
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents that the mix takes, with its figures; those without a taken word go. Rows with
-    one id and source stand for each other, so each keeps its own text."""
-    figures = mix(docs, **options)
-    again = docs.withColumn("size", word_count(F.col("text")))
-    numbered = lambda df, by: df.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(by)))
-    a, b = numbered(again, F.xxhash64("text")), numbered(figures.where("taken > 0"), F.col("first_slot")).select("doc_id", "source", "size", "_nth", "source_size", "target", "taken", "first_slot")
-    on = a["doc_id"].eqNullSafe(b["doc_id"]) & a["source"].eqNullSafe(b["source"]) & (a["size"] == b["size"]) & (a["_nth"] == b["_nth"])
-    return a.join(b, on).select(*(a[c] for c in docs.columns), a["size"], b["source_size"], b["target"], b["taken"], b["first_slot"])
-
+    """The documents that the mix takes, with its figures: size, source_size, target, taken and
+    first_slot; a figure whose name ``docs`` has itself gets an underscore more. Documents without a
+    taken word go. Rows with equal id, source and text stand for each other."""
+    figures = _mixed(docs, **options).where("taken > 0")
+    key = [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(F.col("text").cast("string")).alias("text_hash")]
+    numbered = lambda df, by: df.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "source", "text_hash").orderBy(by)))
+    x = numbered(docs.select(packed(docs).alias("row"), *key), F.lit(0)).alias("x")
+    y = numbered(figures, F.col("first_slot")).alias("y")
+    same = lambda c: F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}"))
+    taken = {c.lower() for c in docs.columns}
+    named = []
+    for figure in ("size", "source_size", "target", "taken", "first_slot"):
+        name = figure
+        while name in taken:
+            name += "_"
+        named.append(F.col(f"y.{figure}").alias(name))
+    return x.join(y, same("doc_id") & same("source") & same("text_hash") & same("nth")).select(*unpacked(docs, "x.row"), *named)
