@@ -131,6 +131,7 @@ _PII_KINDS = (
       lambda a, x: CASE WHEN x < 10 THEN (a * 10 + x) % 97 ELSE (a * 100 + x) % 97 END, 0) = 1"""),
     ("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.4, 0.4, "ssn|social security|tax id", """NOT regexp_matches(around, '[A-Za-z0-9]') AND substr(m, 1, 3) NOT IN ('000', '666') AND m[1] <> '9'
       AND substr(m, 5, 2) <> '00' AND substr(m, 8, 4) <> '0000'"""),
+    ("secret", r"[A-Za-z0-9_-]{32,64}", 0.3, 0.5, "token|secret|passw|api|key|credential", "NOT regexp_matches(around, '[A-Za-z0-9_-]') AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')"),
 )
 
 
@@ -155,10 +156,11 @@ y AS (SELECT * FROM x WHERE k < 4 OR score >= 0.5),
 z AS (
   SELECT doc_id, count(*) FILTER (k = 0) AS n_email, count(*) FILTER (k = 1) AS n_ip, count(*) FILTER (k = 2) AS n_card, count(*) FILTER (k = 3) AS n_phone,
          string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < 4) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans,
+         string_agg(printf('%.1f', score), ',' ORDER BY s, k) AS scores,
          count(*) FILTER (score >= 0.85) AS n_strong
   FROM y GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_email, 0)::BIGINT AS n_email, coalesce(n_ip, 0)::BIGINT AS n_ip, coalesce(n_card, 0)::BIGINT AS n_card, coalesce(n_phone, 0)::BIGINT AS n_phone,
-       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_strong, 0)::BIGINT AS n_strong
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores, coalesce(n_strong, 0)::BIGINT AS n_strong
 FROM d LEFT JOIN z USING (doc_id)
 """
 

@@ -5,7 +5,8 @@ written to run in linear time on any text (possessive runs, anchored at the star
 give the same leftmost non-overlapping matches as the plain forms in the module's fixed values.
 
 Defined results: null and empty texts have no spans; repeated rows give repeated results; further
-columns of the input are left alone (``find``) or kept (``redact``); a null id stays null.
+columns of the input are left alone (``find``) or kept, whatever their names (``redact``); a null id
+stays null. Work grows with the text and its spans, also where a text has very many.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brightloom.llm.common import packed, unpacked
+
 # Kinds in their listed order, with the expression that proposes spans.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -22,6 +25,7 @@ CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IBAN = r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
+SECRET = r"[A-Za-z0-9_-]{32,64}"
 IP_RANGE = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.|$)){4}$"
 SSN_RANGE = r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"
 CONTEXT_BEFORE, CONTEXT_AFTER = 40, 20
@@ -32,6 +36,7 @@ CONTEXT = {
     "phone": "phone|call|tel|mobile|fax",
     "iban": "iban|bank|account",
     "ssn": "ssn|social security|tax id",
+    "secret": "token|secret|passw|api|key|credential",
 }
 
 
@@ -54,6 +59,7 @@ KINDS = (
     Kind("phone", PHONE, "+", 0.6, 0.3, True),
     Kind("iban", IBAN, "", 0.7, 0.2, False),
     Kind("ssn", SSN, "-", 0.4, 0.4, False),
+    Kind("secret", SECRET, "", 0.3, 0.5, False),
 )
 #: Added kinds are reported from this score on; base kinds always.
 THRESHOLD = 0.5
@@ -100,6 +106,8 @@ def _valid(kind: str, x: Column) -> Column:
         return alone & mod97(m)
     if kind == "ssn":
         return alone & m.rlike(SSN_RANGE)
+    if kind == "secret":
+        return ~x["around"].rlike("[A-Za-z0-9_-]") & m.rlike("[0-9]") & m.rlike("[A-Za-z]")
     return F.lit(True)
 
 
@@ -165,22 +173,22 @@ def _scored(kind: Kind, k: int, placed: Column) -> Column:
     return scored if kind.base else F.filter(scored, lambda x: x["score"] >= THRESHOLD)
 
 
-def with_spans(docs: DataFrame, text: str = "text", into: str = "_spans") -> DataFrame:
-    """``docs`` with an array of (s, k, e, kind, score) of every accepted span, by start, then kind."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    steps = docs
+def with_spans(texts: DataFrame, keep: list[str]) -> DataFrame:
+    """The ``keep`` columns of ``texts`` (text, ...), and ``spans``, an array of (s, k, e, kind, score) of
+    every accepted span, by start, then kind."""
+    t = F.coalesce(F.col("text"), F.lit(""))
+    steps = texts
     for kind in KINDS:
         some = _prefilter(kind, t)
-        steps = steps.withColumn(f"_m_{kind.name}", F.when(some, F.regexp_extract_all(t, F.lit(kind.pattern), F.lit(0))))
-        steps = steps.withColumn(f"_g_{kind.name}", F.when(F.size(f"_m_{kind.name}") > 0, F.split(t, kind.pattern, -1)))
-        steps = steps.withColumn(f"_p_{kind.name}", F.when(F.size(f"_m_{kind.name}") > 0, _parts(F.col(f"_m_{kind.name}"), F.col(f"_g_{kind.name}"))))
+        steps = steps.withColumn(f"m_{kind.name}", F.when(some, F.regexp_extract_all(t, F.lit(kind.pattern), F.lit(0))))
+        steps = steps.withColumn(f"g_{kind.name}", F.when(F.size(f"m_{kind.name}") > 0, F.split(t, kind.pattern, -1)))
+        steps = steps.withColumn(f"p_{kind.name}", F.when(F.size(f"m_{kind.name}") > 0, _parts(F.col(f"m_{kind.name}"), F.col(f"g_{kind.name}"))))
     found = []
     for k, kind in enumerate(KINDS):
-        placed = F.when(F.size(f"_p_{kind.name}") > 0, _located(F.col(f"_p_{kind.name}")))
+        placed = F.when(F.size(f"p_{kind.name}") > 0, _located(F.col(f"p_{kind.name}")))
         scored = _scored(kind, k, placed)
         found.append(F.coalesce(scored, F.array().cast("array<struct<s:int,k:int,e:int,kind:string,score:double>>")))
-    steps = steps.withColumn(into, F.array_sort(F.concat(*found)))
-    return steps.drop(*(f"_{x}_{kind.name}" for kind in KINDS for x in "mgp"))
+    return steps.select(*keep, F.array_sort(F.concat(*found)).alias("spans"))
 
 
 def _joined(spans: Column) -> Column:
@@ -188,42 +196,66 @@ def _joined(spans: Column) -> Column:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """Counts, digest and spans of every document (doc_id, text): one row per input row."""
-    spans = F.col("_spans")
+    """Counts, digest, spans and their scores of every document (doc_id, text): one row per input row."""
+    spans = F.col("spans")
     count = lambda name: F.size(F.filter(spans, lambda x: x["kind"] == name)).cast("long")
     base = F.filter(spans, lambda x: x["k"] < 4)
-    return with_spans(docs.select("doc_id", "text")).select(
+    return with_spans(docs.select("doc_id", F.col("text").cast("string").alias("text")), ["doc_id"]).select(
         "doc_id",
         *(count(kind.name).alias(f"n_{kind.name}") for kind in KINDS if kind.base),
         F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"),
         _joined(spans).alias("spans"),
+        F.array_join(F.transform(spans, lambda x: F.format_string("%.1f", x["score"])), ",").alias("scores"),
         F.size(F.filter(spans, lambda x: x["score"] >= 0.85)).cast("long").alias("n_strong"),
     )
 
 
+def _ends_before(spans: Column) -> Column:
+    """For each span the greatest end of the spans before it; 0 for the first. Block by block, as in
+    ``_located``."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / _BLOCK).cast("int")), lambda b: F.slice(spans, b * _BLOCK + 1, F.lit(_BLOCK)))
+
+    def running(ends: Column, first: Column) -> Column:
+        return F.aggregate(
+            ends,
+            F.struct(first.alias("top"), F.array().cast("array<int>").alias("all")),
+            lambda a, e: F.struct(F.greatest(a["top"], e).alias("top"), F.array_append(a["all"], a["top"]).alias("all")),
+            lambda a: a["all"],
+        )
+
+    starts = running(F.transform(blocks, lambda b: F.array_max(F.transform(b, lambda x: x["e"]))), F.lit(0))
+    return F.flatten(F.zip_with(blocks, starts, lambda b, top: running(F.transform(b, lambda x: x["e"]), top)))
+
+
+def redacted(text: Column, chunks: Column, spans: Column, before: Column) -> Column:
+    """``text`` with each span replaced by its kind. ``chunks`` are its runs of ``_BLOCK`` code points, so
+    that cutting a piece out never walks the text from its start."""
+
+    def piece(a: Column, b: Column) -> Column:
+        first, last = F.floor(a / _BLOCK).cast("int"), F.floor(b / _BLOCK).cast("int")
+        head = F.coalesce(F.get(chunks, first), F.lit(""))
+        tail = F.substring(F.coalesce(F.get(chunks, last), F.lit("")), F.lit(1), b % _BLOCK)
+        across = F.concat(F.substring(head, a % _BLOCK + 1, F.lit(_BLOCK)), F.array_join(F.slice(chunks, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), tail)
+        return F.when(first == last, F.substring(head, a % _BLOCK + 1, b - a)).otherwise(across)
+
+    replaced = F.zip_with(spans, before, lambda x, m: F.when(x["s"] >= m, F.concat(piece(m, x["s"]), F.lit("<"), F.upper(x["kind"]), F.lit(">"))).otherwise(F.lit("")))
+    end = F.array_max(F.transform(spans, lambda x: x["e"]))
+    return F.concat(F.array_join(replaced, ""), piece(end, F.length(text)))
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each span of its text replaced by its kind in angle brackets. Overlapping spans
     become one, named after the first. ``n_chars``, if there, is counted anew where the text changed."""
-    merged = F.aggregate(
-        F.col("_spans"),
-        F.array().cast("array<struct<s:int,e:int,kind:string>>"),
-        lambda a, x: F.when(
-            (F.size(a) > 0) & (x["s"] < F.element_at(a, -1)["e"]),
-            F.concat(
-                F.slice(a, F.lit(1), F.size(a) - 1),
-                F.array(F.struct(F.element_at(a, -1)["s"].alias("s"), F.greatest(F.element_at(a, -1)["e"], x["e"]).alias("e"), F.element_at(a, -1)["kind"].alias("kind"))),
-            ),
-        ).otherwise(F.array_append(a, F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind")))),
-    )
-    pieces = F.transform(
-        F.col("_merged"),
-        lambda x, i: F.concat(
-            F.substring(F.col("text"), F.coalesce(F.get(F.col("_merged"), i - 1)["e"], F.lit(0)) + 1, x["s"] - F.coalesce(F.get(F.col("_merged"), i - 1)["e"], F.lit(0))),
-            F.lit("<"), F.upper(x["kind"]), F.lit(">"),
-        ),
+    some = F.size("spans") > 0
+    apart = docs.select(packed(docs, "text").alias("row"), F.col("text").cast("string").alias("text"))
+    cut = with_spans(apart, ["row", "text"]).select(
+        "*",
+        F.when(some, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))).alias("chunks"),
+        F.when(some, _ends_before(F.col("spans"))).alias("before"),
     )
-    whole = F.concat(F.array_join(pieces, ""), F.substring(F.col("text"), F.element_at(F.col("_merged"), -1)["e"] + 1, F.lit(2**31 - 1)))
-    out = with_spans(docs).withColumn("_merged", merged).withColumn("text", F.when(F.size("_merged") > 0, whole).otherwise(F.col("text")))
+    text = F.when(some, redacted(F.col("text"), F.col("chunks"), F.col("spans"), F.col("before"))).otherwise(F.col("text"))
+    out = cut.select("row", some.alias("changed"), text.alias("text"))
+    instead = {"text": F.col("text").cast(docs.schema["text"].dataType)}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_merged") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        instead["n_chars"] = F.when(F.col("changed"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return out.select(*unpacked(docs, "row", **instead))
