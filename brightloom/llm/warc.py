@@ -5,11 +5,14 @@ its records and builds a tree over ordered ranges of ids: a leaf spans ``FANOUT`
 above as many nodes, so equal ids fall in equal ranges in every replica, whatever is missing or
 added. A node's hash covers its range's records in order with their lengths. The audit compares
 roots and goes down only where hashes differ; byte offsets come from the sizes of the ranges before,
-one level at a time, for the visited branches only. A group never exceeds the fan-out.
-
-Defined results: a null id counts as id -1; a null payload is an empty one; records that repeat an
-id are compared in the order of their hashes; an empty archive has no root, so every record of the
-other is missing or extra; further columns are ignored.
+one level at a time, for the visited branches only. A group exceeds the fan-out only by the records
+that repeat one id; records without an id, of which there may be many, are numbered below zero by the
+beginnings of their hashes.
+
+Defined results: a null id is reported as -1, and its records stand before all others in the order of
+their hashes; ids are not negative; a null payload is an empty one; records that repeat an id are
+compared in the order of their hashes; an empty archive has no root, so every record of the other is
+missing or extra; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from brightloom.llm.common import materialise
 
 BITS = 6
 FANOUT = 1 << BITS
+_NULL_BITS = 20
 
 
 def record_text(record_id: Column, url: Column, body: Column) -> Column:
@@ -37,7 +41,9 @@ def record_text(record_id: Column, url: Column, body: Column) -> Column:
 def digests(records: DataFrame) -> DataFrame:
     """(id, nth, size, hash) of each record; nth tells records of one id apart."""
     payload = F.coalesce(F.col("payload"), F.lit("")).cast("binary")
-    hashed = records.select(F.coalesce(F.col("record_id").cast("long"), F.lit(-1)).alias("id"), F.octet_length(payload).cast("long").alias("size"), F.sha2(payload, 256).alias("hash"))
+    hashed = records.select(F.col("record_id").cast("long").alias("id"), F.octet_length(payload).cast("long").alias("size"), F.sha2(payload, 256).alias("hash"))
+    unnumbered = -1 - F.conv(F.substring("hash", 1, _NULL_BITS // 4), 16, 10).cast("long")
+    hashed = hashed.withColumn("id", F.coalesce("id", unnumbered))
     return hashed.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("hash", "size")))
 
 
@@ -67,9 +73,9 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     in the primary, expected_sha256 and found_sha256."""
     a, b = materialise(digests(primary)), materialise(digests(replica))
     top = a.select("id").union(b.select("id")).agg(F.max("id").alias("hi")).first()["hi"] or 0
-    levels = max(1, -(-max(1, int(top).bit_length()) // BITS))
+    levels = max(-(-_NULL_BITS // BITS), -(-max(1, int(top).bit_length()) // BITS))
     trees = [tree(x, levels) for x in (a, b)]
-    # ids are not negative but for -1, whose ranges are -1 on every level: two roots at most
+    # two roots at most: 0, and -1 of the records without an id
     before = Window.partitionBy("parent").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
     roots = trees[0][-1].withColumn("at", F.coalesce(F.sum("size").over(Window.orderBy("node").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     bad = materialise(_differing(roots, trees[1][-1]))
@@ -86,5 +92,5 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     return (
         expected.join(found, ["id", "nth"], "full_outer")
         .where(~F.col("expected_sha256").eqNullSafe(F.col("found_sha256")))
-        .select(F.col("id").alias("record_id"), kind.alias("kind"), "rec_offset", "rec_length", "expected_sha256", "found_sha256")
+        .select(F.greatest("id", F.lit(-1)).alias("record_id"), kind.alias("kind"), "rec_offset", "rec_length", "expected_sha256", "found_sha256")
     )
