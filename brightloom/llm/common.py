@@ -1,4 +1,4 @@
-"""What the training-data operators share: scratch tables, hashes and hash samples."""
+"""What the training-data operators share: scratch tables, whole rows out of the way, hashes."""
 
 from __future__ import annotations
 
@@ -12,24 +12,38 @@ from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``. Where that is unset, a temporary one, but only if
+    all executors are this process (tests); on a cluster that would be another disk on each machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="brightloom-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, into: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared scratch folder and read it back: the lineage ends in
-    files that outlive any executor, and the reread has true sizes for the planner."""
+    files that outlive any executor, and the reread has true sizes for the planner. The path is added
+    to ``into``, for ``discard``; a table that a returned DataFrame still reads must stay."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/brightloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if into is not None:
+        into.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables that nothing will read again, in whatever file system they are."""
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    paths.clear()
+
+
 def packed(df: DataFrame, *without: str) -> Column:
     """The columns of ``df`` but those named, as one struct: out of the way of any helper column,
     whatever they are called."""

@@ -4,10 +4,12 @@ A shard is a run of rows of one partition of about ``SHARD`` bytes. Its words be
 for each word of the benchmark, one for all others (runs of those count once, as no window has
 any), and a zero after each document. Backward search finds which windows occur, sampled suffix
 positions locate them, and the words of all occurrences merge into spans. No shuffle: each row is
-judged where it is read. The benchmark is read in blocks of bounded size, one pass each.
+judged where it is read. The benchmark is read in blocks of ``BLOCK`` characters; each ``BLOCKS`` of
+them are searched in one pass over the documents, so memory does not grow with it.
 
 Defined results: null and empty texts have no words and are clean; null or wordless items have no
-windows; repeated rows are judged each; equal windows of several items count for each item.
+windows; repeated rows are judged each; equal windows of several items count for each item; further
+columns are ignored (``report``) or kept, whatever their names (``clean_documents``).
 """
 
 from __future__ import annotations
@@ -18,14 +20,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brightloom.llm import tokens
+from brightloom.llm.common import materialise, packed, unpacked
 from brightloom.llm.fmindex import FMIndex
 
 WINDOW = 13
 SHARD = 4 << 20
-#: Characters of benchmark text in a block that is sent to all executors at once.
-BLOCK = 32 << 20
+#: Characters of benchmark text in a block that is sent to all executors, and blocks there at once.
+BLOCK, BLOCKS = 4 << 20, 4
 
 
 class Windows:
@@ -129,7 +133,7 @@ def _char_spans(data: np.ndarray, found: tokens.Words, base: int, byte_from: int
     return lead[edges].tolist()
 
 
-def _pass(windows, last: bool, keep_text: bool):
+def _pass(windows, keep_text: bool):
     """A function over Arrow batches that adds what one block of windows finds."""
 
     @tokens.lean
@@ -138,51 +142,59 @@ def _pass(windows, last: bool, keep_text: bool):
         for batch in batches:
             data, offsets = tokens.text_buffers(batch.column("text"))
             n_words, spans, items, chars = [np.zeros(0, np.int64)], [], [], []
-            before = batch.column("__spans").to_pylist() if "__spans" in batch.schema.names else [None] * batch.num_rows
+            before = {name: batch.column(name).to_pylist() for name in ("spans", "items")} if "spans" in batch.schema.names else {}
+            old_spans, old_items = (before.get(name, [None] * batch.num_rows) for name in ("spans", "items"))
             for lo, hi in tokens.row_chunks(offsets, SHARD):
                 count, found_spans, found_items, found = scan_shard(data, offsets[lo : hi + 1], block)
                 n_words.append(count)
                 items += found_items
                 for k, new in enumerate(found_spans):
-                    merged = _merge(before[lo + k], new)
+                    merged = _merge(old_spans[lo + k], new)
                     spans.append(merged)
-                    chars.append(_char_spans(data, found, int(offsets[lo]), int(offsets[lo + k]), k, merged) if last and merged else None)
-            if "__items" in batch.schema.names:
-                items = [[*(a or []), *(b or [])] for a, b in zip(batch.column("__items").to_pylist(), items)]
-            named = {name: batch.column(name) for name in batch.schema.names if name[:2] != "__" and (name != "text" or keep_text or not last)}
-            named |= {
-                "__n_words": pa.array(np.concatenate(n_words), pa.int64()),
-                "__spans": pa.array(spans, pa.list_(pa.int64())),
-                "__items": pa.array(items, pa.list_(pa.string())),
-                "__chars": pa.array(chars, pa.list_(pa.int64())),
-            }
-            yield pa.RecordBatch.from_pydict(named)
+                    chars.append(_char_spans(data, found, int(offsets[lo]), int(offsets[lo + k]), k, merged) if merged else None)
+            named = {"row": batch.column("row")} | ({"text": batch.column("text")} if keep_text else {})
+            yield pa.RecordBatch.from_pydict(
+                named
+                | {
+                    "n_words": pa.array(np.concatenate(n_words), pa.int64()),
+                    "spans": pa.array(spans, pa.list_(pa.int64())),
+                    "items": pa.array([[*(a or []), *(b or [])] for a, b in zip(old_items, items)], pa.list_(pa.string())),
+                    "chars": pa.array(chars, pa.list_(pa.int64())),
+                }
+            )
 
     return run
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep_text: bool = True) -> DataFrame:
-    """``docs`` with, for each row: __n_words, __spans (merged spans of hit words: start, end, ...),
-    __chars (the same as code points of the text) and __items (ids whose windows occur)."""
+    """For each row of ``docs``: row (its other columns), text (if kept), n_words, spans (merged spans of
+    hit words: start, end, ...), chars (the same as code points of the text) and items (ids whose
+    windows occur)."""
     spark = docs.sparkSession
     listed = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text"))
     size = listed.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = 1 + size // BLOCK
-    out = docs
+    out = docs.select(packed(docs, "text").alias("row"), F.col("text").cast("string").alias("text"))
+    found = "n_words bigint, spans array<bigint>, items array<string>, chars array<bigint>"
+    sent = []
     for b in range(blocks):
         part = listed if blocks == 1 else listed.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        sent = spark.sparkContext.broadcast(Windows([(r["item_id"], r["text"]) for r in part.collect()], window))
         last = b == blocks - 1
-        fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text" or keep_text or not last]
-        schema = ", ".join([*fields, "__n_words bigint", "__spans array<bigint>", "__items array<string>", "__chars array<bigint>"])
-        out = out.mapInArrow(_pass(sent, last, keep_text), schema)
+        sent.append(spark.sparkContext.broadcast(Windows([(r["item_id"], r["text"]) for r in part.collect()], window)))
+        fields = [f for f in out.schema.fields if f.name == "row" or f.name == "text" and (keep_text or not last)]
+        out = out.mapInArrow(_pass(sent[-1], keep_text or not last), T.StructType([*fields, *T._parse_datatype_string(found).fields]))
+        if len(sent) == BLOCKS and not last:  # ends the stage, and with it the need for its blocks
+            out = materialise(out)
+            for block in sent:
+                block.unpersist()
+            sent = []
     return out
 
 
 def _hit():
-    pairs = F.sequence(F.lit(0), F.floor(F.size("__spans") / 2).cast("int") - 1)
-    each = F.transform(pairs, lambda i: F.get("__spans", i * 2 + 1) - F.get("__spans", i * 2))
-    return F.when(F.size("__spans") > 0, F.aggregate(each, F.lit(0).cast("bigint"), lambda a, x: a + x)).otherwise(F.lit(0).cast("bigint"))
+    pairs = F.sequence(F.lit(0), F.floor(F.size("spans") / 2).cast("int") - 1)
+    each = F.transform(pairs, lambda i: F.get("spans", i * 2 + 1) - F.get("spans", i * 2))
+    return F.when(F.size("spans") > 0, F.aggregate(each, F.lit(0).cast("bigint"), lambda a, x: a + x)).otherwise(F.lit(0).cast("bigint"))
 
 
 def is_contaminated(n_hit, n_words):
@@ -193,22 +205,19 @@ def is_contaminated(n_hit, n_words):
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Figures of every document (doc_id, text): one row per input row."""
     found = judge(docs.select("doc_id", "text"), benchmark, keep_text=False)
-    ids = F.array_sort(F.array_distinct(F.coalesce("__items", F.array().cast("array<string>"))))
-    return (
-        found.withColumn("n_hit", _hit())
-        .withColumn("_ids", ids)
-        .select(
-            "doc_id",
-            F.col("__n_words").alias("n_words"),
-            "n_hit",
-            F.size("_ids").cast("long").alias("n_items"),
-            F.sha2(F.array_join("_ids", ",").cast("binary"), 256).alias("items_sha256"),
-            is_contaminated(F.col("n_hit"), F.col("__n_words")).alias("contaminated"),
-            F.coalesce(F.array_join(F.col("__chars").cast("array<string>"), ","), F.lit("")).alias("removal_spans"),
-        )
+    ids = F.array_sort(F.array_distinct(F.coalesce("items", F.array().cast("array<string>"))))
+    return found.select("row.doc_id", "n_words", _hit().alias("n_hit"), ids.alias("ids"), "chars").select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("items_sha256"),
+        is_contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
+        F.coalesce(F.array_join(F.col("chars").cast("array<string>"), ","), F.lit("")).alias("removal_spans"),
     )
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the contaminated ones; the others as they are."""
-    return judge(docs, benchmark).where(~is_contaminated(_hit(), F.col("__n_words"))).select(*docs.columns)
+    clean = judge(docs, benchmark).where(~is_contaminated(_hit(), F.col("n_words")))
+    return clean.select(*unpacked(docs, "row", text=F.col("text").cast(docs.schema["text"].dataType)))

@@ -14,11 +14,11 @@ def _least(edges: DataFrame) -> DataFrame:
     return edges.join(least, "u")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: list[str] | None = None) -> DataFrame:
     """(node, label) of every node of ``edges`` (a, b: longs); label is the least node of its
-    component. Large-star and small-star steps in turn, each written to the shared scratch folder,
-    until the edges are stars and stay so."""
-    stars = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    component. Large-star and small-star steps in turn, each written to the shared scratch folder (its
+    paths are added to ``scratch``), until the edges are stars and stay so."""
+    stars = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), scratch)
     seen = None
     while True:
         both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -26,7 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.where("u <> v").distinct()
         small = _least(down)
         stars = materialise(
-            small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+            small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(),
+            scratch,
         )
         now = stars.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
         if now == seen:

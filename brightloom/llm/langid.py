@@ -11,8 +11,10 @@ gets ``PROFILE`` n-grams of each of at most ``MAX_LANGUAGES`` languages. Predict
 over whole texts without a shuffle.
 
 Defined results: null texts and those without a letter are ``und`` with score 0; without any
-learned language every text is; equally near languages give the first by name, equally frequent
-n-grams the first by code points; repeated rows have equal results.
+learned language every text is; where no training text has a letter, texts with one get the first
+language by name with score 0; equally near languages give the first by name, equally frequent
+n-grams the first by code points; repeated rows have equal results; further columns are ignored.
+A text of any length is one unit of work; it takes about 60 times its bytes of memory.
 """
 
 from __future__ import annotations
@@ -128,6 +130,8 @@ class Profiles:
         row, gram, count, has_letter = gram_counts(data, offsets)
         if not self.languages or not len(row):
             return [UNKNOWN] * n_rows, np.zeros(n_rows)
+        if not len(self.grams):  # no training text has a letter
+            return [self.languages[0] if h else UNKNOWN for h in has_letter], np.zeros(n_rows)
         top = int(count.max()) + 1
         order = np.argsort(row * np.int64(top) + (top - 1 - count), kind="stable")
         row, gram = row[order], gram[order]

@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from brightloom.llm import tokens
-from brightloom.llm.common import materialise, packed, unpacked
+from brightloom.llm.common import discard, materialise, packed, unpacked
 from brightloom.llm.graphs import components
 
 SHINGLE = 5
@@ -228,19 +228,19 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "linked": good})
 
 
-def _verified(pairs: DataFrame, grams: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, grams: DataFrame, scratch: list[str]) -> DataFrame:
     """(a, b, linked) of each pair."""
     a = grams.select(F.col("node").alias("a"), F.col("grams").alias("ga"), F.col("w").alias("wa"))
     b = grams.select(F.col("node").alias("b"), F.col("grams").alias("gb"), F.col("w").alias("wb"))
     joined = pairs.join(a, "a").join(b, "b").select("a", "b", "ga", "wa", "gb", "wb")
-    return materialise(joined.mapInArrow(_verify_batches, "a bigint, b bigint, linked boolean"))
+    return materialise(joined.mapInArrow(_verify_batches, "a bigint, b bigint, linked boolean"), scratch)
 
 
-def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+def _open_members(members: DataFrame, labels: DataFrame, scratch: list[str]) -> DataFrame:
     """(bucket, node, label) of the buckets whose nodes are in several classes."""
     now = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
     mixed = now.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-    return materialise(now.join(mixed, "bucket"))
+    return materialise(now.join(mixed, "bucket"), scratch)
 
 
 def _weight() -> Column:
@@ -263,7 +263,7 @@ def _possible(x: str, y: str) -> Column:
     return plain | ((at(x, "repeats") | at(y, "repeats")) & share(x) & share(y))
 
 
-def _profiles(nodes: DataFrame, grams: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _profiles(nodes: DataFrame, grams: DataFrame, scratch: list[str]) -> tuple[DataFrame, DataFrame]:
     """(node, p) and (node, g, x, c): each node's figures for ``_possible``, where shingles that no
     other of ``nodes`` has are not shared; and its other shingles, with weight and number of nodes.
     Nodes that have too few of those for any link are left out of both."""
@@ -271,10 +271,10 @@ def _profiles(nodes: DataFrame, grams: DataFrame) -> tuple[DataFrame, DataFrame]
     sized = mine.select("node", F.size("grams").alias("n"), (F.size("w") > 0).alias("repeats"), F.aggregate(_weight(), F.lit(0.0), lambda a, x: a + x).alias("total"))
     each = mine.select("node", F.explode(F.arrays_zip(F.col("grams").alias("g"), _weight().alias("x"))).alias("e")).select("node", "e.g", "e.x")
     common = each.groupBy("g").agg(F.count("*").alias("c")).where("c > 1")
-    met = materialise(each.join(common, "g"))
+    met = materialise(each.join(common, "g"), scratch)
     left = met.groupBy("node").agg(F.count("*").alias("rest"), F.sum("x").alias("heavy"))
     able = sized.join(left, "node").where(f"rest >= {SIMILARITY - _ROOM} * n or heavy >= {SIMILARITY - _ROOM} * total")
-    profiles = materialise(able.select("node", F.struct("n", "repeats", "total", "rest", "heavy").alias("p")))
+    profiles = materialise(able.select("node", F.struct("n", "repeats", "total", "rest", "heavy").alias("p")), scratch)
     return profiles, met.join(profiles.select("node"), "node", "left_semi")
 
 
@@ -291,14 +291,16 @@ def _prefixes(nodes: DataFrame, profiles: DataFrame, met: DataFrame) -> DataFram
 def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, nodes): rows is (doc_id, ta, tb) of every row of ``docs``; nodes is (ta, tb, node,
     first_id, label), one for each distinct text, where equal labels are one class."""
+    scratch: list[str] = []
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     hashed = materialise(plain.mapInArrow(_hash_batches, "doc_id bigint, ta bigint, tb bigint, bands array<bigint>"))
     nodes = materialise(
-        hashed.groupBy("ta", "tb").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id())
+        hashed.groupBy("ta", "tb").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()),
+        scratch,
     )
     exploded = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = exploded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1").select("bucket", "least")
-    members = materialise(exploded.join(shared, "bucket").select("bucket", "node", "least"))
+    members = materialise(exploded.join(shared, "bucket").select("bucket", "node", "least"), scratch)
     named = nodes.select("ta", "tb", "node", "first_id")
     wanted = members.select("node").distinct().join(named, "node")
     texts = plain.join(wanted.withColumnRenamed("first_id", "doc_id").where("doc_id is not null"), "doc_id")
@@ -306,19 +308,19 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     if not orphans.isEmpty():  # texts that only rows without an id have
         keyed = plain.where("doc_id is null").mapInArrow(_key_batches, T.StructType(plain.schema.fields + _KEYS))
         texts = texts.unionByName(keyed.select("doc_id", "text", F.col("ta").alias("a"), F.col("tb").alias("b")).join(orphans, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb"))).select("doc_id", "text", "node", "ta", "tb"))
-    grams = materialise(texts.select("node", "ta", "tb", "text").mapInArrow(_gram_batches, "node bigint, grams array<int>, w array<float>").dropDuplicates(["node"]))
+    grams = materialise(texts.select("node", "ta", "tb", "text").mapInArrow(_gram_batches, "node bigint, grams array<int>, w array<float>").dropDuplicates(["node"]), scratch)
 
-    tested = _verified(members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), grams)
-    labels = components(tested.where("linked"))
+    tested = _verified(members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), grams, scratch)
+    labels = components(tested.where("linked"), scratch)
     profiles = met = None
     for step in range(ROUNDS):
-        left = _open_members(members.select("bucket", "node"), labels)
+        left = _open_members(members.select("bucket", "node"), labels, scratch)
         if left.isEmpty():
             break
         if profiles is None:
-            profiles, met = _profiles(left, grams)
-            members = materialise(left.select("bucket", "node").join(profiles, "node"))
-            left = _open_members(members, labels)
+            profiles, met = _profiles(left, grams, scratch)
+            members = materialise(left.select("bucket", "node").join(profiles.select("node"), "node"), scratch)
+            left = _open_members(members, labels, scratch)
         if step < ROUNDS - 1:
             known = left.join(profiles, "node")
             clean = F.col("p.rest") / F.col("p.n") if step == 0 else F.lit(0.0)  # first with the node that has least of its own
@@ -327,16 +329,18 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         else:
             named_left = left.select("node", "label").distinct()
             main = named_left.groupBy("label").agg(F.count("*").alias("n")).agg(F.max(F.struct("n", "label"))["label"].alias("main"))
-            prefixes = materialise(_prefixes(named_left, profiles, met))
+            prefixes = materialise(_prefixes(named_left, profiles, met), scratch)
             minor = prefixes.join(F.broadcast(main), F.col("label") != F.col("main"))
             on = (F.col("x.g") == F.col("y.g")) & (F.col("x.label") != F.col("y.label")) & _possible("x.p", "y.p")
             pairs = minor.alias("x").join(prefixes.alias("y"), on).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
         fresh = pairs.distinct().join(tested, ["a", "b"], "left_anti")
-        done = _verified(fresh, grams)
+        done = _verified(fresh, grams, scratch)
         links = done.where("linked").select("a", "b").union(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a <> b"))
         tested = tested.unionByName(done)
-        labels = components(links)
-    return hashed.select("doc_id", "ta", "tb"), materialise(named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+        labels = components(links, scratch)
+    classed = materialise(named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    discard(docs.sparkSession, scratch)  # only ``hashed`` and ``classed`` are read again
+    return hashed.select("doc_id", "ta", "tb"), classed
 
 
 def classes(docs: DataFrame) -> DataFrame:

@@ -5,14 +5,15 @@ before and after; a 2 x 2 table scores neighbouring labels. Forward-backward giv
 probability of good; their mean, weighted by length in bytes, is the document's, and a logistic
 curve fitted on the training documents maps it to the probability of label 1.
 
-Training is on the driver, on at most about ``MAX_TRAIN`` labelled documents drawn by a hash of the
-id (the documented bound of the sample). Lines start with their document's label; lines of bad
+Training is on the driver, on at most about ``MAX_TRAIN`` labelled documents and about ``MAX_BYTES``
+of text, drawn by a hash of the id (the documented bounds of the sample; whole texts). Lines start with their document's label; lines of bad
 documents that the first fit finds good take that label for the second. Scoring is one pass without
 a shuffle.
 
 Defined results: null and empty texts are one empty line; rows without a label or id are scored but
 never learned from; of several labels of one id the largest counts; without any labelled row all
-scores are 0.5; repeated rows have equal scores.
+scores are 0.5; repeated rows have equal scores; further columns are ignored (``score``) or kept,
+whatever their names (``good_documents``).
 """
 
 from __future__ import annotations
@@ -24,14 +25,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brightloom.llm import tokens
-from brightloom.llm.common import doc_bucket, unit_hash
+from brightloom.llm.common import discard, doc_bucket, materialise, packed, unit_hash, unpacked
 
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.7
 MAX_TRAIN = 6000
-CHUNK = 8 << 20
+MAX_BYTES = 64 << 20
+CHUNK = 2 << 20
 _SEGMENT = 100  # lines of a training sequence
 
 
@@ -259,42 +262,56 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"y": batch.column("y"), "own": pa.array(own, pa.binary()), "size": pa.array(size, pa.binary())})
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN) -> Model:
+def within_bytes(texts: DataFrame, bound: int, scratch: list[str]) -> DataFrame:
+    """``texts`` (doc_id, text, ...), or a part of them drawn by a hash of the id that has about ``bound``
+    bytes of text in all."""
+    kept = materialise(texts, scratch)
+    size = kept.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return kept if size <= bound else kept.where(unit_hash(F.col("doc_id"), F.lit("bytes")) < bound / size)
+
+
+def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN, max_bytes: int = MAX_BYTES) -> Model:
     """The model of the labelled documents outside the held-out fold."""
+    scratch: list[str] = []
     drawn = F.broadcast(sample_labels(labels, "quality", FOLDS, HELD_OUT, bound))  # at most about ``bound`` rows
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(drawn, "doc_id").select("text", "y")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = within_bytes(plain.join(drawn, "doc_id").select("doc_id", "text", "y"), max_bytes, scratch).select("text", "y")
     rows = sorted(((bytes(r["own"]), bytes(r["size"]), r["y"]) for r in texts.mapInArrow(_features, "y int, own binary, size binary").collect()))
+    discard(docs.sparkSession, scratch)
     own = np.frombuffer(b"".join(r[0] for r in rows), np.float32).reshape(-1, N_OWN)
     size = np.frombuffer(b"".join(r[1] for r in rows), np.int64)
     at = np.concatenate(([0], np.cumsum([len(r[1]) // 8 for r in rows]))).astype(np.int64)
     return train(Lines(own, size, at), np.array([r[2] for r in rows], int))
 
 
-def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The ``keep`` columns of ``docs`` with __score, the probability of label 1."""
+def scored(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
+    """(row, text, score) of every row of ``docs``: its other columns as a struct, its text if that is to
+    be kept, and the probability of label 1."""
 
     @tokens.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tokens.text_buffers(batch.column("text"))
             found = [model.scores(lines(data, offsets[lo : hi + 1])) for lo, hi in tokens.row_chunks(offsets, CHUNK)]
-            out = {name: batch.column(name) for name in keep}
-            yield pa.RecordBatch.from_pydict(out | {"__score": pa.array(np.concatenate([np.zeros(0), *found]), pa.float64())})
+            out = {name: batch.column(name) for name in batch.schema.names if name != "text" or keep_text}
+            yield pa.RecordBatch.from_pydict(out | {"score": pa.array(np.concatenate([np.zeros(0), *found]), pa.float64())})
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep]
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, ", ".join([*fields, "__score double"]))
+    apart = docs.select(packed(docs, "text").alias("row"), F.col("text").cast("string").alias("text"))
+    kept = [f for f in apart.schema.fields if f.name != "text" or keep_text]
+    return apart.mapInArrow(run, T.StructType([*kept, T.StructField("score", T.DoubleType())]))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
-    return scored(docs.select("doc_id", "text"), fit(docs, labels), ["doc_id"]).select(
-        "doc_id",
-        F.coalesce(doc_bucket(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"),
-        F.col("__score").alias("score"),
-        F.when(F.col("__score") >= THRESHOLD, 1).otherwise(0).alias("predicted"),
+    return scored(docs.select("doc_id", "text"), fit(docs, labels)).select(
+        "row.doc_id",
+        F.coalesce(doc_bucket(F.col("row.doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"),
     )
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without those that the classifier rejects."""
-    return scored(docs, fit(docs, labels), docs.columns).where(F.col("__score") >= THRESHOLD).select(*docs.columns)
+    accepted = scored(docs, fit(docs, labels), keep_text=True).where(F.col("score") >= THRESHOLD)
+    return accepted.select(*unpacked(docs, "row", text=F.col("text").cast(docs.schema["text"].dataType)))

@@ -214,6 +214,35 @@ def test_languages(spark, make_docs, odd_docs):
     assert all(r["lang_pred"] == "und" for r in rows(langid.identify(docs.withColumn("lang", docs["lang"].substr(9, 1)).where("doc_id < 0"))))
 
 
+def plain_mix(docs):
+    """(doc_id, taken) of the documents in a mix: streams in the order of the hash, targets by reshared
+    excess, each stream played from its start until its target, from the start again if it ends."""
+    import hashlib
+
+    order = lambda s: (s is None, s or "")
+    sizes = {s: sum(len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in docs if r["source"] == s) for s in {r["source"] for r in docs}}
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(sorted(sizes, key=order))}
+    full, left, target = set(), 1.5 * sum(sizes.values()), {}
+    while True:
+        rest = [s for s in sizes if s not in full]
+        level = (left - sum(2 * sizes[s] for s in full)) / sum(weight[s] for s in rest)
+        over = {s for s in rest if level * weight[s] > 2 * sizes[s]}
+        if not over:
+            break
+        full |= over
+    taken = set()
+    for s in sizes:
+        words = int((2 * sizes[s] if s in full else level * weight[s]) + 0.5)
+        at = 0
+        for r in sorted((r for r in docs if r["source"] == s), key=lambda r: int(hashlib.md5(str(r["doc_id"]).encode()).hexdigest()[:15], 16)):
+            n = len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+            played = sum(max(0, min(e * sizes[s] + at + n, words) - (e * sizes[s] + at)) for e in (0, 1))
+            at += n
+            if played:
+                taken.add((r["doc_id"], played))
+    return taken
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
     import corpus_pipeline
 
@@ -249,4 +278,163 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
         stage = spark.read.parquet(path)
     assert {r["doc_id"] for r in stage.collect()} == set(kept)
     final = rows(corpus_pipeline.STAGES[4][1](spark, stage, sf))
-    assert {r["doc_id"] for r in final} <= set(kept) and all(0 < r["taken"] <= 2 * r["size"] for r in final)
+    assert {(r["doc_id"], r["taken"]) for r in final} == plain_mix(rows(stage))
+
+
+STRANGE = ["1 as __score", "'x' as __x", "3 as _merged", "'mine' as size", "doc_id as `a.b`", "4 as row", "5 as score", "6 as id", "7 as ta", "8 as n_words", "9 as spans", "10 as `back``tick`"]
+
+
+def test_stages_keep_columns_of_any_name(spark, make_docs):
+    texts = [f"plain words number {i} stand here for a text that is long enough to have shingles {i}" for i in range(6)] + ["mail a.b@c.org now", None, ""]
+    docs = make_docs([(i, t, "a") for i, t in enumerate(texts)]).selectExpr("*", *STRANGE)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(6)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "nothing of this kind")], "item_id long, text string")
+    from brightloom.llm import mixing, pii
+
+    for stage in (lambda d: quality.good_documents(d, labels), neardup.distinct_documents, lambda d: decontam.clean_documents(d, bench), pii.redact, mixing.mixed_documents):
+        out = stage(docs)
+        assert out.columns[: len(docs.columns)] == docs.columns
+        got = rows(out)
+        assert got and all((r["__score"], r["__x"], r["_merged"], r["size"], r["a.b"], r["row"], r["spans"], r["back`tick"]) == (1, "x", 3, "mine", r["doc_id"], 4, 9, 10) for r in got)
+        assert rows(stage(docs.limit(0))) == []
+
+
+def test_a_text_beyond_every_chunk(spark, make_docs):
+    """9 MB, more than any operator reads at once: results are of the whole text."""
+    body = "\n".join(f"word{i % 9973} and more of line {i}." for i in range(330000))
+    passage = " ".join(f"passage{i}" for i in range(13))
+    docs = make_docs([(1, body + " " + passage, "a"), (2, body + " " + passage, "a"), (3, body[: len(body) // 2], "a"), (4, "short text", "a")])
+    assert len(body) > max(quality.CHUNK, neardup.CHUNK, decontam.SHARD, langid.CHUNK, toxicity.CHUNK)
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    labels = spark.createDataFrame([(3, 1, 0), (4, 0, 1)], "doc_id long, quality int, toxic int")
+    hits = {r["doc_id"]: r["n_hit"] for r in rows(decontam.report(docs, bench))}
+    assert hits == {1: 13, 2: 13, 3: 0, 4: 0}
+    assert {r["doc_id"]: r["class_id"] for r in rows(neardup.classes(docs))} == {1: 1, 2: 1, 3: 3, 4: 4}
+    for got in (rows(langid.identify(docs)), rows(quality.score(docs, labels)), rows(toxicity.score(docs, labels))):
+        by_id = {r["doc_id"]: r["score"] for r in got}
+        assert by_id[1] == by_id[2] and len(by_id) == 4
+
+
+def test_training_text_is_bounded_in_bytes(spark, make_docs):
+    docs = make_docs([(i, f"text {i} " * 50, "a") for i in range(200)])
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(200)], "doc_id long, quality int, toxic int")
+    scratch = []
+    part = quality.within_bytes(docs.select("doc_id", "text"), 20000, scratch)
+    n = part.agg({"text": "count"}).first()[0]
+    assert 10 < n < 90 and quality.within_bytes(docs.select("doc_id", "text"), 10**9, scratch).count() == 200
+    assert len(rows(quality.score(docs, labels))) == 200
+
+
+def test_languages_by_plain_distances(spark):
+    """Every document's nearest language, and its score, by a plain version; ties and letterless texts."""
+    rng = random.Random(8)
+    data = [(i, " ".join("".join(rng.choice("abcdé") for _ in range(rng.randrange(1, 6))) for _ in range(rng.randrange(1, 40))), f"l{i % 3}") for i in range(60)]
+    data += [(100, "123 .", "l0"), (101, None, "l1"), (102, "abc", None), (103, "q", "l2"), (104, "AbC, abc! Ab", None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+
+    def profile(texts):
+        n = {}
+        for t in texts:
+            low = "".join(c.lower() if c.isalpha() else " " for c in t or "")
+            for word in low.split():
+                p = f" {word} "
+                for g in [p[a : a + k] for k in (1, 2, 3) for a in range(len(p) - k + 1)]:
+                    if g.strip():
+                        n[g] = n.get(g, 0) + 1
+        key = lambda g: tuple(ord(c) for c in g) + (0,) * (3 - len(g))
+        return [g for g, _ in sorted(n.items(), key=lambda x: (-x[1], key(x[0])))][: langid.PROFILE]
+
+    def trains(i):
+        return zlib.crc32(str(i).encode()) % 5 != 0
+
+    learned = {g: profile([t for i, t, h in data if h == g and t is not None and trains(i)]) for g in sorted({h for i, t, h in data if h and t is not None and trains(i)})}
+    got = {r["doc_id"]: r for r in rows(langid.identify(docs))}
+    for i, t, _ in data:
+        own = profile([t])
+        if not own:
+            assert got[i]["lang_pred"] == "und" and got[i]["score"] == 0
+            continue
+        far = {g: sum(abs(k - p.index(x)) if x in p else langid.PROFILE for k, x in enumerate(own)) for g, p in learned.items()}
+        best = min(far, key=lambda g: (far[g], g))
+        assert got[i]["lang_pred"] == best and got[i]["score"] == pytest.approx(1 - far[best] / (len(own) * langid.PROFILE)), t
+
+
+def test_languages_without_a_letter_in_training(spark):
+    docs = spark.createDataFrame([(1, "123", "b"), (2, "456", "a"), (3, "hello", None), (6, "7", None)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in rows(langid.identify(docs))}
+    assert got[1] == got[6] == "und" and got[3] in {"a", "b"} and all(r["score"] == 0 for r in rows(langid.identify(docs)))
+
+
+def test_quality_by_a_plain_version(spark, make_docs):
+    """Aggregation and score of the query from the model's own numbers: all label sequences of each
+    document are summed, lines weigh by length, and the curve gives the score."""
+    import itertools
+
+    docs, labels, _ = labelled(spark, make_docs, "quality")
+    more = make_docs([(1000, "A line.\n!!! $$$ !!!\nAnother one, of words.", "s"), (1001, "", "s"), (1002, "x\n\ny", "s"), (1003, None, "s")])
+    model = quality.fit(docs, labels)
+    got = {r["row"]["doc_id"]: r["score"] for r in rows(quality.scored(more, model))}
+    for i, text in ((1000, "A line.\n!!! $$$ !!!\nAnother one, of words."), (1001, ""), (1002, "x\n\ny"), (1003, "")):
+        lines = [x.encode() for x in text.split("\n")]
+        own = quality.lines(*tokens.text_buffers(pa.array([text]))).own.astype(float)
+        assert len(own) == len(lines)
+        for f, x in zip(own, lines):
+            letters = sum(c.isalpha() for c in x.decode())
+            assert f[2] == pytest.approx(sum(65 <= c <= 90 for c in x) / max(letters, 1)) and f[1] == pytest.approx(np.log1p(len(x)) / 6)
+            assert f[5] == pytest.approx(4 * sum(c in b"!?" for c in x) / max(len(x), 1)) and f[10] == (len(x.split()) <= 3) and f[11] == x.endswith(b".")
+        pad = np.zeros(quality.N_OWN)
+        s = [float(np.concatenate((own[k], own[k - 1] if k else pad, own[k + 1] if k + 1 < len(own) else pad)) @ model.weights) for k in range(len(own))]
+        weight = {y: np.exp(sum(a * b for a, b in zip(s, y)) + sum(model.pairs[a, b] for a, b in zip(y, y[1:]))) for y in itertools.product((0, 1), repeat=len(s))}
+        p = [sum(v for y, v in weight.items() if y[k]) / sum(weight.values()) for k in range(len(s))]
+        sizes = [len(x) + 1 for x in lines]
+        mean = min(max(sum(a * b for a, b in zip(p, sizes)) / sum(sizes), 1e-4), 1 - 1e-4)
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-(model.curve[0] + model.curve[1] * np.log(mean / (1 - mean))))), abs=1e-5)
+
+
+def test_toxicity_by_a_plain_version():
+    """Convolution and maximum by loops, with a threshold for each language."""
+    rng = np.random.default_rng(3)
+    n_out = toxicity.FILTERS * len(toxicity.WIDTHS)
+    guess = rng.normal(size=(toxicity.BUCKETS + 1, 2)).astype(np.float32)
+    guess[-1] = 0
+    model = toxicity.Model(
+        rng.normal(size=(toxicity.BUCKETS + 1, toxicity.DIMENSIONS)), [rng.normal(size=(w, toxicity.DIMENSIONS, toxicity.FILTERS)) for w in toxicity.WIDTHS],
+        rng.normal(size=n_out), rng.normal(size=n_out), 0.3, guess, np.array([0.5, -1.5]),
+    )
+    model.embed[-1] = 0
+    texts = ["one two three four five", "", "alone", "a b", "Ünï ünï x y z 1 2 3"]
+    data, at = tokens.text_buffers(pa.array(texts))
+    words, at_ = toxicity.hashed_words(data, at)
+    got = model.scores(words, at_)
+    languages = []
+    for k in range(len(texts)):
+        own = [tuple(w) for w in words[at_[k] : at_[k + 1]]] + [(toxicity.BUCKETS, toxicity.BUCKETS)] * max(toxicity.WIDTHS)
+        total = 0.3
+        for w, (width, filters) in enumerate(zip(toxicity.WIDTHS, model.filters)):
+            for f in range(toxicity.FILTERS):
+                best = max(
+                    sum(float((model.embed[own[p + j][0]] + model.embed[own[p + j][1]]) @ filters[j, :, f]) for j in range(width))
+                    for p in range(max(1, at_[k + 1] - at_[k]))
+                )
+                c = w * toxicity.FILTERS + f
+                total += max(best + model.bias[c], 0) * model.out[c]
+        language = int(np.argmax(sum(guess[a] for a, _ in own)))
+        languages.append(language)
+        assert got[k] == pytest.approx(1 / (1 + np.exp(-np.clip(total - model.shift[language], -30, 30))), abs=1e-5)
+    assert set(languages) == {0, 1}
+
+
+def test_toxicity_thresholds_of_two_languages(spark):
+    rng = random.Random(9)
+    data, labels = [], []
+    for i in range(900):
+        y, lang = int(rng.random() < 0.5), ("aa", "bb")[i % 2]
+        alphabet = "abdeikl" if lang == "aa" else "mnorstuv"
+        text = " ".join("".join(rng.choice(alphabet) for _ in range(rng.randrange(3, 8))) for _ in range(40))
+        data.append((i, text + (" " + rng.choice(["vile", "rotten"] if lang == "aa" else ["mnoz", "stuz"]) if y else ""), lang))
+        labels.append((i, 1, y))
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    got = rows(toxicity.score(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")))
+    for k, lang in enumerate(("aa", "bb")):
+        held = [r for r in got if r["held_out"] and r["doc_id"] % 2 == k]
+        assert np.mean([r["predicted"] == labels[r["doc_id"]][2] for r in held]) > 0.9

@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from brightloom.llm import fingerprint, mixing, pii, urlfilter, warc
+from brightloom.llm import common, fingerprint, mixing, pii, urlfilter, warc
 
 
 def rows(df):
@@ -74,6 +74,41 @@ def test_schedule_is_even_and_complete(spark):
     assert 120 <= first.count(0) <= 160
 
 
+def test_blocks_grow_with_the_corpus():
+    for words in (0, 10**6, 10**13, 3 * 10**16, 10**18):
+        size = mixing.block_size(words, 5)
+        assert words // size + 5 <= 1 << 30 and (size == 4096 or words // (size // 2) + 5 > 1 << 30)
+
+
+def test_mixed_documents_keep_their_own_columns(spark, make_docs):
+    docs = make_docs([(i % 3, f"w{i} w w", "a") for i in range(9)]).selectExpr("*", "'mine' as size", "doc_id * 10 as nth", "'t' as taken", "doc_id as `a.b`", "3 as _nth")
+    got = rows(mixing.mixed_documents(docs, share=2.0))
+    assert len(got) == 9 and {r["text"] for r in got} == {f"w{i} w w" for i in range(9)}
+    assert all(r["size"] == "mine" and r["nth"] == 10 * r["doc_id"] and r["taken"] == "t" and r["a.b"] == r["doc_id"] and (r["size_"], r["taken_"]) == (3, 6) for r in got)
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
+    class Unset:
+        conf, sparkContext = type("c", (), {"get": lambda self, key, default: default})(), type("s", (), {"master": "spark://host:7077"})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.scratch_dir(Unset())
+    paths = []
+    table = common.materialise(spark.range(5), paths)
+    assert table.count() == 5 and len(paths) == 1
+    kept = paths[0]
+    common.discard(spark, paths)
+    with pytest.raises(Exception, match="(?i)not.exist|PATH_NOT_FOUND"):
+        spark.read.parquet(kept).count()
+
+
+def test_audit_of_records_without_ids_and_payloads(spark):
+    a = spark.createDataFrame([(None, f"p{i}", "x") for i in range(300)] + [(3, None, "y"), (4, "", "y")], "record_id long, payload string, hash string")
+    assert rows(warc.audit(a, a)) == []
+    got = rows(warc.audit(a, a.where("payload is null or payload <> 'p7'").withColumn("payload", F.coalesce("payload", F.lit("")))))
+    assert [(r["record_id"], r["kind"], r["rec_length"]) for r in got] == [(-1, "missing", 2)]
+
+
 def test_audit_finds_every_kind_of_damage(spark):
     data = [(i, f"payload {i}" * (1 + i % 3)) for i in range(5000)]
     a = spark.createDataFrame(data, "record_id long, payload string")
@@ -133,6 +168,35 @@ def test_fingerprint_successors_across_ranges(spark, make_docs):
         assert got[i * 3] == hashlib.sha256((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()).hexdigest()
 
 
+def test_fingerprint_successors_without_ids_and_beyond_double_precision(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(fingerprint, "ROWS", 8)
+    top = 1 << 60
+    data = [(top + i, f"big {i} text", "s") for i in range(40)] + [(i * 1000, f"small {i}", "s") for i in range(40)] + [(None, f"none {i} more", "s") for i in range(60)]
+    docs = make_docs(data)
+    hashes = {r["text"]: r["h"] for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(data, key=lambda d: (d[0] is not None, d[0] or 0, hashes[d[1]]), reverse=True)
+    want = Counter()
+    for k, (i, t, _) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        half = len(t) // 2
+        want[i, hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()] += 1
+    got = rows(fingerprint.compare(docs, 4))
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in got) == want
+
+
+def test_fingerprint_of_scripts_without_blanks(spark, make_docs):
+    (a, b) = rows(fingerprint.compare(make_docs([(1, "我们今天去学校学习语言和数学", "s"), (2, "我们今天去学校学习语言和历史", "s")])))
+    assert a["near_next"] > 0.5
+
+
+def test_url_filter_long_urls_and_extra_columns(spark):
+    d = datetime.date
+    log = spark.createDataFrame([("ex.org/a", "add", d(2024, 1, 1))], "list_key string, action string, day date")
+    caps = spark.createDataFrame([(1, "http://ex.org/a/" + "x/" * 20000, d(2024, 1, 2), "c"), (2, "http://" + "l." * 300 + "ex.org/a?" + "q" * 50000, d(2024, 1, 2), "c")], "page_id long, url string, fetched_on date, host string")
+    got = {r["page_id"]: r for r in rows(urlfilter.judge(caps, log))}
+    assert got[1]["blocked"] and not got[2]["blocked"] and got[1]["host"] == "ex.org"
+
+
 def test_url_filter_intervals(spark):
     d = datetime.date
     log = spark.createDataFrame([("ex.org", "add", d(2024, 1, 10)), ("ex.org", "remove", d(2024, 3, 1)), ("a.ex.org/p", "add", d(2024, 2, 1)), ("b.net", "remove", d(2024, 1, 1)), (None, "add", d(2024, 1, 1))], "list_key string, action string, day date")
@@ -189,3 +253,26 @@ def test_pii_added_kinds_and_redaction(spark, make_docs):
 
 def test_pii_odd_and_empty(spark, odd_docs):
     assert len(rows(pii.find(odd_docs))) == 10 and rows(pii.find(odd_docs.limit(0))) == [] and len(rows(pii.redact(odd_docs))) == 10
+
+
+def test_pii_redaction_of_many_and_overlapping_spans(spark, make_docs):
+    """Against a plain version, with far more spans than one block and text beyond the basic plane."""
+    texts = ["é😀" + " a@b.c 10.0.0.1 x" * 700, "12.34.56.78@host.org and +1.2.3.4.5.6.7.8.9!", "a@b.c", "😀" * 600 + "call +1 555 010 99990" + "ü" * 700, "a@b.c" * 50]
+    docs = make_docs([(i, t, "s") for i, t in enumerate(texts)]).selectExpr("*", "1 as spans", "2 as `m_email`", "'r' as row", "doc_id as `x.y`")
+    found = {r["doc_id"]: r["spans"] for r in rows(pii.find(docs))}
+    got = {r["doc_id"]: r for r in rows(pii.redact(docs))}
+    for i, t in enumerate(texts):
+        out, end = "", 0
+        for span in found[i].split(","):
+            kind, s, e = span.split(":")
+            if int(s) >= end:
+                out += t[end : int(s)] + f"<{kind.upper()}>"
+            end = max(end, int(e))
+        assert got[i]["text"] == out + t[end:] and got[i]["n_chars"] == len(got[i]["text"])
+        assert (got[i]["spans"], got[i]["m_email"], got[i]["row"], got[i]["x.y"]) == (1, 2, "r", i)
+
+
+def test_pii_secrets_need_context(spark, make_docs):
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    (a, b) = sorted(rows(pii.find(make_docs([(1, f'token = "{key}" then', "s"), (2, f"commit {key} of a far longer sentence that says nothing about it", "s")]))), key=lambda r: r["doc_id"])
+    assert a["spans"] == "secret:9:49" and a["scores"] == "0.8" and "secret" not in b["spans"]
