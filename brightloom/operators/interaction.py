@@ -5,33 +5,31 @@ Observations have model_id, animal, mobile_object, relation and score in [0, 1].
 
 from __future__ import annotations
 
+import hashlib
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from brightloom.functions.draws import hash_index
-
 #: Variance floor of the shrinkage, interval probabilities.
 VARIANCE_FLOOR = 1e-8
 LOW, HIGH = 0.025, 0.975
+PART_SCORES = 1 << 16  # distinct scores of a cell that one task draws from
 
 
 def _clamped(x: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
 
 
-def interaction_estimate(observations: DataFrame, animal: str, mobile_object: str, relation: str, by: tuple[str, ...] = ("model_id",), weight: str | None = None) -> DataFrame:
+def interaction_estimate(observations: DataFrame, animal: str, mobile_object: str, relation: str, by: tuple[str, ...] = ("model_id",)) -> DataFrame:
     """Observed mean of the target cell, its additive expectation from the margins, their difference.
 
-    One pass: margins are conditional means of one aggregate. Groups without the target are left out.
-    ``weight`` counts each row so often (a resample's multiplicities)."""
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    One pass: margins are conditional means of one aggregate. Groups without the target are left out."""
     is_a, is_o, is_r = F.col("animal") == animal, F.col("mobile_object") == mobile_object, F.col("relation") == relation
-    mean = lambda cond: F.sum(F.when(cond, F.col("score") * w)) / F.sum(F.when(cond, w))
+    mean = lambda cond: F.avg(F.when(cond, F.col("score")))
     return (
         observations.groupBy(*by)
         .agg(
@@ -45,22 +43,50 @@ def interaction_estimate(observations: DataFrame, animal: str, mobile_object: st
     )
 
 
-def interaction_bootstrap(observations: DataFrame, animal: str, mobile_object: str, relation: str, samples: int = 1000, seed: int = 0, cell: tuple[str, ...] = ("animal", "mobile_object", "relation"), order: tuple[str, ...] = ("observation_id", "score")) -> DataFrame:
+def _parted(counted: DataFrame, keys: list[str]) -> DataFrame:
+    """``counted`` (keys, score, n) with the part of its cell that a score belongs to and the sizes of all
+    parts in order; cells of few distinct scores are one part."""
+    distinct = counted.groupBy(*keys).agg(F.count("*").alias("_scores"))
+    part = F.when(F.col("_scores") > PART_SCORES, F.pmod(F.xxhash64("score"), F.ceil(F.col("_scores") / PART_SCORES))).otherwise(F.lit(0))
+    parts = counted.join(distinct, keys).withColumn("part", part.cast("long")).drop("_scores")
+    sizes = parts.groupBy(*keys, "part").agg(F.sum("n").alias("n")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("part", "n"))).alias("sizes"))
+    return parts.join(sizes, keys)
+
+
+def interaction_bootstrap(observations: DataFrame, animal: str, mobile_object: str, relation: str, samples: int = 1000, seed: int = 0, cell: tuple[str, ...] = ("animal", "mobile_object", "relation")) -> DataFrame:
     """Standard error and percentile interval of each model's interaction when every cell's rows are
-    drawn anew with replacement. Cells are first summed by distinct score, so a resample moves
-    multiplicities of cell members and never copies rows across the cluster: each draw is a hash of
-    (seed, sample, cell, position), equal on every run."""
+    drawn anew with replacement.
+
+    Rows are first counted by (cell, score): a cell's draws are then multinomial counts of its distinct
+    scores, and only their sums leave a task, one array a cell. A cell of very many distinct scores is
+    split into parts; the draws that each part gets are multinomial themselves, drawn alike in each of
+    its tasks. Generators are seeded by (seed, cell, part), so reruns agree."""
     keys = ["model_id", *cell]
-    cells = Window.partitionBy(*keys)
-    numbered = observations.withColumn("_i", F.row_number().over(cells.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(cells))
-    drawn = (
-        numbered.select(*keys, "_i", "_n", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample"))
-        .withColumn("_i", hash_index(F.col("_n"), F.lit(seed), F.col("sample"), *[F.col(k) for k in keys], F.col("_i")))
-        .groupBy("sample", *keys, "_i").agg(F.count("*").alias("_w"))
-    )
-    weighted = drawn.join(numbered.select(*keys, "_i", "score"), [*keys, "_i"])
-    each = interaction_estimate(weighted, animal, mobile_object, relation, by=("model_id", "sample"), weight="_w")
-    spread = each.groupBy("model_id").agg(F.stddev_pop("interaction").alias("standard_error"), F.array_sort(F.collect_list("interaction")).alias("_all"))
+    counted = observations.groupBy(*keys, "score").agg(F.count("*").alias("n"))
+    schema = ", ".join([f"`{k}` {dict(observations.dtypes)[k]}" for k in keys] + ["n bigint", "totals array<double>"])
+
+    def draw(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("score", kind="stable")
+        first, part = group.iloc[0], int(group["part"].iloc[0])
+        name = "|".join([str(seed), *(str(first[k]) for k in keys)])
+        rng = lambda text: np.random.Generator(np.random.PCG64(int.from_bytes(hashlib.sha256(text.encode()).digest()[:8], "big")))
+        sizes = np.array([s["n"] for s in first["sizes"]], np.int64)
+        at = [s["part"] for s in first["sizes"]].index(part)
+        draws = rng(name).multinomial(sizes.sum(), sizes / sizes.sum(), samples)[:, at]
+        score, share = group["score"].to_numpy(float), group["n"].to_numpy(float) / group["n"].sum()
+        own, totals, step = rng(f"{name}|{part}"), [], max(1, (1 << 22) // len(group))
+        for lo in range(0, samples, step):
+            totals.append(own.multinomial(draws[lo : lo + step], share) @ score)
+        row = {k: [first[k]] for k in keys} | {"n": [int(group["n"].sum())], "totals": [np.concatenate(totals)]}
+        return pd.DataFrame(row)
+
+    drawn = _parted(counted, keys).groupBy(*keys, "part").applyInPandas(draw, schema)
+    is_a, is_o, is_r = F.col("animal") == animal, F.col("mobile_object") == mobile_object, F.col("relation") == relation
+    conditions = {"g": F.lit(True), "a": is_a, "o": is_o, "r": is_r, "t": is_a & is_o & is_r}
+    each = drawn.select("model_id", "n", *[c.alias(f"in_{k}") for k, c in conditions.items()], F.posexplode("totals").alias("sample", "total"))
+    sums = each.groupBy("model_id", "sample").agg(*[(F.sum(F.when(F.col(f"in_{k}"), F.col("total"))) / F.sum(F.when(F.col(f"in_{k}"), F.col("n")))).alias(k) for k in conditions])
+    effect = sums.where("t is not null").select("model_id", (F.col("t") - _clamped(F.col("a") + F.col("o") + F.col("r") - 2 * F.col("g"))).alias("interaction"))
+    spread = effect.groupBy("model_id").agg(F.stddev_pop("interaction").alias("standard_error"), F.array_sort(F.collect_list("interaction")).alias("_all"))
     at = lambda p: F.get("_all", F.floor(p * (F.size("_all") - 1)).cast("int"))
     return spread.select("model_id", "standard_error", at(LOW).alias("ci_low"), at(HIGH).alias("ci_high"), F.size("_all").cast("long").alias("samples"))
 
@@ -79,10 +105,22 @@ def shrink_interactions(estimates: DataFrame) -> DataFrame:
     return random.select("model_id", "interaction", "pooled", "tau2", weight.alias("weight"), (weight * F.col("interaction") + (1 - weight) * F.col("pooled")).alias("shrunk"))
 
 
-@F.pandas_udf(T.DoubleType())
-def normal_cdf(x: pd.Series) -> pd.Series:
-    """The standard normal distribution function (Spark has no error function)."""
-    return x.map(lambda v: 0.5 * (1 + math.erf(v / math.sqrt(2))))
+def normal_cdf(x: Column) -> Column:
+    """The standard normal distribution function (Spark has no error function). Up to 6 from the mean its
+    Taylor series, whose terms all have one sign; beyond, where it is below 1e-9, the tail's continued
+    fraction. The absolute error is about 1e-15."""
+    u = F.least(F.abs(x), F.lit(6.0))
+    series = F.aggregate(
+        F.sequence(F.lit(1), F.lit(120)),
+        F.struct(u.alias("term"), u.alias("sum")),
+        lambda a, k: F.struct((a["term"] * u * u / (2 * k + 1)).alias("term"), (a["sum"] + a["term"] * u * u / (2 * k + 1)).alias("sum")),
+        lambda a: a["sum"],
+    )
+    density = lambda v: F.exp(-v * v / 2) / math.sqrt(2 * math.pi)
+    far = F.greatest(F.abs(x), F.lit(6.0))
+    tail = density(far) / F.aggregate(F.sequence(F.lit(40), F.lit(1), F.lit(-1)), far, lambda a, k: far + k / a)
+    upper = F.when(F.abs(x) <= 6, 0.5 + density(u) * series).otherwise(1 - tail)
+    return F.when(x >= 0, upper).otherwise(F.when(F.abs(x) <= 6, 1 - upper).otherwise(tail))
 
 
 def superiority_probabilities(estimates: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from brightloom.functions.draws import hash_number, stable_id, stable_seed
+from brightloom.operators.ordered import hash_range, with_ahead
 
 
 def factorial_cells(tasks: DataFrame, models: DataFrame, replicates: int, stage: str, base_seed: int) -> DataFrame:
@@ -93,9 +94,10 @@ def next_ready(cells: DataFrame, limit: int) -> DataFrame:
 
 def split_sealed(tasks: DataFrame, fraction: float, seed: int) -> DataFrame:
     """``tasks`` with sealed: heritage tasks stay public, of the rest the first share in hash order."""
-    order = Window.partitionBy("is_heritage").orderBy(hash_number(F.lit(seed), F.col("task_id")), "task_id")
-    every = Window.partitionBy("is_heritage")
-    return tasks.withColumn("sealed", ~F.col("is_heritage") & (F.row_number().over(order) <= F.round(F.count("*").over(every) * fraction)))
+    hashed = tasks.withColumn("_h", hash_number(F.lit(seed), F.col("task_id")))
+    placed = with_ahead(hashed, ["is_heritage"], hash_range(F.col("_h"), 48), ["_h", "task_id"], {"_before": F.lit(1)})
+    rest = tasks.agg(F.count_if(~F.col("is_heritage")).alias("_n"))
+    return placed.join(F.broadcast(rest)).select(*tasks.columns, (~F.col("is_heritage") & (F.col("_before") < F.round(F.col("_n") * fraction))).alias("sealed"))
 
 
 def set_commitment(tasks: DataFrame, columns: list[str]) -> DataFrame:

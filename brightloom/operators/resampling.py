@@ -5,9 +5,10 @@ from __future__ import annotations
 import itertools
 import math
 import random
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -17,17 +18,30 @@ from brightloom.functions.draws import hash_index
 MAX_DEGENERATE, MIN_VALID = 0.10, 0.90
 
 
-def cluster_bootstrap_mean(rows: DataFrame, samples: int, seed: int = 0) -> DataFrame:
-    """One row: mean of (cluster, value), its bootstrap interval when whole clusters are drawn, and
-    whether too many resamples were degenerate. Clusters shrink to (sum, count) before anything is
-    multiplied by the number of samples."""
-    clusters = rows.groupBy("cluster").agg(F.sum("value").alias("s"), F.count("value").alias("n"))
+def mean_of_clusters(c: dict[str, Column]) -> Column:
+    """The mean over the rows of the drawn clusters; null without a row."""
+    return c["s"] / F.when(c["n"] > 0, c["n"])
+
+
+def root_mean_square(c: dict[str, Column]) -> Column:
+    """The root mean square over the rows of the drawn clusters; null without a row."""
+    return F.sqrt(c["q"] / F.when(c["n"] > 0, c["n"]))
+
+
+def cluster_bootstrap(rows: DataFrame, samples: int = 10_000, seed: int = 0, statistic: Callable[[dict[str, Column]], Column] = mean_of_clusters) -> DataFrame:
+    """One row: a statistic of (cluster, value), its bootstrap interval when whole clusters are drawn, and
+    whether too many resamples were degenerate (null). ``statistic`` is an expression over summed figures
+    of the drawn clusters: s and q, the sums of values and squares, and n, the rows with a value. Clusters
+    shrink to these before anything is multiplied by the number of samples."""
+    value = F.col("value").cast("double")
+    clusters = rows.groupBy("cluster").agg(F.sum(value).alias("s"), F.sum(value * value).alias("q"), F.count("value").alias("n"))
     numbered = clusters.withColumn("i", F.row_number().over(Window.orderBy("cluster")) - 1).withColumn("k", F.count("*").over(Window.partitionBy()))
     drawn = numbered.select("k", "i", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample")).select("sample", hash_index(F.col("k"), F.lit(seed), F.col("sample"), F.col("i")).alias("i"))
-    each = drawn.join(numbered.select("i", "s", "n"), "i").groupBy("sample").agg((F.sum("s") / F.when(F.sum("n") > 0, F.sum("n"))).alias("mean"))
-    spread = each.agg(F.array_sort(F.array_agg("mean")).alias("all"), F.count("*").alias("samples"), F.count("mean").alias("valid"))
+    figures = {name: F.sum(name) for name in ("s", "q", "n")}
+    each = drawn.join(numbered.select("i", "s", "q", "n"), "i").groupBy("sample").agg(statistic(figures).alias("x"))
+    spread = each.agg(F.array_sort(F.array_agg("x")).alias("all"), F.count("*").alias("samples"), F.count("x").alias("valid"))
     at = lambda p: F.get("all", F.floor(p * (F.size("all") - 1)).cast("int"))
-    point = clusters.agg((F.sum("s") / F.sum("n")).alias("estimate"), F.count("*").alias("clusters"))
+    point = clusters.agg(statistic(figures).alias("estimate"), F.count("*").alias("clusters"))
     failed = ((F.col("samples") - F.col("valid")) / F.col("samples") > MAX_DEGENERATE) | (F.col("valid") / F.col("samples") < MIN_VALID)
     return point.join(F.broadcast(spread)).select("estimate", "clusters", at(0.025).alias("ci_low"), at(0.975).alias("ci_high"), (F.col("samples") - F.col("valid")).alias("degenerate"), failed.alias("fail_closed"))
 

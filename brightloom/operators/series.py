@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from brightloom.operators.ordered import key_range, with_ahead
+
 
 def metric_trends(observations: DataFrame) -> DataFrame:
     """By metric: count, first, last, mean and least-squares slope against the position 0 .. n - 1 in
     time order (null times first, ties by seq). Columns: metric, observed_at, seq, value."""
-    order = Window.partitionBy("metric").orderBy(F.col("observed_at").asc_nulls_first(), "seq")
-    placed = observations.withColumn("i", (F.row_number().over(order) - 1).cast("double"))
+    is_text = dict(observations.dtypes)["observed_at"] == "string"  # ordered as text, which has no quantiles: one range
+    at = F.lit(0) if is_text else key_range(observations, F.col("observed_at").cast("timestamp"))
+    placed = with_ahead(observations, ["metric"], at, [F.col("observed_at").asc_nulls_first(), "seq"], {"_i": F.lit(1)}).withColumn("i", F.col("_i").cast("double"))
     slope = F.when(F.count("*") < 2, F.lit(0.0)).otherwise(F.regr_slope("value", "i"))
     return placed.groupBy("metric").agg(F.count("*").alias("n"), F.min_by("value", "i").alias("first_value"), F.max_by("value", "i").alias("last_value"), F.avg("value").alias("mean_value"), slope.alias("slope"))
 

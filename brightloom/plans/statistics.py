@@ -35,31 +35,16 @@ def interaction_estimate(spark, sf_dir):
     return rounded(interaction.interaction_estimate(observations(spark, sf_dir), *TARGET))
 
 
-_BOOT = f"""WITH {OBS},
-num AS (SELECT *, row_number() OVER (PARTITION BY model_id, animal, mobile_object, relation ORDER BY observation_id, score) - 1 AS i,
-  count(*) OVER (PARTITION BY model_id, animal, mobile_object, relation) AS n FROM obs),
-draw AS (SELECT sample, model_id, animal, mobile_object, relation,
-  ('0x' || substr(sha256('5|' || sample || '|' || model_id || '|' || animal || '|' || mobile_object || '|' || relation || '|' || i), 1, 12))::BIGINT % n AS i
-  FROM num, range(0, 20) t(sample)),
-w AS (SELECT draw.*, score FROM draw JOIN num USING (model_id, animal, mobile_object, relation, i)),
-e AS (SELECT sample, model_id, avg(score) FILTER (animal = '1-URGENT' AND mobile_object = 'O' AND relation = 'O')
-  - least(1, greatest(0, avg(score) FILTER (animal = '1-URGENT') + avg(score) FILTER (mobile_object = 'O') + avg(score) FILTER (relation = 'O') - 2 * avg(score))) AS x
-  FROM w GROUP BY ALL),
-v AS (SELECT * FROM e WHERE x IS NOT NULL)
-SELECT model_id, round(stddev_pop(x), 6) AS standard_error, round(list_sort(list(x))[floor(0.025 * (count(*) - 1))::INT + 1], 6) AS ci_low,
-  round(list_sort(list(x))[floor(0.975 * (count(*) - 1))::INT + 1], 6) AS ci_high, count(*) AS samples FROM v GROUP BY model_id"""
-
-
-@query(_BOOT)
+@query()
 def interaction_bootstrap(spark, sf_dir):
-    """Resampled standard error and interval of the interaction."""
-    return rounded(interaction.interaction_bootstrap(observations(spark, sf_dir), *TARGET, samples=20, seed=5))
+    """Resampled standard error and interval of the interaction, of 1,000 resamples."""
+    return rounded(interaction.interaction_bootstrap(observations(spark, sf_dir), *TARGET, seed=5))
 
 
 @query()
 def interaction_bootstrap_1000(spark, sf_dir):
-    """The same with the operator's 1,000 resamples, too many for the SQL on whole tables."""
-    return rounded(interaction.interaction_bootstrap(observations(spark, sf_dir), *TARGET, seed=5))
+    """The same by its longer name."""
+    return interaction_bootstrap(spark, sf_dir)
 
 
 def _estimates(spark, sf_dir):
@@ -90,7 +75,13 @@ def rank_with_uncertainty(spark, sf_dir):
     return rounded(interaction.rank_with_uncertainty(_estimates(spark, sf_dir)))
 
 
-@query()
+_TERMS = "[k for k in range(1, 121)]"
+
+
+@query(_EST + f""", z AS (SELECT a.model_id AS model_a, b.model_id AS model_b, (a.interaction - b.interaction) / sqrt(a.standard_error ** 2 + b.standard_error ** 2) AS z FROM x a JOIN x b ON a.model_id <> b.model_id),
+f AS (SELECT *, least(abs(z), 8.0) AS u FROM z),
+p AS (SELECT *, 0.5 + exp(-u * u / 2) / sqrt(2 * pi()) * u * (1 + list_sum(list_transform({_TERMS}, lambda k: exp(2 * k * ln(greatest(u, 1e-300)) - list_sum(list_transform(range(1, k + 1), lambda j: ln(2 * j + 1))))))) AS q FROM f)
+SELECT model_a, model_b, round(CASE WHEN z >= 0 THEN q ELSE 1 - q END, 6) AS probability FROM p""")
 def superiority_probabilities(spark, sf_dir):
     """Probability that one model's interaction exceeds another's."""
     return rounded(interaction.superiority_probabilities(_estimates(spark, sf_dir)))
@@ -163,10 +154,10 @@ def preference_scores(spark, sf_dir):
     return rounded(ratings.fit_preferences(_votes(spark, sf_dir)))
 
 
-@query("""WITH h AS (SELECT least(9, greatest(0, floor(l_discount * 10 * 10)::INT)) AS b, count(*) FILTER (l_returnflag = 'A') AS p, count(*) FILTER (l_returnflag = 'R') AS q FROM lineitem GROUP BY 1),
-f AS (SELECT i, coalesce(p, 0) / sum(p) OVER () AS p, coalesce(q, 0) / sum(q) OVER () AS q, coalesce(p, 0) AS pn, coalesce(q, 0) AS qn FROM range(0, 10) t(i) LEFT JOIN h ON b = i),
-g AS (SELECT sum((q - p) * ln((q + 1e-6) / (p + 1e-6))) AS x, max(abs(q - p)) AS m, sum(pn)::BIGINT AS baseline_n, sum(qn)::BIGINT AS candidate_n FROM f)
-SELECT round(x, 6) AS stability_index, round(m, 6) AS max_bin_shift, baseline_n, candidate_n, CASE WHEN x >= 0.25 THEN 'new-major-release-and-bridge-study' WHEN x >= 0.1 THEN 'investigate-and-recalibrate' ELSE 'none' END AS action FROM g""")
+@query("""WITH h AS (SELECT least(9, greatest(0, floor(l_discount * 10 * 10)::INT)) AS b, count(*) FILTER (l_returnflag = 'A') AS p, count(*) FILTER (l_returnflag = 'R') AS q, sum(l_discount * 10) FILTER (l_returnflag = 'A') AS sp, sum(l_discount * 10) FILTER (l_returnflag = 'R') AS sq FROM lineitem GROUP BY 1),
+f AS (SELECT i, coalesce(p, 0) / sum(p) OVER () AS p, coalesce(q, 0) / sum(q) OVER () AS q, coalesce(p, 0) AS pn, coalesce(q, 0) AS qn, sp, sq FROM range(0, 10) t(i) LEFT JOIN h ON b = i),
+g AS (SELECT sum((q - p) * ln((q + 1e-6) / (p + 1e-6))) AS x, max(abs(q - p)) AS m, sum(pn)::BIGINT AS baseline_n, sum(qn)::BIGINT AS candidate_n, sum(sp) / sum(pn) AS a, sum(sq) / sum(qn) AS b FROM f)
+SELECT round(a, 6) AS baseline_mean, round(b, 6) AS candidate_mean, round(b - a, 6) AS mean_shift, round(x, 6) AS stability_index, round(m, 6) AS max_bin_shift, baseline_n, candidate_n, CASE WHEN x >= 0.25 THEN 'new-major-release-and-bridge-study' WHEN x >= 0.1 THEN 'investigate-and-recalibrate' ELSE 'none' END AS action FROM g""")
 def score_drift(spark, sf_dir):
     """Stability index of returned against accepted lines."""
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("group"), (F.col("l_discount") * 10).alias("score"))
@@ -225,19 +216,19 @@ def _clusters(spark, sf_dir):
 
 @query("""WITH c AS (SELECT c_nationkey::VARCHAR AS cluster, sum(c_acctbal) AS s, count(c_acctbal) AS n FROM customer GROUP BY 1),
 m AS (SELECT *, row_number() OVER (ORDER BY cluster) - 1 AS i, count(*) OVER () AS k FROM c),
-d AS (SELECT sample, ('0x' || substr(sha256('3|' || sample || '|' || i), 1, 12))::BIGINT % k AS i FROM m, range(0, 200) t(sample)),
+d AS (SELECT sample, ('0x' || substr(sha256('3|' || sample || '|' || i), 1, 12))::BIGINT % k AS i FROM m, range(0, 10000) t(sample)),
 e AS (SELECT sample, sum(s) / sum(n) AS x FROM d JOIN m USING (i) GROUP BY 1)
 SELECT (SELECT round(sum(s) / sum(n), 4) FROM c) AS estimate, (SELECT count(*) FROM c) AS clusters, round(list_sort(list(x))[floor(0.025 * (count(*) - 1))::INT + 1], 4) AS ci_low,
 round(list_sort(list(x))[floor(0.975 * (count(*) - 1))::INT + 1], 4) AS ci_high, count(*) FILTER (x IS NULL) AS degenerate, false AS fail_closed FROM e""")
 def cluster_bootstrap(spark, sf_dir):
-    """Interval of the mean balance when nations are drawn."""
-    return rounded(resampling.cluster_bootstrap_mean(_clusters(spark, sf_dir), samples=200, seed=3), 4)
+    """Interval of the mean balance when nations are drawn 10,000 times."""
+    return rounded(resampling.cluster_bootstrap(_clusters(spark, sf_dir), seed=3), 4)
 
 
-@query()
+@query(ORACLES["cluster_bootstrap"])
 def cluster_bootstrap_10000(spark, sf_dir):
-    """The same with 10,000 resamples."""
-    return rounded(resampling.cluster_bootstrap_mean(_clusters(spark, sf_dir), samples=10_000, seed=3), 4)
+    """The same by its longer name."""
+    return cluster_bootstrap(spark, sf_dir)
 
 
 @query("WITH c AS (SELECT c_nationkey::VARCHAR AS cluster, sum(c_acctbal) AS s, count(*) AS n FROM customer GROUP BY 1) SELECT cluster, round((sum(s) OVER () - s) / (sum(n) OVER () - n), 4) AS mean_without, (sum(n) OVER () - n)::BIGINT AS rows_left FROM c")

@@ -5,9 +5,11 @@ from collections import Counter
 from itertools import combinations, product
 from statistics import pstdev
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from brightloom.operators import interaction, ratings, resampling, scores, series
+from brightloom.operators import interaction, ordered, planning, ratings, resampling, scores, series
 from brightloom.plans import statistics
 
 
@@ -97,7 +99,7 @@ def test_trend_and_trajectory(spark):
 
 def test_resampling_is_reproducible_and_leaves_one_out(spark):
     df = spark.createDataFrame([(str(i % 6), float(i)) for i in range(60)], "cluster string, value double")
-    a, b = (rows(resampling.cluster_bootstrap_mean(df, 50, 1))[0] for _ in range(2))
+    a, b = (rows(resampling.cluster_bootstrap(df, 50, 1))[0] for _ in range(2))
     assert a == b and a["ci_low"] <= a["estimate"] <= a["ci_high"] and not a["fail_closed"]
     for r in rows(resampling.leave_one_cluster_out(df)):
         rest = [float(i) for i in range(60) if str(i % 6) != r["cluster"]]
@@ -107,6 +109,59 @@ def test_resampling_is_reproducible_and_leaves_one_out(spark):
     assert r["method"] == "exact" and r["rho"] == pytest.approx(1) and r["p_value"] == pytest.approx(2 / 24)
 
 
+def test_two_step_positions_and_ranks_equal_plain_ones(spark, monkeypatch):
+    rng = random.Random(12)
+    data = [(rng.choice("ab"), rng.choice([None, 1.0, 2.0, 2.5, -3.0, 1e9, rng.random()]), i) for i in range(400)]
+    df = spark.createDataFrame(data, "g string, v double, i long")
+    got = rows(ordered.with_ahead(df, ["g"], ordered.key_range(df, F.col("v"), 8), [F.col("v").asc_nulls_first(), "i"], {"before": F.lit(1), "sum": F.col("i")}))
+    for g in "ab":
+        mine = sorted((r for r in data if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        at = {r["i"]: r for r in got if r["g"] == g}
+        assert len(at) == len(mine)
+        total = 0
+        for k, r in enumerate(mine):
+            assert (at[r[2]]["before"], at[r[2]]["sum"]) == (k, total)
+            total += r[2]
+    pairs = [(rng.choice([1.0, 2.0, rng.random()]), rng.choice([0.0, 1.0, 5.0])) for _ in range(300)]
+
+    def ranks(xs):
+        order = sorted(xs)
+        first = {x: order.index(x) for x in order}
+        n = Counter(xs)
+        return [first[x] + (n[x] + 1) / 2 for x in xs]
+
+    rx, ry = ranks([p[0] for p in pairs]), ranks([p[1] for p in pairs])
+    (r,) = rows(scores.spearman(spark.createDataFrame(pairs, "x double, y double")))
+    assert r["n"] == 300 and r["rho"] == pytest.approx(float(np.corrcoef(rx, ry)[0, 1]))
+    (r,) = rows(scores.spearman(spark.createDataFrame([], "x double, y double")))
+    assert (r["n"], r["rho"]) == (0, None)
+    tasks = spark.createDataFrame([(f"t{i}", i % 5 == 0) for i in range(200)], "task_id string, is_heritage boolean")
+    sealed = rows(planning.split_sealed(tasks, 0.3, 4))
+    assert len(sealed) == 200 and sum(r["sealed"] for r in sealed) == 48 and not any(r["sealed"] for r in sealed if r["is_heritage"])
+
+
+def test_normal_distribution_function(spark):
+    values = [-40.0, -9.0, -6.0, -5.9, -2.5, -1e-9, 0.0, 0.3, 1.96, 4.0, 6.0, 6.1, 9.0, 40.0]
+    for r in rows(spark.createDataFrame([(v,) for v in values], "x double").select("x", interaction.normal_cdf(F.col("x")).alias("p"))):
+        assert r["p"] == pytest.approx(0.5 * math.erfc(-r["x"] / math.sqrt(2)), rel=1e-9, abs=1e-15)
+
+
+def test_cluster_bootstrap_of_another_statistic(spark):
+    df = spark.createDataFrame([(str(i % 6), float(i)) for i in range(60)] + [("z", None)], "cluster string, value double")
+    (r,) = rows(resampling.cluster_bootstrap(df, 200, 1, resampling.root_mean_square))
+    assert r["estimate"] == pytest.approx(math.sqrt(sum(i * i for i in range(60)) / 60)) and r["clusters"] == 7 and r["ci_low"] < r["estimate"] < r["ci_high"]
+
+
+def test_drift_reports_means_and_rejects_scores_out_of_range(spark):
+    df = spark.createDataFrame([("b", 0.1)] * 20 + [("c", 0.9)] * 20 + [("other", 7.0)], "group string, score double")
+    (r,) = rows(scores.compare_distributions(df, "b", "c"))
+    assert (r["baseline_mean"], r["candidate_mean"], r["mean_shift"]) == (pytest.approx(0.1), pytest.approx(0.9), pytest.approx(0.8))
+    with pytest.raises(Exception, match="from 0 to 1"):
+        rows(scores.compare_distributions(df.union(df.selectExpr("'c'", "1.5")), "b", "c"))
+    with pytest.raises(Exception, match="no scores"):
+        rows(scores.compare_distributions(df, "b", "absent"))
+
+
 def _draw(n, *parts):
     return int(hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()[:12], 16) % n
 
@@ -119,17 +174,30 @@ def test_whole_bootstraps_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(statistics, "observations", lambda *_: df)
     monkeypatch.setattr(statistics, "_clusters", lambda *_: spark.createDataFrame([(c, v) for c, vs in clusters.items() for v in vs], "cluster string, value double"))
     mean = lambda xs: sum(xs) / len(xs)
-    cells, effects = {}, []
+    cells, effects, listed = {}, [], []
     for m, a, o, r, score, _ in data:
         cells.setdefault((m, a, o, r), []).append(score)
-    for sample in range(1000):
-        drawn = [(k, v[_draw(len(v), 5, sample, *k, i)]) for k, v in cells.items() for i in range(len(v))]
+
+    def effect(drawn):
         margin = [mean([x for k, x in drawn if k[at] == name]) for at, name in ((1, "1-URGENT"), (2, "O"), (3, "O"))]
-        effects.append(mean([x for k, x in drawn if k[1:] == ("1-URGENT", "O", "O")]) - min(1, max(0, sum(margin) - 2 * mean([x for _, x in drawn]))))
+        return mean([x for k, x in drawn if k[1:] == ("1-URGENT", "O", "O")]) - min(1, max(0, sum(margin) - 2 * mean([x for _, x in drawn])))
+
+    counts = {}
+    for k, v in cells.items():
+        seed = lambda text: np.random.Generator(np.random.PCG64(int.from_bytes(hashlib.sha256(text.encode()).digest()[:8], "big")))
+        n = Counter(v)
+        counts[k] = sorted(n), seed("|".join(["5", *k]) + "|0").multinomial(len(v), [n[x] / len(v) for x in sorted(n)], 1000)
+    for sample in range(1000):
+        effects.append(effect([(k, x) for k, (values, m) in counts.items() for x, n in zip(values, m[sample]) for _ in range(n)]))
+        listed.append(effect([(k, rng.choice(v)) for k, v in cells.items() for _ in v]))
     (r,) = rows(statistics.QUERIES["interaction_bootstrap_1000"](spark, ""))
     effects.sort()
     assert r["samples"] == 1000 and r["standard_error"] == pytest.approx(pstdev(effects), abs=2e-6)
     assert (r["ci_low"], r["ci_high"]) == (pytest.approx(effects[24], abs=2e-6), pytest.approx(effects[974], abs=2e-6))
+    assert r["standard_error"] == pytest.approx(pstdev(listed), rel=0.1)  # rows drawn one by one
+    monkeypatch.setattr(interaction, "PART_SCORES", 2)  # cells in parts: another stream, the same distribution
+    (split,) = rows(statistics.QUERIES["interaction_bootstrap_1000"](spark, ""))
+    assert split["samples"] == 1000 and split["standard_error"] == pytest.approx(pstdev(listed), rel=0.1)
     names = sorted(clusters)
     means = sorted(mean([v for i in range(5) for v in clusters[names[_draw(5, 3, sample, i)]]]) for sample in range(10_000))
     (r,) = rows(statistics.QUERIES["cluster_bootstrap_10000"](spark, ""))
