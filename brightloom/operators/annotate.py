@@ -5,12 +5,16 @@ Word boundaries are written out as ``(^|[^\p{L}\p{N}_])`` in counts, which engin
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from brightloom.functions.spans import with_matches
+from brightloom.operators.integrity import content_hash
+
 # Lexicons and expressions of document annotation.
 ENTITY_TERMS = {
     "ANIMAL": ("pelican", "flamingo", "heron", "stork", "bird"),
@@ -77,11 +81,20 @@ MARKERS = {
 }
 
 
-def term_count(text: Column, term: str) -> Column:
-    """Whole-word occurrences of a term, in any case. The boundary after a match is looked at, not
-    used up, so that neighbouring words both count."""
-    literal = term.replace("-", r"\-")
-    return F.regexp_count(text, F.lit(rf"(?i)(?<![\p{{L}}\p{{N}}_]){literal}(?![\p{{L}}\p{{N}}_])"))
+_WORD_EDGE = r"[\p{L}\p{N}_]"
+_LABELS = {term: label for label, terms in ENTITY_TERMS.items() for term in terms}
+ENTITY = rf"(?i)(?<!{_WORD_EDGE})(?:" + "|".join(term.replace("-", r"\-") for term in _LABELS) + rf")(?!{_WORD_EDGE})"
+
+
+def _holds(low: Column, pattern: str) -> Column:
+    """Whether a lower-case text has a match. Alternatives that are plain words are looked up as such."""
+    if not re.fullmatch("[a-z |]+", pattern):
+        return low.rlike(pattern)
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(word)) for word in pattern.split("|")])
+
+
+def _named(low: Column, patterns: dict[str, str]) -> Column:
+    return F.array_compact(F.array(*[F.when(_holds(low, p), F.lit(name)) for name, p in patterns.items()]))
 
 
 def found(text: Column, patterns: dict[str, str], flags: str = "(?i)") -> Column:
@@ -89,19 +102,35 @@ def found(text: Column, patterns: dict[str, str], flags: str = "(?i)") -> Column
     return F.array_compact(F.array(*[F.when(text.rlike(flags + p), F.lit(name)) for name, p in patterns.items()]))
 
 
-def annotate_documents(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with entity counts by label, relations, categories and the first category."""
-    counts = F.create_map(*[x for label, terms in ENTITY_TERMS.items() for x in (F.lit(label), reduce(lambda a, b: a + b, [term_count(F.col(text), t) for t in terms]).cast("long"))])
-    out = docs.withColumn("entity_counts", counts).withColumn("relations", found(F.col(text), RELATIONS)).withColumn("categories", found(F.col(text), CATEGORIES))
-    return out.withColumn("category", F.coalesce(F.get("categories", F.lit(0)), F.lit("other")))
+def annotate_documents(docs: DataFrame, text: str = "text", source: str | None = None) -> DataFrame:
+    """``docs`` with entities (label, text, start, end in code points), entity counts by label, relations,
+    categories, the first category and text_hash; with a ``source`` column also idea_id, a hash of the
+    source, its categories and relations. The text is lowered once and searched once for all terms."""
+    out = docs.withColumn("_low", F.lower(text))
+    some = reduce(lambda a, b: a | b, [F.contains("_low", F.lit(term)) for term in _LABELS])
+    out = with_matches(out, text, ENTITY, some, "_found")
+    labels = F.create_map(*[F.lit(x) for pair in _LABELS.items() for x in pair])
+    entities = F.transform("_found", lambda m: F.struct(F.element_at(labels, F.lower(m["text"])).alias("label"), m["text"].alias("text"), m["start"].alias("start"), m["end"].alias("end")))
+    out = out.withColumn("entities", entities)
+    count = lambda label: F.size(F.filter("entities", lambda e: e["label"] == label)).cast("long")
+    out = out.withColumn("entity_counts", F.create_map(*[x for label in ENTITY_TERMS for x in (F.lit(label), count(label))]))
+    out = out.withColumn("relations", _named(F.col("_low"), RELATIONS)).withColumn("categories", _named(F.col("_low"), CATEGORIES))
+    out = out.withColumn("category", F.coalesce(F.get("categories", F.lit(0)), F.lit("other"))).withColumn("text_hash", content_hash(F.col(text)))
+    if source:
+        idea = F.sha2(F.to_json(F.struct("categories", "relations", F.col(source).alias("source"))).cast("binary"), 256)
+        out = out.withColumn("idea_id", F.concat(F.lit("idea:"), F.substring(idea, 1, 12)))
+    return out.drop("_low", "_found")
 
 
 def corpus_summary(annotated: DataFrame) -> DataFrame:
-    """Counts over all documents: (kind, name, n) for entities, categories, relations and documents."""
-    entities = annotated.select(F.explode("entity_counts").alias("name", "c")).groupBy("name").agg(F.sum("c").alias("n")).where("n > 0").select(F.lit("entity").alias("kind"), "name", "n")
-    listed = [annotated.select(F.explode(column).alias("name")).groupBy("name").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "name", "n") for kind, column in (("category", "categories"), ("relation", "relations"))]
-    total = annotated.agg(F.count("*").alias("n")).select(F.lit("documents").alias("kind"), F.lit("all").alias("name"), "n")
-    return entities.union(listed[0]).union(listed[1]).union(total)
+    """Counts over all documents: (kind, name, n) for entities, categories, relations and documents, in
+    one pass; names that never occur are left out."""
+    entities = [("entity", label, F.sum(F.element_at("entity_counts", F.lit(label)))) for label in ENTITY_TERMS]
+    listed = [(kind, name, F.count_if(F.array_contains(column, name))) for kind, column, names in (("category", "categories", CATEGORIES), ("relation", "relations", RELATIONS)) for name in names]
+    counts = [*entities, *listed, ("documents", "all", F.count("*"))]
+    one = annotated.agg(*[n.cast("long").alias(f"n{k}") for k, (_, _, n) in enumerate(counts)])
+    rows = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), F.col(f"n{k}").alias("n")) for k, (kind, name, _) in enumerate(counts)])
+    return one.select(F.explode(rows).alias("r")).select("r.*").where("n > 0 or kind = 'documents'")
 
 
 def _mentions(text: Column, aliases: dict[str, str]) -> Column:
@@ -142,13 +171,20 @@ def prompt_report(annotated: DataFrame) -> DataFrame:
 
 
 def design_coverage(annotated: DataFrame, tasks: DataFrame) -> DataFrame:
-    """(dimension, name, observed, planned): which animals and objects prompts mention and tasks plan,
-    and the share of distinct prompts that a task states word for word."""
+    """(dimension, name, observed, planned): which animals and objects prompts mention and tasks plan."""
     seen = [annotated.select(F.explode(f"{d}_mentions.canonical_id").alias("name")).distinct().select(F.lit(d).alias("dimension"), "name", F.lit(True).alias("observed")) for d in ("animal", "object")]
     planned = [tasks.select(F.col(d).alias("name")).distinct().select(F.lit(d).alias("dimension"), "name", F.lit(True).alias("planned")) for d in ("animal", "object")]
     return seen[0].union(seen[1]).join(planned[0].union(planned[1]), ["dimension", "name"], "full_outer").fillna(False, ["observed", "planned"])
 
 
+def prompt_coverage(prompts: DataFrame, tasks: DataFrame, prompt: str = "prompt") -> DataFrame:
+    """One row: distinct prompts, how many of them a task states word for word, and their share (0
+    without a prompt)."""
+    distinct, stated = prompts.select(F.col(prompt).alias("p")).distinct(), tasks.select(F.col(prompt).alias("p")).distinct().withColumn("stated", F.lit(1))
+    out = distinct.join(stated, "p", "left").agg(F.count("*").alias("prompts"), F.count("stated").alias("exact_matches"))
+    return out.withColumn("exact_coverage", F.when(F.col("prompts") > 0, F.col("exact_matches") / F.when(F.col("prompts") > 0, F.col("prompts"))).otherwise(0.0))
+
+
 def instruction_markers(text: Column) -> Column:
     """Names of the instruction-like expressions in a text."""
     return found(text, MARKERS, "(?is)")

@@ -10,10 +10,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 #: Accepted spellings of booleans, fields that a response must not have.
 TRUE, FALSE = ("true", "1", "yes", "y", "on"), ("false", "0", "no", "n", "off")
-SENSITIVE = ("address", "birth_date", "date_of_birth", "email", "full_name", "ip_address", "name", "phone", "telephone")
+SENSITIVE = ("address", "email", "ip", "ip_address", "name", "participant_id", "participant_name", "phone", "user_agent")
 
 
 def parsed_bool(text: Column) -> Column:
@@ -44,6 +45,25 @@ def hmac_alias(column: Column, secret: bytes, domain: str, length: int = 12) ->
     return alias(column)
 
 
+def custody_schedule(episodes: DataFrame, secret: bytes, duplicates: int = 10, domains: tuple[str, str, str] = ("alias", "selection", "order")) -> DataFrame:
+    """The order in which episodes (repair_id) are rated, each once and ``duplicates`` of them, those of
+    the least selection HMACs, twice: ordinal, assignment_alias, episode_alias, repair_id, occurrence and
+    is_duplicate. All aliases and orders are HMACs of a secret, so only its keeper can repeat them. A study's
+    episodes are few: one task numbers them."""
+    if len(secret) < 32:
+        raise ValueError("the secret must have 32 bytes or more")
+    digest = lambda domain, value: hmac_alias(value, secret, domain, 64)
+    named = episodes.select("repair_id", digest(domains[0], F.col("repair_id")).alias("alias"), digest(domains[1], F.col("repair_id")).alias("s"))
+    chosen = named.withColumn("twice", F.row_number().over(Window.orderBy("s", "repair_id")) <= duplicates)
+    each = chosen.withColumn("occurrence", F.explode(F.when(F.col("twice"), F.array(F.lit("primary"), F.lit("duplicate-1"))).otherwise(F.array(F.lit("primary")))))
+    key = F.concat("repair_id", F.lit("\x1f"), "occurrence")
+    keyed = each.withColumn("a", digest(domains[2], key)).withColumn("o", digest(domains[2], F.concat(F.lit("order\x1f"), key)))
+    return keyed.select(
+        F.row_number().over(Window.orderBy("o", "repair_id")).alias("ordinal"), F.concat(F.lit("assignment-"), F.substring("a", 1, 16)).alias("assignment_alias"),
+        F.concat(F.lit("episode-"), F.substring("alias", 1, 16)).alias("episode_alias"), "repair_id", "occurrence", (F.col("occurrence") != "primary").alias("is_duplicate"),
+    )
+
+
 def blind(records: DataFrame, aliases: DataFrame, columns: list[str]) -> DataFrame:
     """``records`` with the values of ``columns`` replaced by aliases (real, alias). Null stays null; a
     value without an alias raises an error when the row is read."""

@@ -6,7 +6,6 @@ checked against its predecessor, so replay is a window query, not a loop.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -83,28 +82,68 @@ def expired_leases(leases: DataFrame, now: Column) -> DataFrame:
     return leases.where((F.col("state") == "leased") & (F.col("expires_at") <= now)).select("cell_id", F.lit("ready").alias("new_state"), F.lit("lease-expired").alias("reason"), "expires_at")
 
 
-def lease(cells: DataFrame, limit: int, per_model: int, budget: float) -> DataFrame:
-    """Cells to lease: in order of stage, model, task and replicate, skipping those whose model is at
-    its cap or whose cost no longer fits. Skipping couples all rows, so one task folds over them, but
-    only over each model's first ``per_model`` affordable cells of either cost: no later cell of that
-    model and cost can be taken before those."""
-    order = Window.partitionBy("model_id", "estimated_cost").orderBy("stage_id", "task_id", "replicate")
-    near = cells.where("state = 'ready' and estimated_cost is not null").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_model).drop("_n")
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["stage_id", "model_id", "task_id", "replicate"])
-        taken, active, spent = [], {}, 0.0
-        for cell, model, cost in group[["cell_id", "model_id", "estimated_cost"]].itertuples(index=False):
-            if len(taken) >= limit:
+def lease(cells: DataFrame, limit: int, per_model: int, budget: float, held: DataFrame | None = None, spent: float = 0.0, batch: int = 5000) -> DataFrame:
+    """Ready cells to lease: in order of stage, model, task and replicate, skipping those whose model is
+    at its cap or whose cost no longer fits what is left of the budget. Leases already ``held``
+    (model_id, estimated_cost) count towards caps and reserve their cost; ``spent`` is gone. The result
+    has each cell's cost and the cost reserved with it, held leases included.
+
+    Skipping makes each choice depend on those before. The driver goes through the candidates in order,
+    at most ``batch`` at a time; each time Spark only looks for cells beyond the last one whose model has
+    room and whose cost fits, so at least one of a batch is taken, and at most ``limit`` in all."""
+    spark = cells.sparkSession
+    place = ("stage_id", "model_id", "task_id", "replicate")
+    active, reserved = {}, 0.0
+    if held is not None:
+        for row in held.groupBy("model_id").agg(F.count("*").alias("n"), F.coalesce(F.sum("estimated_cost"), F.lit(0.0)).alias("cost")).collect():  # one row a model
+            active[row["model_id"]] = row["n"]
+            reserved += row["cost"]
+    order = F.struct(*place)
+    ready = cells.where("state = 'ready' and estimated_cost is not null").select(*place, "cell_id", "estimated_cost")
+    taken, last = [], None
+    while len(taken) < limit:
+        full = [m for m, n in active.items() if n >= per_model]
+        left = ready.where(F.lit(spent + reserved) + F.col("estimated_cost") <= budget)
+        left = left.where(~F.col("model_id").isin(full)) if full else left
+        left = left.where(order > F.struct(*[F.lit(v) for v in last])) if last else left
+        rows = left.orderBy(*place).limit(batch).collect()
+        for row in rows:
+            last = tuple(row[c] for c in place)
+            if active.get(row["model_id"], 0) < per_model and spent + reserved + row["estimated_cost"] <= budget:
+                active[row["model_id"]] = active.get(row["model_id"], 0) + 1
+                reserved += row["estimated_cost"]
+                taken.append((row["cell_id"], row["model_id"], row["estimated_cost"], reserved))
+            if len(taken) == limit:
                 break
-            if active.get(model, 0) >= per_model or spent + cost > budget:
-                continue
-            active[model] = active.get(model, 0) + 1
-            spent += cost
-            taken.append((cell, model, cost, spent))
-        return pd.DataFrame(taken, columns=["cell_id", "model_id", "estimated_cost", "reserved_cost"])
-
-    return near.groupBy(F.lit("all")).applyInPandas(fold, "cell_id string, model_id string, estimated_cost double, reserved_cost double")
+        if len(rows) < batch:
+            break
+    return spark.createDataFrame(taken, "cell_id string, model_id string, estimated_cost double, reserved_cost double")
+
+
+def reconcile_executions(events: DataFrame, records: DataFrame) -> DataFrame:
+    """Findings about execution records against the terminal events of the log, both by cell_id,
+    lease_token and attempt: keys that repeat, one side without the other, fields that differ, costs
+    that are unknown or differ. Columns of events: campaign_id, worker_id, new_state, reason,
+    artifact_id, actual_cost; of records: campaign_id, worker_id, terminal_state, terminal_reason,
+    artifact_id, charged_cost. Of a key that repeats the least row of either side is compared."""
+    key = ["cell_id", "lease_token", "attempt"]
+    pairs = {"campaign_id": "campaign_id", "worker_id": "worker_id", "terminal_state": "new_state", "terminal_reason": "reason", "artifact_id": "artifact_id"}
+    ended = events.where(F.col("new_state").isin("succeeded", "failed", "quarantined") & F.col("worker_id").isNotNull())
+    nameless = ended.where("lease_token is null").select(*key, F.lit("event-without-token").alias("finding"))
+
+    def one(rows: DataFrame, columns: list[str], to: str) -> DataFrame:
+        found = rows.where("lease_token is not null").groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct(*columns)).alias("row"))
+        return found.select(*key, F.col("n").alias(f"{to}_n"), F.col("row").alias(to))
+
+    both = one(ended, [*pairs.values(), "actual_cost"], "e").join(one(records, [*pairs, "charged_cost"], "r"), key, "full_outer")
+    matched = F.col("e_n").isNotNull() & F.col("r_n").isNotNull()
+    cost = F.when(F.col("r.charged_cost").isNull(), "invalid-cost").when(F.abs(F.col("r.charged_cost") - F.col("e.actual_cost")) > TOLERANCE, "cost-mismatch")
+    findings = F.array(
+        F.when(F.col("e_n") > 1, "duplicate-event"), F.when(F.col("r_n") > 1, "duplicate-record"),
+        F.when(F.col("e_n").isNull(), "record-without-event"), F.when(F.col("r_n").isNull(), "event-without-record"),
+        *[F.when(matched & ~F.col(f"r.{mine}").eqNullSafe(F.col(f"e.{theirs}")), f"field-mismatch:{mine}") for mine, theirs in pairs.items()], F.when(matched, cost),
+    )
+    return both.select(*key, F.explode(F.array_compact(findings)).alias("finding")).union(nameless)
 
 
 def terminal_outcome(safe: Column, nonblank: Column, eligible: Column, error: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brightloom.functions.draws import stable_id
+
 
 def qualification(plan: DataFrame, outcomes: DataFrame, by: str, flags: list[str], gates: dict[str, float]) -> DataFrame:
     """By ``by``: planned and observed cells, each flag's rate over planned cells, whether all gates
@@ -58,3 +60,41 @@ def stopping_gates(metrics: DataFrame, least: dict[str, float]) -> DataFrame:
     for gate in gates.values():
         stop = stop & gate
     return metrics.select(*[g.alias(f"{name}_met") for name, g in gates.items()], stop.alias("may_stop"))
+
+
+def judge_plan(judges: DataFrame, canaries: DataFrame) -> DataFrame:
+    """A cell for each judge (judge_id, family, roles), role and canary (canary_id, artifact_id,
+    applicable_roles) to which the role applies, with a stable id."""
+    cells = judges.select("judge_id", "family", F.explode("roles").alias("role")).join(
+        canaries.select("canary_id", "artifact_id", F.explode(F.array_distinct("applicable_roles")).alias("role")), "role"
+    )
+    return cells.select(stable_id("JCEL", 20, F.col("judge_id"), F.col("role"), F.col("canary_id")).alias("cell_id"), "judge_id", "family", "role", "canary_id", "artifact_id")
+
+
+def judge_diversity(judges: DataFrame, minimums: DataFrame) -> DataFrame:
+    """By role of ``minimums`` (role, minimum): how many families of judges take it, and whether that is
+    enough."""
+    families = judges.select("family", F.explode("roles").alias("role")).groupBy("role").agg(F.count_distinct("family").alias("families"))
+    return minimums.join(families, "role", "left").fillna(0, ["families"]).withColumn("satisfied", F.col("families") >= F.col("minimum"))
+
+
+def runtime_profiles(models: DataFrame, profiles: DataFrame) -> DataFrame:
+    """``models`` (model_id) with the profile that lists them (profile_id, model_ids); null without one.
+    A model that several profiles list is an error when its row is read."""
+    listed = profiles.select("profile_id", F.explode(F.array_distinct("model_ids")).alias("model_id"))
+    found = listed.groupBy("model_id").agg(F.min("profile_id").alias("profile_id"), F.count("*").alias("_n"))
+    several = F.raise_error(F.concat(F.lit("several profiles list "), F.col("model_id")))
+    return models.join(found, "model_id", "left").withColumn("profile_id", F.when(F.col("_n") > 1, several).otherwise(F.col("profile_id"))).drop("_n")
+
+
+def reviewable(records: DataFrame, min_confidence: float) -> DataFrame:
+    """Machine-proposed records (review_status, confidence) that are sure enough for review. None is ever
+    promoted without a reviewer."""
+    return records.where((F.col("review_status") == "machine-proposed") & (F.col("confidence") >= min_confidence))
+
+
+def replicate_wave(models: int, tasks: int, current: int, target: int) -> tuple[int, int]:
+    """(replicates to add, cells to add) to come from ``current`` to ``target`` replicates."""
+    if target <= current:
+        raise ValueError("the target must exceed the current replicates")
+    return target - current, models * tasks * (target - current)

@@ -6,8 +6,7 @@ category counts, never listed.
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +44,19 @@ def nominal_alpha(ratings: DataFrame) -> DataFrame:
     return pairs.join(F.broadcast(categories)).select(F.col("total").alias("ratings"), "disagreement", expected.alias("expected"), alpha.alias("alpha"))
 
 
+def agreement_figures(ratings: DataFrame, by: list[str]) -> DataFrame:
+    """By ``by``: the share of equal pairs within items (consistency) and nominal alpha, null without an
+    item of two ratings."""
+    counts, items = _by_item(ratings, by)
+    several = items.where("n >= 2")
+    pairs = several.groupBy(*by).agg(F.sum("equal").alias("equal"), F.sum("pairs").alias("pairs"), F.sum("n").alias("total"))
+    categories = counts.join(several.select(*by, "item"), [*by, "item"], "left_semi").groupBy(*by, "category").agg(F.sum("n").alias("n")).groupBy(*by).agg(F.sum(F.col("n") * (F.col("n") - 1)).alias("same"))
+    both = pairs.join(categories, by).withColumn("consistency", F.col("equal") / F.col("pairs")).withColumn("expected", 1 - F.col("same") / (F.col("total") * (F.col("total") - 1)))
+    observed = 1 - F.col("consistency")
+    alpha = F.when(F.col("expected") == 0, F.when(observed == 0, 1.0).otherwise(0.0)).otherwise(1 - observed / F.when(F.col("expected") != 0, F.col("expected")))
+    return both.select(*by, "consistency", alpha.alias("alpha"))
+
+
 def label_disagreements(ratings: DataFrame, least_share: float = 2 / 3) -> DataFrame:
     """Items of several ratings whose most frequent category has less than ``least_share`` of them."""
     counts = ratings.groupBy("item", "category").agg(F.count("*").alias("n"))
@@ -70,20 +82,15 @@ def winner_counts(votes: DataFrame) -> DataFrame:
 
 
 def _fit(counted: pd.DataFrame) -> pd.DataFrame:
-    names = sorted({*counted["left"], *counted["right"]})
-    at = {n: k for k, n in enumerate(names)}
-    rows = [(at[a], at[b], {"left": 1.0, "right": 0.0}.get(w, 0.5), n) for a, b, w, n in counted[["left", "right", "winner", "n"]].itertuples(index=False)]
-    total = sum(r[3] for r in rows)
-    score = [0.0] * len(names)
+    names = np.array(sorted({*counted["left"], *counted["right"]}))
+    a, b = (np.searchsorted(names, counted[side].to_numpy()) for side in ("left", "right"))
+    outcome, n = counted["winner"].map({"left": 1.0, "right": 0.0}).fillna(0.5).to_numpy(), counted["n"].to_numpy(float)
+    score = np.zeros(len(names))
     for _ in range(ITERATIONS):
-        step = [-RIDGE * s for s in score]
-        for a, b, outcome, n in rows:
-            p = 1 / (1 + math.exp(-max(-CLIP, min(CLIP, score[a] - score[b]))))
-            step[a] += n * (outcome - p)
-            step[b] -= n * (outcome - p)
-        score = [s + RATE * g / total for s, g in zip(score, step)]
-        mean = sum(score) / len(score)
-        score = [s - mean for s in score]
+        pull = n * (outcome - 1 / (1 + np.exp(-np.clip(score[a] - score[b], -CLIP, CLIP))))
+        gradient = np.bincount(a, pull, len(names)) - np.bincount(b, pull, len(names)) - RIDGE * score
+        score = score + RATE * gradient / n.sum()
+        score = score - score.mean()
     return pd.DataFrame({"criterion": counted["criterion"].iloc[0], "name": names, "score": score})
 
 

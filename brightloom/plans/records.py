@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 
 from brightloom.functions import vector_source
-from brightloom.operators import annotate, concepts, integrity, ledger, planning, qualification, scorecard
+from brightloom.operators import annotate, calibration, concepts, integrity, ledger, planning, qualification, scorecard
 from brightloom.plans.base import registry, rounded
 from brightloom.session import table
 
@@ -72,15 +72,47 @@ def next_ready(spark, sf_dir):
     return planning.next_ready(_campaign(spark, sf_dir), 20).select("cell_id", "stage_id", "model_id", "task_id", "replicate")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_CAMPAIGN}, c AS (SELECT *, row_number() OVER (ORDER BY stage_id, model_id, task_id, replicate) AS pos FROM camp WHERE state = 'ready' AND estimated_cost IS NOT NULL),
+h AS (SELECT 'M' || s_suppkey AS m, unnest(range(0, CASE WHEN s_suppkey % 3 = 0 THEN 4 ELSE 1 END)) AS k FROM supplier WHERE s_suppkey < 8),
+st AS (SELECT 0 AS n, 0::BIGINT AS pos, (SELECT list(m) FROM h) AS models, (SELECT count(*) * 0.01::DOUBLE FROM h) AS reserved, NULL::STRUCT(pos BIGINT, model_id VARCHAR, cell_id VARCHAR, cost DOUBLE) AS b
+  UNION ALL SELECT n + 1, b.pos, list_append(models, b.model_id), reserved + b.cost, b FROM (
+    SELECT n, models, reserved, arg_min({{'pos': c.pos, 'model_id': c.model_id, 'cell_id': c.cell_id, 'cost': c.estimated_cost}}, c.pos) AS b
+    FROM st JOIN c ON c.pos > st.pos AND 0.5 + st.reserved + c.estimated_cost <= 2.5 AND len(list_filter(st.models, lambda m: m = c.model_id)) < 4 WHERE st.n < 40 GROUP BY n, models, reserved))
+SELECT b.cell_id AS cell_id, b.model_id AS model_id, round(b.cost, 6) AS estimated_cost, round(reserved, 6) AS reserved_cost FROM st WHERE n > 0""")
 def lease_cells(spark, sf_dir):
-    """Cells that one decision leases."""
-    return planning_lease(spark, sf_dir)
-
-
-def planning_lease(spark, sf_dir):
-    """Forty leases at most, four a model, within a budget."""
-    return rounded(ledger.lease(_campaign(spark, sf_dir), 40, 4, 2.0))
+    """Forty leases at most, four a model, within a budget of which some is spent and some held."""
+    held = table(spark, sf_dir, "supplier").where("s_suppkey < 8").select(
+        F.concat(F.lit("M"), F.col("s_suppkey").cast("string")).alias("model_id"), F.lit(0.01).alias("estimated_cost"), F.explode(F.sequence(F.lit(1), F.when(F.col("s_suppkey") % 3 == 0, 4).otherwise(1))).alias("k")
+    )
+    return rounded(ledger.lease(_campaign(spark, sf_dir), 40, 4, 2.5, held, 0.5))
+
+
+_RUNS = """ev AS (SELECT 'c' AS campaign_id, user_id::VARCHAR AS cell_id, CASE WHEN event_id % 41 <> 0 THEN 't' || event_id END AS lease_token, 1 AS attempt, CASE WHEN event_id % 13 <> 0 THEN 'w' || user_id % 7 END AS worker_id,
+  CASE event_type WHEN 'click' THEN 'succeeded' WHEN 'error' THEN 'failed' WHEN 'view' THEN 'leased' ELSE 'quarantined' END AS new_state, event_type AS reason, 'a' || event_id AS artifact_id, value AS actual_cost, event_id FROM events)"""
+
+
+@query(f"""WITH {_RUNS}, e AS (SELECT * FROM ev WHERE new_state <> 'leased' AND worker_id IS NOT NULL),
+r AS (SELECT cell_id, lease_token, attempt, campaign_id, CASE WHEN event_id % 17 = 0 THEN 'other' ELSE worker_id END AS worker_id, new_state AS terminal_state, reason AS terminal_reason, CASE WHEN event_id % 19 = 0 THEN NULL ELSE artifact_id END AS artifact_id,
+  CASE WHEN event_id % 23 = 0 THEN NULL WHEN event_id % 29 = 0 THEN actual_cost + 1 ELSE actual_cost END AS charged_cost FROM ev WHERE new_state <> 'leased' AND event_id % 31 <> 0 AND lease_token IS NOT NULL),
+b AS (SELECT coalesce(e.cell_id, r.cell_id) AS cell_id, coalesce(e.lease_token, r.lease_token) AS lease_token, coalesce(e.attempt, r.attempt) AS attempt, e.cell_id IS NOT NULL AS he, r.cell_id IS NOT NULL AS hr,
+  e.worker_id IS DISTINCT FROM r.worker_id AS dw, e.artifact_id IS DISTINCT FROM r.artifact_id AS da, r.charged_cost, e.actual_cost FROM (SELECT * FROM e WHERE lease_token IS NOT NULL) e FULL JOIN r USING (cell_id, lease_token, attempt))
+SELECT cell_id, lease_token, attempt, unnest(list_filter([CASE WHEN NOT he THEN 'record-without-event' END, CASE WHEN NOT hr THEN 'event-without-record' END, CASE WHEN he AND hr AND dw THEN 'field-mismatch:worker_id' END,
+  CASE WHEN he AND hr AND da THEN 'field-mismatch:artifact_id' END, CASE WHEN he AND hr THEN CASE WHEN charged_cost IS NULL THEN 'invalid-cost' WHEN abs(charged_cost - actual_cost) > 1e-8 THEN 'cost-mismatch' END END], lambda x: x IS NOT NULL)) AS finding FROM b
+UNION ALL SELECT cell_id, lease_token, attempt, 'event-without-token' FROM e WHERE lease_token IS NULL""")
+def execution_findings(spark, sf_dir):
+    """Execution records, some of them damaged, against terminal events."""
+    e, t = F.col("event_id"), F.col("event_type")
+    state = F.when(t == "click", "succeeded").when(t == "error", "failed").when(t == "view", "leased").otherwise("quarantined")
+    events = table(spark, sf_dir, "events").select(
+        F.lit("c").alias("campaign_id"), F.col("user_id").cast("string").alias("cell_id"), F.when(e % 41 != 0, F.concat(F.lit("t"), e.cast("string"))).alias("lease_token"), F.lit(1).alias("attempt"),
+        F.when(e % 13 != 0, F.concat(F.lit("w"), (F.col("user_id") % 7).cast("string"))).alias("worker_id"), state.alias("new_state"), t.alias("reason"), F.concat(F.lit("a"), e.cast("string")).alias("artifact_id"), F.col("value").alias("actual_cost"), "event_id",
+    )
+    cost = F.when(e % 23 == 0, F.lit(None)).when(e % 29 == 0, F.col("actual_cost") + 1).otherwise(F.col("actual_cost"))
+    records = events.where((F.col("new_state") != "leased") & (e % 31 != 0) & F.col("lease_token").isNotNull()).select(
+        "cell_id", "lease_token", "attempt", "campaign_id", F.when(e % 17 == 0, "other").otherwise(F.col("worker_id")).alias("worker_id"), F.col("new_state").alias("terminal_state"), F.col("reason").alias("terminal_reason"),
+        F.when(e % 19 != 0, F.col("artifact_id")).alias("artifact_id"), cost.alias("charged_cost"),
+    )
+    return ledger.reconcile_executions(events, records)
 
 
 def _candidates(spark, sf_dir):
@@ -436,3 +468,133 @@ def source_inspections(spark, sf_dir):
     )
     found = table(spark, sf_dir, "part").select("p_partkey", vector_source.inspected(drawing).alias("i"))
     return found.select("p_partkey", "i.valid", F.array_join("i.errors", ",").alias("errors"), "i.visible_shapes", "i.hidden_shapes", "i.group_count", "i.text_character_count", "i.canonical_hash")
+
+
+def _calibration_responses(spark, sf_dir):
+    """Order lines as responses: three stages, some without a field, some with a wrong value."""
+    n, key = F.col("l_linenumber"), F.col("l_orderkey")
+    stage = F.when(n <= 3, "blind-recognition").when(n <= 5, "prompt-aware-criteria").when(n == 6, "pairwise-preference").otherwise("rest")
+    text = lambda c: F.lit(c) if isinstance(c, str) else c
+    blind = {
+        "animal_open_text": F.when(key % 7 == 0, " Pelican ").when(key % 11 == 0, "").otherwise(F.lower("l_returnflag")), "mobile_object_open_text": F.when(key % 2 == 0, "go_kart").otherwise("Go-Kart"), "relation_open_text": F.col("l_linestatus"),
+        "recognition_confidence": F.when(key % 13 == 0, "many").otherwise((F.col("l_quantity") * 2).cast("int").cast("string")), "note": F.lit("x"),
+    }
+    criteria = {f: F.lit("none") for f in ("animal_defects", "object_defects", "interaction_defects")} | {f: (F.col("l_suppkey") % m + 1).cast("string") for f, m in zip(calibration.RATINGS, (5, 4, 6))}
+    criteria |= {"criterion_confidence": F.lit("50"), "note": F.lit("x")}
+    pair = {"pairwise_winner": F.when(key % 3 == 0, "A").when(key % 3 == 1, "tie").otherwise("both"), "note": F.lit("x")}
+    as_map = lambda m: F.create_map(*[text(x) for k, v in m.items() for x in (F.lit(k), v)])
+    response = F.when(n <= 3, as_map(blind)).when(n <= 5, as_map(criteria)).otherwise(as_map(pair))
+    return table(spark, sf_dir, "lineitem").select(
+        stage.alias("stage"), response.alias("response"), F.col("l_partkey").cast("string").alias("artifact_id"), F.when(key % 5 == 0, key.cast("string")).alias("duplicate_group_id"),
+        F.when(key % 4 != 0, F.when(key % 7 == 0, "pelican").otherwise("n")).alias("expected_animal"), F.lit("go-kart").alias("expected_mobile_object"), F.lit("o").alias("expected_relation"),
+    )
+
+
+_RESPONSES = """v AS (SELECT *, l_orderkey AS k, CASE WHEN l_linenumber <= 3 THEN 'blind-recognition' WHEN l_linenumber <= 5 THEN 'prompt-aware-criteria' WHEN l_linenumber = 6 THEN 'pairwise-preference' ELSE 'rest' END AS stage,
+  CASE WHEN l_orderkey % 7 = 0 THEN 'pelican' WHEN l_orderkey % 11 = 0 THEN '' ELSE lower(l_returnflag) END AS a, lower(l_linestatus) AS r FROM lineitem),
+w AS (SELECT *, CASE WHEN l_linenumber <= 3 THEN a <> '' AND k % 13 <> 0 WHEN l_linenumber <= 5 THEN l_suppkey % 6 < 5 WHEN l_linenumber = 6 THEN k % 3 <> 2 ELSE false END AS valid FROM v),
+b AS (SELECT *, CASE WHEN k % 4 <> 0 THEN a = CASE WHEN k % 7 = 0 THEN 'pelican' ELSE 'n' END END AS ra, r = 'o' AS rr FROM w WHERE valid AND stage = 'blind-recognition')"""
+
+
+def _agreement_sql(name: str, column: str, item: str, where: str) -> str:
+    return f"""{name} AS (WITH c AS (SELECT {item} AS i, {column} AS c, count(*) AS n FROM b WHERE {where} GROUP BY 1, 2), g AS (SELECT i, sum(n) AS n, sum(n * (n - 1) / 2) AS eq FROM c GROUP BY 1 HAVING sum(n) >= 2),
+  t AS (SELECT sum(eq) AS eq, sum(n * (n - 1) / 2) AS p, sum(n) AS n FROM g), s AS (SELECT sum(n * (n - 1)) AS same FROM (SELECT c, sum(c.n) AS n FROM c JOIN g USING (i) GROUP BY 1))
+  SELECT eq / p AS consistency, CASE WHEN 1 - same / (t.n * (t.n - 1)) = 0 THEN CASE WHEN eq = p THEN 1.0 ELSE 0.0 END ELSE 1 - (1 - eq / p) / (1 - same / (t.n * (t.n - 1))) END AS alpha FROM t, s)"""
+
+
+_LABELS = {"animal_open_text": "a", "mobile_object_open_text": "'go-kart'", "relation_open_text": "r"}
+
+
+@query(
+    "WITH " + ", ".join([_RESPONSES, *[_agreement_sql(f"d{k}", c, "k", "k % 5 = 0") for k, c in enumerate(_LABELS.values())], *[_agreement_sql(f"p{k}", c, "l_partkey", "true") for k, c in enumerate(_LABELS.values())]])
+    + """ SELECT figure, name, round(value::DOUBLE, 6) AS value FROM (
+SELECT 'responses' AS figure, 'received' AS name, count(*) AS value FROM w UNION ALL SELECT 'responses', 'valid', count(*) FILTER (valid) FROM w UNION ALL SELECT 'responses', 'invalid', count(*) FILTER (NOT valid) FROM w
+UNION ALL SELECT 'stage', stage, count(*) FROM w WHERE valid GROUP BY 2
+UNION ALL SELECT 'accuracy', 'animal_open_text', avg(ra::INT) FROM b UNION ALL SELECT 'accuracy', 'mobile_object_open_text', 1.0 UNION ALL SELECT 'accuracy', 'relation_open_text', avg(rr::INT) FROM b
+UNION ALL SELECT 'accuracy', 'scene', avg((ra AND rr)::INT) FILTER (ra IS NOT NULL) FROM b UNION ALL SELECT 'brier', 'recognition', avg(((l_quantity * 2)::INT / 100.0 - (ra AND rr)::INT) ** 2) FILTER (ra IS NOT NULL) FROM b
+UNION ALL SELECT 'mean-rating', 'animal_rating_1_to_5', avg(l_suppkey % 5 + 1) FROM w WHERE valid AND stage = 'prompt-aware-criteria' UNION ALL SELECT 'mean-rating', 'object_rating_1_to_5', avg(l_suppkey % 4 + 1) FROM w WHERE valid AND stage = 'prompt-aware-criteria'
+UNION ALL SELECT 'mean-rating', 'interaction_rating_1_to_5', avg(l_suppkey % 6 + 1) FROM w WHERE valid AND stage = 'prompt-aware-criteria'
+UNION ALL SELECT 'winner', CASE WHEN k % 3 = 0 THEN 'A' ELSE 'tie' END, count(*) FROM w WHERE valid AND stage = 'pairwise-preference' GROUP BY 2"""
+    + "".join(f" UNION ALL SELECT 'duplicate-consistency', '{n}', consistency FROM d{k} UNION ALL SELECT 'alpha', '{n}', alpha FROM p{k}" for k, n in enumerate(_LABELS)) + ")"
+)
+def calibration_analysis(spark, sf_dir):
+    """Figures of a calibration study."""
+    return rounded(calibration.analysis(_calibration_responses(spark, sf_dir)))
+
+
+@query(f"""WITH {_RESPONSES} SELECT stage, array_to_string(CASE WHEN stage = 'blind-recognition' AND a = '' THEN ['animal_open_text'] ELSE [] END, ',') AS missing,
+array_to_string(CASE WHEN stage = 'blind-recognition' AND k % 13 = 0 THEN ['recognition_confidence'] WHEN stage = 'prompt-aware-criteria' AND l_suppkey % 6 = 5 THEN ['interaction_rating_1_to_5'] WHEN stage = 'pairwise-preference' AND k % 3 = 2 THEN ['pairwise_winner'] ELSE [] END, ',') AS invalid,
+valid, count(*) AS n FROM w GROUP BY ALL""")
+def calibration_responses(spark, sf_dir):
+    """Validity of responses by stage."""
+    checked = calibration.validated(_calibration_responses(spark, sf_dir))
+    return checked.groupBy("stage", F.array_join("missing_fields", ",").alias("missing"), F.array_join("invalid_fields", ",").alias("invalid"), "valid").agg(F.count("*").alias("n"))
+
+
+def _judges(spark, sf_dir):
+    roles = F.array_compact(F.array(F.when(F.col("s_suppkey") % 2 == 0, "anatomy"), F.when(F.col("s_suppkey") % 3 == 0, "mechanics"), F.when(F.col("s_suppkey") % 5 == 0, "scene")))
+    return table(spark, sf_dir, "supplier").select(F.concat(F.lit("J"), F.col("s_suppkey").cast("string")).alias("judge_id"), F.concat(F.lit("F"), F.col("s_nationkey").cast("string")).alias("family"), roles.alias("roles"))
+
+
+_JUDGES = """j AS (SELECT 'J' || s_suppkey AS judge_id, 'F' || s_nationkey AS family, unnest(list_filter([CASE WHEN s_suppkey % 2 = 0 THEN 'anatomy' END, CASE WHEN s_suppkey % 3 = 0 THEN 'mechanics' END, CASE WHEN s_suppkey % 5 = 0 THEN 'scene' END], lambda x: x IS NOT NULL)) AS role FROM supplier)"""
+
+
+@query(f"""WITH {_JUDGES}, c AS (SELECT 'C' || n_nationkey AS canary_id, 'A' || n_regionkey AS artifact_id, unnest(CASE WHEN n_nationkey % 2 = 0 THEN ['anatomy', 'scene'] ELSE ['mechanics'] END) AS role FROM nation)
+SELECT 'JCEL-' || substr(sha256(judge_id || chr(31) || role || chr(31) || canary_id), 1, 20) AS cell_id, judge_id, family, role, canary_id, artifact_id FROM j JOIN c USING (role)""")
+def judge_plan(spark, sf_dir):
+    """Judges, their roles, and nations as canaries."""
+    canaries = table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("C"), F.col("n_nationkey").cast("string")).alias("canary_id"), F.concat(F.lit("A"), F.col("n_regionkey").cast("string")).alias("artifact_id"),
+        F.when(F.col("n_nationkey") % 2 == 0, F.array(F.lit("anatomy"), F.lit("scene"))).otherwise(F.array(F.lit("mechanics"))).alias("applicable_roles"),
+    )
+    return qualification.judge_plan(_judges(spark, sf_dir), canaries)
+
+
+@query(f"""WITH {_JUDGES}, m AS (SELECT * FROM (VALUES ('anatomy', 5), ('mechanics', 20), ('scene', 30), ('safety', 1)) t(role, minimum)), f AS (SELECT role, count(DISTINCT family) AS families FROM j GROUP BY 1)
+SELECT role, minimum, coalesce(families, 0) AS families, coalesce(families, 0) >= minimum AS satisfied FROM m LEFT JOIN f USING (role)""")
+def judge_diversity(spark, sf_dir):
+    """Families of judges by role."""
+    minimums = spark.createDataFrame([("anatomy", 5), ("mechanics", 20), ("scene", 30), ("safety", 1)], "role string, minimum int")
+    return qualification.judge_diversity(_judges(spark, sf_dir), minimums)
+
+
+@query("SELECT 'M' || s_suppkey AS model_id, CASE WHEN s_nationkey < 20 THEN 'P' || s_nationkey END AS profile_id FROM supplier")
+def runtime_profiles(spark, sf_dir):
+    """The profile of each supplier as a model: that of its nation."""
+    models = table(spark, sf_dir, "supplier").withColumn("model_id", F.concat(F.lit("M"), F.col("s_suppkey").cast("string")))
+    profiles = models.where("s_nationkey < 20").groupBy(F.concat(F.lit("P"), F.col("s_nationkey").cast("string")).alias("profile_id")).agg(F.collect_list("model_id").alias("model_ids"))
+    return qualification.runtime_profiles(models.select("model_id"), profiles)
+
+
+@query("""WITH r AS (SELECT p_partkey, list_distinct(string_split(lower(p_type), ' ')) AS b, list_distinct(string_split(lower(p_name), ' ')) AS a, string_split(lower(p_name), ' ')[1:1] AS t1, string_split(lower(p_type), ' ')[1:2] AS k1, string_split(lower(p_type), ' ')[3:3] AS k2 FROM part),
+s AS (SELECT *, (0.7 * len(list_intersect(t1, b)) / len(list_distinct(t1)) + 0.3 * len(list_intersect(k1, b)) / len(list_distinct(k1)) + 0.3 * (CASE WHEN len(k2) = 0 THEN 1 ELSE len(list_intersect(k2, b)) / len(k2) END)) / 2 AS x,
+  (0.7 * len(list_intersect(t1, a)) / len(list_distinct(t1)) + 0.3 * len(list_intersect(k1, a)) / len(list_distinct(k1)) + 0.3 * (CASE WHEN len(k2) = 0 THEN 1 ELSE len(list_intersect(k2, a)) / len(k2) END)) / 2 AS y, list_concat(k1, k2) AS k FROM r)
+SELECT p_partkey, round(x, 6) AS before_score, round(y, 6) AS after_score, round(y - x, 6) AS improvement, round(CASE WHEN list_contains(b, t1[1]) THEN 0 ELSE 0.5 END, 6) AS repaired_fraction,
+round(len(list_filter(k, lambda z: list_contains(b, z) AND list_contains(a, z))) / greatest(1, len(k)), 6) AS preservation_fraction, array_to_string(list_sort(list_distinct(list_transform(list_filter(k, lambda z: list_contains(b, z) AND NOT list_contains(a, z)), lambda z: 'lost:' || z))), ',') AS new_defects FROM s""")
+def repair_assessments(spark, sf_dir):
+    """Two requirements for each part: its name's first word is to come, the words of its type are to stay."""
+    roles = table(spark, sf_dir, "part").select("p_partkey", F.split(F.lower("p_type"), " ").alias("before"), F.split(F.lower("p_name"), " ").alias("after"))
+    requirement = lambda target, keep: F.struct(target.alias("target_roles"), keep.alias("preserve_roles"))
+    wanted = F.array(requirement(F.slice("after", 1, 1), F.slice("before", 1, 2)), requirement(F.array().cast("array<string>"), F.slice("before", 3, 1)))
+    r = scorecard.repair_assessment(F.col("before"), F.col("after"), wanted)
+    out = roles.select("p_partkey", r.alias("r"))
+    figures = ("before_score", "after_score", "improvement", "repaired_fraction", "preservation_fraction")
+    return rounded(out.select("p_partkey", *[f"r.{f}" for f in figures], F.array_join("r.new_defects", ",").alias("new_defects")))
+
+
+_SECRET = b"0123456789abcdef0123456789abcdef"
+
+
+def _hmac_sql(domain: str, value: str) -> str:
+    pad = lambda x: bytes(b ^ x for b in _SECRET.ljust(64, b"\0")).hex()
+    return f"sha256(unhex('{pad(0x5C)}') || unhex(sha256(unhex('{pad(0x36)}') || encode('{domain}' || chr(31) || {value}))))"
+
+
+@query(f"""WITH e AS (SELECT 'R' || n_nationkey AS repair_id FROM nation), s AS (SELECT repair_id, row_number() OVER (ORDER BY {_hmac_sql('selection', 'repair_id')}) <= 10 AS twice FROM e),
+o AS (SELECT repair_id, unnest(CASE WHEN twice THEN ['primary', 'duplicate-1'] ELSE ['primary'] END) AS occurrence FROM s)
+SELECT (row_number() OVER (ORDER BY {_hmac_sql('order', "'order' || chr(31) || repair_id || chr(31) || occurrence")}))::INT AS ordinal, 'assignment-' || substr({_hmac_sql('order', "repair_id || chr(31) || occurrence")}, 1, 16) AS assignment_alias,
+'episode-' || substr({_hmac_sql('alias', 'repair_id')}, 1, 16) AS episode_alias, repair_id, occurrence, occurrence <> 'primary' AS is_duplicate FROM o""")
+def custody_schedule(spark, sf_dir):
+    """Nations as episodes, ten of them twice."""
+    episodes = table(spark, sf_dir, "nation").select(F.concat(F.lit("R"), F.col("n_nationkey").cast("string")).alias("repair_id"))
+    return integrity.custody_schedule(episodes, _SECRET)

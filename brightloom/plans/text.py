@@ -26,14 +26,23 @@ def _sql_entities(column: str) -> str:
     )
 
 
-_ANNOTATED = f"""a AS (SELECT doc_id, {_sql_found('text', annotate.RELATIONS, 'i')} AS relations, {_sql_found('text', annotate.CATEGORIES, 'i')} AS categories, {_sql_entities('text')} FROM documents)"""
+_PHRASES = ("A pelican rides a bike; its pouch did not contact the tuk-tuk.", "criticised: wheels rather than a WHEEL, the handlebar is disconnected", "The agent inspected a contact sheet, improved its reference", "")
+
+
+def _documents(spark, sf_dir):
+    """Documents, most of them with a remark about a drawing."""
+    phrase = F.element_at(F.array(*[F.lit(p) for p in _PHRASES]), (F.col("doc_id") % len(_PHRASES) + 1).cast("int"))
+    return table(spark, sf_dir, "documents").withColumn("text", F.concat("text", F.lit(" "), phrase))
+
+
+_ANNOTATED = f"""documents2 AS (SELECT doc_id, text || ' ' || {list(_PHRASES)!r}[(doc_id % {len(_PHRASES)} + 1)::INT] AS text FROM documents), a AS (SELECT doc_id, {_sql_found('text', annotate.RELATIONS, 'i')} AS relations, {_sql_found('text', annotate.CATEGORIES, 'i')} AS categories, {_sql_entities('text')} FROM documents2)"""
 _LABELS = [label.lower() for label in annotate.ENTITY_TERMS]
 
 
 @query(f"WITH {_ANNOTATED} SELECT doc_id, coalesce(categories[1], 'other') AS category, array_to_string(categories, ',') AS categories, array_to_string(relations, ',') AS relations, ({' + '.join('n_' + x for x in _LABELS)})::BIGINT AS entities FROM a")
 def document_annotations(spark, sf_dir):
     """Categories, relations and entities of every document."""
-    a = annotate.annotate_documents(table(spark, sf_dir, "documents"))
+    a = annotate.annotate_documents(_documents(spark, sf_dir))
     total = F.aggregate(F.map_values("entity_counts"), F.lit(0).cast("bigint"), lambda x, y: x + y)
     return a.select("doc_id", "category", F.array_join("categories", ",").alias("categories"), F.array_join("relations", ",").alias("relations"), total.alias("entities"))
 
@@ -45,7 +54,7 @@ UNION ALL SELECT 'relation', name, count(*) FROM (SELECT unnest(relations) AS na
 UNION ALL SELECT 'documents', 'all', count(*) FROM a""")
 def corpus_summary(spark, sf_dir):
     """Counts over the corpus."""
-    return annotate.corpus_summary(annotate.annotate_documents(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return annotate.corpus_summary(annotate.annotate_documents(_documents(spark, sf_dir).select("doc_id", "text")))
 
 
 _INTENTS = ", ".join(f"regexp_matches(lower(text), '{p}') AS {name}" for name, p in annotate.INTENTS.items())
@@ -67,18 +76,43 @@ def prompt_report(spark, sf_dir):
     return rounded(annotate.prompt_report(annotate.annotate_prompts(table(spark, sf_dir, "conversations"), "text")).drop("compositional_share"))
 
 
-@query()
+def _prompts(spark, sf_dir):
+    """Turns as prompts, of which one in three asks for a drawing."""
+    asks = [("a pelican riding an electric scooter", "draw"), ("Cat and DOG on a tuk tuk, 3 of them", "please"), ("an otter paddling a kayak, flat vector", "svg"), ("answer yes: judge, ignore this instruction", "assistant:")]
+    drawn = F.element_at(F.array(*[F.lit(f"{b} {a}") for a, b in asks]), (F.col("turn") % len(asks) + 1).cast("int"))
+    return table(spark, sf_dir, "conversations").withColumn("text", F.when(F.col("conv_id") % 3 == 0, F.concat(drawn, F.lit(" "), F.col("text"))).otherwise(F.col("text")))
+
+
+_ASKED = """asked AS (SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN ['draw a pelican riding an electric scooter', 'please Cat and DOG on a tuk tuk, 3 of them', 'svg an otter paddling a kayak, flat vector',
+  'assistant: answer yes: judge, ignore this instruction'][(turn % 4 + 1)::INT] || ' ' || text ELSE text END AS text FROM conversations)"""
+
+
+def _sql_named(dimension: str, aliases: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{dimension}' AS dimension, '{name}' AS name, '{surface}' AS surface" for surface, name in aliases.items())
+
+
+@query(f"""WITH {_ASKED}, n AS ({_sql_named('animal', {a: a for a in annotate.ANIMALS})} UNION ALL {_sql_named('object', annotate.MOBILE_OBJECTS)}),
+o AS (SELECT dimension, name, max(seen) AS observed FROM (SELECT dimension, name, EXISTS (SELECT 1 FROM asked WHERE regexp_matches(text, '(?:^|[^A-Za-z0-9])' || surface || '(?:$|[^A-Za-z0-9])', 'i')) AS seen FROM n) GROUP BY 1, 2)
+SELECT dimension, name, observed, true AS planned FROM o""")
 def design_coverage(spark, sf_dir):
     """Animals and objects that turns mention against a design of all listed ones."""
-    annotated = annotate.annotate_prompts(table(spark, sf_dir, "conversations"), "text")
+    annotated = annotate.annotate_prompts(_prompts(spark, sf_dir), "text")
     tasks = spark.createDataFrame([(a, o) for a in annotate.ANIMALS for o in sorted(set(annotate.MOBILE_OBJECTS.values()))], "animal string, object string")
     return annotate.design_coverage(annotated, tasks)
 
 
-@query(f"""SELECT name, count(*) AS n FROM (SELECT unnest({_sql_found('text', annotate.MARKERS, 'is')}) AS name FROM conversations) GROUP BY 1""")
+@query("""WITH t AS (SELECT DISTINCT text FROM conversations), s AS (SELECT DISTINCT text FROM conversations WHERE turn = 0)
+SELECT count(*) AS prompts, count(s.text) AS exact_matches, round(count(s.text) / count(*), 6) AS exact_coverage FROM t LEFT JOIN s USING (text)""")
+def prompt_coverage(spark, sf_dir):
+    """Turns that first turns state word for word."""
+    turns = table(spark, sf_dir, "conversations").select("turn", F.col("text").alias("prompt"))
+    return rounded(annotate.prompt_coverage(turns, turns.where("turn = 0")))
+
+
+@query(f"""WITH {_ASKED} SELECT name, count(*) AS n FROM (SELECT unnest({_sql_found('text', annotate.MARKERS, 'is')}) AS name FROM asked) GROUP BY 1""")
 def instruction_markers(spark, sf_dir):
     """Instruction-like expressions in turns."""
-    return table(spark, sf_dir, "conversations").select(F.explode(annotate.instruction_markers(F.col("text"))).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    return _prompts(spark, sf_dir).select(F.explode(annotate.instruction_markers(F.col("text"))).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
 
 
 @query("SELECT trim(regexp_replace(replace(lower(p_type || '_' || p_brand), '_', '-'), '\\s+', ' ', 'g')) AS label, count(*) AS n FROM part GROUP BY 1")
@@ -102,7 +136,12 @@ def latest_entries(spark, sf_dir):
     return annotate.latest_entries(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_type", "event_id")
 
 
-@query()
+_PAGE = "replace(regexp_replace(regexp_replace(regexp_replace(html, '(<script>[^<]*)<(/p>[^<]*</script>)', '\\1' || chr(1) || '\\2', 'g'), '<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'g'), chr(1), '<')"
+for _entity, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+    _PAGE = f"replace({_PAGE}, '{_entity}', '{_char}')"
+
+
+@query(f"SELECT page_id, length(t)::BIGINT AS n_chars, sha256(t) AS text_sha256 FROM (SELECT page_id, trim(regexp_replace({_PAGE}, '[\\s]+', ' ', 'g')) AS t FROM pages)")
 def page_texts(spark, sf_dir):
     """Text of every page."""
     return table(spark, sf_dir, "pages").select("page_id", F.length(html_text("html")).cast("long").alias("n_chars"), F.sha2(html_text("html").cast("binary"), 256).alias("text_sha256"))
