@@ -182,7 +182,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep_text
         last = b == blocks - 1
         sent.append(spark.sparkContext.broadcast(Windows([(r["item_id"], r["text"]) for r in part.collect()], window)))
         fields = [f for f in out.schema.fields if f.name == "row" or f.name == "text" and (keep_text or not last)]
-        out = out.mapInArrow(_pass(sent[-1], keep_text or not last), T.StructType([*fields, *T._parse_datatype_string(found).fields]))
+        out = out.mapInArrow(_pass(sent[-1], keep_text or not last), T.StructType([*fields, *T.StructType.fromDDL(found).fields]))
         if len(sent) == BLOCKS and not last:  # ends the stage, and with it the need for its blocks
             out = materialise(out)
             for block in sent:
