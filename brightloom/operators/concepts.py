@@ -46,3 +46,18 @@ def competency(cases: DataFrame, capabilities: DataFrame) -> DataFrame:
     """Cases (case_id, animal_class, object_class, expected) against allowed pairs of classes."""
     allowed = capabilities.select("animal_class", "object_class", F.lit(True).alias("_ok")).distinct()
     return cases.join(allowed, ["animal_class", "object_class"], "left").withColumn("observed", F.coalesce("_ok", F.lit(False))).drop("_ok").withColumn("passed", F.col("observed") == F.col("expected"))
+
+
+def merged_ontologies(concepts: DataFrame) -> DataFrame:
+    """The union of the concepts (concept, definition) of several ontologies, each once. Definitions that
+    differ are an error when their concept is read; ``merge_conflicts`` lists them."""
+    merged = concepts.groupBy("concept").agg(F.min("definition").alias("definition"), F.max("definition").alias("_other"), F.count("*").alias("ontologies"))
+    clash = F.raise_error(F.concat(F.lit("conflicting concept "), F.col("concept")))
+    return merged.withColumn("definition", F.when(F.col("definition") != F.col("_other"), clash).otherwise(F.col("definition"))).drop("_other")
+
+
+def json_ld(concepts: DataFrame, base: str) -> DataFrame:
+    """(concept, node): each concept (concept, label, parent) as a JSON-LD node of the graph at ``base``."""
+    name = lambda c: F.concat(F.lit(base), c)
+    node = F.struct(name(F.col("concept")).alias("@id"), F.lit("pb:Concept").alias("@type"), F.col("label").alias("rdfs:label"), F.when(F.col("parent").isNotNull(), F.struct(name(F.col("parent")).alias("@id"))).alias("rdfs:subClassOf"))
+    return concepts.select("concept", F.to_json(node).alias("node"))

@@ -18,15 +18,6 @@ def factorial_cells(tasks: DataFrame, models: DataFrame, replicates: int, stage:
     return seeded.withColumn("cell_id", stable_id("PCELL", 24, F.col("stage_id"), F.col("model_id"), F.col("task_id"), F.col("replicate"), F.col("seed")))
 
 
-def compatible_designs(animals: DataFrame, objects: DataFrame, relations: DataFrame) -> DataFrame:
-    """Animal, object and relation triples whose modes, interfaces and contacts meet."""
-    return (
-        animals.crossJoin(objects).crossJoin(relations)
-        .where(F.array_contains("allowed_interfaces", F.col("interface_class")) & F.arrays_overlap("interaction_modes", "allowed_modes"))
-        .where(F.size(F.array_except("required_contacts", "contact_capabilities")) == 0)
-    )
-
-
 def campaign_cells(cells: DataFrame, qualified: DataFrame, prices: DataFrame, input_tokens: int = 300, output_tokens: int = 8000) -> DataFrame:
     """Cells with their state (blocked without qualification or price, else ready) and estimated cost."""
     cost = F.col("request_fee") + F.lit(float(input_tokens)) * F.col("input_per_million") / 1e6 + F.lit(float(output_tokens)) * F.col("output_per_million") / 1e6

@@ -51,3 +51,11 @@ def sequence_scores(frames: DataFrame) -> DataFrame:
     """By sequence of frames (sequence, frame, a, b, c): mean and least frame score, and column means."""
     each = frames.withColumn("_s", (F.col("a") + F.col("b") + F.col("c")) / 3)
     return each.groupBy("sequence").agg(F.count("*").alias("frames"), F.avg("_s").alias("mean_score"), F.min("_s").alias("least_score"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.avg("c").alias("mean_c"))
+
+
+def numeric_annotations(observations: DataFrame, json: str = "annotations") -> DataFrame:
+    """``observations`` without ``json`` and with (metric, value) of each member of that JSON object that
+    is a number; booleans, texts and nested values are none."""
+    raw = F.from_json(json, "map<string,variant>")
+    each = observations.select("*", F.explode(raw).alias("metric", "_v"))
+    return each.where(F.schema_of_variant("_v").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")).withColumn("value", F.to_json("_v").cast("double")).drop("_v", json)

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
-from brightloom.functions import vector_source
-from brightloom.operators import annotate, calibration, concepts, integrity, ledger, planning, qualification, scorecard
+from brightloom.functions import mutations, vector_source
+from brightloom.operators import annotate, calibration, concepts, integrity, ledger, planning, qualification, scorecard, series, sessions, tasks
 from brightloom.plans.base import registry, rounded
 from brightloom.session import table
 
@@ -598,3 +599,137 @@ def custody_schedule(spark, sf_dir):
     """Nations as episodes, ten of them twice."""
     episodes = table(spark, sf_dir, "nation").select(F.concat(F.lit("R"), F.col("n_nationkey").cast("string")).alias("repair_id"))
     return integrity.custody_schedule(episodes, _SECRET)
+
+
+def _grammar(spark, sf_dir):
+    """Nations as animals, suppliers as objects, regions as relations; some with faults."""
+    n, o, r = (table(spark, sf_dir, t) for t in ("nation", "supplier", "region"))
+    mode = lambda k: F.concat(F.lit("r"), k.cast("string"))
+    animals = n.select(
+        F.when(F.col("n_nationkey") != 13, F.lower("n_name")).otherwise("").alias("id"), F.initcap("n_name").alias("label"), F.lit("c").alias("animal_class"),
+        F.array(mode(F.col("n_regionkey")), mode((F.col("n_regionkey") + 1) % 6)).alias("interaction_modes"), F.sequence(F.lit(1), F.col("n_nationkey") % 7 + 1).alias("required_features"), (F.col("n_nationkey") % 5).alias("adaptation"),
+    )
+    k = F.col("s_suppkey")
+    objects = o.select(
+        F.concat(F.lit("o"), (k - F.when(k % 40 == 1, 0).when(k % 40 == 2, 1).otherwise(0)).cast("string")).alias("id"), F.concat(F.lit("thing "), k.cast("string")).alias("label"), F.concat(F.lit("k"), (k % 3).cast("string")).alias("object_class"),
+        F.when(k % 11 != 0, F.concat(F.lit("i"), (k % 2).cast("string"))).alias("interface_class"), F.when(k % 5 == 0, F.array(F.lit("i0"), F.lit("i2"))).otherwise(F.array().cast("array<string>")).alias("interface_classes"),
+        F.array(mode(k % 5)).alias("interaction_modes"), F.sequence(F.lit(1), F.col("s_nationkey") % 6 + 1).alias("required_features"),
+    )
+    q = F.col("r_regionkey")
+    relations = r.select(
+        mode(q).alias("id"), F.when(q != 2, F.concat(F.lit("on the "), F.lower("r_name"))).alias("phrase"), F.when(q == 1, F.array(F.lit("k0"), F.lit("k1"))).otherwise(F.array().cast("array<string>")).alias("allowed_object_classes"),
+        F.when(q == 3, F.array(F.lit("i2"))).otherwise(F.array().cast("array<string>")).alias("allowed_interface_classes"), F.array().cast("array<string>").alias("required_contacts"),
+    )
+    return animals, objects, relations
+
+
+_GRAMMAR = """an AS (SELECT CASE WHEN n_nationkey <> 13 THEN lower(n_name) ELSE '' END AS id, list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || w[2:]) AS words, ['r' || n_regionkey, 'r' || (n_regionkey + 1) % 6] AS modes, n_nationkey % 7 + 1 AS features, n_nationkey % 5 AS adaptation FROM nation),
+ob AS (SELECT 'o' || (s_suppkey - CASE WHEN s_suppkey % 40 = 2 THEN 1 ELSE 0 END) AS id, 'thing ' || s_suppkey AS label, 'k' || s_suppkey % 3 AS cls, CASE WHEN s_suppkey % 11 <> 0 THEN 'i' || s_suppkey % 2 END AS iface, CASE WHEN s_suppkey % 5 = 0 THEN ['i0', 'i2'] ELSE [] END AS ifaces,
+  'r' || s_suppkey % 5 AS mode, s_nationkey % 6 + 1 AS features FROM supplier),
+re AS (SELECT 'r' || r_regionkey AS id, CASE WHEN r_regionkey <> 2 THEN 'on the ' || lower(r_name) END AS phrase, CASE WHEN r_regionkey = 1 THEN ['k0', 'k1'] ELSE [] END AS classes, CASE WHEN r_regionkey = 3 THEN ['i2'] ELSE [] END AS ifs FROM region),
+de AS (SELECT an.id AS animal, array_to_string(an.words, ' ') AS animal_label, an.features + ob.features AS features, adaptation, ob.id AS object, ob.label AS object_label, re.id AS relation, coalesce(phrase, replace(re.id, '_', ' ')) AS phrase
+  FROM (SELECT *, unnest(modes) AS mode FROM an) an JOIN re ON an.mode = re.id JOIN ob ON ob.mode = re.id
+  WHERE (len(classes) = 0 OR list_contains(classes, cls)) AND (len(ifs) = 0 OR list_has_any(ifs, CASE WHEN len(ifaces) > 0 THEN ifaces ELSE list_filter([iface], lambda x: x IS NOT NULL) END)))"""
+
+
+@query(f"""WITH {_GRAMMAR} SELECT 'animals' AS part, id, CASE WHEN id = '' THEN 'identifier-missing' ELSE 'identifier-repeated' END AS finding FROM an GROUP BY id HAVING id = '' OR count(*) > 1
+UNION ALL SELECT 'objects', id, CASE WHEN id = '' THEN 'identifier-missing' ELSE 'identifier-repeated' END FROM ob GROUP BY id HAVING id = '' OR count(*) > 1
+UNION ALL SELECT DISTINCT 'animals', id, 'unknown-mode:' || mode FROM (SELECT id, unnest(modes) AS mode FROM an) WHERE mode NOT IN (SELECT id FROM re)
+UNION ALL SELECT 'objects', id, 'interface-missing' FROM ob WHERE iface IS NULL""")
+def grammar_findings(spark, sf_dir):
+    """Faults of a grammar."""
+    return tasks.grammar_findings(*_grammar(spark, sf_dir))
+
+
+_TASKS = f"""{_GRAMMAR}, ta0 AS (SELECT *, 'scenario-' || substr(sha256('1.0' || chr(31) || animal || chr(31) || object || chr(31) || relation || chr(31) || viewpoint), 1, 12) AS scenario_id,
+  'Generate an SVG of a ' || animal_label || ' ' || phrase || ' ' || object_label || ', viewed from the ' || viewpoint || ', in a ' || style || ' style.' AS prompt FROM de, (SELECT unnest(['side', 'rear']) AS viewpoint), (SELECT unnest(['flat icon', 'line art']) AS style)),
+ta1 AS (SELECT *, 'prompt-' || substr(sha256(scenario_id || chr(31) || prompt), 1, 12) AS prompt_id FROM ta0), ta AS (SELECT *, 'task-' || substr(sha256('R1' || chr(31) || scenario_id || chr(31) || prompt_id), 1, 16) AS task_id FROM ta1),
+tasks AS (SELECT task_id, scenario_id, prompt_id, prompt, animal, object, relation, viewpoint, style, least(5, 1 + (viewpoint = 'rear')::INT + 1 + (features >= 10)::INT + (style = 'line art')::INT + (adaptation >= 3)::INT)::INT AS difficulty,
+  (('0x' || substr(sha256('7' || chr(31) || task_id), 1, 16))::UBIGINT % 2147483647)::BIGINT AS seed FROM ta)"""
+
+
+def _grammar_tasks(spark, sf_dir):
+    return tasks.build_tasks(tasks.compatible_designs(*_grammar(spark, sf_dir)), ["side", "rear"], ["flat icon", "line art"], "R1", "1.0", 7)
+
+
+@query(f"WITH {_TASKS} SELECT * FROM tasks")
+def grammar_tasks(spark, sf_dir):
+    """Every task of the grammar."""
+    return _grammar_tasks(spark, sf_dir)
+
+
+@query(f"WITH {_TASKS} SELECT task_id, prompt, difficulty FROM tasks ORDER BY {_hash_sql("'3'", 'task_id')}, task_id LIMIT 100")
+def drawn_tasks(spark, sf_dir):
+    """A hundred tasks in a hash order (a drawing operator)."""
+    return tasks.drawn_tasks(_grammar_tasks(spark, sf_dir), 100, 3).select("task_id", "prompt", "difficulty")
+
+
+def _submissions(spark, sf_dir):
+    """A user's events as submissions of stages."""
+    stage = F.element_at(F.array(*[F.lit(s) for s in (*sessions.STAGES, "debrief")]), F.when(F.col("event_type") == "view", 1).when(F.col("event_type") == "click", 2).when(F.col("event_type") == "purchase", 3).otherwise(F.col("event_id").cast("int") % 4 + 1))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("assignment_id"), F.col("event_id").alias("position"), stage.alias("stage"))
+
+
+_SESSIONS = """s AS (SELECT user_id AS assignment_id, event_id AS position, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 ELSE event_id % 4 + 1 END AS rank FROM events),
+d1 AS (SELECT assignment_id, min(position) AS p FROM s WHERE rank = 1 GROUP BY 1), d2 AS (SELECT s.assignment_id, min(position) AS p FROM s JOIN d1 ON s.assignment_id = d1.assignment_id AND s.position > d1.p WHERE rank = 2 GROUP BY 1),
+d3 AS (SELECT s.assignment_id, min(position) AS p FROM s JOIN d2 ON s.assignment_id = d2.assignment_id AND s.position > d2.p WHERE rank = 3 GROUP BY 1),
+f AS (SELECT s.*, CASE rank WHEN 1 THEN d1.p WHEN 2 THEN d2.p WHEN 3 THEN d3.p END AS own, d1.p AS a, d2.p AS b, d3.p AS c FROM s LEFT JOIN d1 USING (assignment_id) LEFT JOIN d2 USING (assignment_id) LEFT JOIN d3 USING (assignment_id))"""
+
+
+@query(f"""WITH {_SESSIONS} SELECT assignment_id, position, ['blind-recognition', 'prompt-aware-criteria', 'pairwise-preference', 'debrief'][rank] AS stage,
+CASE WHEN rank = 4 THEN 'not-of-this-session' WHEN position > own THEN 'already-locked' ELSE 'out-of-order' END AS finding FROM f WHERE rank = 4 OR position IS DISTINCT FROM own""")
+def session_findings(spark, sf_dir):
+    """Submissions that sessions do not accept."""
+    return sessions.stage_findings(_submissions(spark, sf_dir))
+
+
+@query(f"""WITH {_SESSIONS} SELECT assignment_id, max((a IS NOT NULL)::INT + (b IS NOT NULL)::INT + (c IS NOT NULL)::INT)::BIGINT AS stages_done,
+['blind-recognition', 'prompt-aware-criteria', 'pairwise-preference'][max((a IS NOT NULL)::INT + (b IS NOT NULL)::INT + (c IS NOT NULL)::INT) + 1] AS next_stage, bool_or(a IS NOT NULL) AS prompt_disclosed FROM f GROUP BY 1""")
+def session_states(spark, sf_dir):
+    """How far sessions have come."""
+    return sessions.disclosure(_submissions(spark, sf_dir))
+
+
+@query("""WITH l AS (SELECT user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS sequence, 'a' || event_id % 50 AS alias, event_type AS payload, event_id FROM events),
+e AS (SELECT *, CASE WHEN sequence = 1 THEN repeat('0', 64) ELSE sha256('p' || session_id || '|' || sequence - 1) END AS real_previous, sha256('p' || session_id || '|' || sequence) AS entry_hash FROM l),
+b AS (SELECT *, CASE WHEN event_id % 37 = 0 THEN 'x' ELSE real_previous END AS previous_hash, row_number() OVER (PARTITION BY session_id, alias ORDER BY sequence) AS nth FROM e)
+SELECT session_id, sequence, unnest(list_filter([CASE WHEN previous_hash <> real_previous THEN 'chain-drift' END, 'hash-drift', CASE WHEN nth > 1 THEN 'rated-twice' END, CASE WHEN alias IN ('a7', 'a8') THEN 'not-in-session' END], lambda x: x IS NOT NULL)) AS finding FROM b""")
+def rating_chain_findings(spark, sf_dir):
+    """Ledgers of users with links of their own making: every entry's hash is foreign, one link in 37 broken."""
+    order = Window.partitionBy("user_id").orderBy("event_id")
+    numbered = table(spark, sf_dir, "events").withColumn("sequence", F.row_number().over(order).cast("long"))
+    digest = lambda n: F.sha2(F.concat(F.lit("p"), F.col("user_id").cast("string"), F.lit("|"), n.cast("string")).cast("binary"), 256)
+    previous = F.when(F.col("event_id") % 37 == 0, "x").when(F.col("sequence") == 1, F.lit(ledger.GENESIS)).otherwise(digest(F.col("sequence") - 1))
+    entries = numbered.select(F.col("user_id").alias("session_id"), "sequence", F.concat(F.lit("a"), (F.col("event_id") % 50).cast("string")).alias("assignment_alias"), F.col("event_type").alias("payload"), previous.alias("previous_hash"), digest(F.col("sequence")).alias("entry_hash"))
+    allowed = spark.range(50).select(F.concat(F.lit("a"), F.col("id").cast("string")).alias("assignment_alias")).where("assignment_alias not in ('a7', 'a8')")
+    return sessions.chain_findings(entries, allowed)
+
+
+@query("""SELECT event_id, key AS metric, value::DOUBLE AS value FROM (SELECT event_id, unnest(map_entries(MAP {'a': props->'$.k', 'b': '"7"', 'c': 'true', 'd': (value * 4)::INT::VARCHAR}), recursive := true) FROM events) WHERE key IN ('a', 'd')""")
+def numeric_annotations(spark, sf_dir):
+    """Numbers among annotations that also hold texts and booleans."""
+    k = F.get_json_object("props", "$.k")
+    annotations = F.concat(F.lit('{"a": '), k, F.lit(', "b": "7", "c": true, "d": '), F.round(F.col("value") * 4).cast("int").cast("string"), F.lit("}"))
+    return series.numeric_annotations(table(spark, sf_dir, "events").select("event_id", annotations.alias("annotations")))
+
+
+@query()
+def fuzz_report(spark, sf_dir):
+    """What the source gate makes of 26 changes of each part's drawing."""
+    size = F.col("p_size").cast("string")
+    drawing = F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg"><g id="a"><rect width="'), size, F.lit('"/></g></svg>'))
+    return mutations.fuzz_report(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("source_id"), drawing.alias("source")), 26, 5)
+
+
+@query("""SELECT p_name AS concept, min(p_brand || '') AS definition, count(*) AS ontologies FROM (SELECT p_name, 'thing' AS p_brand FROM part) GROUP BY 1""")
+def merged_ontologies(spark, sf_dir):
+    """Part names as concepts of one definition each."""
+    return concepts.merged_ontologies(table(spark, sf_dir, "part").select(F.col("p_name").alias("concept"), F.lit("thing").alias("definition")))
+
+
+@query("""SELECT n_name AS concept, '{"@id":"urn:' || n_name || '","@type":"pb:Concept","rdfs:label":"' || lower(n_name) || '","rdfs:subClassOf":{"@id":"urn:' || r_name || '"}}' AS node FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def concept_nodes(spark, sf_dir):
+    """Nations as nodes below their regions."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    rows = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("concept"), F.lower("n_name").alias("label"), F.col("r_name").alias("parent"))
+    return concepts.json_ld(rows, "urn:")

@@ -6,6 +6,7 @@ import html.parser
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,3 +105,63 @@ def read_feeds(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(parse, "path string, record_id string, title string, url string, published string, updated string, text string, categories array<string>")
+
+
+# Rights under which text may be analysed, and kept.
+ANALYSIS_RIGHTS = ("author-owned", "licensed", "permission-granted", "public-domain", "quotation-only")
+EXPORT_RIGHTS = ("author-owned", "licensed", "permission-granted", "public-domain")
+
+
+def _permitted(entries: DataFrame, rights: tuple[str, ...], what: str) -> DataFrame:
+    denied = F.raise_error(F.concat(F.lit(f"{what} is not permitted: "), F.coalesce("rights_status", F.lit("unknown"))))
+    return entries.withColumn("rights_status", F.when(F.coalesce(F.col("rights_status").isin(*rights), F.lit(False)), F.col("rights_status")).otherwise(denied))
+
+
+def prompt_records(entries: DataFrame) -> DataFrame:
+    """Entries with text (source_id, record_id, title, url, published, updated, categories, text,
+    rights_status) as prompts: source_id, record_id, prompt and metadata. Rights that do not allow
+    analysis are an error."""
+    some = _permitted(entries, ANALYSIS_RIGHTS, "analysis").where("text is not null and text <> '' and rights_status is not null")
+    meta = F.struct("title", "url", "published", "updated", "categories", F.sha2(F.col("text").cast("binary"), 256).alias("content_sha256"))
+    return some.select("source_id", "record_id", F.col("text").alias("prompt"), meta.alias("metadata"))
+
+
+def write_corpus(entries: DataFrame, path: str) -> DataFrame:
+    """Write entries as JSON lines in the order of their record ids, and return their summary: entries,
+    first and last publication, and a hash over the ordered hashes of the entries, made range by range.
+    Text of other than exportable rights is an error."""
+    allowed = _permitted(entries, EXPORT_RIGHTS, "export").where("rights_status is not null")
+    allowed.repartitionByRange("record_id").sortWithinPartitions("record_id").write.mode("errorifexists").json(path)
+    hashed = allowed.select("record_id", "published", F.sha2(F.to_json(F.struct(*sorted(entries.columns))).cast("binary"), 256).alias("h"))
+    leaf = hashed.groupBy(F.substring(F.sha2(F.col("record_id").cast("binary"), 256), 1, 3).alias("leaf")).agg(
+        F.count("*").alias("n"), F.min("published").alias("first"), F.max("published").alias("last"),
+        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("record_id", "h"))), lambda x: x["h"]), "").cast("binary"), 256).alias("h"),
+    )
+    root = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("leaf", "h"))), lambda x: x["h"]), "").cast("binary"), 256)  # at most 4096 leaves
+    return leaf.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("entries"), F.min("first").alias("first_published"), F.max("last").alias("last_published"), root.alias("corpus_sha256"))
+
+
+def export_events(events: DataFrame, path: str) -> None:
+    """Events as JSON lines by sequence."""
+    events.repartitionByRange("sequence").sortWithinPartitions("sequence").write.mode("errorifexists").json(path)
+
+
+_RASTER = T.StructType([
+    T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("aspect_ratio", T.DoubleType()), T.StructField("channel_means", T.ArrayType(T.DoubleType())),
+    T.StructField("channel_deviations", T.ArrayType(T.DoubleType())), T.StructField("dynamic_range", T.DoubleType()),
+])
+
+
+@F.pandas_udf(_RASTER)
+def raster_statistics(pixels: pd.Series, width: pd.Series) -> pd.DataFrame:
+    """Figures of images given as rows of RGB bytes and their width: means, deviations and range of the
+    channels, from 0 to 1. Null for no pixels."""
+    out = []
+    for data, w in zip(pixels, width):
+        rgb = np.frombuffer(data or b"", np.uint8).reshape(-1, 3) / 255.0
+        if not len(rgb) or not w:
+            out.append((None,) * 6)
+            continue
+        h = len(rgb) // int(w)
+        out.append((int(w), h, w / max(1, h), rgb.mean(axis=0).round(6).tolist(), rgb.std(axis=0).round(6).tolist(), float((rgb.max(axis=0) - rgb.min(axis=0)).mean())))
+    return pd.DataFrame(out, columns=_RASTER.names)
