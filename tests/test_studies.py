@@ -8,8 +8,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from brightloom.functions import vector_source
-from brightloom.operators import annotate, calibration, integrity, ledger, qualification, scorecard
+from brightloom.functions import mutations, vector_source
+from brightloom.operators import annotate, calibration, concepts, integrity, ledger, qualification, scorecard, series, sessions, tasks
 from brightloom.sources import records
 
 
@@ -168,3 +168,122 @@ def test_unsafe_paints_are_found():
         assert not vector_source.inspect(f"<svg {ns}>{bad}</svg>")["valid"], bad
     shown = vector_source.inspect(f'<svg {ns}><g opacity="5"><rect opacity="-1"/><rect/></g><line stroke="red" stroke-width="0"/><line stroke="red"/></svg>')
     assert (shown["visible_shapes"], shown["hidden_shapes"]) == (2, 2)
+
+
+def test_sessions_accept_stages_in_order(spark):
+    rng = random.Random(3)
+    data = [(a, p, rng.choice([*sessions.STAGES, "debrief"])) for a in range(40) for p in range(rng.randrange(1, 9))]
+    df = spark.createDataFrame(data, "assignment_id long, position long, stage string")
+    bad, state = set(), {}
+    for a, p, s in data:
+        done = state.setdefault(a, 0)
+        if s == "debrief":
+            bad.add((a, p, "not-of-this-session"))
+        elif sessions.STAGES.index(s) == done:
+            state[a] += 1
+        else:
+            bad.add((a, p, "already-locked" if sessions.STAGES.index(s) < done else "out-of-order"))
+    assert {(r["assignment_id"], r["position"], r["finding"]) for r in rows(sessions.stage_findings(df))} == bad
+    for r in rows(sessions.disclosure(df)):
+        done = state[r["assignment_id"]]
+        assert r["stages_done"] == done and r["next_stage"] == (sessions.STAGES + (None,))[done] and r["prompt_disclosed"] == (done > 0)
+
+
+def test_rating_chains(spark):
+    def chain(session, aliases):
+        out, previous = [], ledger.GENESIS
+        for k, alias in enumerate(aliases, 1):
+            digest = hashlib.sha256("\x1f".join([previous, str(k), alias, f"rating {k}"]).encode()).hexdigest()
+            out.append((session, k, alias, f"rating {k}", previous, digest))
+            previous = digest
+        return out
+
+    data = chain("s", ["a", "b", "c", "d"]) + chain("t", ["a", "b", "a"])
+    schema = "session_id string, sequence long, assignment_alias string, payload string, previous_hash string, entry_hash string"
+    allowed = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "assignment_alias string")
+    find = lambda d, ok=allowed: sorted((r["session_id"], r["sequence"], r["finding"]) for r in rows(sessions.chain_findings(spark.createDataFrame(d, schema), ok)))
+    assert find(data) == [("t", 3, "rated-twice")]
+    changed = [d if d[:2] != ("s", 2) else (*d[:3], "another rating", *d[4:]) for d in data]
+    assert find(changed) == [("s", 2, "hash-drift"), ("t", 3, "rated-twice")]
+    assert find([d for d in data if d[:2] != ("s", 2)]) == [("s", 3, "sequence-gap"), ("t", 3, "rated-twice")]
+    relinked = [d if d[:2] != ("s", 3) else (*d[:4], "f" * 64, d[5]) for d in data]
+    assert find(relinked) == [("s", 3, "chain-drift"), ("s", 3, "hash-drift"), ("t", 3, "rated-twice")]
+    assert ("s", 4, "not-in-session") in find(data, allowed.where("assignment_alias <> 'd'"))
+
+
+def test_source_mutations(spark):
+    svg = '<svg xmlns="http://www.w3.org/2000/svg"><g id="a" class=\'b\' fill="red"><rect/></g></svg>'
+    df = spark.createDataFrame([("x", svg), ("open", "<svg"), ("none", "")], "source_id string, source string")
+    cases = {(r["source_id"], r["case_index"]): r for r in rows(mutations.mutated(df, 13, 1))}
+    assert len(cases) == 39 and [cases["x", k]["mutation"] for k in range(13)] == list(mutations.MUTATIONS)
+    out = {m: cases["x", k]["source"] for k, m in enumerate(mutations.MUTATIONS)}
+    body, end = svg[: -len("</svg>")], "</svg>"
+    assert out["event-handler"] == svg.replace("<svg", '<svg onload="alert(1)"', 1) and out["external-css"] == body + mutations.CSS + end
+    assert out["entity"] == mutations.ENTITY + svg.replace(end, "&xxe;</svg>") and svg.startswith(out["truncate"]) and len(out["truncate"]) < len(svg)
+    groups = re.fullmatch(re.escape(body) + r'((?:<g transform="translate\(\d \d\)">)+)<circle cx="1" cy="1" r="1"/>((?:</g>)+)</svg>', out["nested-groups"])
+    assert groups and groups[1].count("<g") == groups[2].count("</g>") <= 48
+    assert cases["open", 2]["source"] == "<svg" + mutations.CSS and cases["none", 11]["source"] == ""
+    rejected = {m for m, s in out.items() if not vector_source.inspect(s)["valid"]}
+    assert {"event-handler", "external-image", "external-css", "entity", "truncate"} <= rejected and not {"nested-groups", "path-burst", "off-canvas", "clip-mask"} & rejected
+    assert rows(mutations.mutated(df, 13, 1)) == rows(mutations.mutated(df, 13, 1))
+    (clean,) = rows(df.where("source_id = 'x'").select(mutations.stripped_labels(F.col("source")).alias("s")))
+    assert clean["s"] == '<svg xmlns="http://www.w3.org/2000/svg"><g fill="red"><rect/></g></svg>'
+    assert sum(r["cases"] for r in rows(mutations.fuzz_report(df, 13, 1))) == 39
+
+
+def test_grammar_and_tasks(spark):
+    a = spark.createDataFrame([("cat", "Cat", "m", ["rides_on", "flies"], ["ear"], 1), ("cat", "Cat", "m", ["rides_on"], ["ear"], 1)], "id string, label string, animal_class string, interaction_modes array<string>, required_features array<string>, adaptation int")
+    o = spark.createDataFrame([("bike", "bike", "k", "saddle", [], ["rides_on"], ["wheel"]), (None, "x", "k", None, [], ["rides_on"], [])], "id string, label string, object_class string, interface_class string, interface_classes array<string>, interaction_modes array<string>, required_features array<string>")
+    r = spark.createDataFrame([("rides_on", None, ["k"], ["saddle"], [])], "id string, phrase string, allowed_object_classes array<string>, allowed_interface_classes array<string>, required_contacts array<string>")
+    found = sorted((x["part"], x["id"] or "", x["finding"]) for x in rows(tasks.grammar_findings(a, o, r)))
+    assert found == [("animals", "cat", "identifier-repeated"), ("animals", "cat", "unknown-mode:flies"), ("objects", "", "identifier-missing"), ("objects", "", "interface-missing")]
+    assert ("relations", "", "part-empty") in [(x["part"], x["id"], x["finding"]) for x in rows(tasks.grammar_findings(a, o, r.limit(0)))]
+    designs = tasks.compatible_designs(a.limit(1), o, r)
+    built = rows(tasks.build_tasks(designs, ["side", "rear"], ["flat icon"], "R", "1", 3))
+    assert {t["prompt"] for t in built} == {f"Generate an SVG of a Cat rides on bike, viewed from the {v}, in a flat icon style." for v in ("side", "rear")}
+    assert {t["viewpoint"]: t["difficulty"] for t in built} == {"side": 1, "rear": 2} and len({t["task_id"] for t in built}) == 2
+    again = rows(tasks.build_tasks(designs, ["side", "rear"], ["flat icon"], "R", "1", 4))
+    assert {t["task_id"] for t in again} == {t["task_id"] for t in built} and {t["seed"] for t in again} != {t["seed"] for t in built}
+    with pytest.raises(ValueError):
+        tasks.drawn_tasks(tasks.build_tasks(designs, ["side"], ["flat icon"], "R", "1", 3), 5, 1)
+
+
+def test_numbers_among_annotations(spark):
+    df = spark.createDataFrame([(1, '{"a": 1, "b": 2.5, "c": true, "d": "7", "e": null, "f": {"g": 1}, "h": -1e3}'), (2, "{}"), (3, None)], "id int, annotations string")
+    assert sorted((r["id"], r["metric"], r["value"]) for r in rows(series.numeric_annotations(df))) == [(1, "a", 1.0), (1, "b", 2.5), (1, "h", -1000.0)]
+
+
+def test_corpus_sink_and_prompt_records(spark, tmp_path):
+    schema = "source_id string, record_id string, title string, url string, published string, updated string, categories array<string>, text string, rights_status string"
+    data = [("s", f"r{i}", "t", "u", f"2024-01-0{1 + i % 9}", None, ["c"], f"text {i}" if i % 4 else "", "licensed") for i in range(30)]
+    df = spark.createDataFrame(data, schema)
+    a, b = (rows(records.write_corpus(df.orderBy(order), str(tmp_path / order)))[0] for order in ("record_id", "title"))
+    assert a == b and a["entries"] == 30 and (a["first_published"], a["last_published"]) == ("2024-01-01", "2024-01-09")
+    assert rows(records.write_corpus(df.where("record_id <> 'r3'"), str(tmp_path / "less")))[0]["corpus_sha256"] != a["corpus_sha256"]
+    assert records.read_jsonl(spark, str(tmp_path / "title"), schema).count() == 30
+    prompts = rows(records.prompt_records(df))
+    assert len(prompts) == 22 and prompts[0]["metadata"]["title"] == "t"
+    quoted = df.withColumn("rights_status", F.lit("quotation-only"))
+    assert len(rows(records.prompt_records(quoted))) == 22
+    with pytest.raises(Exception, match="export is not permitted"):
+        records.write_corpus(quoted, str(tmp_path / "no"))
+    with pytest.raises(Exception, match="analysis is not permitted"):
+        rows(records.prompt_records(df.withColumn("rights_status", F.lit(None).cast("string"))))
+    events = spark.createDataFrame([(i, f"e{i}") for i in (3, 1, 2)], "sequence long, state string")
+    records.export_events(events, str(tmp_path / "events"))
+    assert [r["sequence"] for r in records.read_jsonl(spark, str(tmp_path / "events"), "sequence long, state string").orderBy("sequence").collect()] == [1, 2, 3]
+
+
+def test_raster_figures(spark):
+    rgb = bytes([0, 255, 10, 255, 255, 20] * 3)
+    df = spark.createDataFrame([(bytearray(rgb), 2), (bytearray(b""), 2), (None, 1)], "pixels binary, width int")
+    a, b, c = (r["s"] for r in df.select(records.raster_statistics("pixels", "width").alias("s")).collect())
+    assert (a["width"], a["height"]) == (2, 3) and a["channel_means"] == [0.5, 1.0, round(15 / 255, 6)] and a["channel_deviations"][1] == 0 and a["dynamic_range"] == pytest.approx((1 + 0 + 10 / 255) / 3)
+    assert b["width"] is None and c["height"] is None
+
+
+def test_merged_ontologies(spark):
+    df = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "y")], "concept string, definition string")
+    assert sorted((r["concept"], r["definition"], r["ontologies"]) for r in rows(concepts.merged_ontologies(df))) == [("a", "x", 2), ("b", "y", 1)]
+    with pytest.raises(Exception, match="conflicting concept a"):
+        rows(concepts.merged_ontologies(df.union(df.selectExpr("'a'", "'z'"))))
