@@ -27,7 +27,7 @@ from brightloom.llm.common import materialise, packed, unpacked
 from brightloom.llm.fmindex import FMIndex
 
 WINDOW = 13
-SHARD = 4 << 20
+SHARD = 2 << 20
 #: Characters of benchmark text in a block that is sent to all executors, and blocks there at once.
 BLOCK, BLOCKS = 4 << 20, 4
 
