@@ -133,24 +133,25 @@ def corpus_summary(annotated: DataFrame) -> DataFrame:
     return one.select(F.explode(rows).alias("r")).select("r.*").where("n > 0 or kind = 'documents'")
 
 
-def _mentions(text: Column, aliases: dict[str, str]) -> Column:
-    """Mentions (surface, canonical), of overlapping ones the longest at the first start: alternation
-    tries longer surfaces first, and matching goes on after a match's end."""
+def _with_mentions(prompts: DataFrame, prompt: str, aliases: dict[str, str], into: str) -> DataFrame:
+    """``prompts`` with mentions (surface, canonical_id, start, end); of overlapping ones the longest at the
+    first start: alternation tries longer surfaces first, and matching goes on after a match's end."""
     surfaces = sorted(aliases, key=lambda s: (-len(s), s))
-    hits = F.regexp_extract_all(text, F.lit("(?i)(?<![A-Za-z0-9])(?:" + "|".join(s.replace("-", r"\-") for s in surfaces) + ")(?![A-Za-z0-9])"), F.lit(0))
+    pattern = "(?i)(?<![A-Za-z0-9])(?:" + "|".join(s.replace("-", r"\-") for s in surfaces) + ")(?![A-Za-z0-9])"
+    some = reduce(lambda a, b: a | b, [F.contains(F.lower(prompt), F.lit(s)) for s in surfaces])
     names = F.create_map(*[F.lit(x) for s in surfaces for x in (s, aliases[s])])
-    return F.transform(hits, lambda h: F.struct(h.alias("surface"), F.element_at(names, F.lower(h)).alias("canonical_id")))
+    found_ = with_matches(prompts, prompt, pattern, some, into)
+    return found_.withColumn(into, F.transform(into, lambda m: F.struct(m["text"].alias("surface"), F.element_at(names, F.lower(m["text"])).alias("canonical_id"), m["start"].alias("start"), m["end"].alias("end"))))
 
 
 def annotate_prompts(prompts: DataFrame, prompt: str = "prompt") -> DataFrame:
-    """``prompts`` with tokens, mentions, relations, viewpoints, styles, numbers and intents."""
+    """``prompts`` with tokens, mentions with their places, relations, viewpoints, styles, numbers and intents."""
     p = F.col(prompt)
     relations = found(p, PROMPT_RELATIONS)
     aboard = F.array_contains(relations, "aboard") & ~p.rlike(r"(?i)\briding\b")
+    mentioned = _with_mentions(_with_mentions(prompts, prompt, {a: a for a in ANIMALS}, "animal_mentions"), prompt, MOBILE_OBJECTS, "object_mentions")
     out = (
-        prompts.withColumn("tokens", F.transform(F.regexp_extract_all(p, F.lit(TOKEN), F.lit(0)), lambda t: F.lower(t)))
-        .withColumn("animal_mentions", _mentions(p, {a: a for a in ANIMALS}))
-        .withColumn("object_mentions", _mentions(p, MOBILE_OBJECTS))
+        mentioned.withColumn("tokens", F.transform(F.regexp_extract_all(p, F.lit(TOKEN), F.lit(0)), lambda t: F.lower(t)))
         .withColumn("relations", F.when(aboard, F.array_remove(relations, "rides_on")).otherwise(relations))
         .withColumn("viewpoints", found(p, VIEWPOINTS))
         .withColumn("styles", found(p, STYLES))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brightloom.functions.draws import stable_id
 from brightloom.operators.annotate import normalised_label
 from brightloom.operators.integrity import SENSITIVE
 from brightloom.operators.ratings import agreement_figures
@@ -103,3 +104,27 @@ def analysis(responses: DataFrame) -> DataFrame:
     agreed = agreement_figures(each, ["figure", "name"])
     agreed = agreed.select("figure", "name", F.when(F.col("figure") == "alpha", F.col("alpha")).otherwise(F.col("consistency")).alias("value")).where("value is not null")
     return out.union(winners.select(F.lit("winner").alias("figure"), "name", "value")).union(agreed)
+
+
+# When responses to an artifact need another look.
+MODAL_SHARE, RANGE, CONFIDENCE = 2 / 3, 2.0, 50.0
+
+
+def adjudication_queue(responses: DataFrame, modal_share: float = MODAL_SHARE, rating_range: float = RANGE, confidence: float = CONFIDENCE) -> DataFrame:
+    """(item_id, artifact_id, stage, field, reason, values, share) of artifacts whose responses disagree: open
+    labels whose commonest value has less than ``modal_share`` of several, ratings that lie
+    ``rating_range`` or more apart, and recognition with a low mean confidence. ``values`` are the
+    counts, as value=n joined by ';'. Ids are hashes of all of these."""
+    known = responses.where("artifact_id is not null and artifact_id <> '' and response is not null")
+    blind = F.col("stage") == "blind-recognition"
+    open_text = F.array(*[F.struct(F.lit(n).alias("field"), normalised_label(F.trim(_field(n))).alias("value"), F.lit(None).cast("double").alias("x")) for n in OPEN_TEXT])
+    rated = F.array(*[F.struct(F.lit(n).alias("field"), _number(n).cast("string").alias("value"), _number(n).alias("x")) for n in RATINGS])
+    each = known.select("artifact_id", "stage", F.explode(F.when(blind, open_text).otherwise(rated)).alias("f")).select("artifact_id", "stage", "f.*").where("value is not null")
+    counted = each.groupBy("artifact_id", "stage", "field", "value").agg(F.count("*").alias("n"), F.min("x").alias("x"))
+    shown = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("value", "n"))), lambda v: F.concat(v["value"], F.lit("="), v["n"].cast("string"))), ";")
+    fields = counted.groupBy("artifact_id", "stage", "field").agg(F.sum("n").alias("total"), (F.max("n") / F.sum("n")).alias("share"), (F.max("x") - F.min("x")).alias("range"), shown.alias("values"))
+    reason = F.when(F.col("range").isNull() & (F.col("share") < modal_share), "inter-rater-label-disagreement").when(F.col("range") >= rating_range, "criterion-rating-range")
+    labels = fields.where("total >= 2").withColumn("reason", reason).where("reason is not null").select("artifact_id", "stage", "field", "reason", "values", "share")
+    sure = known.where(blind).groupBy("artifact_id", "stage").agg(F.avg(_number("recognition_confidence")).alias("mean"), F.count(_number("recognition_confidence")).alias("n")).where(F.col("mean") < confidence)
+    unsure = sure.select("artifact_id", "stage", F.lit("recognition_confidence").alias("field"), F.lit("low-mean-recognition-confidence").alias("reason"), F.concat(F.lit("observations="), F.col("n").cast("string")).alias("values"), (F.col("mean") / 100).alias("share"))
+    return labels.union(unsure).select(stable_id("ADJ", 20, F.col("artifact_id"), F.col("stage"), F.col("field"), F.col("reason"), F.col("values")).alias("item_id"), "*")

@@ -23,7 +23,9 @@ def ancestors(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
             return paths
         if reach * 2 > max_depth:
             raise ValueError("concepts form a cycle")
-        paths, reach = paths.union(longer).distinct().persist(), reach * 2
+        before, paths, reach = paths, paths.union(longer).distinct().persist(), reach * 2
+        paths.count()  # held before what it was made from is let go
+        before.unpersist()
 
 
 def feature_profile(paths: DataFrame, features: DataFrame) -> DataFrame:

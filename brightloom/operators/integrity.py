@@ -76,13 +76,34 @@ def blind(records: DataFrame, aliases: DataFrame, columns: list[str]) -> DataFra
     return out
 
 
-def unblind(records: DataFrame, aliases: DataFrame, columns: list[str], authorised: bool) -> DataFrame:
-    """The reverse of ``blind``; needs an authorisation."""
-    if not authorised:
+def unblinding_token(secret: bytes, study: str, columns: list[str], approver: str) -> str:
+    """The authorisation to unblind these columns of a study, which only the keeper of the secret can give."""
+    return hmac.new(secret, "\x1f".join(["unblind", study, approver, *sorted(columns)]).encode(), hashlib.sha256).hexdigest()
+
+
+def unblind(records: DataFrame, aliases: DataFrame, columns: list[str], token: str, secret: bytes, study: str, approver: str) -> DataFrame:
+    """The reverse of ``blind``; needs the token for just these columns."""
+    if not hmac.compare_digest(token, unblinding_token(secret, study, columns, approver)):
         raise PermissionError("unblinding is not authorised")
     return blind(records, aliases.select(F.col("alias").alias("real"), F.col("real").alias("alias")), columns)
 
 
+def manifest(files: DataFrame) -> DataFrame:
+    """(path, sha256, bytes) of files (path, content)."""
+    return files.select("path", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("bytes"))
+
+
+def manifest_receipt(listed: DataFrame) -> DataFrame:
+    """One row: files and bytes of a manifest, and a hash over its entries. Entries are hashed by
+    256 groups of their paths' hashes first, so that no task gathers them all."""
+    entry = F.concat_ws("\x1f", "path", "sha256", F.col("bytes").cast("string"))
+    leaf = listed.groupBy(F.substring(F.sha2(F.col("path").cast("binary"), 256), 1, 2).alias("leaf")).agg(
+        F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), "\n").cast("binary"), 256).alias("h")
+    )
+    root = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("leaf", "h"))), lambda x: x["h"]), "").cast("binary"), 256)
+    return leaf.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), root.alias("manifest_sha256"))
+
+
 def rights_audit(artifacts: DataFrame, ledger: DataFrame, own_prefix: str) -> DataFrame:
     """Artifacts whose source is neither in the ledger nor the project's own."""
     return artifacts.where(F.col("source_id").isNull() | ~F.startswith("source_id", F.lit(own_prefix))).join(ledger.select("source_id"), "source_id", "left_anti")

@@ -76,6 +76,19 @@ def duplicate_consistency(ratings: DataFrame) -> DataFrame:
     return items.agg(F.sum("pairs").cast("long").alias("pairs"), (F.sum("equal") / F.when(F.sum("pairs") > 0, F.sum("pairs"))).alias("consistency"))
 
 
+def duplicate_exact_consistency(ratings: DataFrame, fields: list[str]) -> DataFrame:
+    """One row: repeated ratings (row_id, duplicate_of) with their original, how many of them agree with it
+    in all ``fields`` (null equals null), and their share. A repeat without its original is an error."""
+    base = ratings.where("duplicate_of is null").select(F.col("row_id").alias("_base"), *[F.col(f).alias(f"_{f}") for f in fields])
+    pairs = ratings.where("duplicate_of is not null").join(base, F.col("duplicate_of") == F.col("_base"), "left")
+    same = F.lit(True)
+    for f in fields:
+        same = same & F.col(f).eqNullSafe(F.col(f"_{f}"))
+    lost = F.raise_error(F.concat(F.lit("no rating "), F.col("duplicate_of").cast("string"))).cast("boolean")
+    checked = pairs.select(F.when(F.col("_base").isNull(), lost).otherwise(same).alias("same"))
+    return checked.agg(F.count("*").alias("pairs"), F.count_if("same").alias("exact_agreements"), F.try_divide(F.count_if("same"), F.count("*")).alias("consistency"))
+
+
 def winner_counts(votes: DataFrame) -> DataFrame:
     """Votes by criterion and winner, as written."""
     return votes.groupBy("criterion", "winner").agg(F.count("*").alias("votes"))

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-from brightloom.functions import mutations, vector_source
-from brightloom.operators import annotate, calibration, concepts, integrity, ledger, planning, qualification, scorecard, series, sessions, tasks
+from brightloom.functions import contracts, mutations, vector_source
+from brightloom.operators import annotate, calibration, concepts, integrity, ledger, planning, qualification, ratings, scorecard, series, sessions, tasks
 from brightloom.plans.base import registry, rounded
 from brightloom.session import table
 
@@ -733,3 +733,52 @@ def concept_nodes(spark, sf_dir):
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     rows = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("concept"), F.lower("n_name").alias("label"), F.col("r_name").alias("parent"))
     return concepts.json_ld(rows, "urn:")
+
+
+@query(f"""WITH {_RESPONSES}, q AS (SELECT l_partkey::VARCHAR AS artifact_id, stage, unnest(CASE WHEN stage = 'blind-recognition' THEN [{{'f': 'animal_open_text', 'v': a, 'x': NULL::DOUBLE}}, {{'f': 'mobile_object_open_text', 'v': 'go-kart', 'x': NULL}}, {{'f': 'relation_open_text', 'v': r, 'x': NULL}}]
+  WHEN stage = 'prompt-aware-criteria' THEN list_transform([{{'f': 'animal_rating_1_to_5', 'x': l_suppkey % 5 + 1}}, {{'f': 'object_rating_1_to_5', 'x': l_suppkey % 4 + 1}}, {{'f': 'interaction_rating_1_to_5', 'x': l_suppkey % 6 + 1}}], lambda z: {{'f': z.f, 'v': z.x || '.0', 'x': z.x::DOUBLE}}) ELSE [] END, recursive := true) FROM w),
+c AS (SELECT artifact_id, stage, f AS field, v, count(*) AS n, min(x) AS x FROM q GROUP BY ALL),
+g AS (SELECT artifact_id, stage, field, sum(n) AS total, max(n) / sum(n) AS share, max(x) - min(x) AS r, string_agg(v || '=' || n, ';' ORDER BY v) AS vals FROM c GROUP BY ALL),
+u AS (SELECT artifact_id, stage, field, CASE WHEN r IS NULL AND share < 2 / 3 THEN 'inter-rater-label-disagreement' WHEN r >= 2 THEN 'criterion-rating-range' END AS reason, vals, share FROM g WHERE total >= 2
+  UNION ALL SELECT l_partkey::VARCHAR, stage, 'recognition_confidence', 'low-mean-recognition-confidence', 'observations=' || count(*) FILTER (k % 13 <> 0), avg((l_quantity * 2)::INT) FILTER (k % 13 <> 0) / 100 FROM w WHERE stage = 'blind-recognition' GROUP BY 1, 2 HAVING avg((l_quantity * 2)::INT) FILTER (k % 13 <> 0) < 50)
+SELECT 'ADJ-' || substr(sha256(artifact_id || chr(31) || stage || chr(31) || field || chr(31) || reason || chr(31) || vals), 1, 20) AS item_id, artifact_id, stage, field, reason, vals AS values, round(share, 6) AS share FROM u WHERE reason IS NOT NULL""")
+def adjudication_queue(spark, sf_dir):
+    """Artifacts whose responses need another look."""
+    return rounded(calibration.adjudication_queue(_calibration_responses(spark, sf_dir)))
+
+
+@query("""WITH d AS (SELECT a.l_returnflag IS NOT DISTINCT FROM b.l_returnflag AND (CASE WHEN a.l_quantity > 40 THEN NULL ELSE a.l_linestatus END) IS NOT DISTINCT FROM (CASE WHEN b.l_quantity > 40 THEN NULL ELSE b.l_linestatus END) AS same
+  FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = 1 WHERE a.l_linenumber = 2)
+SELECT count(*) AS pairs, count(*) FILTER (same) AS exact_agreements, round(avg(same::INT), 6) AS consistency FROM d""")
+def duplicate_exact_consistency(spark, sf_dir):
+    """Second lines of orders as repeats of the first."""
+    n = F.col("l_linenumber")
+    lines = table(spark, sf_dir, "lineitem")
+    rows = lines.where(n <= 2).join(lines.where(n == 1).select("l_orderkey"), "l_orderkey", "left_semi").select(
+        F.concat_ws("|", "l_orderkey", n).alias("row_id"), F.when(n == 2, F.concat_ws("|", "l_orderkey", F.lit(1))).alias("duplicate_of"), F.col("l_returnflag").alias("a"), F.when(F.col("l_quantity") <= 40, F.col("l_linestatus")).alias("b")
+    )
+    return rounded(ratings.duplicate_exact_consistency(rows, ["a", "b"]))
+
+
+@query("""WITH f AS (SELECT 'docs/' || doc_id AS path, sha256(text) AS h, strlen(text) AS n FROM documents),
+l AS (SELECT substr(sha256(path), 1, 2) AS leaf, count(*) AS c, sum(n) AS n, sha256(string_agg(path || chr(31) || h || chr(31) || n, chr(10) ORDER BY path || chr(31) || h || chr(31) || n)) AS h FROM f GROUP BY 1)
+SELECT sum(c)::BIGINT AS files, sum(n)::BIGINT AS bytes, sha256(string_agg(h, '' ORDER BY leaf)) AS manifest_sha256 FROM l""")
+def manifest_receipt(spark, sf_dir):
+    """The receipt of a manifest of all documents as files."""
+    files = table(spark, sf_dir, "documents").select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string")).alias("path"), F.col("text").cast("binary").alias("content"))
+    return integrity.manifest_receipt(integrity.manifest(files))
+
+
+@query("""SELECT event_id, list_sort(list_filter([CASE WHEN value > 400 THEN 'value: is too large' END, CASE WHEN event_type = 'error' THEN 'kind: is not one of the listed values' END, CASE WHEN event_id % 7 = 0 THEN '$: lacks user' END, CASE WHEN event_id % 11 = 0 THEN 'tags/1: is not of type string' END,
+CASE WHEN event_id % 13 = 0 THEN '$: has an unknown member extra' END], lambda x: x IS NOT NULL)) AS errors FROM events""")
+def contract_errors(spark, sf_dir):
+    """Events as payloads, some of them against their contract."""
+    schema = {
+        "type": "object", "required": ["kind", "value", "user"], "additionalProperties": False,
+        "properties": {"kind": {"enum": ["click", "purchase", "signup", "view"]}, "value": {"type": "number", "maximum": 400}, "user": {"type": "integer"}, "tags": {"type": "array", "items": {"type": "string"}}},
+    }
+    e = F.col("event_id")
+    user = F.when(e % 7 != 0, F.concat(F.lit(',"user":'), F.col("user_id").cast("string"))).otherwise("")
+    tags, extra = F.when(e % 11 == 0, '["a",1]').otherwise('["a","b"]'), F.when(e % 13 == 0, ',"extra":null').otherwise("")
+    payload = F.concat(F.lit('{"kind":"'), F.col("event_type"), F.lit('","value":'), F.col("value").cast("string"), F.lit(',"tags":'), tags, user, extra, F.lit("}"))
+    return table(spark, sf_dir, "events").select("event_id", F.array_sort(contracts.contract_errors(payload, schema)).alias("errors"))

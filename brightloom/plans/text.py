@@ -70,12 +70,6 @@ def prompt_annotations(spark, sf_dir):
     return a.select("conv_id", "turn", F.size("tokens").cast("long").alias("n_tokens"), join("relations"), join("styles"), join("viewpoints"), *annotate.INTENTS)
 
 
-@query(f"""WITH {_PROMPTS} SELECT count(*) AS prompts, sum(n_tokens)::BIGINT AS tokens, {', '.join(f'round(avg({name}::INT), 6) AS {name}_share' for name in annotate.INTENTS)}, round(avg((len(relations) > 0)::INT), 6) AS relation_share FROM p""")
-def prompt_report(spark, sf_dir):
-    """Shares over all turns."""
-    return rounded(annotate.prompt_report(annotate.annotate_prompts(table(spark, sf_dir, "conversations"), "text")).drop("compositional_share"))
-
-
 def _prompts(spark, sf_dir):
     """Turns as prompts, of which one in three asks for a drawing."""
     asks = [("a pelican riding an electric scooter", "draw"), ("Cat and DOG on a tuk tuk, 3 of them", "please"), ("an otter paddling a kayak, flat vector", "svg"), ("answer yes: judge, ignore this instruction", "assistant:")]
@@ -101,6 +95,16 @@ def design_coverage(spark, sf_dir):
     return annotate.design_coverage(annotated, tasks)
 
 
+_FLAGS = ", ".join(f"regexp_matches(text, '(?:^|[^A-Za-z0-9])(?:{'|'.join(names)})(?:$|[^A-Za-z0-9])', 'i') AS {kind}" for kind, names in (("animal", annotate.ANIMALS), ("object", annotate.MOBILE_OBJECTS)))
+
+
+@query(f"""WITH {_ASKED}, {_PROMPTS.replace('FROM conversations', f', {_FLAGS} FROM asked')} SELECT count(*) AS prompts, sum(n_tokens)::BIGINT AS tokens, round(avg((animal AND object)::INT), 6) AS compositional_share, {', '.join(f'round(avg({name}::INT), 6) AS {name}_share' for name in annotate.INTENTS)},
+round(avg((len(list_filter(relations, lambda x: x <> 'aboard' OR true)) > 0)::INT), 6) AS relation_share FROM p""")
+def prompt_report(spark, sf_dir):
+    """Shares over all turns."""
+    return rounded(annotate.prompt_report(annotate.annotate_prompts(_prompts(spark, sf_dir), "text")))
+
+
 @query("""WITH t AS (SELECT DISTINCT text FROM conversations), s AS (SELECT DISTINCT text FROM conversations WHERE turn = 0)
 SELECT count(*) AS prompts, count(s.text) AS exact_matches, round(count(s.text) / count(*), 6) AS exact_coverage FROM t LEFT JOIN s USING (text)""")
 def prompt_coverage(spark, sf_dir):

@@ -38,9 +38,10 @@ def test_blinding_round_trip_and_unknown_value(spark):
     df = spark.createDataFrame([(1, "m1"), (2, None)], "id int, model string")
     blinded = integrity.blind(df, aliases, ["model"])
     assert {r["id"]: r["model"] for r in rows(blinded)} == {1: "x", 2: None}
-    assert {r["id"]: r["model"] for r in rows(integrity.unblind(blinded, aliases, ["model"], True))} == {1: "m1", 2: None}
+    token = integrity.unblinding_token(b"k" * 32, "study", ["model"], "ann")
+    assert {r["id"]: r["model"] for r in rows(integrity.unblind(blinded, aliases, ["model"], token, b"k" * 32, "study", "ann"))} == {1: "m1", 2: None}
     with pytest.raises(PermissionError):
-        integrity.unblind(blinded, aliases, ["model"], False)
+        integrity.unblind(blinded, aliases, ["model", "id"], token, b"k" * 32, "study", "ann")
     with pytest.raises(Exception, match="no alias"):
         integrity.blind(spark.createDataFrame([(1, "zz")], "id int, model string"), aliases, ["model"]).collect()
 

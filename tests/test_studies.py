@@ -8,8 +8,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from brightloom.functions import mutations, vector_source
-from brightloom.operators import annotate, calibration, concepts, integrity, ledger, qualification, scorecard, series, sessions, tasks
+from brightloom.functions import contracts, mutations, vector_source
+from brightloom.operators import annotate, calibration, concepts, integrity, ledger, qualification, ratings, scorecard, series, sessions, tasks
 from brightloom.sources import records
 
 
@@ -287,3 +287,49 @@ def test_merged_ontologies(spark):
     assert sorted((r["concept"], r["definition"], r["ontologies"]) for r in rows(concepts.merged_ontologies(df))) == [("a", "x", 2), ("b", "y", 1)]
     with pytest.raises(Exception, match="conflicting concept a"):
         rows(concepts.merged_ontologies(df.union(df.selectExpr("'a'", "'z'"))))
+
+
+def test_contracts(spark):
+    schema = {"type": "object", "required": ["a"], "additionalProperties": False, "properties": {"a": {"type": "integer", "minimum": 1}, "b": {"type": ["string", "null"], "pattern": "^x", "maxLength": 3}, "c": {"type": "array", "minItems": 1, "items": {"const": 2}}}}
+    cases = [
+        ('{"a": 1}', []), ('{"a": 1.0, "b": null, "c": [2]}', []), ("[]", ["$: is not of type object"]), ("{", ["$: is not JSON"]), (None, None), ("{}", ["$: lacks a"]),
+        ('{"a": true, "d": 1, "b": "yyyy", "c": []}', ["$: has an unknown member d", "a: is not of type integer", "b: does not match the pattern", "b: is too long", "c: has too few items"]),
+        ('{"a": 0, "c": [2, 3]}', ["a: is too small", "c/1: is not the stated value"]),
+    ]
+    got = rows(spark.createDataFrame([(i, p) for i, (p, _) in enumerate(cases)], "i int, p string").select("i", contracts.contract_errors(F.col("p"), schema).alias("e")))
+    assert {r["i"]: r["e"] for r in got} == {i: e for i, (_, e) in enumerate(cases)}
+    for bad in ({"oneOf": []}, {"type": "date"}, {"properties": {"x": {"minimun": 1}}}, {"additionalProperties": {}}):
+        with pytest.raises(ValueError):
+            contracts.contract_errors(F.col("p"), bad)
+
+
+def test_adjudication_queue(spark):
+    row = lambda art, stage, **f: (stage, f, art, None, None, None, None)
+    three = lambda a, c: {"animal_open_text": a, "mobile_object_open_text": "bike", "relation_open_text": "on", "recognition_confidence": c}
+    data = [row("x", "blind-recognition", **three(a, c)) for a, c in (("Cat", "40"), ("cat ", "30"), ("dog", "50"), ("dog", "20"))]
+    data += [row("y", "prompt-aware-criteria", animal_rating_1_to_5=v, object_rating_1_to_5="3") for v in ("1", "3")] + [row("z", "blind-recognition", **three("cat", "90")), row("", "blind-recognition", **three("a", "1"))]
+    got = rows(calibration.adjudication_queue(spark.createDataFrame(data, RESPONSE)))
+    assert sorted((r["artifact_id"], r["field"], r["reason"], r["values"], r["share"]) for r in got) == [
+        ("x", "animal_open_text", "inter-rater-label-disagreement", "cat=2;dog=2", 0.5), ("x", "recognition_confidence", "low-mean-recognition-confidence", "observations=4", 0.35), ("y", "animal_rating_1_to_5", "criterion-rating-range", "1.0=1;3.0=1", 0.5),
+    ]
+    assert len({r["item_id"] for r in got}) == 3
+
+
+def test_repeated_ratings_and_manifests(spark):
+    df = spark.createDataFrame([("a", None, 1, "x"), ("b", None, None, "x"), ("c", "a", 1, "x"), ("d", "b", None, "x"), ("e", "b", 2, "x")], "row_id string, duplicate_of string, p int, q string")
+    (r,) = rows(ratings.duplicate_exact_consistency(df, ["p", "q"]))
+    assert (r["pairs"], r["exact_agreements"], r["consistency"]) == (3, 2, pytest.approx(2 / 3))
+    with pytest.raises(Exception, match="no rating"):
+        rows(ratings.duplicate_exact_consistency(df.where("row_id <> 'a'"), ["p", "q"]))
+    files = spark.createDataFrame([(f"d/{i}", bytearray(b"x" * i)) for i in range(600)], "path string, content binary")
+    receipt = lambda d: rows(integrity.manifest_receipt(integrity.manifest(d)))[0]
+    whole = receipt(files)
+    assert (whole["files"], whole["bytes"]) == (600, sum(range(600))) and receipt(files.orderBy(F.desc("path"))) == whole
+    assert receipt(files.withColumn("content", F.when(F.col("path") == "d/7", F.lit(bytearray(b"y" * 7))).otherwise(F.col("content"))))["manifest_sha256"] != whole["manifest_sha256"]
+
+
+def test_mentions_have_places(spark):
+    text = "A Pelican on an electric  scooter, electric scooter, bobcat CAT"
+    (r,) = rows(annotate.annotate_prompts(spark.createDataFrame([(text,)], "prompt string")))
+    assert [(m["canonical_id"], text[m["start"] : m["end"]]) for m in r["animal_mentions"]] == [("pelican", "Pelican"), ("cat", "CAT")]
+    assert [(m["canonical_id"], text[m["start"] : m["end"]]) for m in r["object_mentions"]] == [("electric-scooter", "scooter"), ("electric-scooter", "electric scooter")]
