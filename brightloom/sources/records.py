@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brightloom.functions.draws import stable_seed
+
 # Columns of a vote file, and columns that it must not have.
 VOTE_COLUMNS = ("pair_id", "task_id", "criterion", "left_artifact_id", "right_artifact_id", "winner", "rater_hash")
 VOTE_SENSITIVE = ("address", "email", "ip", "ip_address", "name", "participant_name", "phone", "user_agent")
@@ -50,9 +52,55 @@ def read_votes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return named.where(good), named.where(~F.coalesce(good, F.lit(False)))
 
 
-def write_assignments(pairs: DataFrame, path: str) -> None:
-    """Blinded assignments as CSV, by pair and criterion."""
-    pairs.repartitionByRange("pair_id", "criterion").sortWithinPartitions("pair_id", "criterion").write.mode("errorifexists").option("header", True).csv(path)
+def write_frozen(df: DataFrame, path: str) -> bool:
+    """JSON lines that are written once: True if they were written now, False if ``path`` holds the same
+    rows already, in whatever order; other rows there are an error."""
+    spark = df.sparkSession
+    lines = df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        lines.write.text(path)
+        return True
+    figures = lambda x: x.agg(F.count("*"), *[F.sum(F.xxhash64("value", F.lit(k)).cast("decimal(38,0)")) for k in (0, 1)]).first()
+    if figures(lines) != figures(spark.read.text(path)):
+        raise ValueError(f"{path} holds other rows")
+    return False
+
+
+def evaluation_batch(pairs: DataFrame, seed: int) -> DataFrame:
+    """Assignments of pairs (pair_id, task_id, criterion, left_artifact_id, right_artifact_id) for raters:
+    sides are only called A and B, each row has a seed for the order of presentation, and the columns
+    that raters fill in are empty."""
+    empty = [F.lit("").alias(c) for c in ("winner", "rater_hash", "panel", "consent_version")]
+    order = stable_seed(F.lit(seed), F.col("pair_id"), F.col("criterion"))
+    return pairs.select("pair_id", "task_id", "criterion", "left_artifact_id", "right_artifact_id", F.lit("A").alias("left_alias"), F.lit("B").alias("right_alias"), order.alias("presentation_order_seed"), *empty)
+
+
+# What the columns of an assignment are.
+ASSIGNMENT_FIELDS = {
+    "pair_id": "the comparison", "task_id": "the prompt and its condition", "criterion": "what is judged", "left_artifact_id": "the artifact shown as A", "right_artifact_id": "the artifact shown as B",
+    "winner": "A, B or tie", "rater_hash": "a one-way hash of the rater", "panel": "the sampling panel", "consent_version": "the consent text that was approved",
+}
+
+
+def write_evaluation_batch(pairs: DataFrame, path: str, seed: int) -> DataFrame:
+    """Write a batch under ``path``: assignments as CSV by pair and criterion, a dictionary of its fields and
+    a manifest, which is returned: assignments, criteria, a hash over the assignments. No pairs are an error."""
+    batch = evaluation_batch(pairs, seed)
+    line = F.concat_ws("\x1f", *[F.col(c).cast("string") for c in batch.columns])
+    leaf = batch.groupBy(F.substring(F.sha2(F.col("pair_id").cast("binary"), 256), 1, 2).alias("leaf")).agg(
+        F.count("*").alias("n"), F.collect_set("criterion").alias("c"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n").cast("binary"), 256).alias("h")
+    )
+    root = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("leaf", "h"))), lambda x: x["h"]), "").cast("binary"), 256)  # at most 256 leaves
+    found = leaf.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("assignments"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("c")))).alias("criteria"), root.alias("assignments_sha256")).first()
+    if not found["assignments"]:
+        raise ValueError("a batch needs a pair")
+    spark = pairs.sparkSession
+    batch.repartitionByRange("pair_id", "criterion").sortWithinPartitions("pair_id", "criterion").write.mode("errorifexists").option("header", True).csv(f"{path}/assignments")
+    spark.createDataFrame(list(ASSIGNMENT_FIELDS.items()), "field string, meaning string").coalesce(1).write.mode("errorifexists").json(f"{path}/dictionary")
+    manifest = spark.createDataFrame([(seed, found["assignments"], found["criteria"], found["assignments_sha256"], False)], "seed long, assignments long, criteria array<string>, assignments_sha256 string, contains_direct_identifiers boolean")
+    manifest.coalesce(1).write.mode("errorifexists").json(f"{path}/manifest")
+    return manifest
 
 
 def plain_text(markup: str | None) -> str | None:
@@ -76,27 +124,51 @@ def html_text(markup: pd.Series) -> pd.Series:
 _ATOM = "{http://www.w3.org/2005/Atom}"
 
 
-def parse_feed(payload: bytes, max_bytes: int = 10_000_000, max_entries: int = 10_000) -> list[dict]:
-    """Entries of an Atom feed, by publication (or update) time and id."""
+# Rights under which text may be analysed, and kept.
+ANALYSIS_RIGHTS = ("author-owned", "licensed", "permission-granted", "public-domain", "quotation-only")
+EXPORT_RIGHTS = ("author-owned", "licensed", "permission-granted", "public-domain")
+
+
+# Limits of a feed.
+FEED_BYTES, FEED_ENTRIES, ENTRY_CHARACTERS = 10_000_000, 10_000, 200_000
+
+
+def _feed_entry(entry: ET.Element, nth: int) -> dict:
+    child = lambda name: entry.find(_ATOM + name)
+    text = lambda name: None if child(name) is None else " ".join("".join(child(name).itertext()).split()) or None
+    url = next((x.get("href") for x in entry.findall(f"{_ATOM}link") if x.get("rel", "alternate") == "alternate" and x.get("href")), None)
+    name = text("id") or url or f"entry-{nth}"
+    if url is None and name.startswith(("http://", "https://")):
+        url = name
+    return {
+        "record_id": name, "title": plain_text(text("title")), "url": url, "published": text("published"), "updated": text("updated"), "text": plain_text(text("content") or text("summary") or ""),
+        "categories": sorted({c.get("term") for c in entry.findall(f"{_ATOM}category") if c.get("term")}),
+    }
+
+
+def parse_feed(payload: bytes, max_bytes: int = FEED_BYTES, max_entries: int = FEED_ENTRIES, max_characters: int = ENTRY_CHARACTERS) -> list[dict]:
+    """Entries of an Atom feed, by publication (or update) time and id. An entry without an id has its link
+    for one, or its place; one without a link has its id, if that is a URL. A feed or an entry beyond the
+    limits, and a document that declares entities or is no feed, are errors."""
     if len(payload) > max_bytes:
         raise ValueError("feed is too large")
     if b"<!DOCTYPE" in payload or b"<!ENTITY" in payload:
         raise ValueError("feed declares entities")
-    out = []
-    for entry in ET.fromstring(payload).iter(f"{_ATOM}entry"):
-        text = lambda name: " ".join("".join(entry.find(_ATOM + name).itertext()).split()) if entry.find(_ATOM + name) is not None else None  # noqa: B023, E731
-        links = [x.get("href") for x in entry.findall(f"{_ATOM}link") if x.get("rel", "alternate") == "alternate"]
-        out.append({
-            "record_id": text("id"), "title": text("title"), "url": links[0] if links else None, "published": text("published"), "updated": text("updated"),
-            "text": plain_text(text("content") or text("summary") or ""), "categories": sorted({c.get("term") for c in entry.findall(f"{_ATOM}category") if c.get("term")}),
-        })
-    if len(out) > max_entries:
+    root = ET.fromstring(payload)
+    if root.tag != f"{_ATOM}feed":
+        raise ValueError("not an Atom feed")
+    found = root.findall(f"{_ATOM}entry")
+    if len(found) > max_entries:
         raise ValueError("feed has too many entries")
-    return sorted(out, key=lambda e: (e["published"] or e["updated"] or "", e["record_id"] or ""))
+    out = [_feed_entry(entry, nth) for nth, entry in enumerate(found, 1)]
+    if long := [e["record_id"] for e in out if len(e["text"]) > max_characters]:
+        raise ValueError(f"text is too long: {long[0]}")
+    return sorted(out, key=lambda e: (e["published"] or e["updated"] or "", e["record_id"]))
 
 
-def read_feeds(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of all Atom files under ``path``."""
+def read_feeds(spark: SparkSession, path: str, rights_status: str = "metadata-only") -> DataFrame:
+    """Entries of all Atom files under ``path``, with a hash of their text. The text itself is only kept
+    under rights that allow its export."""
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -104,12 +176,9 @@ def read_feeds(spark: SparkSession, path: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "record_id", "title", "url", "published", "updated", "text", "categories"])
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(parse, "path string, record_id string, title string, url string, published string, updated string, text string, categories array<string>")
-
-
-# Rights under which text may be analysed, and kept.
-ANALYSIS_RIGHTS = ("author-owned", "licensed", "permission-granted", "public-domain", "quotation-only")
-EXPORT_RIGHTS = ("author-owned", "licensed", "permission-granted", "public-domain")
+    entries = files.mapInPandas(parse, "path string, record_id string, title string, url string, published string, updated string, text string, categories array<string>")
+    entries = entries.withColumn("content_sha256", F.when(F.col("text") != "", F.sha2(F.col("text").cast("binary"), 256))).withColumn("rights_status", F.lit(rights_status))
+    return entries if rights_status in EXPORT_RIGHTS else entries.withColumn("text", F.lit(None).cast("string"))
 
 
 def _permitted(entries: DataFrame, rights: tuple[str, ...], what: str) -> DataFrame:

@@ -102,7 +102,7 @@ def test_sources(spark, tmp_path):
     feed = b'<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>2</id><published>2024-02-01</published><content>&lt;p&gt;x  y&lt;/p&gt;</content><link href="u"/></entry><entry><id>1</id><published>2024-01-01</published></entry></feed>'
     (tmp_path / "f").mkdir()
     (tmp_path / "f" / "a.xml").write_bytes(feed)
-    e = records.read_feeds(spark, str(tmp_path / "f")).collect()
+    e = records.read_feeds(spark, str(tmp_path / "f"), "licensed").collect()
     assert [x["record_id"] for x in e] == ["1", "2"] and e[1]["text"] == "x y" and e[1]["url"] == "u"
     with pytest.raises(ValueError):
         records.parse_feed(b"<!DOCTYPE x><feed/>")

@@ -333,3 +333,32 @@ def test_mentions_have_places(spark):
     (r,) = rows(annotate.annotate_prompts(spark.createDataFrame([(text,)], "prompt string")))
     assert [(m["canonical_id"], text[m["start"] : m["end"]]) for m in r["animal_mentions"]] == [("pelican", "Pelican"), ("cat", "CAT")]
     assert [(m["canonical_id"], text[m["start"] : m["end"]]) for m in r["object_mentions"]] == [("electric-scooter", "scooter"), ("electric-scooter", "electric scooter")]
+
+
+def test_feeds_have_rights_and_limits(spark, tmp_path):
+    ns = b'<feed xmlns="http://www.w3.org/2005/Atom">'
+    feed = ns + b"<entry><link href='http://x/a'/><summary>s &amp;lt;b&amp;gt; t</summary></entry><entry><id>https://x/b</id><link rel='self' href='no'/><updated>2024-01-01</updated></entry><entry/></feed>"
+    got = records.parse_feed(feed)
+    assert [(e["record_id"], e["url"]) for e in got] == [("entry-3", None), ("http://x/a", "http://x/a"), ("https://x/b", "https://x/b")]
+    for bad, limits in ((b"<rss/>", {}), (feed, {"max_bytes": 10}), (feed, {"max_entries": 2}), (feed, {"max_characters": 2})):
+        with pytest.raises(ValueError):
+            records.parse_feed(bad, **limits)
+    (tmp_path / "a.xml").write_bytes(feed)
+    kept, bare = (sorted(rows(records.read_feeds(spark, str(tmp_path), r)), key=lambda r: r["record_id"]) for r in ("licensed", "metadata-only"))
+    assert kept[1]["text"] and bare[1]["text"] is None and kept[1]["content_sha256"] == bare[1]["content_sha256"] == hashlib.sha256(kept[1]["text"].encode()).hexdigest()
+
+
+def test_frozen_rows_and_evaluation_batches(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"v{i}") for i in range(20)], "k int, v string")
+    path = str(tmp_path / "frozen")
+    assert records.write_frozen(df, path) and not records.write_frozen(df.orderBy(F.desc("k")), path)
+    with pytest.raises(ValueError):
+        records.write_frozen(df.where("k < 19"), path)
+    pairs = spark.createDataFrame([(f"p{i}", "t", c, f"l{i}", f"r{i}") for i in range(30) for c in ("x", "y")], "pair_id string, task_id string, criterion string, left_artifact_id string, right_artifact_id string")
+    a, b = (rows(records.write_evaluation_batch(p, str(tmp_path / n), 5))[0] for n, p in (("a", pairs), ("b", pairs.orderBy(F.desc("pair_id")))))
+    assert a == b and a["assignments"] == 60 and a["criteria"] == ["x", "y"] and a["assignments_sha256"] != rows(records.write_evaluation_batch(pairs, str(tmp_path / "c"), 6))[0]["assignments_sha256"]
+    read = spark.read.option("header", True).csv(str(tmp_path / "a" / "assignments"))
+    assert read.count() == 60 and not set(read.columns) & set(records.VOTE_SENSITIVE) and set(records.ASSIGNMENT_FIELDS) < set(read.columns)
+    assert {r["left_alias"] + r["right_alias"] for r in read.collect()} == {"AB"}
+    with pytest.raises(ValueError):
+        records.write_evaluation_batch(pairs.limit(0), str(tmp_path / "d"), 1)
