@@ -33,6 +33,7 @@ ROWS, RANGES, SAMPLE = 512, 20000, 400000  # rows of a range, or more so that th
 _U_BITS, _B_BITS, _CODE_BITS = 26, 12, 30  # b takes its bits of both hashes
 _SCALE = float(1 << 26)
 _WORD_GAP = r"[^\p{L}\p{N}]+"
+_BEYOND = r"[\u0E00-\x{10FFFF}]"  # all letters of those scripts
 _NO_BLANKS = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
 
 
@@ -127,7 +128,8 @@ def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
 
 def words(text: Column) -> Column:
     """Lower-case words; some may be empty. A letter of a script without blanks is one."""
-    apart = F.when(text.rlike(_NO_BLANKS), F.regexp_replace(text, _NO_BLANKS, " $1 ")).otherwise(text)
+    some = text.rlike(_BEYOND) & text.rlike(_NO_BLANKS)  # the first is one comparison a character
+    apart = F.when(some, F.regexp_replace(text, _NO_BLANKS, " $1 ")).otherwise(text)
     return F.split(F.lower(apart), _WORD_GAP, -1)
 
 
