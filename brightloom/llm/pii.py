@@ -25,7 +25,7 @@ CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IBAN = r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
-SECRET = r"[A-Za-z0-9_-]{32,64}"
+SECRET = r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{32,64}+"
 IP_RANGE = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.|$)){4}$"
 SSN_RANGE = r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"
 CONTEXT_BEFORE, CONTEXT_AFTER = 40, 20
