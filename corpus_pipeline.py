@@ -1,7 +1,13 @@
 """A training-data pipeline over ``documents``: each stage calls one operator of ``brightloom.llm``.
 
 A stage takes (spark, docs, sf_dir) and returns the next stage's documents; all but the last return
-the columns of ``documents``. Each stage's result is written as Parquet and read again.
+the columns of ``documents``. Each stage's result is written as Parquet and read again; when the next
+stage's is written it is deleted.
+
+Defined results: null and empty texts are judged by the classifier like any other; of rows with equal
+texts, or a repeated row, one stays after the near-duplicate stage, that of the least id (a null id
+counts last); rows without an id or source go through every stage; an empty table gives an empty mix;
+further columns, whatever their names, are kept.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from brightloom.llm import decontam, mixing, neardup, pii, quality
-from brightloom.llm.common import scratch_dir
+from brightloom.llm.common import discard, scratch_dir
 from brightloom.session import table
 
 
@@ -54,9 +60,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after another, from ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for k, (_, stage) in enumerate(STAGES):
         path = f"{scratch_dir(spark)}/pipeline-{uuid.uuid4().hex}-{k}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        discard(spark, before)
+        before.append(path)
     return docs
