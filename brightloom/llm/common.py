@@ -16,7 +16,7 @@ def scratch_dir(spark: SparkSession) -> str:
     all executors are this process (tests); on a cluster that would be another disk on each machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="brightloom-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)

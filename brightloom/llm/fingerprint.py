@@ -59,10 +59,10 @@ def _ranged(docs: DataFrame) -> DataFrame:
     dealt = F.floor((F.col("h") / float(1 << 63) + 1) / 2 * null_ranges).cast("int")
     out = docs.withColumn("h", F.xxhash64("text")).withColumn("range", F.lit(0))
     if cuts:
-        at = F.from_json(F.lit(json.dumps(cuts)), "array<double>")
-        for step in reversed(range(len(cuts).bit_length())):  # binary search: cuts below the id
-            more = F.col("range") + (1 << step)
-            out = out.withColumn("range", F.when((more <= len(cuts)) & (F.get(at, more - 1) < F.col("doc_id").cast("double")), more).otherwise(F.col("range")))
+        at, x = F.from_json(F.lit(json.dumps(cuts)), "array<double>"), F.col("doc_id").cast("double")
+        steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])
+        below = F.aggregate(steps, F.lit(0), lambda a, s: F.when(F.get(at, a + s - 1) < x, a + s).otherwise(a))  # binary search; beyond the end is null
+        out = out.withColumn("range", below)
     out = out.withColumn("range", F.when(F.col("doc_id").isNull(), F.least(dealt, F.lit(null_ranges - 1))).otherwise(F.col("range") + null_ranges))
     # one row a range: the first in descending order, which follows the last of the next range that has rows
     heads = out.groupBy("range").agg(F.max(F.struct("doc_id", "h")).alias("head"))
