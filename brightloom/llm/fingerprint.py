@@ -126,10 +126,15 @@ def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) / F.lit(float(samples))
 
 
-def words(text: Column) -> Column:
-    """Lower-case words; some may be empty. A letter of a script without blanks is one."""
-    some = text.rlike(_BEYOND) & text.rlike(_NO_BLANKS)  # the first is one comparison a character
-    apart = F.when(some, F.regexp_replace(text, _NO_BLANKS, " $1 ")).otherwise(text)
+def _parts_letters(text: Column) -> Column:
+    """Whether a text has a letter of a script without blanks."""
+    return text.rlike(_BEYOND) & text.rlike(_NO_BLANKS)  # the first is one comparison a character
+
+
+def words(text: Column, letters: bool) -> Column:
+    """Lower-case words; some may be empty. With ``letters``, which has to be given where any text has
+    one, a letter of a script without blanks is a word; without, the generated code is smaller."""
+    apart = F.when(_parts_letters(text), F.regexp_replace(text, _NO_BLANKS, " $1 ")).otherwise(text) if letters else text
     return F.split(F.lower(apart), _WORD_GAP, -1)
 
 
@@ -146,7 +151,8 @@ def compare(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
         .withColumn("edited", F.when(~F.col("guest"), F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.coalesce("next", F.lit("")), F.lit(1), half))))
     )
     facts = rows.where(~F.col("guest")).select("range", "nth", "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    own, changed = words(F.col("text")), F.coalesce(words(F.col("edited")), F.array().cast("array<string>"))
+    letters = not plain.where(_parts_letters(F.col("text"))).isEmpty()
+    own, changed = words(F.col("text"), letters), F.coalesce(words(F.col("edited"), letters), F.array().cast("array<string>"))
     terms = (
         rows.select("range", "nth", own.alias("own"), changed.alias("changed"))
         .select("range", "nth", F.size("own").alias("n_own"), F.posexplode(F.concat("own", "changed")).alias("pos", "word"))
