@@ -24,13 +24,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialise(df: DataFrame, into: list[str] | None = None) -> DataFrame:
+def materialise(df: DataFrame, into: list[str] | None = None, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet to the shared scratch folder and read it back: the lineage ends in
     files that outlive any executor, and the reread has true sizes for the planner. The path is added
     to ``into``, for ``discard``; a table that a returned DataFrame still reads must stay."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/brightloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     if into is not None:
         into.append(path)
     return spark.read.schema(df.schema).parquet(path)

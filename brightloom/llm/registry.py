@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightloom.llm import decontam, fingerprint, langid, mixing, neardup, oracles, pii, quality, toxicity, urlfilter, warc
+from brightloom.llm import decontam, fingerprint, langid, middle, mixing, neardup, oracles, packing, pii, quality, runs, toxicity, urlfilter, warc
 from brightloom.llm.common import md5_number
 from brightloom.session import table
 
@@ -89,6 +89,23 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_warc_fixity": op2_warc_fixity, "op3_fingerprint": op3_fingerprint, "op4_language": op4_language, "op5_neardup": op5_neardup, "op6_url_filter": op6_url_filter, "op7_decontamination": op7_decontamination, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity, "op10_pii": op10_pii, "pipeline": corpus_pipeline.run}
+def op11_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut in three and reordered."""
+    return middle.report(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in every document."""
+    return runs.report(table(spark, sf_dir, "documents"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 4096 tokens."""
+    import public_tokenizers
+
+    return packing.report(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op2_warc_fixity": op2_warc_fixity, "op3_fingerprint": op3_fingerprint, "op4_language": op4_language, "op5_neardup": op5_neardup, "op6_url_filter": op6_url_filter, "op7_decontamination": op7_decontamination, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity, "op10_pii": op10_pii, "op11_middle": op11_middle, "op12_periodic_runs": op12_periodic_runs, "op13_packing": op13_packing, "pipeline": corpus_pipeline.run}
 
 ORACLES: dict[str, str] = oracles.ORACLES
