@@ -13,7 +13,8 @@ over whole texts without a shuffle.
 Defined results: null texts and those without a letter are ``und`` with score 0; without any
 learned language every text is; where no training text has a letter, texts with one get the first
 language by name with score 0; equally near languages give the first by name, equally frequent
-n-grams the first by code points; repeated rows have equal results; further columns are ignored.
+n-grams the first by code points; repeated rows have equal results; further columns are ignored. More
+than ``MAX_LANGUAGES`` values of lang in the training documents raise ``ValueError``.
 A text of any length is one unit of work; it takes about 60 times its bytes of memory.
 """
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightloom.llm import decontam, fingerprint, langid, middle, mixing, neardup, oracles, packing, pii, quality, runs, toxicity, urlfilter, warc
+from brightloom.llm import decontam, fingerprint, langid, middle, mixing, neardup, oracles, packing, pii, pipeline, quality, runs, toxicity, urlfilter, warc
 from brightloom.llm.common import md5_number
 from brightloom.session import table
 
@@ -27,7 +26,7 @@ def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     one_in = lambda n: _draw("damage", F.col("page_id"), n) == 0
     body = F.when(one_in(101), F.concat(F.lit("*"), F.substring("html", 2, 2**31 - 1))).otherwise(F.col("html"))
     records = lambda df, html: df.select(F.col("page_id").alias("record_id"), warc.record_text(F.col("page_id"), F.col("url"), html).alias("payload"))
-    return warc.audit(records(pages.where(~one_in(307)), F.col("html")), records(pages.where(~one_in(211)), body))
+    return warc.audit(records(pages.where(~one_in(307)), F.col("html")), records(pages.where(~one_in(211)), body)).drop("named")
 
 
 def filter_log(captures: DataFrame) -> DataFrame:
@@ -36,7 +35,7 @@ def filter_log(captures: DataFrame) -> DataFrame:
     day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int"))
     hosts = captures.select(urlfilter.host(F.col("url")).alias("k")).where("k <> ''").distinct()
     h = hosts.where(_draw("list", F.col("k"), 4) == 0).withColumn("a", _draw("add", F.col("k"), 300)).withColumn("b", F.col("a") + 1 + _draw("remove", F.col("k"), 60))
-    first = captures.select(F.explode(urlfilter.path_keys(F.col("url"), urlfilter.host(F.col("url")), 1)).alias("k")).distinct().where(_draw("path", F.col("k"), 5) == 0)
+    first = captures.select(F.explode(urlfilter.path_keys(F.col("url"), urlfilter.host(F.col("url")), F.array(F.lit(1)))).alias("k")).distinct().where(_draw("path", F.col("k"), 5) == 0)
     rows = [
         h.select("k", F.lit("add"), day(F.col("a"))),
         h.select("k", F.lit("remove"), day(F.col("b"))),
@@ -106,6 +105,6 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_warc_fixity": op2_warc_fixity, "op3_fingerprint": op3_fingerprint, "op4_language": op4_language, "op5_neardup": op5_neardup, "op6_url_filter": op6_url_filter, "op7_decontamination": op7_decontamination, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity, "op10_pii": op10_pii, "op11_middle": op11_middle, "op12_periodic_runs": op12_periodic_runs, "op13_packing": op13_packing, "pipeline": corpus_pipeline.run}
+QUERIES = {"op1_mixing": op1_mixing, "op2_warc_fixity": op2_warc_fixity, "op3_fingerprint": op3_fingerprint, "op4_language": op4_language, "op5_neardup": op5_neardup, "op6_url_filter": op6_url_filter, "op7_decontamination": op7_decontamination, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity, "op10_pii": op10_pii, "op11_middle": op11_middle, "op12_periodic_runs": op12_periodic_runs, "op13_packing": op13_packing, "pipeline": pipeline.run}
 
 ORACLES: dict[str, str] = oracles.ORACLES
