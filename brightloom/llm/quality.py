@@ -6,7 +6,8 @@ probability of good; their mean, weighted by length in bytes, is the document's,
 curve fitted on the training documents maps it to the probability of label 1.
 
 Training is on the driver, on at most about ``MAX_TRAIN`` labelled documents and about ``MAX_BYTES``
-of text, drawn by a hash of the id (the documented bounds of the sample; whole texts). Lines start with their document's label; lines of bad
+of text, of which each line takes ``LINE_BYTES`` more, drawn by a hash of the id (the documented bounds of
+the sample; whole texts). Lines start with their document's label; lines of bad
 documents that the first fit finds good take that label for the second. Scoring is one pass without
 a shuffle.
 
@@ -36,6 +37,8 @@ MAX_TRAIN = 6000
 MAX_BYTES = 64 << 20
 CHUNK = 2 << 20
 _SEGMENT = 100  # lines of a training sequence
+_STRIP = 32  # lines of a chain that are taken one after another
+LINE_BYTES = 100  # what a line of a training text costs beside its text
 
 
 def _table(chars: str) -> np.ndarray:
@@ -132,28 +135,59 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _odds(m00: np.ndarray, m01: np.ndarray, m10: np.ndarray, m11: np.ndarray) -> np.ndarray:
+    """For each place the logarithm of what 1 becomes under the maps x -> (m00 x + m01) / (m10 x + m11) of
+    the places up to it, the nearest applied last. Products of 2 x 2 matrices: within strips of ``_STRIP``
+    places side by side, then over the strips by doubling, so no step waits for a single line."""
+    n = len(m00)
+    strips = -(-n // _STRIP)
+
+    def laid(x: np.ndarray, rest: float) -> np.ndarray:
+        out = np.full(strips * _STRIP, rest)
+        out[:n] = x
+        return np.ascontiguousarray(out.reshape(strips, _STRIP).T)
+
+    def times(x: tuple, y: tuple) -> tuple:
+        out = (x[0] * y[0] + x[1] * y[2], x[0] * y[1] + x[1] * y[3], x[2] * y[0] + x[3] * y[2], x[2] * y[1] + x[3] * y[3])
+        scale = 1 / np.maximum(np.maximum(out[0], out[1]), np.maximum(out[2], out[3]))
+        return tuple(o * scale for o in out)
+
+    m = laid(m00, 1.0), laid(m01, 0.0), laid(m10, 0.0), laid(m11, 1.0)
+    for t in range(1, _STRIP):
+        for own, new in zip(m, times(tuple(x[t] for x in m), tuple(x[t - 1] for x in m)), strict=True):
+            own[t] = new
+    total, step = [x[-1].copy() for x in m], 1
+    while step < strips:
+        for own, new in zip(total, times(tuple(x[step:] for x in total), tuple(x[:-step] for x in total)), strict=True):
+            own[step:] = new
+        step *= 2
+    above = np.concatenate(([1.0], (total[0] + total[1])[:-1]))
+    below = np.concatenate(([1.0], (total[2] + total[3])[:-1]))
+    good, bad = m[0] * above + m[1] * below, m[2] * above + m[3] * below
+    return (np.log(np.maximum(good, 1e-300)) - np.log(np.maximum(bad, 1e-300))).T.ravel()[:n]
+
+
 def forward_backward(scores: np.ndarray, rows: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each line: its log-odds of good from the lines so far, from those after it, and the
-    probability of good. ``pairs`` are the four label pair scores; all sequences go side by side."""
+    probability of good. ``pairs`` are the four label pair scores. One line's odds are a fraction of linear
+    terms in its neighbour's; a sequence begins with a map that is constant, so all go in one chain."""
+    if not len(scores):
+        return np.zeros(0), np.zeros(0), np.zeros(0)
     a = np.exp(pairs - pairs.max())
-    size = np.diff(rows)
-    order = np.argsort(-size, kind="stable")
-    begins, size = rows[:-1][order], size[order]
-    longest = int(size[0]) if len(size) else 0
-    active = np.searchsorted(-size, -np.arange(longest), "left")
-    ahead, behind = np.zeros(len(scores)), np.zeros(len(scores))
-    for t in range(longest):
-        i = begins[: active[t]] + t
-        if t:
-            p = _sigmoid(ahead[i - 1])
-            ahead[i] = scores[i] + np.log((p * a[1, 1] + (1 - p) * a[0, 1]) / (p * a[1, 0] + (1 - p) * a[0, 0]))
-        else:
-            ahead[i] = scores[i]
-    for t in range(longest - 2, -1, -1):
-        i = begins[: active[t + 1]] + t
-        q = _sigmoid(scores[i + 1] + behind[i + 1])
-        behind[i] = np.log((q * a[1, 1] + (1 - q) * a[1, 0]) / (q * a[0, 1] + (1 - q) * a[0, 0]))
-    return ahead, behind, _sigmoid(ahead + behind)
+    filled = rows[:-1][np.diff(rows) > 0]
+    e = np.exp(np.clip(scores, -200, 200))
+    ones = np.ones(len(scores))
+    ahead = [e * a[1, 1], e * a[0, 1], ones * a[1, 0], ones * a[0, 0]]
+    for m, at in zip(ahead, (np.zeros(len(filled)), e[filled], 0.0, 1.0), strict=True):
+        m[filled] = at
+    last = np.concatenate((filled[1:], rows[-1:])) - 1
+    behind = [ones * a[1, 1], ones * a[1, 0], ones * a[0, 1], ones * a[0, 0]]
+    behind[0][:-1] *= e[1:]
+    behind[2][:-1] *= e[1:]
+    for m, at in zip(behind, (0.0, 1.0, 0.0, 1.0), strict=True):
+        m[last] = at
+    left, right = _odds(*ahead), _odds(*[m[::-1] for m in behind])[::-1]
+    return left, right, _sigmoid(left + right)
 
 
 @dataclass
@@ -262,11 +296,12 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"y": batch.column("y"), "own": pa.array(own, pa.binary()), "size": pa.array(size, pa.binary())})
 
 
-def within_bytes(texts: DataFrame, bound: int, scratch: list[str]) -> DataFrame:
+def within_bytes(texts: DataFrame, bound: int, scratch: list[str], line_bytes: int = 0) -> DataFrame:
     """``texts`` (doc_id, text, ...), or a part of them drawn by a hash of the id that has about ``bound``
-    bytes of text in all."""
+    bytes in all; each line counts ``line_bytes`` more."""
     kept = materialise(texts, scratch)
-    size = kept.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    lines = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
+    size = kept.agg(F.sum(F.octet_length("text") + lines.cast("long") * line_bytes)).first()[0] or 0
     return kept if size <= bound else kept.where(unit_hash(F.col("doc_id"), F.lit("bytes")) < bound / size)
 
 
@@ -275,7 +310,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN, max_bytes: i
     scratch: list[str] = []
     drawn = F.broadcast(sample_labels(labels, "quality", FOLDS, HELD_OUT, bound))  # at most about ``bound`` rows
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = within_bytes(plain.join(drawn, "doc_id").select("doc_id", "text", "y"), max_bytes, scratch).select("text", "y")
+    texts = within_bytes(plain.join(drawn, "doc_id").select("doc_id", "text", "y"), max_bytes, scratch, LINE_BYTES).select("text", "y")
     rows = sorted(((bytes(r["own"]), bytes(r["size"]), r["y"]) for r in texts.mapInArrow(_features, "y int, own binary, size binary").collect()))
     discard(docs.sparkSession, scratch)
     own = np.frombuffer(b"".join(r[0] for r in rows), np.float32).reshape(-1, N_OWN)
