@@ -5,7 +5,8 @@ first segments of a path; 'add' starts its validity, 'remove' ends it. The log b
 [start, until); a capture is matched with the intervals of its keys that hold its day: an as-of join.
 Intervals are laid out over cells of ``CELL`` days, so the join is an equality of key and cell, with
 the exact days as a further condition. Captures meet the list once for each distinct set of keys and
-day, however many captures share a host.
+day, however many captures share a host. A capture has only keys of as many labels or path segments as some
+key of the list has, so a URL of any length costs no more than its text times those few numbers.
 
 Defined results: a URL without a scheme or host, or null, has no key and is never listed; a null
 fetch day is not listed; log rows without a key or day are void; of log rows of one key and day the
@@ -28,19 +29,29 @@ def host(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, HOST, 1), F.lit("")))
 
 
-def domains(name: Column) -> Column:
-    """The host and the domains above it down to two labels."""
-    labels = F.split(name, r"\.", -1)
-    return F.when(name == "", F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    )
+def domains(name: Column, sizes: Column) -> Column:
+    """Those of the host and the domains above it, down to two labels, that have one of ``sizes`` labels."""
+    labels = F.length(name) - F.length(F.replace(name, F.lit("."), F.lit(""))) + 1
+    fit = F.filter(sizes, lambda k: (name != "") & (k <= labels) & ((k > 1) | (labels == 1)))
+    return F.transform(fit, lambda k: F.call_function("substring_index", name, F.lit("."), -k))
+
+
+def path_keys(url: Column, name: Column, depths: Column) -> Column:
+    """The host with as many first segments of the path as each of ``depths`` says."""
+    parts = F.filter(F.split(F.coalesce(F.regexp_extract(url, PATH, 1), F.lit("")), "/", -1), lambda x: x != "")
+    fit = F.filter(depths, lambda d: (name != "") & (d <= F.size(parts)))
+    return F.transform(fit, lambda d: F.concat(name, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), d), "/")))
 
 
-def path_keys(url: Column, name: Column, depth: int) -> Column:
-    """The host with the first 1 to ``depth`` segments of the path."""
-    parts = F.slice(F.filter(F.split(F.coalesce(F.regexp_extract(url, PATH, 1), F.lit("")), "/", -1), lambda x: x != ""), 1, max(1, depth))
-    keys = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(name, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")))
-    return F.when((name == "") | (F.size(parts) == 0) | F.lit(depth < 1), F.array().cast("array<string>")).otherwise(keys)
+def key_sizes(listed: DataFrame) -> tuple[Column, Column]:
+    """The numbers of labels of the hosts and of path segments that keys of ``listed`` (list_key) have: no
+    other key of a URL can be listed. Keys with k different numbers have at least k * k / 2 labels or segments,
+    so those numbers are few."""
+    path = F.length("list_key") - F.length(F.replace(F.col("list_key"), F.lit("/"), F.lit("")))
+    labels = F.length("list_key") - F.length(F.replace(F.col("list_key"), F.lit("."), F.lit(""))) + 1
+    found = listed.agg(F.sort_array(F.collect_set(F.when(path == 0, labels))), F.sort_array(F.collect_set(F.when(path > 0, path)))).first()
+    literal = lambda sizes: F.array(*[F.lit(int(k)) for k in sizes]).cast("array<int>")
+    return literal(found[0]), literal(found[1])
 
 
 def intervals(log: DataFrame) -> DataFrame:
@@ -60,13 +71,13 @@ def judge(captures: DataFrame, log: DataFrame) -> DataFrame:
     """For each capture (page_id, url, fetched_on): page_id, host, fetched_on, n_active (entries that
     hold then), blocked, listed_key (the longest of them) and since (when that one began)."""
     valid = intervals(log)
-    bounds = valid.agg(F.max(F.size(F.split("list_key", "/")) - 1).alias("depth")).first()
+    sizes, depths = key_sizes(valid)
     last = captures.agg(F.max("fetched_on").alias("d")).first()["d"]
     cell = lambda day: F.floor(F.unix_date(day) / CELL)
     end = F.least(F.coalesce(F.date_sub("until", 1), F.lit(last).cast("date")), F.lit(last).cast("date"))
     laid = valid.where(F.col("start") <= F.lit(last).cast("date")).withColumn("cell", F.explode(F.sequence(cell(F.col("start")), cell(end))))
     own = captures.select("page_id", host(F.col("url")).alias("host"), "fetched_on", "url")
-    keyed = own.withColumn("keys", F.concat(domains(F.col("host")), path_keys(F.col("url"), F.col("host"), bounds["depth"] or 0))).withColumn("key_set", F.array_join("keys", " ")).drop("url")
+    keyed = own.withColumn("keys", F.concat(domains(F.col("host"), sizes), path_keys(F.col("url"), F.col("host"), depths))).withColumn("key_set", F.array_join("keys", " ")).drop("url")
     wanted = keyed.where("fetched_on is not null").select("key_set", "keys", "fetched_on").distinct()
     probes = wanted.select("key_set", "fetched_on", F.explode("keys").alias("list_key")).withColumn("cell", cell(F.col("fetched_on")))
     active = probes.join(laid, ["list_key", "cell"]).where("start <= fetched_on and (until is null or fetched_on < until)")
