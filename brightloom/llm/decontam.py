@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brightloom.llm import tokens
-from brightloom.llm.common import materialise, packed, unpacked
+from brightloom.llm.common import discard, materialise, packed, unpacked
 from brightloom.llm.fmindex import FMIndex
 
 WINDOW = 13
@@ -176,7 +176,9 @@ def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep_text
     blocks = 1 + size // BLOCK
     out = docs.select(packed(docs, "text").alias("row"), F.col("text").cast("string").alias("text"))
     found = "n_words bigint, spans array<bigint>, items array<string>, chars array<bigint>"
-    sent = []
+    sent: list = []
+    before: list[str] = []
+    now: list[str] = []
     for b in range(blocks):
         part = listed if blocks == 1 else listed.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         last = b == blocks - 1
@@ -184,7 +186,9 @@ def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep_text
         fields = [f for f in out.schema.fields if f.name == "row" or f.name == "text" and (keep_text or not last)]
         out = out.mapInArrow(_pass(sent[-1], keep_text or not last), T.StructType([*fields, *T.StructType.fromDDL(found).fields]))
         if len(sent) == BLOCKS and not last:  # ends the stage, and with it the need for its blocks
-            out = materialise(out)
+            out = materialise(out, now)
+            discard(spark, before)
+            before, now = now, []
             for block in sent:
                 block.unpersist()
             sent = []
