@@ -1,14 +1,14 @@
 r"""Fill-in-the-middle by relational units: posexplode, running sums, a join with cut requests, substring.
 
-A text is parted into units, runs of ASCII letters or single other characters. Its units become rows
-(unit ordinal, characters) whose running sum is the offset behind a unit. Cut requests, one row a text
-with the ordinals of its two cuts, are joined to the units by ordinal; the offsets that meet are
-gathered for each text, and ``substring`` cuts it there.
+A text is parted into units, runs of ASCII letters or single other characters. Its matches become rows,
+``BLOCK`` units a row, whose running sum is the offset behind a block. Cut requests, one row a text with
+the ordinals of its two cuts, are joined to the blocks by ordinal; the units of a block that is met are
+listed and summed up to the cut. The offsets are gathered for each text, and ``substring`` cuts it there.
 
 Texts are keyed by two 64-bit hashes of (doc_id, text) and shuffled once: rows are first reduced to one
-for each key within the input partitions, the units stand in the partition of their text, and a unit row
-never leaves it. Unit 0 is a row without characters that carries the text itself, so nothing is
-joined back. The requests are a small written table.
+for each key within the input partitions, the units stand in the partition of their text, and never
+leave it. Block 0 has no unit and carries the text itself, so nothing is joined back. The requests are a
+small written table.
 
 Defined results: a null text is an empty one, plain with no unit; a null id draws from ``1:`` alone;
 repeated rows each get the same result; texts with a marker are plain; further columns are ignored.
@@ -26,6 +26,7 @@ from brightloom.llm.common import materialise
 UNIT = r"[A-Za-z]++|[^A-Za-z]"
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 CHANGED, SUFFIX_FIRST = 90, 20
+BLOCK = 32  # units of a row
 _COPIES = 1 << 16
 
 
@@ -62,29 +63,34 @@ def cut_requests(docs: DataFrame, seed: int = 1) -> DataFrame:
     return once.select("a", "b", "n", "form", cut(F.least(one, two)).alias("first"), cut(F.greatest(one, two)).alias("second"), "copies")
 
 
-def unit_offsets(docs: DataFrame, seed: int = 1) -> DataFrame:
-    """(a, b, ordinal, row, behind): the units of every different text that is to be cut, ``behind`` the
-    characters up to and with a unit; ordinal 0 stands for every text and carries (doc_id, text) as ``row``."""
+def unit_blocks(docs: DataFrame, seed: int = 1) -> DataFrame:
+    """(a, b, block, row, lengths, ahead): the units of every different text that is to be cut, from block 1
+    on, with their lengths and the characters before the block; block 0 stands for every text and
+    carries (doc_id, text) as ``row``."""
     once = _keyed(docs).groupBy("a", "b").agg(F.first(F.struct("doc_id", "text")).alias("row"))
-    text = F.col("row.text")
-    unit = lambda row, chars: F.struct(row.alias("row"), chars.cast("int").alias("chars"))
-    nothing = F.lit(None).cast(once.schema["row"].dataType)
-    matches = F.when(form(F.col("row.doc_id"), text, seed) != "plain", F.regexp_extract_all(text, F.lit(UNIT), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    units = once.select("a", "b", F.posexplode(F.concat(F.array(unit(F.col("row"), F.lit(0))), F.transform(matches, lambda m: unit(nothing, F.length(m))))).alias("ordinal", "unit"))
-    order = Window.partitionBy("a", "b").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return units.select("a", "b", "ordinal", "unit.row", "unit.chars").withColumn("behind", F.sum("chars").over(order)).drop("chars")
+    text, kind = F.col("row.text"), once.schema["row"].dataType
+    matches = F.when(form(F.col("row.doc_id"), text, seed) != "plain", F.regexp_extract_all(text, F.lit(UNIT), F.lit(0)))
+    listed = once.select("a", "b", "row", F.coalesce(F.transform(matches, F.length), F.array().cast("array<int>")).alias("all"))
+    block = lambda row, lengths: F.struct(row.alias("row"), lengths.alias("lengths"))
+    starts = F.filter(F.sequence(F.lit(1), F.size("all") + 1, F.lit(BLOCK)), lambda i: i <= F.size("all"))
+    blocks = F.concat(F.array(block(F.col("row"), F.array().cast("array<int>"))), F.transform(starts, lambda i: block(F.lit(None).cast(kind), F.slice("all", i, F.lit(BLOCK)))))
+    rows = listed.select("a", "b", F.posexplode(blocks).alias("block", "unit")).select("a", "b", "block", "unit.row", "unit.lengths")
+    before = Window.partitionBy("a", "b").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sized = rows.withColumn("chars", F.aggregate("lengths", F.lit(0), lambda total, n: total + n))
+    return sized.withColumn("ahead", F.coalesce(F.sum("chars").over(before), F.lit(0))).drop("chars")
 
 
 def transform(docs: DataFrame, seed: int = 1) -> DataFrame:
     """One row for each of ``docs`` (doc_id, text): doc_id, text, n (units), form, prefix_chars,
     middle_chars (null if plain) and output."""
     requests = materialise(cut_requests(docs, seed))
-    units = unit_offsets(docs, seed).withColumnsRenamed({"a": "ua", "b": "ub"})
-    # equal keys and the ordinal as a condition: with it among the keys, all units would be shuffled anew
-    wanted = (F.col("ordinal") == 0) | (F.col("ordinal") == F.col("first")) | (F.col("ordinal") == F.col("second"))
-    met = units.join(requests, (F.col("ua") == F.col("a")) & (F.col("ub") == F.col("b")) & wanted)
-    behind = lambda cut: F.max(F.when(F.col("ordinal") == F.col(cut), F.col("behind")))
-    texts = met.groupBy("ua", "ub").agg(
+    blocks = unit_blocks(docs, seed).withColumnsRenamed({"a": "ua", "b": "ub"})
+    # equal keys, and the ordinal as a condition: with it among the keys, all blocks would be shuffled anew
+    within = lambda cut: F.col("block") == F.ceil(F.col(cut) / BLOCK)
+    met = blocks.join(requests, (F.col("ua") == F.col("a")) & (F.col("ub") == F.col("b")) & ((F.col("block") == 0) | within("first") | within("second")))
+    units = met.select("*", F.posexplode_outer("lengths").alias("at", "chars")).withColumn("ordinal", (F.col("block") - 1) * BLOCK + F.col("at") + 1)
+    behind = lambda cut: F.max(F.when(within(cut), F.col("ahead"))) + F.coalesce(F.sum(F.when(within(cut) & (F.col("ordinal") <= F.col(cut)), F.col("chars"))), F.lit(0))
+    texts = units.groupBy("ua", "ub").agg(
         F.first("row", ignorenulls=True).alias("row"), F.first("n").alias("n"), F.first("form").alias("form"), F.first("copies").alias("copies"), behind("first").alias("x"), behind("second").alias("y")
     )
     text, x, y = F.col("row.text"), F.col("x").cast("int"), F.col("y").cast("int")
