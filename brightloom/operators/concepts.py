@@ -58,8 +58,8 @@ def merged_ontologies(concepts: DataFrame) -> DataFrame:
     return merged.withColumn("definition", F.when(F.col("definition") != F.col("_other"), clash).otherwise(F.col("definition"))).drop("_other")
 
 
-def json_ld(concepts: DataFrame, base: str) -> DataFrame:
-    """(concept, node): each concept (concept, label, parent) as a JSON-LD node of the graph at ``base``."""
+def json_ld(concepts: DataFrame, base: str, kind: str = "skos:Concept") -> DataFrame:
+    """(concept, node): each concept (concept, label, parent) as a JSON-LD node of type ``kind`` in the graph at ``base``."""
     name = lambda c: F.concat(F.lit(base), c)
-    node = F.struct(name(F.col("concept")).alias("@id"), F.lit("pb:Concept").alias("@type"), F.col("label").alias("rdfs:label"), F.when(F.col("parent").isNotNull(), F.struct(name(F.col("parent")).alias("@id"))).alias("rdfs:subClassOf"))
+    node = F.struct(name(F.col("concept")).alias("@id"), F.lit(kind).alias("@type"), F.col("label").alias("rdfs:label"), F.when(F.col("parent").isNotNull(), F.struct(name(F.col("parent")).alias("@id"))).alias("rdfs:subClassOf"))
     return concepts.select("concept", F.to_json(node).alias("node"))

@@ -39,12 +39,26 @@ def weighted_answers(answers: DataFrame, weights: DataFrame) -> DataFrame:
     return answers.join(weights, "family", "left").groupBy("question_id").agg((F.sum(F.col("probability") * w) / F.sum(w)).alias("probability"), F.count("*").alias("judges"))
 
 
+# What lets a model take part.
+USABLE_STATUSES, USABLE_LICENCES, UNRESOLVED = ("eligible", "reviewed"), ("eligible", "reviewed", "open"), "unresolved"
+
+
+def eligibility(registry: DataFrame) -> DataFrame:
+    """``registry`` (status, revision, remote_code_required, license_status, ...) with blockers, the reasons
+    against each model in this order: its status, a revision that is not resolved, code that would have to be
+    fetched, its licence. What is not stated counts as unknown, and blocks."""
+    named = lambda kind, column, usable: F.when(~F.coalesce(F.col(column).isin(*usable), F.lit(False)), F.concat(F.lit(f"{kind}:"), F.coalesce(F.col(column), F.lit("unknown"))))
+    pinned = F.coalesce(~F.startswith("revision", F.lit(UNRESOLVED)), F.lit(False))
+    reasons = F.array(
+        named("status", "status", USABLE_STATUSES), F.when(~pinned, "revision-unresolved"),
+        F.when(F.coalesce(F.col("remote_code_required"), F.lit(True)), "remote-code-required"), named("license", "license_status", USABLE_LICENCES),
+    )
+    return registry.withColumn("blockers", F.array_compact(reasons))
+
+
 def eligible_models(registry: DataFrame, track: str) -> DataFrame:
-    """Models of a track without a blocker. Blockers: no revision, no price, not licensed, retired."""
-    blockers = F.array_compact(F.array(
-        F.when(F.col("revision").isNull(), "revision-unpinned"), F.when(F.col("price").isNull(), "price-unknown"), F.when(~F.col("licensed"), "licence-unconfirmed"), F.when(F.col("status") == "retired", "retired"),
-    ))
-    return registry.withColumn("blockers", blockers).where((F.size("blockers") == 0) & F.array_contains("tracks", track))
+    """Models of a track without a blocker."""
+    return eligibility(registry).where((F.size("blockers") == 0) & F.array_contains("tracks", track))
 
 
 def status_counts(records: DataFrame, column: str, statuses: list[str]) -> DataFrame:

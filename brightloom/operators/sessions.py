@@ -49,6 +49,23 @@ def entry_hash(previous: Column, sequence: Column, alias: Column, payload: Colum
     return link_hash(previous, sequence, alias, payload)
 
 
+def chained(ratings: DataFrame) -> DataFrame:
+    """The ledger of ratings (session_id, position, assignment_alias, payload): each with its sequence from 1
+    on, previous_hash and entry_hash. An ordered fold: a session's ratings are one chain, in which a hash
+    needs the one before it."""
+    row = F.struct("position", "assignment_alias", "payload")
+    link = "struct<position:{p},assignment_alias:string,payload:string,sequence:long,previous_hash:string,entry_hash:string>".format(p=dict(ratings.dtypes)["position"])
+    in_order = ratings.groupBy("session_id").agg(F.array_sort(F.collect_list(row)).alias("ratings"))
+
+    def next_link(links: Column, r: Column) -> Column:
+        n, last = F.size(links).cast("long") + 1, F.when(F.size(links) > 0, F.element_at(links, -1)["entry_hash"]).otherwise(F.lit(GENESIS))
+        own = F.struct(r["position"].alias("position"), r["assignment_alias"].alias("assignment_alias"), r["payload"].alias("payload"), n.alias("sequence"), last.alias("previous_hash"), entry_hash(last, n, r["assignment_alias"], r["payload"]).alias("entry_hash"))
+        return F.concat(links, F.array(own))
+
+    links = F.aggregate("ratings", F.array().cast(f"array<{link}>"), next_link)
+    return in_order.select("session_id", F.explode(links).alias("link")).select("session_id", "link.*")
+
+
 def chain_findings(entries: DataFrame, allowed: DataFrame) -> DataFrame:
     """(session_id, sequence, finding) of rating ledgers (session_id, sequence, assignment_alias, payload,
     previous_hash, entry_hash), one chain a session: gaps in the sequence, links that do not meet the

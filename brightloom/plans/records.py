@@ -348,14 +348,30 @@ def weighted_answers(spark, sf_dir):
     return rounded(qualification.weighted_answers(answers, spark.createDataFrame([("A", 2.0), ("R", 0.5)], "family string, weight double")))
 
 
-@query("SELECT s_name AS model_id FROM supplier WHERE s_suppkey % 6 <> 1 AND s_acctbal > 0 AND s_suppkey % 4 <> 2 AND s_nationkey <> 5 AND s_suppkey % 3 <> 0")
+_MODELS = """models AS (SELECT s_name AS model_id, CASE WHEN s_suppkey % 6 = 1 THEN 'unresolved:main' WHEN s_suppkey % 31 <> 4 THEN 'r1' END AS revision, s_suppkey % 9 = 2 AS remote, CASE s_suppkey % 4 WHEN 0 THEN 'open' WHEN 1 THEN 'reviewed' WHEN 2 THEN 'eligible' WHEN 3 THEN 'restricted' END AS licence,
+  CASE WHEN s_nationkey < 12 THEN 'eligible' WHEN s_nationkey < 20 THEN 'reviewed' WHEN s_nationkey < 23 THEN 'retired' ELSE 'candidate' END AS status, s_suppkey % 3 <> 0 AS main FROM supplier)"""
+
+
+def _models(spark, sf_dir):
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    licence = F.when(k % 4 == 0, "open").when(k % 4 == 1, "reviewed").when(k % 4 == 2, "eligible").otherwise("restricted")
+    return table(spark, sf_dir, "supplier").select(
+        F.col("s_name").alias("model_id"), F.when(k % 6 == 1, "unresolved:main").when(k % 31 != 4, "r1").alias("revision"), (k % 9 == 2).alias("remote_code_required"), licence.alias("license_status"),
+        F.when(n < 12, "eligible").when(n < 20, "reviewed").when(n < 23, "retired").otherwise("candidate").alias("status"), F.when(k % 3 == 0, F.array(F.lit("open"))).otherwise(F.array(F.lit("open"), F.lit("main"))).alias("tracks"),
+    )
+
+
+@query(f"WITH {_MODELS} SELECT model_id FROM models WHERE main AND status IN ('eligible', 'reviewed') AND revision = 'r1' AND NOT remote AND licence <> 'restricted'")
 def eligible_models(spark, sf_dir):
     """Suppliers without blockers on a track."""
-    registry_rows = table(spark, sf_dir, "supplier").select(
-        F.col("s_name").alias("model_id"), F.when(F.col("s_suppkey") % 6 != 1, "r1").alias("revision"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("price"), (F.col("s_suppkey") % 4 != 2).alias("licensed"),
-        F.when(F.col("s_nationkey") == 5, "retired").otherwise("active").alias("status"), F.when(F.col("s_suppkey") % 3 == 0, F.array(F.lit("open"))).otherwise(F.array(F.lit("open"), F.lit("main"))).alias("tracks"),
-    )
-    return qualification.eligible_models(registry_rows, "main").select("model_id")
+    return qualification.eligible_models(_models(spark, sf_dir), "main").select("model_id")
+
+
+@query(f"""WITH {_MODELS} SELECT model_id, concat_ws(',', CASE WHEN status IN ('retired', 'candidate') THEN 'status:' || status END, CASE WHEN revision IS NULL OR revision LIKE 'unresolved%' THEN 'revision-unresolved' END,
+CASE WHEN remote THEN 'remote-code-required' END, CASE WHEN licence = 'restricted' THEN 'license:restricted' END) AS blockers FROM models""")
+def model_blockers(spark, sf_dir):
+    """What keeps each supplier from taking part as a model."""
+    return qualification.eligibility(_models(spark, sf_dir)).select("model_id", F.array_join("blockers", ",").alias("blockers"))
 
 
 @query("SELECT s AS event_type, coalesce(n, 0)::BIGINT AS n FROM (SELECT unnest(['click', 'error', 'refund', 'view']) AS s) LEFT JOIN (SELECT event_type, count(*) AS n FROM events GROUP BY 1) ON s = event_type")
@@ -690,17 +706,16 @@ def session_states(spark, sf_dir):
     return sessions.disclosure(_submissions(spark, sf_dir))
 
 
-@query("""WITH l AS (SELECT user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS sequence, 'a' || event_id % 50 AS alias, event_type AS payload, event_id FROM events),
-e AS (SELECT *, CASE WHEN sequence = 1 THEN repeat('0', 64) ELSE sha256('p' || session_id || '|' || sequence - 1) END AS real_previous, sha256('p' || session_id || '|' || sequence) AS entry_hash FROM l),
-b AS (SELECT *, CASE WHEN event_id % 37 = 0 THEN 'x' ELSE real_previous END AS previous_hash, row_number() OVER (PARTITION BY session_id, alias ORDER BY sequence) AS nth FROM e)
-SELECT session_id, sequence, unnest(list_filter([CASE WHEN previous_hash <> real_previous THEN 'chain-drift' END, 'hash-drift', CASE WHEN nth > 1 THEN 'rated-twice' END, CASE WHEN alias IN ('a7', 'a8') THEN 'not-in-session' END], lambda x: x IS NOT NULL)) AS finding FROM b""")
+@query("""WITH l AS (SELECT user_id AS session_id, 'a' || event_id % 50 AS alias, event_type AS payload, event_id FROM events),
+o AS (SELECT session_id, list({'alias': alias, 'payload': payload, 'id': event_id} ORDER BY event_id) AS x FROM l GROUP BY 1),
+h AS (SELECT session_id, x, list_reduce(list_transform(x, lambda e, i: [[e.alias, e.payload, i::VARCHAR, '']]), lambda acc, e: list_append(acc, list_concat(e[1][1:3], [sha256(acc[len(acc)][4] || chr(31) || e[1][3] || chr(31) || e[1][1] || chr(31) || e[1][2])])), [['', '', '0', repeat('0', 64)]]) AS c FROM o),
+e AS (SELECT session_id, unnest(range(1, len(x) + 1)) AS sequence, x[sequence].alias AS alias, x[sequence].id AS event_id, c[sequence][4] AS before, c[sequence + 1][4] AS own FROM h),
+d AS (SELECT *, event_id % 37 = 0 AS relinked, event_id % 41 = 0 AS rewritten, row_number() OVER (PARTITION BY session_id, alias ORDER BY sequence) AS nth FROM e)
+SELECT session_id, sequence, unnest(list_filter([CASE WHEN relinked THEN 'chain-drift' END, CASE WHEN relinked OR rewritten THEN 'hash-drift' END, CASE WHEN nth > 1 THEN 'rated-twice' END, CASE WHEN alias IN ('a7', 'a8') THEN 'not-in-session' END], lambda x: x IS NOT NULL)) AS finding FROM d""")
 def rating_chain_findings(spark, sf_dir):
-    """Ledgers of users with links of their own making: every entry's hash is foreign, one link in 37 broken."""
-    order = Window.partitionBy("user_id").orderBy("event_id")
-    numbered = table(spark, sf_dir, "events").withColumn("sequence", F.row_number().over(order).cast("long"))
-    digest = lambda n: F.sha2(F.concat(F.lit("p"), F.col("user_id").cast("string"), F.lit("|"), n.cast("string")).cast("binary"), 256)
-    previous = F.when(F.col("event_id") % 37 == 0, "x").when(F.col("sequence") == 1, F.lit(ledger.GENESIS)).otherwise(digest(F.col("sequence") - 1))
-    entries = numbered.select(F.col("user_id").alias("session_id"), "sequence", F.concat(F.lit("a"), (F.col("event_id") % 50).cast("string")).alias("assignment_alias"), F.col("event_type").alias("payload"), previous.alias("previous_hash"), digest(F.col("sequence")).alias("entry_hash"))
+    """Ledgers of users whose entries are chained as they should be, but for one link in 37 and one payload in 41."""
+    listed = table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("position"), F.concat(F.lit("a"), (F.col("event_id") % 50).cast("string")).alias("assignment_alias"), F.col("event_type").alias("payload"))
+    entries = sessions.chained(listed).withColumn("previous_hash", F.when(F.col("position") % 37 == 0, "x").otherwise(F.col("previous_hash"))).withColumn("payload", F.when(F.col("position") % 41 == 0, "other").otherwise(F.col("payload"))).drop("position")
     allowed = spark.range(50).select(F.concat(F.lit("a"), F.col("id").cast("string")).alias("assignment_alias")).where("assignment_alias not in ('a7', 'a8')")
     return sessions.chain_findings(entries, allowed)
 
@@ -721,13 +736,15 @@ def fuzz_report(spark, sf_dir):
     return mutations.fuzz_report(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("source_id"), drawing.alias("source")), 26, 5)
 
 
-@query("""SELECT p_name AS concept, min(p_brand || '') AS definition, count(*) AS ontologies FROM (SELECT p_name, 'thing' AS p_brand FROM part) GROUP BY 1""")
+@query("""SELECT p_name || ' ' || p_partkey AS concept, CASE WHEN p_size % 7 <> 0 THEN p_brand || ' of size ' || p_size END AS definition, CASE WHEN p_partkey % 3 = 0 THEN 2 WHEN p_partkey % 5 = 0 THEN 2 ELSE 1 END AS ontologies FROM part""")
 def merged_ontologies(spark, sf_dir):
-    """Part names as concepts of one definition each."""
-    return concepts.merged_ontologies(table(spark, sf_dir, "part").select(F.col("p_name").alias("concept"), F.lit("thing").alias("definition")))
+    """Parts as concepts of two ontologies: every third and every fifth part stand in both."""
+    parts = table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_name", "p_partkey").alias("concept"), F.when(F.col("p_size") % 7 != 0, F.concat(F.col("p_brand"), F.lit(" of size "), F.col("p_size").cast("string"))).alias("definition"), "p_partkey")
+    other = parts.where((F.col("p_partkey") % 3 == 0) | (F.col("p_partkey") % 5 == 0))
+    return concepts.merged_ontologies(parts.union(other).drop("p_partkey"))
 
 
-@query("""SELECT n_name AS concept, '{"@id":"urn:' || n_name || '","@type":"pb:Concept","rdfs:label":"' || lower(n_name) || '","rdfs:subClassOf":{"@id":"urn:' || r_name || '"}}' AS node FROM nation JOIN region ON n_regionkey = r_regionkey""")
+@query("""SELECT n_name AS concept, '{"@id":"urn:' || n_name || '","@type":"skos:Concept","rdfs:label":"' || lower(n_name) || '","rdfs:subClassOf":{"@id":"urn:' || r_name || '"}}' AS node FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def concept_nodes(spark, sf_dir):
     """Nations as nodes below their regions."""
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")

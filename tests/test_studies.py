@@ -219,9 +219,9 @@ def test_source_mutations(spark):
     out = {m: cases["x", k]["source"] for k, m in enumerate(mutations.MUTATIONS)}
     body, end = svg[: -len("</svg>")], "</svg>"
     assert out["event-handler"] == svg.replace("<svg", '<svg onload="alert(1)"', 1) and out["external-css"] == body + mutations.CSS + end
-    assert out["entity"] == mutations.ENTITY + svg.replace(end, "&xxe;</svg>") and svg.startswith(out["truncate"]) and len(out["truncate"]) < len(svg)
-    groups = re.fullmatch(re.escape(body) + r'((?:<g transform="translate\(\d \d\)">)+)<circle cx="1" cy="1" r="1"/>((?:</g>)+)</svg>', out["nested-groups"])
-    assert groups and groups[1].count("<g") == groups[2].count("</g>") <= 48
+    assert out["entity"] == mutations.ENTITY + svg.replace(end, "<text>&far;</text></svg>") and svg.startswith(out["truncate"]) and len(out["truncate"]) < len(svg)
+    groups = re.fullmatch(re.escape(body) + r'((?:<g>)+)<ellipse rx="3" ry="2"/>((?:</g>)+)</svg>', out["nested-groups"])
+    assert groups and 100 <= groups[1].count("<g") == groups[2].count("</g>") < 1000
     assert cases["open", 2]["source"] == "<svg" + mutations.CSS and cases["none", 11]["source"] == ""
     rejected = {m for m, s in out.items() if not vector_source.inspect(s)["valid"]}
     assert {"event-handler", "external-image", "external-css", "entity", "truncate"} <= rejected and not {"nested-groups", "path-burst", "off-canvas", "clip-mask"} & rejected
@@ -298,7 +298,7 @@ def test_contracts(spark):
     ]
     got = rows(spark.createDataFrame([(i, p) for i, (p, _) in enumerate(cases)], "i int, p string").select("i", contracts.contract_errors(F.col("p"), schema).alias("e")))
     assert {r["i"]: r["e"] for r in got} == {i: e for i, (_, e) in enumerate(cases)}
-    for bad in ({"oneOf": []}, {"type": "date"}, {"properties": {"x": {"minimun": 1}}}, {"additionalProperties": {}}):
+    for bad in ({"oneOf": []}, {"pattern": "("}, {"$ref": "#/nowhere"}, {"not": {}}, {"type": "date"}, {"properties": {"x": {"minimun": 1}}}, {"additionalProperties": {}}):
         with pytest.raises(ValueError):
             contracts.contract_errors(F.col("p"), bad)
 
@@ -362,3 +362,56 @@ def test_frozen_rows_and_evaluation_batches(spark, tmp_path):
     assert {r["left_alias"] + r["right_alias"] for r in read.collect()} == {"AB"}
     with pytest.raises(ValueError):
         records.write_evaluation_batch(pairs.limit(0), str(tmp_path / "d"), 1)
+
+
+def test_eligibility_blockers(spark):
+    data = [
+        ("good", "eligible", "0a1b", False, "open", ["main"]), ("old", "retired", "0a1b", False, "open", ["main"]), ("floating", "reviewed", "unresolved", False, "reviewed", ["main"]), ("code", "reviewed", "r", True, "eligible", ["main"]),
+        ("closed", "eligible", "r", False, "restricted", ["main"]), ("all", "candidate", "unresolved:2025", True, "unknown", ["main"]), ("bare", None, None, None, None, ["main"]), ("elsewhere", "eligible", "r", False, "open", ["other"]),
+    ]
+    registry = spark.createDataFrame(data, "model_id string, status string, revision string, remote_code_required boolean, license_status string, tracks array<string>")
+    everything = ["revision-unresolved", "remote-code-required"]
+    assert {r["model_id"]: r["blockers"] for r in rows(qualification.eligibility(registry))} == {
+        "good": [], "old": ["status:retired"], "floating": ["revision-unresolved"], "code": ["remote-code-required"], "closed": ["license:restricted"], "elsewhere": [],
+        "all": ["status:candidate", *everything, "license:unknown"], "bare": ["status:unknown", *everything, "license:unknown"],
+    }
+    assert [r["model_id"] for r in rows(qualification.eligible_models(registry, "main"))] == ["good"]
+
+
+def test_repair_without_requirements(spark):
+    r = spark.sql("SELECT array('a') AS b, array('a', 'c') AS a, CAST(array() AS array<struct<target_roles:array<string>,preserve_roles:array<string>>>) AS r").select(scorecard.repair_assessment(F.col("b"), F.col("a"), F.col("r")).alias("x")).first()["x"]
+    assert r.asDict() == {"before_score": 1.0, "after_score": 1.0, "improvement": 0.0, "repaired_fraction": 0.0, "preservation_fraction": 0.0, "new_defects": []}
+
+
+def test_sources_of_any_depth():
+    for depth in (1, 3000, 9998):
+        found = vector_source.inspect("<svg>" + "<g>" * depth + "</g>" * depth + "</svg>")
+        assert found["valid"] and found["element_count"] == depth + 1 and found["canonical_hash"].startswith("sha256:")
+    assert vector_source.inspect("<svg>" + "<g>" * 20000 + "</g>" * 20000 + "</svg>")["errors"] == ["element limit exceeded"]
+    a, b = (vector_source.inspect(s)["canonical_hash"] for s in ('<svg a="1" b=" 2 "><g/>x<g>y</g></svg>', '<svg b="2" a="1"><g/><g> y </g></svg>'))
+    assert a == b != vector_source.inspect('<svg a="1" b="2"><g>y</g><g/></svg>')["canonical_hash"]
+    kinds = {'<rect ONclick="x"/>': "event attribute: ONclick", '<image href=" data:x"/>': "external reference", '<rect mask="url(http://x)"/>': "unsafe paint or filter", '<rect stroke="//x"/>': "unsafe paint or filter", '<rect style="fill:URL (a)"/>': "unsafe style"}
+    for bad, error in kinds.items():
+        assert error in vector_source.inspect(f"<svg>{bad}</svg>")["errors"], bad
+
+
+def test_contracts_never_fail_a_job(spark):
+    schema = {
+        "$defs": {"tree": {"type": "object", "required": ["n"], "properties": {"n": {"type": "integer"}, "of": {"type": "array", "items": {"$ref": "#/$defs/tree"}}}}},
+        "properties": {"t": {"$ref": "#/$defs/tree"}, "e": {"enum": [1, "a"]}, "c": {"const": [0]}, "x": {"anyOf": [{"type": "string"}, {"minimum": 5}]}, "y": {"oneOf": [{"type": "number"}, {"type": "integer"}]}},
+    }
+    cases = {
+        '{"t": {"n": 1, "of": [{"n": 2}, {}, {"n": 2.5}]}}': ["t/of/1: lacks n", "t/of/2/n: is not of type integer"], '{"t": {"n": NaN}}': ["$: is not JSON"], '{"t": {"n": -Infinity}}': ["$: is not JSON"], '{"t": {"n": 1e400}}': ["t/n: is not of type integer"],
+        '{"e": true}': ["e: is not one of the listed values"], '{"e": 1.0, "c": [0]}': [], '{"c": [false]}': ["c: is not the stated value"], '{"x": 4}': ["x: fits none of the choices"], '{"x": "s", "y": 1}': ["y: does not fit exactly one of the choices"],
+        '{"y": 1.5}': [], "[" * 100000: ["$: is nested too deeply"], '{"t": {"n": ' + "9" * 5000 + "}}": ["$: is not JSON"],
+    }
+    got = rows(spark.createDataFrame(list(enumerate(cases)), "i int, p string").select("i", contracts.contract_errors(F.col("p"), schema).alias("e")))
+    assert {r["i"]: r["e"] for r in got} == dict(enumerate(cases.values()))
+
+
+def test_labels_change_without_the_drawing(spark):
+    svg = '<svg id="a"><g class=\'wheel big\' fill="red"/></svg>'
+    r = spark.createDataFrame([(svg,)], "s string").select(*[f(F.col("s")).alias(f.__name__) for f in (mutations.renamed_labels, mutations.commented, mutations.with_unseen_label, mutations.with_far_label)]).first()
+    assert r["renamed_labels"] == '<svg id="part"><g class=\'part\' fill="red"/></svg>'
+    for name in ("commented", "with_unseen_label", "with_far_label"):
+        assert r[name].startswith(svg[:-6]) and mutations.WORDS in r[name] and vector_source.inspect(r[name])["valid"]
