@@ -22,6 +22,7 @@ from __future__ import annotations
 import json
 import math
 import os
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ SEQUENCE, END = 4096, 2
 WIDTH, DIMS, BITS = 256, 3, 10
 LEVELS = 1 << BITS
 RANGE_TOKENS, RANGES = 1 << 18, 20000  # tokens of a range, or more so that there are not more ranges
-CACHE = 300_000  # words, and pieces of words, that a worker remembers
+CACHE = 200_000  # words, and pieces of words, of each generation that a worker remembers
 _TOKENS = "doc_id long, uid long, n long, ids binary, v array<double>"
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("v", pa.list_(pa.float64()))])
 _PLAIN = regex.compile(r"[!-~¡-¬®-įĲ-ſ]*")  # composed letters with one lower case each
@@ -51,7 +52,8 @@ class Words(dict):
     """Token ids (little-endian, four bytes each) by the UTF-8 bytes of a word without ASCII white space.
 
     The vocabulary's model is asked once for each lower-case piece of a word. Words with letters outside
-    ``_PLAIN`` or special tokens go through the whole tokenizer."""
+    ``_PLAIN`` or special tokens go through the whole tokenizer. Words are remembered in two generations:
+    when ``limit`` are in the younger, it becomes the older, from which words that come again are taken."""
 
     def __init__(self, path: str, limit: int = CACHE):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task for each core
@@ -59,31 +61,49 @@ class Words(dict):
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         rules = json.loads(self.tokenizer.to_str())
-        self.special = tuple(t["content"] for t in rules["added_tokens"])
+        self.special = [t["content"] for t in rules["added_tokens"]]
+        self.mark = self.special[0][:1] if len({s[:1] for s in self.special}) == 1 else ""  # in each of them
         split = (rules["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
         steps = [x["type"] for x in (rules["normalizer"] or {}).get("normalizers", [])]
         known = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
         # another vocabulary with other rules still gives its own ids, only without pieces
         self.by_piece = split.get("pattern") == {"Regex": known} and steps == ["NFC", "Replace", "Lowercase"] and not rules["post_processor"]
+        self.older: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
-        self.model, self.bytes = self.tokenizer.model, self.tokenizer.pre_tokenizer
+        self.older_pieces: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        # how the model writes the letters beyond ASCII of plain words
+        self.letters = {k: "".join(part for part, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(k))) for k in range(0xA1, 0x180)} if self.by_piece else {}
 
     def _piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
             if len(self.pieces) >= self.limit:
-                self.pieces.clear()
-            letters = piece if piece.isascii() else "".join(part for part, _ in self.bytes.pre_tokenize_str(piece))
-            ids = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+                self.older_pieces, self.pieces = self.pieces, {}
+            ids = self.older_pieces.get(piece)
+            if ids is None:
+                ids = _packed([t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(self.letters))])
+            self.pieces[piece] = ids
         return ids
 
-    def __missing__(self, word: bytes) -> bytes:
+    def _word(self, word: bytes) -> bytes:
         text = word.decode()
-        if self.by_piece and _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
-            ids = b"".join(map(self._piece, _PIECE.findall(text.lower())))
-        else:
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        plain = self.by_piece and (text.isascii() and text.isprintable() or _PLAIN.fullmatch(text))
+        if not plain or self.mark in text and any(s in text for s in self.special):
+            return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        text = text.lower()
+        if text.isalpha():
+            return self._piece(text)
+        if text[-1] in ".," and text[:-1].isalpha():
+            return self._piece(text[:-1]) + self._piece(text[-1])
+        return b"".join(map(self._piece, _PIECE.findall(text)))
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self._word(word)
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
         self[word] = ids
         return ids
@@ -93,7 +113,11 @@ class Words(dict):
         return b"".join(map(self.__getitem__, text.split())) + _END
 
 
-_END = np.array([END], "<u4").tobytes()
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+_END = _packed([END])
 _workers: dict[str, Words] = {}
 
 
