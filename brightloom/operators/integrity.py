@@ -93,6 +93,16 @@ def manifest(files: DataFrame) -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("bytes"))
 
 
+def rows_commitment(rows: DataFrame, columns: list[str], name: str = "commitment") -> DataFrame:
+    """One row: how many rows there are and a hash of their columns, whatever their order. Rows are hashed
+    one by one and the hashes by their 4096 beginnings, so that no task gathers them all; null is not empty."""
+    stated = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns]
+    own = rows.select(F.sha2(F.concat_ws("\x1f", *stated).cast("binary"), 256).alias("h"))
+    leaf = own.groupBy(F.substring("h", 1, 3).alias("leaf")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "").cast("binary"), 256).alias("h"))
+    root = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("leaf", "h"))), lambda x: x["h"]), "").cast("binary"), 256)
+    return leaf.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), root.alias(name))
+
+
 def manifest_receipt(listed: DataFrame) -> DataFrame:
     """One row: files and bytes of a manifest, and a hash over its entries. Entries are hashed by
     256 groups of their paths' hashes first, so that no task gathers them all."""

@@ -61,7 +61,7 @@ def replay(requests: DataFrame, lease_seconds: int = 900) -> DataFrame:
     attempts after it. A cell's requests are put in order of at and request_id and folded by column
     expressions."""
     horizon = lease_seconds * 1_000_000
-    row = F.struct(F.unix_micros("at").alias("at"), F.col("request_id").cast("long").alias("request_id"), "action", "worker_id", "lease_token", "new_state", "artifact_id")
+    row = F.struct(F.unix_micros(F.col("at").cast("timestamp")).alias("at"), F.col("request_id").cast("long").alias("request_id"), "action", "worker_id", "lease_token", "new_state", "artifact_id")
     cells = requests.groupBy("cell_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
     done = "array<struct<request_id:long,at:long,action:string,outcome:string,state:string,expires:long,attempt:long>>"
     text = lambda s: F.lit(s).cast("string")

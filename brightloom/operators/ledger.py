@@ -51,6 +51,71 @@ def replay(events: DataFrame, transitions: dict[str, tuple[str, ...]] = TRANSITI
     )
 
 
+def event_hash(previous: Column, sequence: Column, cell: Column, new_state: Column, reason: Column, cost: Column, artifact: Column) -> Column:
+    """The hash of a campaign event: what it states, on top of its predecessor's hash. Costs count by the
+    millionth, so that they read alike everywhere."""
+    stated = (sequence, cell, new_state, reason, F.round(cost * 1_000_000).cast("long"), artifact)
+    return link_hash(previous, *[F.coalesce(c.cast("string"), F.lit("")) for c in stated])
+
+
+def appended(wanted: DataFrame, transitions: dict[str, tuple[str, ...]] = TRANSITIONS) -> DataFrame:
+    """The events that ``wanted`` (campaign_id, position, cell_id, new_state, reason, cost, artifact_id) append
+    to empty logs, one after another in order of position, and what was refused: campaign_id, position, the
+    wanted columns, refused (null if appended), and for appended events sequence, previous_state,
+    previous_event_hash and event_hash.
+
+    Refused are illegal changes of a cell's state, costs below 0, blank reasons and successes without an
+    artifact; they leave no trace in the log. A cell's state is folded over its own events. A log's hashes
+    need one another, so they are folded over the log's appended events in one group a campaign, of
+    which nothing but positions and one hash an event stays in memory."""
+    table = F.create_map(*[x for state, after in transitions.items() for x in (F.lit(state), F.array(*[F.lit(a) for a in after]))])
+    kinds = dict(wanted.dtypes)
+    row = F.struct("position", "new_state", "reason", F.col("cost").cast("double").alias("cost"), "artifact_id")
+    fields = f"position:{kinds['position']},new_state:string,reason:string,cost:double,artifact_id:{kinds['artifact_id']}"
+    cells = wanted.groupBy("campaign_id", "cell_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+
+    def step(acc: Column, r: Column) -> Column:
+        state = acc["state"]
+        wrong = (
+            F.when(~F.coalesce(F.array_contains(F.try_element_at(table, state), r["new_state"]), F.lit(False)), F.concat(F.lit("illegal-transition:"), state, F.lit(">"), F.coalesce(r["new_state"], F.lit(""))))
+            .when(F.coalesce(r["cost"], F.lit(-1.0)) < 0, "cost-below-zero").when(F.trim(F.coalesce(r["reason"], F.lit(""))) == "", "no-reason")
+            .when((r["new_state"] == "succeeded") & r["artifact_id"].isNull(), "no-artifact")
+        )
+        done = F.struct(*[r[c].alias(c) for c in ("position", "new_state", "reason", "cost", "artifact_id")], state.alias("previous_state"), wrong.alias("refused"))
+        return F.struct(F.when(wrong.isNull(), r["new_state"]).otherwise(state).alias("state"), F.concat(acc["done"], F.array(done)).alias("done"))
+
+    start = F.struct(F.lit("ready").alias("state"), F.array().cast(f"array<struct<{fields},previous_state:string,refused:string>>").alias("done"))
+    folded = F.aggregate("rows", start, step, lambda acc: acc["done"])
+    judged = cells.select("campaign_id", "cell_id", F.explode(folded).alias("e")).select("campaign_id", "cell_id", "e.*")
+    kept = judged.where("refused is null")
+    link = F.struct("position", "cell_id", "new_state", "reason", "cost", "artifact_id")
+
+    def chain(acc: Column, r: Column) -> Column:
+        n, last = F.size(acc).cast("long"), F.when(F.size(acc) > 0, F.element_at(acc, -1)["event_hash"]).otherwise(F.lit(GENESIS))
+        own = event_hash(last, n, r["cell_id"], r["new_state"], r["reason"], r["cost"], r["artifact_id"])
+        return F.concat(acc, F.array(F.struct(r["position"].alias("position"), n.alias("sequence"), last.alias("previous_event_hash"), own.alias("event_hash"))))
+
+    empty = F.array().cast(f"array<struct<position:{kinds['position']},sequence:long,previous_event_hash:string,event_hash:string>>")
+    logs = kept.groupBy("campaign_id").agg(F.array_sort(F.collect_list(link)).alias("log")).select("campaign_id", F.explode(F.aggregate("log", empty, chain)).alias("l"))
+    return judged.join(logs.select("campaign_id", "l.*"), ["campaign_id", "position"], "left")
+
+
+def hash_findings(events: DataFrame) -> DataFrame:
+    """(campaign_id, sequence, finding) of logs (campaign_id, sequence, cell_id, new_state, reason, cost,
+    artifact_id, previous_event_hash, event_hash): gaps, links that do not meet the event before, and hashes
+    that do not fit their event. Every hash is recomputed, each by itself, so logs of any length are
+    replayed in parallel."""
+    before = events.select("campaign_id", (F.col("sequence") + 1).alias("sequence"), F.col("event_hash").alias("hash_before"))
+    met = events.join(before, ["campaign_id", "sequence"], "left")
+    first = F.col("sequence") == 0
+    own = event_hash(F.col("previous_event_hash"), F.col("sequence"), F.col("cell_id"), F.col("new_state"), F.col("reason"), F.col("cost"), F.col("artifact_id"))
+    findings = F.array(
+        F.when(~first & F.col("hash_before").isNull(), "gap"), F.when(F.col("previous_event_hash") != F.when(first, F.lit(GENESIS)).otherwise(F.coalesce("hash_before", F.col("previous_event_hash"))), "chain-drift"),
+        F.when(F.col("event_hash") != own, "hash-drift"),
+    )
+    return met.select("campaign_id", "sequence", F.explode(F.array_compact(findings)).alias("finding"))
+
+
 def current_states(events: DataFrame) -> DataFrame:
     """Last state, total cost and number of events of each cell."""
     return events.groupBy("cell_id").agg(F.max_by("new_state", "sequence").alias("state"), F.sum("cost").alias("cost"), F.count("*").alias("events"))

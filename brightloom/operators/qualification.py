@@ -34,9 +34,12 @@ def judge_panel(observations: DataFrame, least_agreement: float) -> DataFrame:
 
 
 def weighted_answers(answers: DataFrame, weights: DataFrame) -> DataFrame:
-    """By question: the weighted mean of judges' probabilities; judges' families without a weight count 1."""
+    """By question: the weighted mean of judges' probabilities; judges' families without a weight count 1. Weights
+    that sum to 0 or less are an error when their row is read."""
     w = F.coalesce("weight", F.lit(1.0))
-    return answers.join(weights, "family", "left").groupBy("question_id").agg((F.sum(F.col("probability") * w) / F.sum(w)).alias("probability"), F.count("*").alias("judges"))
+    total = F.sum(w)
+    mean = F.when(total > 0, F.sum(F.col("probability") * w) / F.when(total > 0, total)).otherwise(F.raise_error(F.lit("judge weights must sum to a positive value")).cast("double"))
+    return answers.join(weights, "family", "left").groupBy("question_id").agg(mean.alias("probability"), F.count("*").alias("judges"))
 
 
 # What lets a model take part.

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from brightloom.operators.integrity import content_hash
 from brightloom.operators.ledger import GENESIS, link_hash
 
 # The stages of a session, in order.
@@ -44,6 +45,47 @@ def disclosure(submissions: DataFrame) -> DataFrame:
     return every.withColumn("next_stage", F.get(listed, F.col("stages_done").cast("int"))).withColumn("prompt_disclosed", F.col("stages_done") > 0)
 
 
+def receipts(submissions: DataFrame, stages: tuple[str, ...] = STAGES) -> DataFrame:
+    """The receipts of the submissions (assignment_id, position, stage, artifact_id, response, a canonical text)
+    that their session accepts: assignment_id, position, stage, response_hash, previous_receipt_hash (null for
+    the first) and receipt_hash. An ordered fold over a session's stages, which are few."""
+    bad = stage_findings(submissions, stages).select("assignment_id", "position")
+    good = submissions.join(bad, ["assignment_id", "position"], "left_anti")
+    kinds = dict(submissions.dtypes)
+    link = f"struct<position:{kinds['position']},stage:string,artifact_id:{kinds['artifact_id']},response_hash:string,previous_receipt_hash:string,receipt_hash:string>"
+    row = F.struct("position", "stage", "artifact_id", content_hash(F.col("response")).alias("response_hash"))
+    in_order = good.groupBy("assignment_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+
+    def next_link(links: Column, r: Column) -> Column:
+        before = F.when(F.size(links) > 0, F.element_at(links, -1)["receipt_hash"])
+        own = receipt_hash(F.col("assignment_id"), r["artifact_id"], r["stage"], r["response_hash"], before)
+        return F.concat(links, F.array(F.struct(r["position"].alias("position"), r["stage"].alias("stage"), r["artifact_id"].alias("artifact_id"), r["response_hash"].alias("response_hash"), before.alias("previous_receipt_hash"), own.alias("receipt_hash"))))
+
+    links = F.aggregate("rows", F.array().cast(f"array<{link}>"), next_link)
+    return in_order.select("assignment_id", F.explode(links).alias("link")).select("assignment_id", "link.*")
+
+
+def receipt_hash(assignment: Column, artifact: Column, stage: Column, response_hash: Column, previous: Column) -> Column:
+    """sha256: and the digest of what a receipt binds."""
+    stated = [F.coalesce(c.cast("string"), F.lit("")) for c in (assignment, artifact, stage, response_hash, previous)]
+    return content_hash(F.concat_ws("\x1f", *stated))
+
+
+def receipt_findings(found: DataFrame, stages: tuple[str, ...] = STAGES) -> DataFrame:
+    """(assignment_id, stage, finding) of receipts: a hash that does not fit what it binds, a link that does not
+    meet the stage before, a stage before that is missing. Every hash is recomputed, each by itself."""
+    listed = F.array(*[F.lit(s) for s in stages])
+    placed = found.withColumn("rank", F.array_position(listed, F.col("stage")))
+    before = placed.select("assignment_id", (F.col("rank") + 1).alias("rank"), F.col("receipt_hash").alias("before_hash"))
+    met = placed.join(before, ["assignment_id", "rank"], "left")
+    own = receipt_hash(F.col("assignment_id"), F.col("artifact_id"), F.col("stage"), F.col("response_hash"), F.col("previous_receipt_hash"))
+    findings = F.array(
+        F.when(F.col("rank") == 0, "not-of-this-session"), F.when((F.col("rank") > 1) & F.col("before_hash").isNull(), "stage-missing"),
+        F.when(~F.col("previous_receipt_hash").eqNullSafe(F.col("before_hash")) & ((F.col("rank") == 1) | F.col("before_hash").isNotNull()), "chain-drift"), F.when(F.col("receipt_hash") != own, "hash-drift"),
+    )
+    return met.select("assignment_id", "stage", F.explode(F.array_compact(findings)).alias("finding"))
+
+
 def entry_hash(previous: Column, sequence: Column, alias: Column, payload: Column) -> Column:
     """The hash of a rating entry."""
     return link_hash(previous, sequence, alias, payload)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brightloom.plans import records, statistics, text
+from brightloom.plans import assurance, records, statistics, text
 
-QUERIES = {**statistics.QUERIES, **text.QUERIES, **records.QUERIES}
-ORACLES = {**statistics.ORACLES, **text.ORACLES, **records.ORACLES}
+QUERIES = {**statistics.QUERIES, **text.QUERIES, **records.QUERIES, **assurance.QUERIES}
+ORACLES = {**statistics.ORACLES, **text.ORACLES, **records.ORACLES, **assurance.ORACLES}

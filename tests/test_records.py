@@ -58,7 +58,7 @@ def test_ancestors_and_cycles(spark):
     depth = {(r["concept"], r["ancestor"]): r["depth"] for r in rows(concepts.ancestors(edges))}
     assert depth["n0", "n9"] == 9 and depth["n3", "n3"] == 0 and len(depth) == 55
     with pytest.raises(ValueError):
-        concepts.ancestors(spark.createDataFrame([("a", "b"), ("b", "a")], "child string, parent string"), 8)
+        concepts.ancestors(spark.createDataFrame([("a", "b"), ("b", "a")], "child string, parent string"))
 
 
 def test_prompt_annotation(spark):
