@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from brightloom.operators import assessments, blinding, concepts, endpoints, leases, ledger, release, resampling, sessions
+from brightloom.operators import assessments, blinding, concepts, endpoints, leases, ledger, metamorphic, rasters, release, resampling, scorecard, sessions
+from brightloom.plans import records
 from brightloom.plans.base import registry, rounded
 from brightloom.plans.records import _SECRET, _hmac_sql
 from brightloom.session import table
+from brightloom.sources.records import raster_statistics
 
 QUERIES, ORACLES, query = registry()
 
@@ -371,3 +373,47 @@ def release_readiness(spark, sf_dir):
     """Whether profiles are ready."""
     required, claims, blockers, criteria, evidence, artifacts = _release(spark, sf_dir)
     return release.readiness(release.claim_results(required, claims, evidence, artifacts).withColumn("profile", F.col("profile").cast("long")), release.blocker_results(blockers, criteria, evidence, artifacts))
+
+
+# scorer challenges, renders
+
+_TWINS = f"""b AS (SELECT l_orderkey, l_orderkey || '-' || l_linenumber AS artifact_id, bool_or(valid) AS valid FROM ({records.ORACLES['scorecards']}) GROUP BY l_orderkey, l_linenumber), r AS (SELECT unnest(['labels-stripped', 'labels-renamed', 'comment-added', 'unseen-label-added', 'far-label-added']) AS challenge_id, unnest([true, true, true, false, false]) AS whole),
+t AS (SELECT b.*, challenge_id, whole, l_orderkey % 13 = 4 AS redrawn, l_orderkey % 17 = 5 AND challenge_id <> 'comment-added' AS seen, l_orderkey % 19 = 6 AS rewritten, l_orderkey % 23 = 7 AND challenge_id = 'far-label-added' AS lost FROM b, r),
+f AS (SELECT artifact_id, challenge_id, list_filter([CASE WHEN NOT valid THEN 'baseline-not-valid' END, CASE WHEN lost THEN 'not-scored' END, CASE WHEN NOT lost AND redrawn THEN 'render-changed' END, CASE WHEN NOT lost AND seen THEN 'semantic-dimensions-changed' END, CASE WHEN NOT lost AND whole AND (seen OR rewritten) THEN 'score-changed' END, CASE WHEN NOT lost AND (seen OR rewritten) THEN 'aggregate-improved' END], lambda x: x IS NOT NULL) AS failures FROM t)"""
+
+
+@query(f"WITH {_TWINS}, c AS (SELECT challenge_id, count(*) AS artifacts, count(*) FILTER (len(failures) = 0) AS passed FROM f GROUP BY 1), n AS (SELECT challenge_id, x, count(*) AS n FROM (SELECT challenge_id, unnest(failures) AS x FROM f) GROUP BY ALL) SELECT c.*, (SELECT string_agg(x || '=' || n, ',' ORDER BY x) FROM n WHERE n.challenge_id = c.challenge_id) AS failures FROM c")
+def scorer_challenges(spark, sf_dir):
+    """Scorecards of order lines and of their changed twins, some of which were drawn anew, scored better or lost."""
+    lines = records.scorecards(spark, sf_dir).groupBy("l_orderkey", "l_linenumber").agg(*[F.max(c).alias(c) for c in (*scorecard.WEIGHTS, "aggregate")], F.bool_or("valid").alias("valid"))
+    base = lines.withColumn("artifact_id", F.concat_ws("-", "l_orderkey", "l_linenumber")).withColumn("render_hash", F.concat(F.lit("h"), F.col("artifact_id")))
+    rules = spark.createDataFrame([(r.challenge_id,) for r in metamorphic.RULES], "challenge_id string")
+    k, c = F.col("l_orderkey"), F.col("challenge_id")
+    seen, rewritten = (k % 17 == 5) & (c != "comment-added"), k % 19 == 6
+    up = lambda name, when, by: F.when(when, F.col(name) + by).otherwise(F.col(name))
+    twins = base.join(F.broadcast(rules)).where(~((k % 23 == 7) & (c == "far-label-added")))  # five rules
+    twins = twins.withColumn("render_hash", F.when(k % 13 == 4, "other").otherwise(F.col("render_hash"))).withColumn("interaction", up("interaction", seen, 0.5)).withColumn("vector_quality", up("vector_quality", rewritten, 0.5)).withColumn("aggregate", up("aggregate", seen | rewritten, 0.1))
+    report = metamorphic.challenge_report(metamorphic.challenge_outcomes(base, twins))
+    listed = F.array_join(F.transform(F.array_sort(F.map_entries("failures")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    return report.select("challenge_id", "artifacts", "passed", listed.alias("failures"))
+
+
+def _rasters(spark, sf_dir):
+    """Texts as images: their hexadecimal digits as channels, 24 pixels wide."""
+    digits = F.hex(F.coalesce("text", F.lit("")))
+    whole = F.rpad(digits, (F.ceil(F.length(digits) / 72) * 72).cast("int"), F.lit("0"))
+    return table(spark, sf_dir, "documents").select("doc_id", whole.cast("binary").alias("before"), F.translate(whole, "67", "~~").cast("binary").alias("after"))
+
+
+@query()
+def raster_repairs(spark, sf_dir):
+    """Texts as renders, before and after some digits are changed."""
+    pixels = _rasters(spark, sf_dir)
+    r, c = rasters.repair_render(F.col("before"), F.col("after"), F.lit(24)), rasters.renders_compared(F.col("before"), F.col("after"), F.lit(24), 3)
+    return pixels.select("doc_id", r.alias("r"), c.alias("c")).select("doc_id", "r.*", F.col("c.mean_absolute_error"), F.col("c.differing_pixel_fraction"), F.col("c.maximum_channel_error"))
+
+
+@query()
+def raster_figures(spark, sf_dir):
+    """Figures of texts as images."""
+    return _rasters(spark, sf_dir).select("doc_id", raster_statistics(F.col("before"), F.lit(24)).alias("s")).select("doc_id", "s.*")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import hashlib
 import html.parser
+import json
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
@@ -39,12 +42,13 @@ def read_votes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     identifies a person; winners A or left, B or right and tie are known; rater hashes are 16 or more
     hexadecimal digits. All values are trimmed and rater hashes lowered, so that a rater is one rater in
     any spelling."""
-    header = [h.strip().lower() for h in spark.read.text(path).first()[0].split(",")]
+    first = spark.read.text(path).first()
+    header = [h.strip().lower() for h in next(csv.reader([first[0].removeprefix("\ufeff")]))] if first else []
     if found := sorted(set(header) & set(VOTE_SENSITIVE)):
         raise ValueError(f"columns that identify a person: {', '.join(found)}")
     if lacking := [c for c in VOTE_COLUMNS if c not in header]:
         raise ValueError(f"columns are missing: {', '.join(lacking)}")
-    rows = spark.read.schema(", ".join(f"{h} string" for h in header)).option("header", True).csv(path)
+    rows = spark.read.schema(", ".join(f"`{h}` string" for h in header)).option("header", True).csv(path)
     rows = rows.select(*[(F.lower(F.trim(h)) if h in ("rater_hash", "winner") else F.trim(h) if h in VOTE_COLUMNS else F.col(h)).alias(h) for h in header])
     side = F.when(F.col("winner").isin("a", "left"), "left").when(F.col("winner").isin("b", "right"), "right").when(F.col("winner") == "tie", "tie")
     named = rows.withColumn("side", side)
@@ -215,6 +219,60 @@ def export_events(events: DataFrame, path: str) -> None:
     events.repartitionByRange("sequence").sortWithinPartitions("sequence").write.mode("errorifexists").json(path)
 
 
+# Fields of an execution record, and the one that holds its hash.
+RECORD = T.StructType([
+    *[T.StructField(n, T.StringType()) for n in ("campaign_id", "cell_id", "worker_id", "lease_token", "model_id", "task_id", "terminal_state", "terminal_reason")], T.StructField("charged_cost", T.DoubleType()),
+    T.StructField("artifact_id", T.StringType()), T.StructField("replicate", T.LongType()), T.StructField("seed", T.LongType()), T.StructField("attempt", T.LongType()), T.StructField("record_hash", T.StringType()),
+])
+_SCANNED = T.StructType([T.StructField("path", T.StringType()), T.StructField("problem", T.StringType()), *RECORD.fields])
+_KINDS = {T.StringType: str, T.DoubleType: (int, float), T.LongType: int}
+
+
+def record_hash(record: dict) -> str:
+    """sha256: and the digest of a record without its hash: sorted keys, no blanks."""
+    rest = {k: v for k, v in record.items() if k != "record_hash"}
+    return "sha256:" + hashlib.sha256(json.dumps(rest, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False).encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _scanned(content: bytes) -> tuple:
+    """(problem, the fields of ``RECORD``) of a file."""
+    nothing = (None,) * len(RECORD.fields)
+    try:
+        record = json.loads(content)
+    except (ValueError, RecursionError):
+        return "not-json", *nothing
+    if not isinstance(record, dict):
+        return "not-an-object", *nothing
+    values, wrong = [], []
+    for field in RECORD.fields:
+        value = record.get(field.name)
+        good = value is None or isinstance(value, _KINDS[type(field.dataType)]) and not isinstance(value, bool) and not (isinstance(value, int) and abs(value) >= 1 << 63)
+        wrong += [] if good else [field.name]
+        values.append((float(value) if isinstance(field.dataType, T.DoubleType) and value is not None else value) if good else None)
+    if wrong:
+        return f"wrong-type:{wrong[0]}", *values
+    if not record.get("record_hash"):
+        return "no-hash", *values
+    try:
+        return None if record["record_hash"] == record_hash(record) else "hash-mismatch", *values
+    except (ValueError, RecursionError):  # numbers that JSON does not have
+        return "not-json", *values
+
+
+def read_execution_records(spark: SparkSession, root: str) -> DataFrame:
+    """The execution records of all JSON files below ``root``/execution-records, in any file system: path,
+    problem (not-json, not-an-object, wrong-type, no-hash, hash-mismatch; null for a good one) and the
+    record's fields. A bad file is a row, but for empty ones, which Spark does not read: their records are missing.
+    ``problem is null`` is what ``ledger.reconcile_executions`` takes."""
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame([(p, *_scanned(c)) for p, c in zip(frame["path"], frame["content"], strict=True)], columns=_SCANNED.names, dtype=object)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).load(f"{root}/execution-records")
+    return files.select("path", "content").mapInPandas(scan, _SCANNED)
+
+
 _RASTER = T.StructType([
     T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("aspect_ratio", T.DoubleType()), T.StructField("channel_means", T.ArrayType(T.DoubleType())),
     T.StructField("channel_deviations", T.ArrayType(T.DoubleType())), T.StructField("dynamic_range", T.DoubleType()),
