@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brightloom.functions.names import free
+
 _BLOCK = 256
 
 
@@ -28,9 +30,10 @@ def sums_before(numbers: Column) -> Column:
 def with_matches(df: DataFrame, text: str, pattern: str, some: Column, into: str) -> DataFrame:
     """``df`` with ``into``: (text, start, end) of every match of ``pattern``, in code points, end
     exclusive; empty where ``some``, a cheap necessary condition, does not hold."""
-    out = df.withColumn("_hits", F.when(some, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
-    out = out.withColumn("_gaps", F.when(F.size("_hits") > 0, F.split(text, pattern, -1)))
-    out = out.withColumn("_steps", F.when(F.size("_hits") > 0, F.transform("_hits", lambda m, i: F.struct(m.alias("text"), F.length(F.get("_gaps", i)).alias("gap"), F.length(m).alias("size")))))
-    out = out.withColumn("_ahead", F.when(F.size("_steps") > 0, sums_before(F.transform("_steps", lambda s: s["gap"] + s["size"]))))
-    placed = F.zip_with("_steps", "_ahead", lambda s, a: F.struct(s["text"].alias("text"), (a + s["gap"]).alias("start"), (a + s["gap"] + s["size"]).alias("end")))
-    return out.withColumn(into, F.coalesce(placed, F.array().cast("array<struct<text:string,start:int,end:int>>"))).drop("_hits", "_gaps", "_steps", "_ahead")
+    hits, gaps, steps, ahead = free(df, "_hits", "_gaps", "_steps", "_ahead")
+    out = df.withColumn(hits, F.when(some, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
+    out = out.withColumn(gaps, F.when(F.size(hits) > 0, F.split(text, pattern, -1)))
+    out = out.withColumn(steps, F.when(F.size(hits) > 0, F.transform(hits, lambda m, i: F.struct(m.alias("text"), F.length(F.get(gaps, i)).alias("gap"), F.length(m).alias("size")))))
+    out = out.withColumn(ahead, F.when(F.size(steps) > 0, sums_before(F.transform(steps, lambda s: s["gap"] + s["size"]))))
+    placed = F.zip_with(steps, ahead, lambda s, a: F.struct(s["text"].alias("text"), (a + s["gap"]).alias("start"), (a + s["gap"] + s["size"]).alias("end")))
+    return out.withColumn(into, F.coalesce(placed, F.array().cast("array<struct<text:string,start:int,end:int>>"))).drop(hits, gaps, steps, ahead)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from brightloom.functions.names import free
 from brightloom.functions.spans import with_matches
 from brightloom.operators.integrity import content_hash
 
@@ -106,20 +107,21 @@ def annotate_documents(docs: DataFrame, text: str = "text", source: str | None =
     """``docs`` with entities (label, text, start, end in code points), entity counts by label, relations,
     categories, the first category and text_hash; with a ``source`` column also idea_id, a hash of the
     source, its categories and relations. The text is lowered once and searched once for all terms."""
-    out = docs.withColumn("_low", F.lower(text))
-    some = reduce(lambda a, b: a | b, [F.contains("_low", F.lit(term)) for term in _LABELS])
-    out = with_matches(out, text, ENTITY, some, "_found")
+    low, found = free(docs, "_low", "_found")
+    out = docs.withColumn(low, F.lower(text))
+    some = reduce(lambda a, b: a | b, [F.contains(low, F.lit(term)) for term in _LABELS])
+    out = with_matches(out, text, ENTITY, some, found)
     labels = F.create_map(*[F.lit(x) for pair in _LABELS.items() for x in pair])
-    entities = F.transform("_found", lambda m: F.struct(F.element_at(labels, F.lower(m["text"])).alias("label"), m["text"].alias("text"), m["start"].alias("start"), m["end"].alias("end")))
+    entities = F.transform(found, lambda m: F.struct(F.element_at(labels, F.lower(m["text"])).alias("label"), m["text"].alias("text"), m["start"].alias("start"), m["end"].alias("end")))
     out = out.withColumn("entities", entities)
     count = lambda label: F.size(F.filter("entities", lambda e: e["label"] == label)).cast("long")
     out = out.withColumn("entity_counts", F.create_map(*[x for label in ENTITY_TERMS for x in (F.lit(label), count(label))]))
-    out = out.withColumn("relations", _named(F.col("_low"), RELATIONS)).withColumn("categories", _named(F.col("_low"), CATEGORIES))
+    out = out.withColumn("relations", _named(F.col(low), RELATIONS)).withColumn("categories", _named(F.col(low), CATEGORIES))
     out = out.withColumn("category", F.coalesce(F.get("categories", F.lit(0)), F.lit("other"))).withColumn("text_hash", content_hash(F.col(text)))
     if source:
         idea = F.sha2(F.to_json(F.struct("categories", "relations", F.col(source).alias("source"))).cast("binary"), 256)
         out = out.withColumn("idea_id", F.concat(F.lit("idea:"), F.substring(idea, 1, 12)))
-    return out.drop("_low", "_found")
+    return out.drop(low, found)
 
 
 def corpus_summary(annotated: DataFrame) -> DataFrame:
@@ -204,5 +206,6 @@ def duplicate_ids(records: DataFrame, column: str) -> DataFrame:
 def latest_entries(entries: DataFrame, key: str, content: str, order: str) -> DataFrame:
     """The last entry of each key, how many there were, and whether their contents differ."""
     w = Window.partitionBy(key)
-    out = entries.withColumn("_n", F.row_number().over(w.orderBy(F.desc(order)))).withColumn("versions", F.count("*").over(w)).withColumn("conflict", F.min(content).over(w) != F.max(content).over(w))
-    return out.where("_n = 1").drop("_n")
+    (nth,) = free(entries, "_n")
+    out = entries.withColumn(nth, F.row_number().over(w.orderBy(F.desc(order)))).withColumn("versions", F.count("*").over(w)).withColumn("conflict", F.min(content).over(w) != F.max(content).over(w))
+    return out.where(F.col(nth) == 1).drop(nth)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brightloom.functions.draws import stable_id
+from brightloom.functions.names import free
 from brightloom.operators.annotate import normalised_label
 from brightloom.operators.integrity import SENSITIVE
 from brightloom.operators.ratings import agreement_figures
@@ -34,12 +35,11 @@ def _field(name: str) -> Column:
 
 def _number(name: str) -> Column:
     """The finite number that a field states; null for anything else."""
-    x = F.trim(_field(name)).try_cast("double")
-    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+    return _finite(F.trim(_field(name)).try_cast("double"))
 
 
-def _absent(name: str) -> Column:
-    return F.coalesce(_field(name), F.lit("")).isin("", "[]")
+def _finite(x: Column) -> Column:
+    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
 
 
 def _by_stage(per_stage: dict[str, Column]) -> Column:
@@ -49,25 +49,45 @@ def _by_stage(per_stage: dict[str, Column]) -> Column:
     return out
 
 
-def validated(responses: DataFrame) -> DataFrame:
-    """``responses`` with the names of missing, invalid and prohibited fields, and valid. Confidences are
-    from 0 to 100, ratings whole numbers from 1 to 5, winners a, b or tie. An unknown stage and a null
-    response are invalid."""
+def _opened(responses: DataFrame) -> tuple[DataFrame, dict[str, Column], dict[str, Column]]:
+    """``responses`` with a column for each field that a stage needs, and one for the number in it where it has to
+    be one; and those columns by field. The map is opened once a row, not once for each rule."""
+    fields = list(dict.fromkeys(n for names in REQUIRED.values() for n in names))
+    numeric = [n for n in fields if any(n in names for kind in (PERCENT, WHOLE) for names in kind.values())]
+    texts, raw, numbers = (free(responses, *[f"_{kind}_{n}" for n in names]) for kind, names in (("text", fields), ("raw", numeric), ("number", numeric)))
+    text, x = dict(zip(fields, texts, strict=True)), dict(zip(numeric, raw, strict=True))
+    out = responses.select("*", *[_field(n).alias(text[n]) for n in fields])
+    out = out.select("*", *[F.trim(F.col(text[n])).try_cast("double").alias(x[n]) for n in numeric])
+    out = out.select(*[c for c in out.columns if c not in raw], *[_finite(F.col(x[n])).alias(c) for n, c in zip(numeric, numbers, strict=True)])
+    return out, {n: F.col(c) for n, c in text.items()}, {n: F.col(c) for n, c in zip(numeric, numbers, strict=True)}
+
+
+def _judged(responses: DataFrame) -> tuple[DataFrame, dict[str, Column], dict[str, Column]]:
+    """``validated`` with the columns of ``_opened``."""
+    opened, text, number = _opened(responses)
+    absent = lambda n: F.coalesce(text[n], F.lit("")).isin("", "[]")
     missing, invalid = {}, {}
     for stage, names in REQUIRED.items():
-        missing[stage] = F.array_compact(F.array(*[F.when(_absent(n), F.lit(n)) for n in names]))
-        wrong = [F.when(~_absent(n) & ~F.coalesce(_number(n).between(0, 100), F.lit(False)), F.lit(n)) for n in PERCENT.get(stage, ())]
-        wrong += [F.when(~_absent(n) & ~F.coalesce(_number(n).between(1, 5) & (_number(n) == F.floor(_number(n))), F.lit(False)), F.lit(n)) for n in WHOLE.get(stage, ())]
+        missing[stage] = F.array_compact(F.array(*[F.when(absent(n), F.lit(n)) for n in names]))
+        wrong = [F.when(~absent(n) & ~F.coalesce(number[n].between(0, 100), F.lit(False)), F.lit(n)) for n in PERCENT.get(stage, ())]
+        wrong += [F.when(~absent(n) & ~F.coalesce(number[n].between(1, 5) & (number[n] == F.floor(number[n])), F.lit(False)), F.lit(n)) for n in WHOLE.get(stage, ())]
         if "pairwise_winner" in names:
-            wrong.append(F.when(~F.coalesce(F.lower(F.trim(_field("pairwise_winner"))), F.lit("")).isin(*WINNERS), F.lit("pairwise_winner")))
+            wrong.append(F.when(~F.coalesce(F.lower(F.trim(text["pairwise_winner"])), F.lit("")).isin(*WINNERS), F.lit("pairwise_winner")))
         invalid[stage] = F.array_sort(F.array_compact(F.array(*wrong)))
     keys = F.transform(F.map_keys("response"), lambda k: F.lower(F.trim(k)))
     out = (
-        responses.withColumn("missing_fields", _by_stage(missing)).withColumn("invalid_fields", _by_stage(invalid))
+        opened.withColumn("missing_fields", _by_stage(missing)).withColumn("invalid_fields", _by_stage(invalid))
         .withColumn("prohibited_fields", F.array_sort(F.array_intersect(keys, F.array(*[F.lit(s) for s in SENSITIVE]))))
     )
     clean = (F.size("missing_fields") == 0) & (F.size("invalid_fields") == 0) & (F.size("prohibited_fields") == 0)
-    return out.withColumn("valid", F.coalesce(F.col("stage").isin(*REQUIRED) & F.col("response").isNotNull() & clean, F.lit(False)))
+    return out.withColumn("valid", F.coalesce(F.col("stage").isin(*REQUIRED) & F.col("response").isNotNull() & clean, F.lit(False))), text, number
+
+
+def validated(responses: DataFrame) -> DataFrame:
+    """``responses`` with the names of missing, invalid and prohibited fields, and valid. Confidences are
+    from 0 to 100, ratings whole numbers from 1 to 5, winners a, b or tie. An unknown stage and a null
+    response are invalid."""
+    return _judged(responses)[0].select(*[F.col("`" + c.replace("`", "``") + "`") for c in responses.columns], "missing_fields", "invalid_fields", "prohibited_fields", "valid")
 
 
 def analysis(responses: DataFrame) -> DataFrame:
@@ -76,9 +96,10 @@ def analysis(responses: DataFrame) -> DataFrame:
     the stated confidence; mean ratings; winners as written; consistency of each label within
     duplicate groups and its nominal alpha over artifacts (absent without a pair)."""
     label = lambda c: normalised_label(F.trim(c))
-    base = validated(responses).select(
-        "stage", "valid", "duplicate_group_id", "artifact_id", _field("pairwise_winner").alias("winner"), _number("recognition_confidence").alias("confidence"),
-        *[label(_field(n)).alias(n) for n in OPEN_TEXT], *[label(F.col(e)).alias(e) for e in OPEN_TEXT.values()], *[_number(n).alias(n) for n in RATINGS],
+    judged, text, number = _judged(responses)
+    base = judged.select(
+        "stage", "valid", "duplicate_group_id", "artifact_id", text["pairwise_winner"].alias("winner"), number["recognition_confidence"].alias("confidence"),
+        *[label(text[n]).alias(n) for n in OPEN_TEXT], *[label(F.col(e)).alias(e) for e in OPEN_TEXT.values()], *[number[n].alias(n) for n in RATINGS],
     )
     blind = (F.col("stage") == "blind-recognition") & F.col("valid")
     criteria = (F.col("stage") == "prompt-aware-criteria") & F.col("valid")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from brightloom.functions.names import free
+
 #: Legal state changes of a ledger, and those that a lease store adds.
 TRANSITIONS = {
     "ready": ("leased", "cancelled"),
@@ -38,16 +40,17 @@ def replay(events: DataFrame, transitions: dict[str, tuple[str, ...]] = TRANSITI
     illegal transition. Predecessors are found by joining sequence numbers, so that the one chain of
     all events is checked in parallel; only a cell's own events are put in order."""
     first = events.agg(F.min("sequence").alias("s")).first()["s"]
-    before = events.select((F.col("sequence") + 1).alias("sequence"), F.col("event_hash").alias("_before"))
+    (own,) = free(events, "_before")
+    before = events.select((F.col("sequence") + 1).alias("sequence"), F.col("event_hash").alias(own))
     cell = Window.partitionBy("cell_id").orderBy("sequence")
     starts = F.col("sequence") == F.lit(first)
     return (
         events.join(before, "sequence", "left")
-        .withColumn("gap", F.col("_before").isNull() & ~starts)
-        .withColumn("broken_link", F.col("previous_event_hash") != F.when(starts, F.lit(GENESIS)).otherwise(F.coalesce("_before", F.lit(""))))
+        .withColumn("gap", F.col(own).isNull() & ~starts)
+        .withColumn("broken_link", F.col("previous_event_hash") != F.when(starts, F.lit(GENESIS)).otherwise(F.coalesce(own, F.lit(""))))
         .withColumn("previous_state", F.coalesce(F.lag("new_state").over(cell), F.lit("ready")))
         .withColumn("illegal", ~_legal(F.col("previous_state"), F.col("new_state"), transitions))
-        .drop("_before")
+        .drop(own)
     )
 
 

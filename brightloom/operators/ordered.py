@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from brightloom.functions.names import free
+
 PARTS = 64
 
 
@@ -31,22 +33,25 @@ def hash_range(number: Column, bits: int, parts: int = PARTS) -> Column:
 def with_ahead(df: DataFrame, by: list[str], in_range: Column, order: list[Column | str], amounts: dict[str, Column]) -> DataFrame:
     """``df`` with, for each (name, amount), the sum ``name`` of the amounts of the rows before a row in
     its group; ``order`` must agree with the ranges. Ties in it fall in any order."""
-    ranged = df.withColumn("_range", in_range)
-    sums = ranged.groupBy(*by, "_range").agg(*[F.sum(a).alias(f"_sum_{name}") for name, a in amounts.items()])
-    ahead = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_at"), *[F.coalesce(F.sum(f"_sum_{name}").over(ahead), F.lit(0)).alias(f"_ahead_{name}") for name in amounts])
-    on = F.col("_range") == F.col("_at")
-    for c in by:
-        on = on & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    within = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    place, at = free(df, "_range", "_at")
+    keys, sums_of, totals = (free(df, *[f"_{kind}_{c}" for c in names]) for kind, names in (("by", by), ("sum", amounts), ("ahead", amounts)))
+    ranged = df.withColumn(place, in_range)
+    sums = ranged.groupBy(*by, place).agg(*[F.sum(a).alias(s) for a, s in zip(amounts.values(), sums_of, strict=True)])
+    ahead = Window.partitionBy(*by).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col(place).alias(at), *[F.coalesce(F.sum(s).over(ahead), F.lit(0)).alias(t) for s, t in zip(sums_of, totals, strict=True)])
+    on = F.col(place) == F.col(at)
+    for c, k in zip(by, keys, strict=True):
+        on = on & F.col(c).eqNullSafe(F.col(k))
+    within = Window.partitionBy(*by, place).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     out = ranged.join(sums, on)
-    for name, amount in amounts.items():
-        out = out.withColumn(name, F.col(f"_ahead_{name}") + F.coalesce(F.sum(amount).over(within), F.lit(0)))
-    return out.drop("_range", "_at", *[f"_by_{c}" for c in by], *[f"_ahead_{name}" for name in amounts])
+    for (name, amount), t in zip(amounts.items(), totals, strict=True):
+        out = out.withColumn(name, F.col(t) + F.coalesce(F.sum(amount).over(within), F.lit(0)))
+    return out.drop(place, at, *keys, *totals)
 
 
 def mean_ranks(counted: DataFrame, value: str, n: str = "n") -> DataFrame:
     """``counted`` (one row for each distinct numeric ``value``, with its count) with mean_rank: ranks from
     1 over all rows counted, ties at their mean."""
-    placed = with_ahead(counted, [], key_range(counted, F.col(value)), [value], {"_before": F.col(n)})
-    return placed.withColumn("mean_rank", F.col("_before") + (F.col(n) + 1) / 2.0).drop("_before")
+    (before,) = free(counted, "_before")
+    placed = with_ahead(counted, [], key_range(counted, F.col(value)), [value], {before: F.col(n)})
+    return placed.withColumn("mean_rank", F.col(before) + (F.col(n) + 1) / 2.0).drop(before)

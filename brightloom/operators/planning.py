@@ -78,6 +78,14 @@ def pairwise_tasks(selected: DataFrame, criteria: list[str], most: int, seed: in
     return out.withColumn("pair_id", stable_id("PAIR", 20, F.col("task_id"), F.col("left_id"), F.col("right_id"), F.col("criterion"), F.lit(seed)))
 
 
+def calibration_design(candidates: DataFrame, target: int, seed: int, criteria: list[str], most: int) -> tuple[DataFrame, DataFrame]:
+    """(sample, pairs): a balanced sample of ``candidates`` (with task_id), and the pairs of models within tasks that
+    its artifacts alone give."""
+    sample = calibration_sample(candidates, target, seed)
+    chosen = candidates.join(sample.select("artifact_id"), "artifact_id", "left_semi").select("task_id", "model_id", "artifact_id")
+    return sample, pairwise_tasks(chosen, criteria, most, seed)
+
+
 def next_ready(cells: DataFrame, limit: int) -> DataFrame:
     """The next ready cells by stage, model, task and replicate."""
     return cells.where("state = 'ready'").orderBy("stage_id", "model_id", "task_id", "replicate").limit(limit)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from brightloom.operators import assessments, blinding, concepts, endpoints, leases, ledger, metamorphic, rasters, release, resampling, scorecard, sessions
+from brightloom.operators import assessments, blinding, concepts, endpoints, leases, ledger, metamorphic, planning, provenance, rasters, release, resampling, scorecard, sessions
 from brightloom.plans import records
 from brightloom.plans.base import registry, rounded
 from brightloom.plans.records import _SECRET, _hmac_sql
@@ -417,3 +417,80 @@ def raster_repairs(spark, sf_dir):
 def raster_figures(spark, sf_dir):
     """Figures of texts as images."""
     return _rasters(spark, sf_dir).select("doc_id", raster_statistics(F.col("before"), F.lit(24)).alias("s")).select("doc_id", "s.*")
+
+
+# provenance, freezes, integrations
+
+
+def _runs(spark, sf_dir):
+    """Customers as runs, orders as trials, line items as evaluations."""
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    text = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    runs = table(spark, sf_dir, "customer").select(text("R", "c_custkey").alias("run_id"), text("M", "c_nationkey").alias("model_id"), F.lit("r1").alias("model_revision"), F.lit("2026-01-01").alias("created_at"), F.col("c_mktsegment").alias("release"))
+    artifact = F.when(F.col("o_orderkey") % 7 != 0, F.concat(F.lit("sha256:"), F.sha2(F.col("o_orderkey").cast("string").cast("binary"), 256)))
+    trials = table(spark, sf_dir, "orders").select(text("T", "o_orderkey").alias("trial_id"), text("R", "o_custkey").alias("run_id"), F.col("o_orderpriority").alias("task_id"), F.col("o_orderkey").alias("seed"), F.col("o_orderstatus").alias("status"), artifact.alias("artifact_id"), day("o_orderdate").alias("day"))
+    scored = trials.where(F.col("seed") % 3 == 0).select(F.concat(F.lit("E"), F.col("seed").cast("string")).alias("evaluation_id"), "trial_id", F.concat(F.lit("sha256:"), F.sha2(F.col("seed").cast("string").cast("binary"), 256)).alias("artifact_id"), F.lit("s1").alias("scorer"))
+    return runs, trials, scored
+
+
+_PROV = """n AS (SELECT 'urn:run:R' || c_custkey AS id, '{"@id":"urn:run:R' || c_custkey || '","@type":"prov:Activity","prov:startedAtTime":"2026-01-01","prov:wasAssociatedWith":[{"@id":"urn:run:model/M' || c_nationkey || '@r1"},{"@id":"urn:run:software"}],"release":"' || c_mktsegment || '"}' AS node FROM customer
+UNION ALL SELECT DISTINCT 'urn:run:model/M' || c_nationkey || '@r1', '{"@id":"urn:run:model/M' || c_nationkey || '@r1","@type":"prov:Agent"}' FROM customer UNION ALL SELECT 'urn:run:software', '{"@id":"urn:run:software","@type":"prov:SoftwareAgent"}'
+UNION ALL SELECT 'urn:run:T' || o_orderkey, '{"@id":"urn:run:T' || o_orderkey || '","@type":"prov:Activity","prov:wasInformedBy":{"@id":"urn:run:R' || o_custkey || '"},"prov:used":{"@id":"urn:run:task/' || o_orderpriority || '"},"seed":' || o_orderkey || ',"status":"' || o_orderstatus || '"}' FROM orders
+UNION ALL SELECT DISTINCT 'urn:run:task/' || o_orderpriority, '{"@id":"urn:run:task/' || o_orderpriority || '","@type":"prov:Entity"}' FROM orders
+UNION ALL SELECT 'urn:run:artifact/' || sha256(o_orderkey::VARCHAR), '{"@id":"urn:run:artifact/' || sha256(o_orderkey::VARCHAR) || '","@type":"prov:Entity","prov:wasGeneratedBy":{"@id":"urn:run:T' || o_orderkey || '"}}' FROM orders WHERE o_orderkey % 7 <> 0
+UNION ALL SELECT 'urn:run:E' || o_orderkey, '{"@id":"urn:run:E' || o_orderkey || '","@type":"prov:Activity","prov:used":[{"@id":"urn:run:artifact/' || sha256(o_orderkey::VARCHAR) || '"},{"@id":"urn:run:scorer/s1"}],"prov:wasInformedBy":{"@id":"urn:run:T' || o_orderkey || '"}}' FROM orders WHERE o_orderkey % 3 = 0
+UNION ALL SELECT 'urn:run:scorer/s1', '{"@id":"urn:run:scorer/s1","@type":"prov:Agent"}')"""
+
+
+@query(f"WITH {_PROV} SELECT id, node FROM n")
+def prov_graph(spark, sf_dir):
+    """The provenance of all runs."""
+    return provenance.prov_graph(*_runs(spark, sf_dir))
+
+
+@query("SELECT 'urn:run:E' || o_orderkey AS id, 'urn:run:artifact/' || sha256(o_orderkey::VARCHAR) AS refers_to FROM orders WHERE o_orderkey % 21 = 0")
+def prov_dangling(spark, sf_dir):
+    """Evaluations of artifacts that no trial made."""
+    return provenance.dangling(provenance.prov_graph(*_runs(spark, sf_dir)))
+
+
+def _files(spark, sf_dir):
+    k = F.col("doc_id")
+    listed = table(spark, sf_dir, "documents").select(F.concat(F.lit("docs/"), k.cast("string")).alias("path"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha256"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes"), "doc_id")
+    there = listed.where(k % 31 != 4).withColumn("sha256", F.when(k % 37 == 5, "0").otherwise(F.col("sha256"))).withColumn("bytes", F.when(k % 41 == 6, 0).otherwise(F.col("bytes")))
+    return listed.drop("doc_id"), there.drop("doc_id")
+
+
+@query("""WITH f AS (SELECT 'docs/' || doc_id AS path, sha256(coalesce(text, '')) AS sha256, strlen(coalesce(text, '')) AS bytes FROM documents), h AS (SELECT sha256('=' || path || chr(31) || '=' || sha256 || chr(31) || '=' || bytes) AS h FROM f),
+l AS (SELECT substr(h, 1, 3) AS leaf, sha256(string_agg(h, '' ORDER BY h)) AS h FROM h GROUP BY 1), s AS (SELECT count(*) AS files, sum(bytes)::BIGINT AS bytes, (SELECT sha256(string_agg(h, '' ORDER BY leaf)) FROM l) AS listed FROM f)
+SELECT 'S1' AS study_id, 'data-freeze' AS kind, 'sha256:t' AS task_commitment, 'head' AS ledger_head, files, bytes, sha256(concat_ws(chr(31), 'S1', 'data-freeze', 'sha256:t', 'head', files, bytes, listed)) AS freeze_commitment FROM s""")
+def study_freeze(spark, sf_dir):
+    """All documents as the files of a data freeze."""
+    return provenance.study_freeze(_files(spark, sf_dir)[0], "S1", "data-freeze", "sha256:t", "head")
+
+
+@query("SELECT 'docs/' || doc_id AS path, CASE WHEN doc_id % 31 = 4 THEN 'missing' WHEN doc_id % 41 = 6 THEN 'other-size' ELSE 'other-content' END AS finding FROM documents WHERE doc_id % 31 = 4 OR doc_id % 37 = 5 OR doc_id % 41 = 6 AND strlen(coalesce(text, '')) > 0")
+def freeze_findings(spark, sf_dir):
+    """The frozen files against a tree in which some are missing or changed."""
+    return provenance.freeze_findings(*_files(spark, sf_dir))
+
+
+@query("""WITH a AS (SELECT s_name, CASE s_suppkey % 5 WHEN 1 THEN 'blocked' WHEN 2 THEN 'planned' ELSE 'active' END AS status, ['docs/' || s_suppkey, 'docs/' || s_suppkey * 7] AS evidence FROM supplier)
+SELECT s_name AS subject, 'error' AS severity, 'missing-integration-evidence' AS finding, e AS path FROM (SELECT s_name, unnest(evidence) AS e FROM a) WHERE e NOT IN (SELECT 'docs/' || doc_id FROM documents WHERE doc_id % 31 <> 4)
+UNION ALL SELECT s_name, 'warning', 'blocked-external-surface', NULL FROM a WHERE status = 'blocked' UNION ALL SELECT s_name, 'info', 'planned-integration', NULL FROM a WHERE status = 'planned' UNION ALL SELECT 'run-' || n_nationkey, 'info', 'optional-command-unavailable', NULL FROM nation WHERE n_nationkey % 3 <> 0 AND n_nationkey IN (SELECT s_nationkey FROM supplier)""")
+def integration_findings(spark, sf_dir):
+    """Suppliers as integrations whose evidence are documents."""
+    k, doc = F.col("s_suppkey"), lambda c: F.concat(F.lit("docs/"), c.cast("string"))
+    assets = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("asset_id"), F.when(k % 5 == 1, "blocked").when(k % 5 == 2, "planned").otherwise("active").alias("status"), F.array(doc(k), doc(k * 7)).alias("evidence"), F.array(F.concat(F.lit("run-"), F.col("s_nationkey").cast("string"))).alias("command_names"))
+    commands = table(spark, sf_dir, "nation").select(F.concat(F.lit("run-"), F.col("n_nationkey").cast("string")).alias("command"), (F.col("n_nationkey") % 3 == 0).alias("available"))
+    return provenance.integration_findings(assets, _files(spark, sf_dir)[1].select("path"), commands)
+
+
+@query(f"""WITH s AS (SELECT artifact_id FROM ({records.ORACLES['calibration_sample']})), f AS (SELECT c_mktsegment AS task_id, c_nationkey::VARCHAR AS model_id, min(c_custkey::VARCHAR) AS artifact_id FROM customer WHERE c_custkey::VARCHAR IN (SELECT artifact_id FROM s) GROUP BY 1, 2),
+p AS (SELECT a.task_id, a.artifact_id AS a1, b.artifact_id AS a2, a.model_id AS m1, b.model_id AS m2, ('0x' || substr(sha256('9|' || a.task_id || '|' || a.model_id || '|' || b.model_id), 1, 12))::BIGINT AS h FROM f a JOIN f b ON a.task_id = b.task_id AND a.model_id < b.model_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY h, m1, m2) AS n FROM p), d AS (SELECT task_id, CASE WHEN h % 2 = 1 THEN a2 ELSE a1 END AS left_id, CASE WHEN h % 2 = 1 THEN a1 ELSE a2 END AS right_id FROM k WHERE n <= 6)
+SELECT task_id, left_id, right_id, criterion, 'PAIR-' || substr(sha256(task_id || chr(31) || left_id || chr(31) || right_id || chr(31) || criterion || chr(31) || '9'), 1, 20) AS pair_id FROM d, (SELECT unnest(['anatomy', 'overall']) AS criterion)""")
+def calibration_design(spark, sf_dir):
+    """Pairs of the artifacts that a balanced sample selects, market segments as tasks."""
+    candidates = records._candidates(spark, sf_dir).withColumn("task_id", F.col("stratum"))
+    return planning.calibration_design(candidates, 200, 9, ["anatomy", "overall"], 6)[1]

@@ -415,3 +415,19 @@ def test_labels_change_without_the_drawing(spark):
     assert r["renamed_labels"] == '<svg id="part"><g class=\'part\' fill="red"/></svg>'
     for name in ("commented", "with_unseen_label", "with_far_label"):
         assert r[name].startswith(svg[:-6]) and mutations.WORDS in r[name] and vector_source.inspect(r[name])["valid"]
+
+
+def test_helper_columns_leave_the_callers_alone(spark):
+    from brightloom.functions.spans import with_matches
+    from brightloom.operators import annotate, ordered
+
+    names = ["_low", "_found", "_hits", "_gaps", "_steps", "_ahead", "_Range", "_at", "_by_g", "_sum_x", "_ahead_x", "_before", "_n"]
+    own = [F.lit(f"own {c}").alias(c) for c in names]
+    kept = lambda df: all(r[c] == f"own {c}" for r in rows(df) for c in names)
+    docs = spark.createDataFrame([("a pelican rides a bicycle",), ("",), (None,)], "text string").select("text", *own)
+    assert kept(annotate.annotate_documents(docs)) and kept(with_matches(docs, "text", "[a-z]+", F.lit(True), "words"))
+    data = spark.createDataFrame([("p", 1, 5.0), ("p", 2, 7.0), ("q", 3, 1.0)], "g string, k int, x double").select("*", *own)
+    placed = ordered.with_ahead(data, ["g"], F.col("k") % 2, ["k"], {"x_before": F.col("x")})
+    assert kept(placed) and kept(ordered.mean_ranks(data.withColumn("n", F.lit(1)), "k"))
+    events = spark.createDataFrame([(1, "c", "leased", ledger.GENESIS, "h1")], "sequence int, cell_id string, new_state string, previous_event_hash string, event_hash string").select("*", *own)
+    assert kept(ledger.replay(events)) and not rows(ledger.replay(events))[0]["broken_link"]
