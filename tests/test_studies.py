@@ -424,7 +424,7 @@ def test_helper_columns_leave_the_callers_alone(spark):
     names = ["_low", "_found", "_hits", "_gaps", "_steps", "_ahead", "_Range", "_at", "_by_g", "_sum_x", "_ahead_x", "_before", "_n"]
     own = [F.lit(f"own {c}").alias(c) for c in names]
     kept = lambda df: all(r[c] == f"own {c}" for r in rows(df) for c in names)
-    docs = spark.createDataFrame([("a pelican rides a bicycle",), ("",), (None,)], "text string").select("text", *own)
+    docs = spark.createDataFrame([("two herons ride a tandem",), ("",), (None,)], "text string").select("text", *own)
     assert kept(annotate.annotate_documents(docs)) and kept(with_matches(docs, "text", "[a-z]+", F.lit(True), "words"))
     data = spark.createDataFrame([("p", 1, 5.0), ("p", 2, 7.0), ("q", 3, 1.0)], "g string, k int, x double").select("*", *own)
     placed = ordered.with_ahead(data, ["g"], F.col("k") % 2, ["k"], {"x_before": F.col("x")})
