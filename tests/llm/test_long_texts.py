@@ -81,3 +81,17 @@ def test_training_lines_are_bounded(spark):
     texts = spark.createDataFrame([(i, "\n" * 1000) for i in range(200)], "doc_id long, text string")
     kept = quality.within_bytes(texts, 2_000_000, [], quality.LINE_BYTES).count()
     assert 5 < kept < 50 and quality.within_bytes(texts, 2_000_000, []).count() == 200
+
+
+def test_fingerprints_shuffle_their_texts_once(spark, make_docs):
+    found = fingerprint.compare(make_docs([(i, f"some words of text {i}", "a") for i in range(50)]))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert any("range#" in line and "guest#" in line for line in plan.splitlines() if "ReusedExchange" in line)
+
+
+def test_fingerprints_without_the_bound_are_the_same(spark, make_docs, monkeypatch):
+    docs = make_docs([(i, " ".join(f"w{(i * k) % 91}" for k in range(1, 150)), "a") for i in range(30)] + [(50, "", "a"), (51, "one", "a")])
+    pruned = sorted(map(str, rows(fingerprint.compare(docs))))
+    monkeypatch.setattr(fingerprint, "BEYOND", 1e250)
+    assert sorted(map(str, rows(fingerprint.compare(docs)))) == pruned
