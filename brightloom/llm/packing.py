@@ -26,7 +26,6 @@ import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -34,13 +33,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from brightloom.llm.common import materialise
-from brightloom.llm.tokens import lean
+from brightloom.llm.tokens import lean, row_chunks, text_buffers
 
 # Tokens of a sequence, the token that ends a document.
 SEQUENCE, END = 4096, 2
 WIDTH, DIMS, BITS = 256, 3, 10
 LEVELS = 1 << BITS
 RANGE_TOKENS, RANGES = 1 << 18, 20000  # tokens of a range, or more so that there are not more ranges
+PART = 1 << 20  # bytes of texts that are turned into ids together
 CACHE = 200_000  # words, and pieces of words, of each generation that a worker remembers
 _TOKENS = "doc_id long, uid long, n long, ids binary, v array<double>"
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("v", pa.list_(pa.float64()))])
@@ -121,6 +121,12 @@ _END = _packed([END])
 _workers: dict[str, Words] = {}
 
 
+def _array(x: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """An Arrow array over the memory of ``x``. Unlike ``pa.array`` it does not load pandas, which would take 45 MB
+    of every Python worker."""
+    return pa.Array.from_buffers(kind, len(x), [None, pa.py_buffer(np.ascontiguousarray(x))])
+
+
 def _matrix() -> np.ndarray:
     return np.random.default_rng(20250131).standard_normal((WIDTH, DIMS))
 
@@ -143,14 +149,16 @@ def _tokenised(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _workers.get(path) or _workers.setdefault(path, Words(path))
         for batch in batches:
-            texts = batch.column(2).cast(pa.binary())
-            ids = [words.text(t.as_py() or b"") for t in texts]
-            if not ids:
-                continue
-            arrays = [np.frombuffer(x, "<u4") for x in ids]
-            v = vectors(arrays)
-            columns = [batch.column(0), batch.column(1), pa.array([len(x) for x in arrays], pa.int64()), pa.array(ids, pa.binary()), pa.ListArray.from_arrays(np.arange(0, v.size + 1, DIMS, dtype=np.int32), v.ravel())]
-            yield pa.RecordBatch.from_arrays(columns, schema=_SCHEMA)
+            data, offsets = text_buffers(batch.column(2))
+            for lo, hi in row_chunks(offsets, PART):
+                at = offsets[lo : hi + 1].tolist()
+                ids = [words.text(data[a:b].tobytes()) for a, b in zip(at[:-1], at[1:])]
+                n = np.array([len(x) // 4 for x in ids], np.int64)
+                v = vectors([np.frombuffer(x, "<u4") for x in ids])
+                ends = np.concatenate(([0], 4 * np.cumsum(n))).astype(np.int32)
+                values = pa.ListArray.from_arrays(_array(np.arange(0, v.size + 1, DIMS, dtype=np.int32), pa.int32()), _array(v.ravel(), pa.float64()))
+                packed = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(ends), pa.py_buffer(b"".join(ids))])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), _array(n, pa.int64()), packed, values], schema=_SCHEMA)
 
     return run
 
@@ -178,11 +186,13 @@ def hilbert(axes: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def _curve(mean: list[float], scale: list[float]) -> Callable:
-    @F.pandas_udf("long")
-    def place(v: pd.Series) -> pd.Series:
-        z = (np.stack(v.to_numpy()) - np.array(mean)) / np.array(scale) if len(v) else np.empty((0, DIMS))
+    @F.arrow_udf("long")
+    def place(v: pa.Array) -> pa.Array:
+        flat = v.flatten()
+        z = np.frombuffer(flat.buffers()[1], np.float64)[flat.offset : flat.offset + len(flat)].reshape(-1, DIMS) if len(flat) else np.empty((0, DIMS))
+        z = (z - np.array(mean)) / np.array(scale)
         levels = np.clip(np.floor(LEVELS / (1 + np.exp(-1.702 * z))), 0, LEVELS - 1)  # nearly the normal distribution
-        return pd.Series(hilbert(levels))
+        return _array(hilbert(levels), pa.int64())
 
     return place
 
@@ -199,7 +209,7 @@ def range_of(cuts: list[int], x: Column) -> Column:
 def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
     """(doc_id, uid, n, ids, v) of every document, written to the scratch folder: its tokens with the
     end, four bytes each, and its projected vector; ``uid`` tells rows apart."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), F.col("text").cast("string").alias("text"))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return materialise(plain.mapInArrow(_tokenised(tokenizer), _TOKENS), codec="zstd")
 
 

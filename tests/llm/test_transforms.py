@@ -1,8 +1,11 @@
 """Fill-in-the-middle, runs of repeated words, packing."""
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -177,3 +180,27 @@ def test_packed_neighbours_are_alike(spark, make_docs):
     docs = make_docs([(i, " ".join(rng.choice(topics[i % 4]) for _ in range(200)), "a") for i in range(200)])
     line = sorted(rows(packing.pack(docs, VOCABULARY).where("start = 0")), key=lambda p: (p["sequence_id"], p["offset"]))
     assert sum(a["doc_id"] % 4 == b["doc_id"] % 4 for a, b in zip(line, line[1:], strict=False)) > 120
+
+
+def test_packing_workers_hold_small_parts_and_no_pandas():
+    """Ids of a batch come in parts of bounded size, and nothing in a worker loads pandas."""
+    code = """if True:
+        import sys
+        import numpy as np
+        import pyarrow as pa
+        from brightloom.llm import packing
+        texts = [b"some words, %d and more. " % i * 2000 for i in range(120)] + [b""]
+        ends = np.concatenate(([0], np.cumsum([len(x) for x in texts]))).astype(np.int32)
+        ids = pa.Array.from_buffers(pa.int64(), 121, [None, pa.py_buffer(np.arange(121))])
+        column = pa.Array.from_buffers(pa.string(), 121, [None, pa.py_buffer(ends), pa.py_buffer(b"".join(texts))])
+        batch = pa.RecordBatch.from_arrays([ids, ids, column], ["doc_id", "uid", "text"])
+        parts = list(packing._tokenised(sys.argv[1])(iter([batch])))
+        assert len(parts) > 3 and max(p.nbytes for p in parts) < 4 << 20, [p.nbytes for p in parts]
+        assert "pandas" not in sys.modules
+        words = packing.Words(sys.argv[1])
+        got = [(k.as_py(), i.as_py()) for p in parts for k, i in zip(p.column(1), p.column(3))]
+        assert got == [(k, words.text(x)) for k, x in enumerate(texts)]
+        assert [n.as_py() for p in parts for n in p.column(2)] == [len(i) // 4 for _, i in got]
+    """
+    done = subprocess.run([sys.executable, "-c", code, VOCABULARY], env=dict(os.environ, PYTHONPATH=packing.__file__.rsplit("/brightloom/", 1)[0]), capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
