@@ -7,8 +7,10 @@ Hilbert curve. Documents are sorted by it in ranges and laid end to end, and the
 sequences of ``SEQUENCE`` tokens, so a sequence holds documents that are near each other on the curve.
 What is left at the end is cut at powers of two, which need no padding: there is none at all.
 
-Tokens are made once, cached by the words of the text (white space parts them, and it is no token),
-and written as a table. Ranges come from percentiles of (curve, hash of the row), so a group of equal
+Tokens are made once and written as a table. About a megabyte of texts at a time is parted into units:
+runs of letters, single digits, runs of other signs, each of which the vocabulary turns into ids by
+itself. Equal units are brought together by sorting, so each is looked up once, and its ids are laid
+out wherever it stands. Words with other characters are units as a whole. Ranges come from percentiles of (curve, hash of the row), so a group of equal
 documents, which all lie in one place of the curve, is dealt over as many ranges as it fills. Places go
 in two steps: sums of ranges, then a window within each.
 
@@ -22,6 +24,8 @@ from __future__ import annotations
 import json
 import math
 import os
+import re
+import string
 import struct
 from collections.abc import Callable, Iterator
 
@@ -41,13 +45,29 @@ WIDTH, DIMS, BITS = 256, 3, 10
 LEVELS = 1 << BITS
 RANGE_TOKENS, RANGES = 1 << 18, 20000  # tokens of a range, or more so that there are not more ranges
 PART = 1 << 20  # bytes of texts that are turned into ids together
-CACHE = 200_000  # words, and pieces of words, of each generation that a worker remembers
+CACHE = 200_000  # units of each generation that a worker remembers
 _TOKENS = "doc_id long, uid long, n long, ids binary, v array<double>"
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("v", pa.list_(pa.float64()))])
 _PLAIN = regex.compile(r"[!-~¡-¬®-įĲ-ſ]*")  # composed letters with one lower case each
+_SPACE, _LETTER, _DIGIT, _SIGN, _OTHER, _WHOLE = range(6)  # classes of bytes; _WHOLE is given to words with an _OTHER
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
+def _classes() -> bytes:
+    """The class of each byte. Letters are those of ASCII and of U+00C0 to U+00FF, whose first byte is C3."""
+    of = np.full(256, _OTHER, np.uint8)
+    of[0x21:0x7F], of[0x80:0xC0], of[0xC3], of[ord("'")] = _SIGN, _LETTER, _LETTER, _OTHER
+    for group, kind in ((b" \t\n\r\x0b\x0c", _SPACE), (string.ascii_letters.encode(), _LETTER), (string.digits.encode(), _DIGIT)):
+        of[list(group)] = kind
+    return of.tobytes()
+
+
+_CLASS = _classes()
+_BREAK = re.compile(rb"[ \t\n\r\x0b\x0c]")
+_LOWER = bytes(range(256)).lower()
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # keeps the first k of eight bytes
+
+
 class Words(dict):
     """Token ids (little-endian, four bytes each) by the UTF-8 bytes of a word without ASCII white space.
 
@@ -68,35 +88,21 @@ class Words(dict):
         known = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
         # another vocabulary with other rules still gives its own ids, only without pieces
         self.by_piece = split.get("pattern") == {"Regex": known} and steps == ["NFC", "Replace", "Lowercase"] and not rules["post_processor"]
+        self.apart = [s.encode() for s in (*self.special, "×", "÷")]  # not the signs and letters that their bytes are classed as
         self.older: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.older_pieces: dict[str, bytes] = {}
         self.model = self.tokenizer.model
         # how the model writes the letters beyond ASCII of plain words
         self.letters = {k: "".join(part for part, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(k))) for k in range(0xA1, 0x180)} if self.by_piece else {}
 
-    def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            if len(self.pieces) >= self.limit:
-                self.older_pieces, self.pieces = self.pieces, {}
-            ids = self.older_pieces.get(piece)
-            if ids is None:
-                ids = _packed([t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(self.letters))])
-            self.pieces[piece] = ids
-        return ids
-
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
         plain = self.by_piece and (text.isascii() and text.isprintable() or _PLAIN.fullmatch(text))
         if not plain or self.mark in text and any(s in text for s in self.special):
             return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         text = text.lower()
-        if text.isalpha():
-            return self._piece(text)
-        if text[-1] in ".," and text[:-1].isalpha():
-            return self._piece(text[:-1]) + self._piece(text[-1])
-        return b"".join(map(self._piece, _PIECE.findall(text)))
+        if not text.isalpha() and len(pieces := _PIECE.findall(text)) != 1:
+            return b"".join([self[p.encode()] for p in pieces])
+        return _packed([t.id for t in self.model.tokenize(text if text.isascii() else text.translate(self.letters))])
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self.older.get(word)
@@ -112,6 +118,70 @@ class Words(dict):
         """The ids of a whole text and of its end."""
         return b"".join(map(self.__getitem__, text.split())) + _END
 
+    def _units(self, raw: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the units of texts start and end, and whether they are words as a whole. ``at``: the n + 1 offsets of the texts."""
+        kind = np.frombuffer(bytearray(raw.translate(_CLASS)), np.uint8)
+        for some in self.apart:
+            found = raw.find(some)
+            while found >= 0:
+                kind[found] = _OTHER
+                found = raw.find(some, found + len(some))
+        if len(other := np.flatnonzero(kind == _OTHER)):
+            spaces = np.concatenate(([-1], np.flatnonzero(kind == _SPACE), [len(raw)]))
+            for k in np.unique(np.searchsorted(spaces, other)).tolist():
+                kind[spaces[k - 1] + 1 : spaces[k]] = _WHOLE
+        new = kind == _DIGIT
+        new[1:] |= kind[1:] != kind[:-1]
+        new[at[:-1][at[:-1] < len(raw)]] = True
+        start = np.flatnonzero(new)
+        of = kind[start]
+        end, there = np.append(start[1:], len(raw)), of != _SPACE
+        return start[there], end[there], of[there] == _WHOLE
+
+    def texts(self, raw: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What ``text`` gives for each of the texts that ``at`` delimits in ``raw``, one after another, and the number of ids of each."""
+        if not self.by_piece:
+            ids = [self.text(raw[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            return np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) // 4 for x in ids], np.int64)
+        if len(at) == 2 and len(raw) > PART:  # words are independent, so a long text is cut at white space
+            parts, lo = [], 0
+            while lo < len(raw):
+                cut = _BREAK.search(raw, lo + PART)
+                hi = cut.start() if cut else len(raw)
+                parts.append(self._laid(raw[lo:hi], np.array([0, hi - lo]))[0][: -1 if cut else None])
+                lo = hi
+            return (flat := np.concatenate(parts)), np.array([len(flat)])
+        return self._laid(raw, at)
+
+    def _laid(self, raw: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``texts`` of a bounded part: equal units are looked up once."""
+        start, end, whole = self._units(raw, at)
+        low = raw.translate(_LOWER)
+        eight = np.ndarray(len(low) + 9, "<u8", low + bytes(16), strides=(1,))  # the eight bytes from each place on
+        short = np.flatnonzero(~whole & (end - start <= 16))
+        long = np.flatnonzero(whole | (end - start > 16))
+        size = (end - start)[short]
+        head = eight[start[short]] & _FIRST[np.minimum(size, 8)]
+        tail = eight[start[short] + 8] & _FIRST[np.maximum(size - 8, 0)]
+        order = np.argsort(head * np.uint64(0x9E3779B97F4A7C15) ^ tail * np.uint64(0xC2B2AE3D27D4EB4F))
+        head, tail, short = head[order], tail[order], short[order]
+        first = np.ones(len(order), bool)  # units that agree in these products but not in their bytes only make more groups
+        first[1:] = (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])
+        one = short[first]
+        ids = [self[low[a:b]] for a, b in zip(start[one].tolist(), end[one].tolist())]
+        which = np.empty(len(start), np.int64)
+        which[short] = np.cumsum(first) - 1
+        which[long] = np.arange(len(ids), len(ids) + len(long))
+        ids += [self[raw[a:b]] for a, b in zip(start[long].tolist(), end[long].tolist())]
+        ids.append(_END)
+        upto = np.searchsorted(start, at)  # units before each text
+        which = np.insert(which, upto[1:], len(ids) - 1)
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        place, count = (np.cumsum(length) - length)[which], length[which]
+        ahead = np.concatenate(([0], np.cumsum(count)))
+        flat = np.frombuffer(b"".join(ids), "<u4")[np.repeat(place - ahead[:-1], count) + np.arange(ahead[-1])]
+        return flat, np.diff(ahead[upto + np.arange(len(at))])
+
 
 def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
@@ -151,13 +221,11 @@ def _tokenised(path: str) -> Callable:
         for batch in batches:
             data, offsets = text_buffers(batch.column(2))
             for lo, hi in row_chunks(offsets, PART):
-                at = offsets[lo : hi + 1].tolist()
-                ids = [words.text(data[a:b].tobytes()) for a, b in zip(at[:-1], at[1:])]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
-                v = vectors([np.frombuffer(x, "<u4") for x in ids])
+                flat, n = words.texts(data[offsets[lo] : offsets[hi]].tobytes(), offsets[lo : hi + 1] - offsets[lo])
                 ends = np.concatenate(([0], 4 * np.cumsum(n))).astype(np.int32)
+                v = vectors(np.split(flat, ends[1:-1] // 4))
                 values = pa.ListArray.from_arrays(_array(np.arange(0, v.size + 1, DIMS, dtype=np.int32), pa.int32()), _array(v.ravel(), pa.float64()))
-                packed = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(ends), pa.py_buffer(b"".join(ids))])
+                packed = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(ends), pa.py_buffer(flat)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), _array(n, pa.int64()), packed, values], schema=_SCHEMA)
 
     return run

@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -137,6 +138,36 @@ def test_words_have_the_ids_of_the_whole_text():
         assert np.frombuffer(cache.text(text.encode()), "<u4").tolist() == [*whole.encode(text, add_special_tokens=False).ids, 2], text
 
 
+def test_ids_of_many_texts_at_a_time(monkeypatch):
+    """Texts that follow each other without a blank, units of every kind and length, texts longer than a part."""
+    whole, words, rng = Tokenizer.from_file(VOCABULARY), packing.Words(VOCABULARY, limit=50), random.Random(4)
+    parts = ["Hello", "WORLD", "it's", "'", "''S", "a1b22", "é", "e\u0301", "É", "ÀÖØÞß", "×", "÷", "a×b", "ŉ", "İ", "œ", "ΣΑΣ", "\xa0", "\xad", "\x00", "a\x00", "\x1c", "\x7f", "中文字", "😀", "...", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", "_", "²", "abcdefgh", "abcdefghi", "abcdefghijklmnop", "abcdefghijklmnopq", "ééééééééé", "12345678901234567890", "!" * 17]
+    for size in [1 << 20] * 300 + [30] * 300:
+        monkeypatch.setattr(packing, "PART", size)
+        texts = ["".join(rng.choice([*parts, " ", "\n", "\t", "\x0b"]) for _ in range(rng.choice([0, 1, 4, 12, 40]))) for _ in range(rng.randrange(0, 6) if size > 30 else 1)]
+        raw = "".join(texts).encode()
+        flat, n = words.texts(raw, np.concatenate(([0], np.cumsum([len(x.encode()) for x in texts]))).astype(np.int64))
+        want = [[*whole.encode(x, add_special_tokens=False).ids, 2] for x in texts]
+        assert n.tolist() == [len(x) for x in want] and flat.tolist() == sum(want, []), texts
+
+
+def test_equal_units_of_a_part_are_looked_up_once(monkeypatch):
+    asked = []
+
+    class Counted(packing.Words):
+        def __getitem__(self, word):
+            asked.append(word)
+            return super().__getitem__(word)
+
+    texts = ["Some words, and more. The words again: " * 200, "the rest", "", None] * 5
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(20)), "uid": list(range(20)), "text": pa.array(texts, pa.string())})
+    monkeypatch.setitem(packing._workers, VOCABULARY, Counted(VOCABULARY))
+    (out,) = packing._tokenised(VOCABULARY)(iter([batch]))
+    whole = Tokenizer.from_file(VOCABULARY)
+    assert [np.frombuffer(x.as_py(), "<u4").tolist() for x in out.column(3)] == [[*whole.encode(x or "", add_special_tokens=False).ids, 2] for x in texts]
+    assert 0 < len(asked) <= 20, len(asked)
+
+
 def test_hilbert_neighbours_differ_by_one_step():
     grid = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     place = packing.hilbert(grid, 3)
