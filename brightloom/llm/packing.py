@@ -21,6 +21,8 @@ an id and repeated rows count each; an empty table gives none; further columns a
 
 from __future__ import annotations
 
+import codecs
+import itertools
 import json
 import math
 import os
@@ -45,7 +47,8 @@ WIDTH, DIMS, BITS = 256, 3, 10
 LEVELS = 1 << BITS
 RANGE_TOKENS, RANGES = 1 << 18, 20000  # tokens of a range, or more so that there are not more ranges
 PART = 1 << 20  # bytes of texts that are turned into ids together
-CACHE = 200_000  # units of each generation that a worker remembers
+CACHE = 200_000  # words of each generation that a worker remembers
+SLOTS, POOL = 21, 1 << 23  # bits of the number of units that a worker remembers besides, and about the most ids of them
 _TOKENS = "doc_id long, uid long, n long, ids binary, v array<double>"
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("v", pa.list_(pa.float64()))])
 _PLAIN = regex.compile(r"[!-~¡-¬®-įĲ-ſ]*")  # composed letters with one lower case each
@@ -73,7 +76,8 @@ class Words(dict):
 
     The vocabulary's model is asked once for each lower-case piece of a word. Words with letters outside
     ``_PLAIN`` or special tokens go through the whole tokenizer. Words are remembered in two generations:
-    when ``limit`` are in the younger, it becomes the older, from which words that come again are taken."""
+    when ``limit`` are in the younger, it becomes the older, from which words that come again are taken.
+    The short units of ``texts`` are remembered in arrays, which are read for many units at a time."""
 
     def __init__(self, path: str, limit: int = CACHE):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task for each core
@@ -90,9 +94,17 @@ class Words(dict):
         self.by_piece = split.get("pattern") == {"Regex": known} and steps == ["NFC", "Replace", "Lowercase"] and not rules["post_processor"]
         self.apart = [s.encode() for s in (*self.special, "×", "÷")]  # not the signs and letters that their bytes are classed as
         self.older: dict[bytes, bytes] = {}
+        # units of 16 bytes at most, each in the slot of its hash: its bytes, and where its ids are in the pool and how many
+        self.heads, self.tails = np.zeros(1 << SLOTS, np.uint64), np.zeros(1 << SLOTS, np.uint64)
+        self.places, self.counts = np.zeros(1 << SLOTS, np.uint32), np.zeros(1 << SLOTS, np.uint8)
+        self.pool = bytearray(_END)
         self.model = self.tokenizer.model
         # how the model writes the letters beyond ASCII of plain words
         self.letters = {k: "".join(part for part, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(k))) for k in range(0xA1, 0x180)} if self.by_piece else {}
+        signs = [chr(k) for k in range(256)]  # and the bytes of units
+        for k in range(0x80, 0xC0) if self.by_piece else ():
+            signs[0xC3], signs[k] = "".join(part for part, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(bytes([0xC3, k]).decode()))
+        self.signs = "".join(signs)
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
@@ -104,6 +116,13 @@ class Words(dict):
             return b"".join([self[p.encode()] for p in pieces])
         return _packed([t.id for t in self.model.tokenize(text if text.isascii() else text.translate(self.letters))])
 
+    def _pieces(self, units: list[bytes]) -> list[list[int]]:
+        """The ids of units that are one piece of plain signs each."""
+        if not units:
+            return []
+        lower = b"\n".join(units).decode().lower().encode()  # beyond ASCII too
+        return [[t.id for t in self.model.tokenize(x)] for x in codecs.charmap_decode(lower, "strict", self.signs)[0].split("\n")]
+
     def __missing__(self, word: bytes) -> bytes:
         ids = self.older.get(word)
         if ids is None:
@@ -154,7 +173,7 @@ class Words(dict):
         return self._laid(raw, at)
 
     def _laid(self, raw: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``texts`` of a bounded part: equal units are looked up once."""
+        """``texts`` of a bounded part: equal short units are looked up once."""
         start, end, whole = self._units(raw, at)
         low = raw.translate(_LOWER)
         eight = np.ndarray(len(low) + 9, "<u8", low + bytes(16), strides=(1,))  # the eight bytes from each place on
@@ -163,28 +182,52 @@ class Words(dict):
         size = (end - start)[short]
         head = eight[start[short]] & _FIRST[np.minimum(size, 8)]
         tail = eight[start[short] + 8] & _FIRST[np.maximum(size - 8, 0)]
-        order = np.argsort(head * np.uint64(0x9E3779B97F4A7C15) ^ tail * np.uint64(0xC2B2AE3D27D4EB4F))
-        head, tail, short = head[order], tail[order], short[order]
-        first = np.ones(len(order), bool)  # units that agree in these products but not in their bytes only make more groups
+        key = head * np.uint64(0x9E3779B97F4A7C15) ^ tail * np.uint64(0xC2B2AE3D27D4EB4F)
+        order = np.argsort(key)
+        head, tail = head[order], tail[order]
+        first = np.ones(len(order), bool)  # units that agree in the key but not in their bytes only make more groups
         first[1:] = (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])
-        one = short[first]
-        ids = [self[low[a:b]] for a, b in zip(start[one].tolist(), end[one].tolist())]
         which = np.empty(len(start), np.int64)
-        which[short] = np.cumsum(first) - 1
-        which[long] = np.arange(len(ids), len(ids) + len(long))
-        ids += [self[raw[a:b]] for a, b in zip(start[long].tolist(), end[long].tolist())]
-        ids.append(_END)
-        upto = np.searchsorted(start, at)  # units before each text
-        which = np.insert(which, upto[1:], len(ids) - 1)
+        which[short[order]] = np.cumsum(first) - 1
+        one = order[first]
+        place, count = self._remembered(low, start[short[one]], end[short[one]], head[first], tail[first], key[one] >> np.uint64(64 - SLOTS))
+        kept = len(self.pool)
+        ids = [self[raw[a:b]] for a, b in zip(start[long].tolist(), end[long].tolist())]
+        which[long] = np.arange(len(place), len(place) + len(long))
         length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        place, count = (np.cumsum(length) - length)[which], length[which]
+        place, count = np.concatenate((place, kept // 4 + np.cumsum(length) - length, [0])), np.concatenate((count, length, [1]))
+        upto = np.searchsorted(start, at)  # units before each text
+        which = np.insert(which, upto[1:], len(place) - 1)
+        place, count = place[which], count[which]
         ahead = np.concatenate(([0], np.cumsum(count)))
-        flat = np.frombuffer(b"".join(ids), "<u4")[np.repeat(place - ahead[:-1], count) + np.arange(ahead[-1])]
+        self.pool += b"".join(ids)
+        flat = np.frombuffer(self.pool, "<u4")[np.repeat(place - ahead[:-1], count) + np.arange(ahead[-1])]
+        del self.pool[kept:]
         return flat, np.diff(ahead[upto + np.arange(len(at))])
 
+    def _remembered(self, low: bytes, start: np.ndarray, end: np.ndarray, head: np.ndarray, tail: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in the pool the ids of units of ``low`` are, in ascending order of ``slot``, and how many. Units that are not in their
+        slot are made, and take it from another."""
+        if len(self.pool) > 4 * POOL:
+            self.pool = bytearray(_END)
+            self.heads[:] = 0
+        new = np.flatnonzero((self.heads[slot] != head) | (self.tails[slot] != tail))
+        ids = self._pieces([low[a:b] for a, b in zip(start[new].tolist(), end[new].tolist())])
+        length = np.fromiter(map(len, ids), np.int64, len(ids))
+        place, count = self.places[slot].astype(np.int64), self.counts[slot].astype(np.int64)
+        place[new], count[new] = len(self.pool) // 4 + np.cumsum(length) - length, length
+        self.pool += np.fromiter(itertools.chain.from_iterable(ids), "<u4", int(length.sum())).tobytes()
+        new = new[np.append(slot[new][1:] != slot[new][:-1], True)] if len(new) else new  # one for each slot
+        for of, x in ((self.heads, head), (self.tails, tail), (self.places, place), (self.counts, count)):
+            of[slot[new]] = x[new]
+        return place, count
+
+
+_PACKS = [struct.Struct(f"<{n}I").pack for n in range(32)]
+
 
 def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return (_PACKS[len(ids)] if len(ids) < 32 else struct.Struct(f"<{len(ids)}I").pack)(*ids)
 
 
 _END = _packed([END])
