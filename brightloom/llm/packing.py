@@ -66,7 +66,7 @@ def _classes() -> bytes:
 
 
 _CLASS = _classes()
-_BREAK = re.compile(rb"[ \t\n\r\x0b\x0c]")
+_BLANK, _BREAK = re.compile(rb"[ \t\n\r\x0b\x0c]"), re.compile(rb"[ \t\n\r\x0b\x0c]|(?<=[0-9])(?=[0-9A-Za-z])")
 _LOWER = bytes(range(256)).lower()
 _FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # keeps the first k of eight bytes
 
@@ -93,6 +93,7 @@ class Words(dict):
         # another vocabulary with other rules still gives its own ids, only without pieces
         self.by_piece = split.get("pattern") == {"Regex": known} and steps == ["NFC", "Replace", "Lowercase"] and not rules["post_processor"]
         self.apart = [s.encode() for s in (*self.special, "×", "÷")]  # not the signs and letters that their bytes are classed as
+        self.breaks = _BLANK if any(c.isdigit() for s in self.special for c in s) else _BREAK
         self.older: dict[bytes, bytes] = {}
         # units of 16 bytes at most, each in the slot of its hash: its bytes, and where its ids are in the pool and how many
         self.heads, self.tails = np.zeros(1 << SLOTS, np.uint64), np.zeros(1 << SLOTS, np.uint64)
@@ -162,10 +163,10 @@ class Words(dict):
         if not self.by_piece:
             ids = [self.text(raw[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
             return np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) // 4 for x in ids], np.int64)
-        if len(at) == 2 and len(raw) > PART:  # words are independent, so a long text is cut at white space
+        if len(at) == 2 and len(raw) > PART:  # a long text is cut at white space and after digits, each of which is a piece
             parts, lo = [], 0
             while lo < len(raw):
-                cut = _BREAK.search(raw, lo + PART)
+                cut = self.breaks.search(raw, lo + PART)
                 hi = cut.start() if cut else len(raw)
                 parts.append(self._laid(raw[lo:hi], np.array([0, hi - lo]))[0][: -1 if cut else None])
                 lo = hi

@@ -154,6 +154,17 @@ def test_ids_of_many_texts_at_a_time(monkeypatch):
         assert n.tolist() == [len(x) for x in want] and flat.tolist() == sum(want, []), texts
 
 
+def test_long_text_without_blanks_is_cut(monkeypatch):
+    whole, words, sizes = Tokenizer.from_file(VOCABULARY), packing.Words(VOCABULARY), []
+    laid = words._laid
+    monkeypatch.setattr(words, "_laid", lambda raw, at: sizes.append(len(raw)) or laid(raw, at))
+    monkeypatch.setattr(packing, "PART", 100)
+    text = "1a9F中2x'3s" * 200
+    flat, n = words.texts(text.encode(), np.array([0, len(text.encode())]))
+    assert flat.tolist() == [*whole.encode(text, add_special_tokens=False).ids, 2] and n.tolist() == [len(flat)]
+    assert max(sizes) < 120
+
+
 def test_equal_units_of_a_part_are_looked_up_once(monkeypatch):
     asked = []
 
