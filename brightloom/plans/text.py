@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+import html.entities
+
 from pyspark.sql import functions as F
 
 from brightloom.operators import annotate
@@ -140,12 +143,23 @@ def latest_entries(spark, sf_dir):
     return annotate.latest_entries(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_type", "event_id")
 
 
-_PAGE = "replace(regexp_replace(regexp_replace(regexp_replace(html, '(<script>[^<]*)<(/p>[^<]*</script>)', '\\1' || chr(1) || '\\2', 'g'), '<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'g'), chr(1), '<')"
-for _entity, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-    _PAGE = f"replace({_PAGE}, '{_entity}', '{_char}')"
+# Character references, as HTML has them: the longest known beginning of a name counts, also without its
+# semicolon; numbers stand for their character, but for the few that stand for another, or none.
+_REFERENCE = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+_SPACE = r"[\t-\r\x1c- \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_quoted = lambda x: "'" + x.replace("'", "''") + "'"
+_NAMES = ", ".join(f"({_quoted(k)}, {' || '.join(f'chr({ord(c)})' for c in v)})" for k, v in html.entities.html5.items())
+_ODD = ", ".join(f"({n}, {' || '.join(f'chr({ord(c)})' for c in text) or repr('')})" for n, text in ((n, html.unescape(f"&#{n};")) for n in (*range(160), *range(0xFDD0, 0xFDF0), *(p << 16 | x for p in range(17) for x in (0xFFFE, 0xFFFF)))) if n == 0 or text != chr(n))
+_TEXT = f"""s AS (SELECT page_id, replace(regexp_replace(regexp_replace(regexp_replace(html, '(<script>[^<]*)<(/p>[^<]*</script>)', '\\1' || chr(1) || '\\2', 'g'), '<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'g'), chr(1), '<') AS x FROM pages),
+names(name, chars) AS (VALUES {_NAMES}), odd(n, chars) AS (VALUES {_ODD}), r AS (SELECT DISTINCT unnest(regexp_extract_all(x, '{_REFERENCE}')) AS ref FROM s),
+numbers AS (SELECT ref, CASE WHEN ref[3] IN ('x', 'X') THEN try_cast('0x' || regexp_extract(ref, '[0-9a-fA-F]+') AS BIGINT) ELSE try_cast(regexp_extract(ref, '[0-9]+') AS BIGINT) END AS n FROM r WHERE ref[2] = '#'),
+known AS (SELECT ref, CASE WHEN odd.n IS NOT NULL THEN odd.chars WHEN numbers.n IS NULL OR numbers.n > 1114111 OR numbers.n BETWEEN 55296 AND 57343 THEN chr(65533) ELSE chr(numbers.n::INT) END AS c FROM numbers LEFT JOIN odd USING (n)
+  UNION ALL SELECT ref, arg_max(chars || substr(ref, length(name) + 2), length(name)) AS c FROM r JOIN names ON starts_with(ref, '&' || name) WHERE ref[2] <> '#' GROUP BY 1),
+k AS (SELECT coalesce(map_from_entries(list((ref, c))), MAP {{}}) AS known FROM known),
+p AS (SELECT page_id, trim(regexp_replace(array_to_string(list_transform(regexp_extract_all(x, '{_REFERENCE}|[^&]+|&'), lambda e: CASE WHEN e[1] = '&' THEN coalesce(known[e], e) ELSE e END), ''), '{_SPACE}', ' ', 'g')) AS t FROM s, k)"""
 
 
-@query(f"SELECT page_id, length(t)::BIGINT AS n_chars, sha256(t) AS text_sha256 FROM (SELECT page_id, trim(regexp_replace({_PAGE}, '[\\s]+', ' ', 'g')) AS t FROM pages)")
+@query(f"WITH {_TEXT} SELECT page_id, length(t)::BIGINT AS n_chars, sha256(t) AS text_sha256 FROM p")
 def page_texts(spark, sf_dir):
     """Text of every page."""
     return table(spark, sf_dir, "pages").select("page_id", F.length(html_text("html")).cast("long").alias("n_chars"), F.sha2(html_text("html").cast("binary"), 256).alias("text_sha256"))
