@@ -120,8 +120,13 @@ def hash_findings(events: DataFrame) -> DataFrame:
 
 
 def current_states(events: DataFrame) -> DataFrame:
-    """Last state, total cost and number of events of each cell."""
-    return events.groupBy("cell_id").agg(F.max_by("new_state", "sequence").alias("state"), F.sum("cost").alias("cost"), F.count("*").alias("events"))
+    """Last state, total cost and number of events of each cell. Costs are added as decimals, so that a total
+    does not depend on their order; totals with a cost that no decimal holds are sums of doubles."""
+    total = F.sum("cost")
+    if dict(events.dtypes)["cost"] in ("double", "float"):
+        exact = F.col("cost").try_cast("decimal(38,12)")
+        total = F.coalesce(F.when(F.count(exact) == F.count("cost"), F.try_sum(exact)).cast("double"), total)
+    return events.groupBy("cell_id").agg(F.max_by("new_state", "sequence").alias("state"), total.alias("cost"), F.count("*").alias("events"))
 
 
 def campaign_status(cells: DataFrame, events: DataFrame, hard_budget: float) -> DataFrame:

@@ -24,3 +24,24 @@ def test_page_texts_know_references_with_and_without_semicolons(spark, tmp_path,
     pages = spark.createDataFrame([(i, t if t is None else f"<title>{t}</title><style>p{{}}</style><p>{t}<!-- x --></p>") for i, t in enumerate(texts)], "page_id long, html string")
     mine, theirs = both(spark, tmp_path, "page_texts", pages=pages)
     assert mine == theirs and len(mine) == len(texts)
+
+
+EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+
+
+def test_ledger_reconcile_does_not_leave_a_hundredth_to_the_order_of_a_sum(spark, tmp_path):
+    lost = {7: 0.01, 8: 0.02, 9: 0.0}  # value of the event that the log with gaps lacks, by user
+    events = [(5 + 211 * (50 * u + 2 * k), None, u, "view", v, "{}") for u, v in lost.items() for k in range(25)]
+    events += [(5 + 211 * (50 * u + 2 * k) + 1, None, u, "view", 560.21 + k * 33.33, "{}") for u in lost for k in range(25)]
+    mine, theirs = both(spark, tmp_path, "ledger_reconcile", events=spark.createDataFrame(events, EVENTS))
+    assert mine == theirs and [r[0] for r in mine] == ["7", "8"]
+    one = [(5 + 211 * u, None, u, "view", 0.01, "{}") for u in range(10, 40)] + [(6 + 211 * u, None, u, "view", round(100 + u * 37.77, 2), "{}") for u in range(10, 40)]
+    mine, theirs = both(spark, tmp_path, "ledger_reconcile", events=spark.createDataFrame(one, EVENTS))
+    assert mine == theirs == []  # a hundredth is not more than one, whatever its sums look like
+
+
+def test_state_costs_that_no_decimal_holds_are_still_summed(spark):
+    from brightloom.operators import ledger
+
+    events = spark.createDataFrame([(1, "a", "leased", 1e300), (2, "a", "ready", 2.0), (1, "b", "leased", None), (1, "c", "leased", 0.1), (2, "c", "ready", 0.2)], "sequence long, cell_id string, new_state string, cost double")
+    assert {r["cell_id"]: r["cost"] for r in ledger.current_states(events).collect()} == {"a": 1e300, "b": None, "c": 0.3}
