@@ -10,9 +10,11 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brightloom.operators.ordered import folded
+
 # States that a lease may end in, and those that can be leased.
 ENDINGS = ("ready", "succeeded", "failed", "quarantined", "cancelled")
 LEASABLE = "ready"
@@ -25,30 +27,30 @@ class Cell(NamedTuple):
     state: str = LEASABLE
     owner: str | None = None
     token: str | None = None
-    expires: int = 0
+    expires: int | None = 0
     attempt: int = 0
 
 
-def decide(cell: Cell, action: str | None, at: int, worker: str | None, token: str | None, new_state: str | None, artifact: str | None, horizon: int) -> tuple[Cell, str]:
-    """The cell after a request, and its outcome: granted, extended, completed or what it was refused for."""
+def decide(cell: Cell, action: str | None, at: int | None, worker: str | None, token: str | None, new_state: str | None, artifact: str | None, horizon: int) -> tuple[Cell, str]:
+    """The cell after a request, and its outcome: granted, extended, completed or what it was refused for. A
+    request without a time meets no end of a lease, and a lease that it is granted has none."""
     if not (worker or "").strip() or not token:
         return cell, "refused:worker-and-token-required"
+    over = at is not None and cell.expires is not None and at >= cell.expires
     if action == "lease":
-        if cell.state == "leased" and at >= cell.expires:
-            cell = cell._replace(state=LEASABLE, owner=None, token=None)
-        if cell.state != LEASABLE:
+        if cell.state != LEASABLE and not (cell.state == "leased" and over):
             return cell, f"refused:{cell.state}"
-        return Cell("leased", worker, token, at + horizon, cell.attempt + 1), "granted"
+        return Cell("leased", worker, token, None if at is None else at + horizon, cell.attempt + 1), "granted"
     if action not in ("heartbeat", "complete"):
         return cell, "refused:unknown-action"
     if cell.state != "leased":
         return cell, "refused:not-leased"
     if (cell.owner, cell.token) != (worker, token):
         return cell, "refused:not-the-owner"
-    if at >= cell.expires:
+    if over:
         return cell, "refused:expired"
     if action == "heartbeat":  # from its own time on, never shorter
-        return cell._replace(expires=max(cell.expires, at + horizon)), "extended"
+        return cell._replace(expires=max((x for x in (cell.expires, None if at is None else at + horizon) if x is not None), default=None)), "extended"
     if new_state not in ENDINGS:
         return cell, "refused:unknown-ending"
     if new_state == "succeeded" and not artifact:
@@ -58,38 +60,16 @@ def decide(cell: Cell, action: str | None, at: int, worker: str | None, token: s
 
 def replay(requests: DataFrame, lease_seconds: int = 900) -> DataFrame:
     """The outcome of each request, with the cell's state, the end of its lease (null if it has none) and its
-    attempts after it. A cell's requests are put in order of at and request_id and folded by column
-    expressions."""
+    attempts after it. A cell's requests are put in order of at and request_id, and ``decide`` is folded over them,
+    one after another."""
     horizon = lease_seconds * 1_000_000
-    row = F.struct(F.unix_micros(F.col("at").cast("timestamp")).alias("at"), F.col("request_id").cast("long").alias("request_id"), "action", "worker_id", "lease_token", "new_state", "artifact_id")
-    cells = requests.groupBy("cell_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    done = "array<struct<request_id:long,at:long,action:string,outcome:string,state:string,expires:long,attempt:long>>"
-    text = lambda s: F.lit(s).cast("string")
 
-    def step(acc: Column, r: Column) -> Column:
-        runs_out = (acc["state"] == "leased") & (r["at"] >= acc["expires"])
-        leasable = (acc["state"] == LEASABLE) | runs_out
-        stated = (F.trim(F.coalesce(r["worker_id"], F.lit(""))) != "") & (F.coalesce(r["lease_token"], F.lit("")) != "")
-        mine = (acc["owner"] == r["worker_id"]) & (acc["token"] == r["lease_token"])
-        action = F.coalesce(r["action"], F.lit(""))
-        outcome = (
-            F.when(~stated, "refused:worker-and-token-required")
-            .when(action == "lease", F.when(leasable, "granted").otherwise(F.concat(F.lit("refused:"), acc["state"])))
-            .when(~action.isin("heartbeat", "complete"), "refused:unknown-action").when(acc["state"] != "leased", "refused:not-leased").when(~F.coalesce(mine, F.lit(False)), "refused:not-the-owner").when(runs_out, "refused:expired")
-            .when(action == "heartbeat", "extended").when(~F.coalesce(r["new_state"].isin(*ENDINGS), F.lit(False)), "refused:unknown-ending")
-            .when((r["new_state"] == "succeeded") & (F.coalesce(r["artifact_id"], F.lit("")) == ""), "refused:no-artifact").otherwise("completed")
-        )
-        granted, extended, ended = outcome == "granted", outcome == "extended", outcome == "completed"
-        state = F.when(granted, "leased").when(ended, r["new_state"]).otherwise(acc["state"])
-        expires = F.when(granted, r["at"] + horizon).when(extended, F.greatest(acc["expires"], r["at"] + horizon)).otherwise(acc["expires"])
-        attempt = acc["attempt"] + F.when(granted, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
-        told = F.struct(r["request_id"].alias("request_id"), r["at"].alias("at"), r["action"].alias("action"), outcome.alias("outcome"), state.alias("state"), F.when(state == "leased", expires).alias("expires"), attempt.alias("attempt"))
-        keep = lambda new, old: F.when(granted, new).when(ended, text(None)).otherwise(old)
-        return F.struct(
-            state.alias("state"), keep(r["worker_id"], acc["owner"]).alias("owner"), keep(r["lease_token"], acc["token"]).alias("token"), expires.alias("expires"), attempt.alias("attempt"), F.concat(acc["done"], F.array(told)).alias("done"),
-        )
+    def step(cell: Cell, action: str | None, at: int | None, worker: str | None, token: str | None, new_state: str | None, artifact: str | None) -> tuple[Cell, tuple]:
+        cell, outcome = decide(cell, action, at, worker, token, new_state, artifact, horizon)
+        return cell, (outcome, cell.state, cell.expires if cell.state == "leased" else None, cell.attempt)
 
-    zero = F.lit(0).cast("long")
-    start = F.struct(text(LEASABLE).alias("state"), text(None).alias("owner"), text(None).alias("token"), zero.alias("expires"), zero.alias("attempt"), F.array().cast(done).alias("done"))
-    told = cells.select("cell_id", F.explode(F.aggregate("rows", start, step, lambda acc: acc["done"])).alias("x")).select("cell_id", "x.*")
-    return told.select("cell_id", "request_id", F.timestamp_micros("at").alias("at"), "action", "outcome", "state", F.timestamp_micros("expires").alias("expires"), "attempt")
+    stated = ["action", "worker_id", "lease_token", "new_state", "artifact_id"]
+    timed = requests.select("cell_id", F.col("at").cast("timestamp").alias("at"), F.col("request_id").cast("long").alias("request_id"), *[F.col(c).cast("string").alias(c) for c in stated])
+    reads = [F.col("action"), F.unix_micros("at"), *[F.col(c) for c in stated[1:]]]
+    told = folded(timed, ["cell_id"], ["at", "request_id", *stated], ["cell_id", "request_id", "at", "action"], reads, Cell, step, "outcome string, state string, expires long, attempt long")
+    return told.withColumn("expires", F.timestamp_micros("expires"))

@@ -1,16 +1,23 @@
-"""Running sums, positions and ranks over groups of any size, in two steps.
+"""Running sums, positions and ranks over groups of any size, in two steps, and ordered folds.
 
 Rows are dealt to ranges of a sort key; the ranges' sums, of which there are few, give what is ahead of
-each range, and a window gives what is ahead within it. No group is sorted in one task, however large.
+each range, and a window gives what is ahead within it. No group is sorted in one task, however large. Only ``folded``, for
+what needs the row before, goes through a group in one task; it holds one state.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from brightloom.functions.names import free
+from brightloom.session import share_package
 
 PARTS = 64
 
@@ -55,3 +62,36 @@ def mean_ranks(counted: DataFrame, value: str, n: str = "n") -> DataFrame:
     (before,) = free(counted, "_before")
     placed = with_ahead(counted, [], key_range(counted, F.col(value)), [value], {before: F.col(n)})
     return placed.withColumn("mean_rank", F.col(before) + (F.col(n) + 1) / 2.0).drop(before)
+
+
+# The types of what a fold can find.
+_ARROW = {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_()}
+
+
+def folded(rows: DataFrame, by: list[str], order: list[str], keeps: list[str], reads: list[Column], start: Callable[[], Any], step: Callable, found: str) -> DataFrame:
+    """The columns ``keeps`` of ``rows``, and those of ``found`` (a schema of strings, longs and booleans) that an
+    ordered fold gives to each: ``step`` takes the group's state before a row (``start`` before the first one) and
+    the row's values of ``reads``, and returns the state after it and the values of ``found``. Groups of ``by`` are
+    read in order of ``order``, one row after another, so that time grows with the rows and only one state stays in
+    memory, however long a group is."""
+    share_package(rows.sparkSession)
+    added = T.StructType.fromDDL(found)
+    kinds = [_ARROW[f.dataType.simpleString()] for f in added.fields]
+    names = free(rows, *[f"_by_{c}" for c in by], *[f"_read_{k}" for k in range(len(reads))])
+    n = len(by)
+    placed = rows.repartition(*by).sortWithinPartitions(*by, *order)
+    asked = placed.select(*keeps, *[F.col(c).cast("string").cast("binary").alias(k) for c, k in zip(by, names[:n], strict=True)], *[c.alias(k) for c, k in zip(reads, names[n:], strict=True)])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, state = None, None
+        for batch in batches:
+            told = []
+            for values in zip(*[batch.column(k).to_pylist() for k in names], strict=True):
+                if values[:n] != group:
+                    group, state = values[:n], start()
+                state, out = step(state, *values[n:])
+                told.append(out)
+            new = [pa.array(column, kind) for column, kind in zip(zip(*told, strict=True), kinds, strict=True)] if told else [pa.array([], kind) for kind in kinds]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keeps], *new], names=[*keeps, *added.names])
+
+    return asked.mapInArrow(fold, T.StructType([*[rows.schema[c] for c in keeps], *added.fields]))

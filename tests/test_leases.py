@@ -82,3 +82,17 @@ def test_stream_equals_replay(spark, tmp_path, rocksdb):
     assert got["held", 0] == ("extended", "leased", 4) and got["held", 1] == ("completed", "succeeded", 4)
     ended = {(r["cell_id"], r["at"]) for r in out.where("action = 'expire'").collect()}
     assert ("foreign", at(17)) in ended and not any(c in ("plain", "held", "clock") for c, _ in ended)
+
+
+def test_replay_of_a_long_cell_holds_one_state(spark):
+    rng = random.Random(5)
+    data = [("long", at(k / 7) if k % 101 else None, k, rng.choice(["lease", "heartbeat", "complete"]), rng.choice(["w", "w", "v", "\t"]), "t", rng.choice(["ready", "ready", "failed", None]), None) for k in range(20_000)]
+    data += [(None, at(1), -1, "lease", "w", "t", None, None), (None, at(2), -2, "heartbeat", "w", "t", None, None)]
+    cells, want = {}, {}
+    for cell, when, k, action, *rest in sorted(data, key=lambda r: (r[1] or START - datetime.timedelta(days=1), r[2])):
+        micros = when and int((when - datetime.datetime(1970, 1, 1)).total_seconds() * 1e6)
+        cells[cell], outcome = leases.decide(cells.get(cell, leases.Cell()), action, micros, *rest, 600 * 10**6)
+        want[cell, k] = (outcome, cells[cell].state, cells[cell].attempt)
+    out = leases.replay(spark.createDataFrame(data, SCHEMA), 600)
+    assert outcomes(out) == {k: v for k, v in want.items()} and want[None, -2][0] == "extended"
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
