@@ -6,11 +6,14 @@ checked against its predecessor, so replay is a window query, not a loop.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from brightloom.functions.names import free
+from brightloom.operators.ordered import folded
 
 #: Legal state changes of a ledger, and those that a lease store adds.
 TRANSITIONS = {
@@ -54,53 +57,48 @@ def replay(events: DataFrame, transitions: dict[str, tuple[str, ...]] = TRANSITI
     )
 
 
+def _stated(cell: Column, new_state: Column, reason: Column, cost: Column, artifact: Column) -> list[Column]:
+    """What an event states besides its place. Costs count by the millionth, so that they read alike everywhere."""
+    return [F.coalesce(c.cast("string"), F.lit("")) for c in (cell, new_state, reason, F.round(cost * 1_000_000).cast("long"), artifact)]
+
+
 def event_hash(previous: Column, sequence: Column, cell: Column, new_state: Column, reason: Column, cost: Column, artifact: Column) -> Column:
-    """The hash of a campaign event: what it states, on top of its predecessor's hash. Costs count by the
-    millionth, so that they read alike everywhere."""
-    stated = (sequence, cell, new_state, reason, F.round(cost * 1_000_000).cast("long"), artifact)
-    return link_hash(previous, *[F.coalesce(c.cast("string"), F.lit("")) for c in stated])
+    """The hash of a campaign event: what it states, on top of its predecessor's hash."""
+    return link_hash(previous, F.coalesce(sequence.cast("string"), F.lit("")), *_stated(cell, new_state, reason, cost, artifact))
 
 
 def appended(wanted: DataFrame, transitions: dict[str, tuple[str, ...]] = TRANSITIONS) -> DataFrame:
     """The events that ``wanted`` (campaign_id, position, cell_id, new_state, reason, cost, artifact_id) append
     to empty logs, one after another in order of position, and what was refused: campaign_id, position, the
     wanted columns, refused (null if appended), and for appended events sequence, previous_state,
-    previous_event_hash and event_hash.
+    previous_event_hash and event_hash. Without a campaign there is no log to append to.
 
     Refused are illegal changes of a cell's state, costs below 0, blank reasons and successes without an
     artifact; they leave no trace in the log. A cell's state is folded over its own events. A log's hashes
-    need one another, so they are folded over the log's appended events in one group a campaign, of
-    which nothing but positions and one hash an event stays in memory."""
-    table = F.create_map(*[x for state, after in transitions.items() for x in (F.lit(state), F.array(*[F.lit(a) for a in after]))])
-    kinds = dict(wanted.dtypes)
-    row = F.struct("position", "new_state", "reason", F.col("cost").cast("double").alias("cost"), "artifact_id")
-    fields = f"position:{kinds['position']},new_state:string,reason:string,cost:double,artifact_id:{kinds['artifact_id']}"
-    cells = wanted.groupBy("campaign_id", "cell_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-
-    def step(acc: Column, r: Column) -> Column:
-        state = acc["state"]
-        wrong = (
-            F.when(~F.coalesce(F.array_contains(F.try_element_at(table, state), r["new_state"]), F.lit(False)), F.concat(F.lit("illegal-transition:"), state, F.lit(">"), F.coalesce(r["new_state"], F.lit(""))))
-            .when(F.coalesce(r["cost"], F.lit(-1.0)) < 0, "cost-below-zero").when(F.trim(F.coalesce(r["reason"], F.lit(""))) == "", "no-reason")
-            .when((r["new_state"] == "succeeded") & r["artifact_id"].isNull(), "no-artifact")
-        )
-        done = F.struct(*[r[c].alias(c) for c in ("position", "new_state", "reason", "cost", "artifact_id")], state.alias("previous_state"), wrong.alias("refused"))
-        return F.struct(F.when(wrong.isNull(), r["new_state"]).otherwise(state).alias("state"), F.concat(acc["done"], F.array(done)).alias("done"))
-
-    start = F.struct(F.lit("ready").alias("state"), F.array().cast(f"array<struct<{fields},previous_state:string,refused:string>>").alias("done"))
-    folded = F.aggregate("rows", start, step, lambda acc: acc["done"])
-    judged = cells.select("campaign_id", "cell_id", F.explode(folded).alias("e")).select("campaign_id", "cell_id", "e.*")
-    kept = judged.where("refused is null")
-    link = F.struct("position", "cell_id", "new_state", "reason", "cost", "artifact_id")
-
-    def chain(acc: Column, r: Column) -> Column:
-        n, last = F.size(acc).cast("long"), F.when(F.size(acc) > 0, F.element_at(acc, -1)["event_hash"]).otherwise(F.lit(GENESIS))
-        own = event_hash(last, n, r["cell_id"], r["new_state"], r["reason"], r["cost"], r["artifact_id"])
-        return F.concat(acc, F.array(F.struct(r["position"].alias("position"), n.alias("sequence"), last.alias("previous_event_hash"), own.alias("event_hash"))))
-
-    empty = F.array().cast(f"array<struct<position:{kinds['position']},sequence:long,previous_event_hash:string,event_hash:string>>")
-    logs = kept.groupBy("campaign_id").agg(F.array_sort(F.collect_list(link)).alias("log")).select("campaign_id", F.explode(F.aggregate("log", empty, chain)).alias("l"))
-    return judged.join(logs.select("campaign_id", "l.*"), ["campaign_id", "position"], "left")
+    need one another, so they are folded over the log's events, of which one hash stays in memory."""
+    rest = ["position", "new_state", "reason", "cost", "artifact_id"]
+    asked = wanted.select("campaign_id", "cell_id", *rest).withColumn("cost", F.col("cost").cast("double"))
+    wrong = (
+        F.when(F.coalesce("cost", F.lit(-1.0)) < 0, "cost-below-zero").when(F.trim(F.coalesce("reason", F.lit(""))) == "", "no-reason")
+        .when((F.col("new_state") == "succeeded") & F.col("artifact_id").isNull(), "no-artifact")
+    )
+
+    def judge(state: str, new_state: str | None, bad: str | None) -> tuple[str, tuple]:
+        refused = bad if new_state in transitions.get(state, ()) else f"illegal-transition:{state}>{new_state or ''}"
+        return state if refused else new_state, (state, refused)
+
+    columns = ["campaign_id", "position", "cell_id", *rest[1:]]
+    judged = folded(asked, ["campaign_id", "cell_id"], rest, columns, [F.col("new_state"), wrong], lambda: "ready", judge, "previous_state string, refused string")
+
+    def chain(end: tuple[int, str], stated: bytes | None) -> tuple[tuple[int, str], tuple]:
+        if stated is None:
+            return end, (None, None, None)
+        n, last = end
+        own = hashlib.sha256(f"{last}\x1f{n}\x1f".encode() + stated).hexdigest()
+        return (n + 1, own), (n, last, own)
+
+    stated = F.when(F.col("refused").isNull() & F.col("campaign_id").isNotNull(), F.concat_ws("\x1f", *_stated(*[F.col(c) for c in columns[2:]])).cast("binary"))
+    return folded(judged, ["campaign_id"], ["position", "cell_id", *rest[1:]], [*columns, "previous_state", "refused"], [stated], lambda: (0, GENESIS), chain, "sequence long, previous_event_hash string, event_hash string")
 
 
 def hash_findings(events: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import hmac
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -250,6 +251,17 @@ def test_logs_are_appended_and_replayed(spark):
     assert {(r["campaign_id"], r["sequence"], r["finding"]) for r in rows(ledger.hash_findings(hurt))} == {(1, 5, "gap"), (2, 3, "hash-drift"), (0, 6, "chain-drift"), (0, 6, "hash-drift")}
 
 
+def test_long_logs_are_folded_with_one_state(spark):
+    schema = "campaign_id long, position long, cell_id string, new_state string, reason string, cost double, artifact_id string"
+    data = [(1, k // 2 * 2, f"x{k % 2}", "leased" if k // 2 % 2 == 0 else "ready", "why", 0.5, None) for k in range(10_000)]  # two events at each position
+    out = ledger.appended(spark.createDataFrame([*data, (None, 3, "y", "leased", "why", 0.5, None)], schema))
+    assert not {"collect_list", "Join"} & set(re.findall("collect_list|Join", out._jdf.queryExecution().optimizedPlan().toString()))
+    found = sorted(rows(out.where("campaign_id = 1")), key=lambda r: r["sequence"])
+    assert [(r["sequence"], r["position"], r["cell_id"], r["refused"]) for r in found] == [(k, *d[1:3], None) for k, d in enumerate(data)]
+    assert rows(ledger.hash_findings(out.where("campaign_id = 1"))) == []
+    assert [(r["refused"], r["sequence"], r["event_hash"]) for r in rows(out.where("campaign_id is null"))] == [(None, None, None)]
+
+
 def test_receipts_of_sessions(spark):
     a, b, c = sessions.STAGES
     schema = "assignment_id string, position long, stage string, artifact_id string, response string"
