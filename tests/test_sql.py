@@ -45,3 +45,13 @@ def test_state_costs_that_no_decimal_holds_are_still_summed(spark):
 
     events = spark.createDataFrame([(1, "a", "leased", 1e300), (2, "a", "ready", 2.0), (1, "b", "leased", None), (1, "c", "leased", 0.1), (2, "c", "ready", 0.2)], "sequence long, cell_id string, new_state string, cost double")
     assert {r["cell_id"]: r["cost"] for r in ledger.current_states(events).collect()} == {"a": 1e300, "b": None, "c": 0.3}
+
+
+def test_log_findings_of_one_long_log(spark, tmp_path):
+    kinds = ["view", "click", "view", "error", "signup", "purchase", "click"]
+    events = [(k, None, 50 * (k % 3), kinds[k % 7], 4.0 + k % 11, "{}") for k in range(3000)]
+    for query in ("appended_events", "log_findings"):
+        mine, theirs = both(spark, tmp_path, query, events=spark.createDataFrame(events, EVENTS))
+        assert mine == theirs and len(mine) > 10
+    plan = entry.queries()["log_findings"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
