@@ -44,14 +44,16 @@ def challenged(sources: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
 def challenge_outcomes(baseline: DataFrame, changed: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(artifact_id, challenge_id, failures, passed): for every scorecard of ``baseline`` (artifact_id, render_hash,
     the dimensions, valid, aggregate) and every rule, what its twin in ``changed`` (and challenge_id) breaks. A
-    baseline that is not valid, and a twin that is missing or stands there twice, fail."""
+    baseline that is not valid, and a twin that is missing or stands there twice, fail. Twins are brought together
+    by artifact, so neither side is dealt out for each rule; where both come dealt by artifact_id, they stay there."""
     figures = [*WEIGHTS, "valid", "aggregate", "render_hash"]
-    asked = baseline.sparkSession.createDataFrame([(r.challenge_id, r.whole_score) for r in rules], "challenge_id string, whole_score boolean")
-    a = baseline.select("artifact_id", F.struct(*figures).alias("a")).join(F.broadcast(asked))  # a row for each rule, as planned
-    b = changed.groupBy("artifact_id", "challenge_id").agg(F.count("*").alias("twins"), F.min(F.struct(*figures)).alias("b"))
-    met = a.join(b, ["artifact_id", "challenge_id"], "left")
+    a = baseline.select("artifact_id", F.struct(*figures).alias("a"))
+    of = lambda r: F.col("challenge_id") == r.challenge_id
+    b = changed.groupBy("artifact_id").agg(*[F.struct(F.count_if(of(r)).alias("twins"), F.min(F.when(of(r), F.struct(*figures))).alias("b")).alias(f"_{k}") for k, r in enumerate(rules)])
+    asked = F.array(*[F.struct(F.lit(r.challenge_id).alias("challenge_id"), F.lit(r.whole_score).alias("whole_score"), F.col(f"_{k}.twins").alias("twins"), F.col(f"_{k}.b").alias("b")) for k, r in enumerate(rules)])
+    met = a.join(b, "artifact_id", "left").select("artifact_id", "a", F.explode(asked).alias("x")).select("artifact_id", "a", "x.*")
     same = lambda names: F.forall(F.array(*[F.col(f"a.{n}").eqNullSafe(F.col(f"b.{n}")) for n in names]), lambda ok: ok)
-    twin = F.col("twins").isNotNull()
+    twin = F.coalesce("twins", F.lit(0)) > 0
     failures = F.array_compact(F.array(
         F.when(~F.coalesce(F.col("a.valid"), F.lit(False)), "baseline-not-valid"), F.when(~twin, "not-scored"), F.when(F.col("twins") > 1, "scored-twice"),
         F.when(twin & ~F.coalesce(F.col("a.render_hash") == F.col("b.render_hash"), F.lit(False)), "render-changed"), F.when(twin & ~same(SEMANTIC), "semantic-dimensions-changed"),
@@ -61,7 +63,10 @@ def challenge_outcomes(baseline: DataFrame, changed: DataFrame, rules: tuple[Rul
 
 
 def challenge_report(outcomes: DataFrame) -> DataFrame:
-    """By challenge: artifacts, how many passed, and each failure's count as a map."""
-    each = outcomes.select("challenge_id", F.explode("failures").alias("failure")).groupBy("challenge_id", "failure").agg(F.count("*").alias("n"))
-    counts = each.groupBy("challenge_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("failure", "n")))).alias("failures"))
-    return outcomes.groupBy("challenge_id").agg(F.count("*").alias("artifacts"), F.count_if("passed").alias("passed")).join(counts, "challenge_id", "left")
+    """By challenge: artifacts, how many passed, and each failure's count as a map (null without failures). The
+    outcomes are read once: failures that stand together are counted together, and there are few such sets."""
+    sets = outcomes.groupBy("challenge_id", "passed", "failures").agg(F.count("*").alias("n"))
+    of = sets.groupBy("challenge_id").agg(F.sum("n").alias("artifacts"), F.coalesce(F.sum(F.when(F.col("passed"), F.col("n"))), F.lit(0)).alias("passed"), F.collect_list(F.struct("failures", "n")).alias("sets"))
+    names = F.array_sort(F.array_distinct(F.flatten(F.transform("sets", lambda s: F.coalesce(s["failures"], F.array().cast("array<string>"))))))
+    count = lambda name: F.aggregate(F.filter("sets", lambda s: F.array_contains(s["failures"], name)), F.lit(0).cast("long"), lambda n, s: n + s["n"])
+    return of.select("challenge_id", "artifacts", "passed", F.when(F.size(names) > 0, F.map_from_entries(F.transform(names, lambda name: F.struct(name.alias("failure"), count(name).alias("n"))))).alias("failures"))

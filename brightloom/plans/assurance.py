@@ -385,8 +385,9 @@ f AS (SELECT artifact_id, challenge_id, list_filter([CASE WHEN NOT valid THEN 'b
 @query(f"WITH {_TWINS}, c AS (SELECT challenge_id, count(*) AS artifacts, count(*) FILTER (len(failures) = 0) AS passed FROM f GROUP BY 1), n AS (SELECT challenge_id, x, count(*) AS n FROM (SELECT challenge_id, unnest(failures) AS x FROM f) GROUP BY ALL) SELECT c.*, (SELECT string_agg(x || '=' || n, ',' ORDER BY x) FROM n WHERE n.challenge_id = c.challenge_id) AS failures FROM c")
 def scorer_challenges(spark, sf_dir):
     """Scorecards of order lines and of their changed twins, some of which were drawn anew, scored better or lost."""
-    lines = records.scorecards(spark, sf_dir).groupBy("l_orderkey", "l_linenumber").agg(*[F.max(c).alias(c) for c in (*scorecard.WEIGHTS, "aggregate")], F.bool_or("valid").alias("valid"))
-    base = lines.withColumn("artifact_id", F.concat_ws("-", "l_orderkey", "l_linenumber")).withColumn("render_hash", F.concat(F.lit("h"), F.col("artifact_id")))
+    cards = records.scorecards(spark, sf_dir).withColumn("artifact_id", F.concat_ws("-", "l_orderkey", "l_linenumber")).repartition("artifact_id")  # the one shuffle of artifacts
+    lines = cards.groupBy("artifact_id", "l_orderkey", "l_linenumber").agg(*[F.max(c).alias(c) for c in (*scorecard.WEIGHTS, "aggregate")], F.bool_or("valid").alias("valid"))
+    base = lines.withColumn("render_hash", F.concat(F.lit("h"), F.col("artifact_id")))
     rules = spark.createDataFrame([(r.challenge_id,) for r in metamorphic.RULES], "challenge_id string")
     k, c = F.col("l_orderkey"), F.col("challenge_id")
     seen, rewritten = (k % 17 == 5) & (c != "comment-added"), k % 19 == 6

@@ -122,3 +122,19 @@ def test_votes_with_quoted_headers(spark, tmp_path):
     path.write_text('﻿pair_id,task_id,criterion,"left_artifact_id",right_artifact_id,winner,rater_hash,"remarks, free"\np,t,c,a,b,left,0123456789abcdef,"x, y"\n', encoding="utf-8")
     good, bad = records.read_votes(spark, str(path))
     assert [(r["left_artifact_id"], r["remarks, free"]) for r in rows(good)] == [("a", "x, y")] and bad.count() == 0
+
+
+def test_scorer_challenges_read_their_tables_once_and_deal_out_no_side_by_rule(spark):
+    fields = [*WEIGHTS, "aggregate"]
+    schema = "artifact_id string, challenge_id string, render_hash string, valid boolean, " + ", ".join(f"{f} double" for f in fields)
+    card = lambda art, challenge: (art, challenge, "h", True, *[0.5] * len(fields))
+    ids = [r.challenge_id for r in metamorphic.RULES]
+    base = spark.createDataFrame([card(a, None) for a in ("a", "b", "b", None)], schema).drop("challenge_id")  # b stands there twice
+    changed = spark.createDataFrame([*[card("a", c) for c in ids[1:]], *[card("b", c) for c in ids], card("a", "of-no-rule"), card(None, ids[1]), card("a", None)], schema)
+    outcomes = metamorphic.challenge_outcomes(base, changed)
+    got = sorted((r["artifact_id"] or "", r["challenge_id"], r["failures"]) for r in rows(outcomes))
+    assert got == sorted([("a", ids[0], ["not-scored"]), *[("a", c, []) for c in ids[1:]], *[("b", c, []) for c in ids for _ in range(2)], *[("", c, ["not-scored"]) for c in ids]])
+    report = metamorphic.challenge_report(outcomes)
+    assert {r["challenge_id"]: (r["artifacts"], r["passed"], r["failures"]) for r in rows(report)} == {ids[0]: (4, 2, {"not-scored": 2})} | {c: (4, 3, {"not-scored": 1}) for c in ids[1:]}
+    assert {r["failures"] is None for r in rows(metamorphic.challenge_report(outcomes.where("passed")))} == {True}
+    assert report._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
