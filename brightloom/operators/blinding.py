@@ -70,12 +70,15 @@ def verification(public: DataFrame, private: DataFrame, public_header: DataFrame
     its own: names_hidden (no name stands in a public text), aliases_unique, aliases_match, headers_match,
     count_matches, key_verified and mapping_verified (null without the secret), and passed.
 
-    Names are looked for as parts of public texts by joining all parts of a text, which are short, so
-    nothing is compared with everything."""
+    Names are looked for as parts of public texts by joining the parts that are as long as some name, so
+    nothing is compared with everything. A text, being short, has many more parts than the planner can know: the
+    join is by shuffle, so that neither side goes through the driver."""
     texts = public.select(F.col("alias").alias("text")).union(public_header.select(F.explode(F.array("study_id", "task_commitment", "key_commitment", "mapping_commitment"))))
-    starts = texts.select("text", F.explode(F.sequence(F.lit(1), F.length("text"))).alias("i"))
-    parts = starts.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("text") - F.col("i") + 1), lambda n: F.substring(F.col("text"), F.col("i"), n))).alias("part")).distinct()
-    shown = private.join(parts, F.col("model_id") == F.col("part"), "left_semi").agg((F.count("*") == 0).alias("names_hidden"))
+    lengths = private.agg(F.collect_set(F.length("model_id")).alias("lengths"))
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda i: F.substring(F.col("text"), i, n))
+    fitting = F.filter("lengths", lambda n: n.between(1, F.length("text")))
+    parts = texts.join(F.broadcast(lengths)).select(F.explode(F.flatten(F.transform(fitting, cut))).alias("part"))
+    shown = parts.join(private.select("model_id").hint("merge"), F.col("part") == F.col("model_id"), "left_semi").agg((F.count("*") == 0).alias("names_hidden"))
     sizes = public.agg(F.count("*").alias("listed"), F.count_distinct("alias").alias("different")).join(private.agg(F.count("*").alias("mapped"), F.count_distinct("alias").alias("mapped_aliases"), F.count_distinct("model_id").alias("models")))
     a, b = public.select("alias").distinct().withColumn("p", F.lit(1)), private.select("alias").distinct().withColumn("q", F.lit(1))
     unmatched = a.join(b, "alias", "full_outer").agg((F.count_if(F.col("p").isNull() | F.col("q").isNull()) == 0).alias("aliases_match"))

@@ -221,6 +221,17 @@ def test_judges_as_table_functions(spark):
     }
 
 
+def test_parts_of_public_texts_do_not_go_through_the_driver(spark):
+    private = blinding.aliases(models(spark, [f"model {k}" for k in range(50)] + ["é"]), SECRET, "S1").persist()
+    head, public = blinding.header(private, SECRET, "S1", "sha256:0"), blinding.public_list(private, SECRET, "S1")
+    check = blinding.verification(public, private, head, head, SECRET)
+    plan = check._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(check)[0]["passed"] and re.search(r"Join LeftSemi, .*strategy=merge", plan)
+    for text, hidden in (("SYS-F", True), ("xmodel 49x", False), ("model", True), ("aéb", False), ("", True), ("e", True)):
+        (r,) = rows(blinding.verification(public.withColumn("alias", F.when(F.col("position") == 1, text).otherwise(F.col("alias"))), private, head, head, SECRET))
+        assert r["names_hidden"] is hidden, text
+
+
 def test_logs_are_appended_and_replayed(spark):
     rng = random.Random(6)
     schema = "campaign_id long, position long, cell_id string, new_state string, reason string, cost double, artifact_id string"
